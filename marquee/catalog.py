@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import format_inr, format_long_date, parse_seat_labels
+from marquee.operators import allocate as AL
 from marquee.operators import analytics as A
+from marquee.operators import apply as AP
 from marquee.operators import documents as D
 from marquee.operators import listings as L
 from marquee.operators import notices as N
@@ -134,5 +136,116 @@ _simple("seat_map", SM.seat_map_flat)
 _simple("refresh_availability", SM.refresh_availability)
 
 
+# --- apply jobs ----------------------------------------------------------------
+def fresh_state(spark, sf_dir) -> dict:
+    """The booking-request scenario of FIXTURES.md: the generated seat maps with every
+    seat free and no bookings yet (users, shows, menu as mapped)."""
+    st = state(spark, sf_dir)
+    out = {k: (v.filter(F.lit(False)) if k in ("bookings", "booking_seats", "booking_food", "payments", "reviews") else v)
+           for k, v in st.items()}
+    out["seats"] = st["seats"].withColumn("is_available", F.lit(1))
+    return out
+
+
+@register("allocate_seats")
+def _allocate(spark, sf_dir):
+    _, out = AL.allocate_seats(fresh_state(spark, sf_dir), R.booking_requests(data(spark, sf_dir)))
+    return out.select("request_id", "user_id", "show_id", "outcome", "booking_id", "total_amount",
+                      F.array_join(F.transform("unavailable_seats", lambda x: x.cast("string")), ",").alias("unavailable_seats"))
+
+
+@register("quick_book_two")
+def _quick(spark, sf_dir):
+    _, out = AL.quick_book_two(state(spark, sf_dir), R.quick_book_requests(data(spark, sf_dir)))
+    return out.select("request_id", "outcome", "booking_id", "total_amount",
+                      F.array_join(F.transform("unavailable_seats", lambda x: x.cast("string")), ",").alias("unavailable_seats"))
+
+
+_REG["register_users"] = lambda spark, sf_dir: AP.register_users(state(spark, sf_dir), R.registration_requests(data(spark, sf_dir)))[1]
+_REG["cancel_bookings"] = lambda spark, sf_dir: AP.cancel_bookings(state(spark, sf_dir), R.cancel_requests(data(spark, sf_dir)))[1]
+_REG["apply_payment_results"] = lambda spark, sf_dir: AP.apply_payment_results(
+    state(spark, sf_dir), R.payment_requests(data(spark, sf_dir)))[1]
+
+
+@register("release_failed_seats")
+def _release(spark, sf_dir):
+    st = state(spark, sf_dir)
+    ns, _ = AP.apply_payment_results(st, R.payment_requests(data(spark, sf_dir)))
+    before = st["seats"].select("seat_id", F.col("is_available").alias("_was"))
+    return ns["seats"].join(before, "seat_id").filter(F.col("_was") != F.col("is_available")) \
+        .select("seat_id", "show_id", "is_available")
+
+
+@register("payments_after_results")
+def _pay_after(spark, sf_dir):
+    ns, _ = AP.apply_payment_results(state(spark, sf_dir), R.payment_requests(data(spark, sf_dir)))
+    return ns["payments"].join(ns["bookings"].select("booking_id", "booking_status"), "booking_id")
+
+
+_REG["submit_reviews"] = lambda spark, sf_dir: AP.submit_reviews(state(spark, sf_dir), R.review_requests(data(spark, sf_dir)))[1]
+
+
+@register("update_reviews")
+def _upd_reviews(spark, sf_dir):
+    st = state(spark, sf_dir)
+    ns, out = AP.update_reviews(st, R.review_update_requests(st["reviews"]))
+    return out.join(ns["reviews"].select("review_id", "rating", "comment"), "review_id", "left")
+
+
+@register("delete_reviews")
+def _del_reviews(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))[1]
+
+
+@register("refresh_avg_rating")
+def _refresh_rating(spark, sf_dir):
+    st = state(spark, sf_dir)
+    ns, _ = AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))
+    return ns["shows"].select("show_id", "avg_rating")
+
+
+@register("generate_seat_map")
+def _gen_map(spark, sf_dir):
+    st = state(spark, sf_dir)
+    specs = R.seat_map_requests(data(spark, sf_dir))
+    seats, outcome = SM.generate_seat_map(st, specs)
+    gen = seats.join(outcome.filter(F.col("outcome") == "GENERATED").select("show_id"), "show_id", "left_semi")
+    return gen
+
+
+@register("seat_map_outcomes")
+def _gen_map_out(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return SM.generate_seat_map(st, R.seat_map_requests(data(spark, sf_dir)))[1]
+
+
+_REG["create_shows"] = lambda spark, sf_dir: AP.create_shows(state(spark, sf_dir), R.new_show_requests(data(spark, sf_dir)))[1]
+
+
+@register("update_shows")
+def _upd_shows(spark, sf_dir):
+    ns, out = AP.update_shows(state(spark, sf_dir), R.show_patches(data(spark, sf_dir)))
+    return ns["shows"]
+
+
+@register("delete_shows")
+def _del_shows(spark, sf_dir):
+    st = state(spark, sf_dir)
+    ns, out = AP.delete_shows(st, R.show_delete_requests(data(spark, sf_dir)))
+    counts = F.lit(1).alias("_k")
+    remain = (ns["shows"].agg(F.count(F.lit(1)).alias("shows")).select(counts, "*")
+              .join(ns["bookings"].agg(F.count(F.lit(1)).alias("bookings")).select(counts, "*"), "_k")
+              .join(ns["seats"].agg(F.count(F.lit(1)).alias("seats")).select(counts, "*"), "_k")
+              .join(ns["reviews"].agg(F.count(F.lit(1)).alias("reviews")).select(counts, "*"), "_k")
+              .join(ns["payments"].agg(F.count(F.lit(1)).alias("payments")).select(counts, "*"), "_k")
+              .join(ns["booking_seats"].agg(F.count(F.lit(1)).alias("booking_seats")).select(counts, "*"), "_k")
+              .join(ns["booking_food"].agg(F.count(F.lit(1)).alias("booking_food")).select(counts, "*"), "_k"))
+    return out.select("request_id", "show_id", "outcome", F.lit(1).alias("_k")).join(remain, "_k").drop("_k")
+
+
+_REG["add_food_items"] = lambda spark, sf_dir: AP.add_food_items(state(spark, sf_dir), R.food_requests(data(spark, sf_dir)))[1]
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)

@@ -158,3 +158,62 @@ def access_requests(d: DriverData) -> DataFrame:
     return (b.select("booking_id", F.col("user_id").alias("actor_id"))
             .unionByName(b.select("booking_id", other.alias("actor_id")))
             .withColumn("actor_is_admin", F.col("actor_id") % 100 == 0))
+
+
+def review_update_requests(reviews: DataFrame) -> DataFrame:
+    """Reviews with id % 4 = 0 are edited by their author (rating moved by one, a new
+    comment); id % 8 = 0 by another customer (FORBIDDEN); id % 12 = 0 with rating 0
+    (INVALID); id % 20 = 0 names an unknown review (NOT_FOUND)."""
+    rid = F.col("review_id")
+    return reviews.filter(rid % 4 == 0).select(
+        (rid * 10 + 2).alias("request_id"), F.timestamp_add("DAY", F.lit(1), F.col("reviewed_at")).alias("requested_at"),
+        F.when(rid % 20 == 0, -rid - 1).otherwise(rid).alias("review_id"),
+        F.when(rid % 8 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("actor_id"),
+        F.when(rid % 12 == 0, F.lit(0)).otherwise(F.col("rating") % 5 + 1).cast("int").alias("rating"),
+        F.concat(F.lit("Edited "), rid.cast("string")).alias("comment"))
+
+
+def review_delete_requests(reviews: DataFrame) -> DataFrame:
+    """Reviews with id % 5 = 0 are deleted by their author; id % 10 = 0 by the next
+    customer (allowed only if that one is an admin); id % 35 = 0 is sent twice."""
+    rid = F.col("review_id")
+    actor = F.when(rid % 10 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    copies = F.explode(F.when(rid % 35 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return reviews.filter(rid % 5 == 0).select("*", copies.alias("_copy")).select(
+        (rid * 10 + 3 + F.col("_copy")).alias("request_id"),
+        F.timestamp_add("DAY", F.lit(2) + F.col("_copy"), F.col("reviewed_at")).alias("requested_at"),
+        "review_id", actor.alias("actor_id"), (actor % 100 == 0).alias("actor_is_admin"))
+
+
+def seat_map_requests(d: DriverData) -> DataFrame:
+    """Parts with key % 10 = 0 ask for a new seat map: 30 rows (capped at 26) when
+    key % 20 = 0, else key % 9 rows (0 = default); key % 13 seats per row (0 =
+    default); key % 3 VIP rows; 2 PREMIUM rows; default prices; key % 90 = 0 asks
+    for -1 rows (INVALID); key % 70 = 0 names an unknown show."""
+    k = F.col("p_partkey")
+    return d["part"].filter(k % 10 == 0).select(
+        F.when(k % 70 == 0, -k - 1).otherwise(k).alias("show_id"),
+        F.when(k % 90 == 0, F.lit(-1)).when(k % 20 == 0, F.lit(30)).otherwise(k % 9).cast("int").alias("n_rows"),
+        (k % 13).cast("int").alias("seats_per_row"), (k % 3).cast("int").alias("vip_rows"),
+        F.lit(2).alias("premium_rows"), F.lit(None).cast("decimal(10,2)").alias("vip_price"),
+        F.lit(None).cast("decimal(10,2)").alias("premium_price"), F.lit(None).cast("decimal(10,2)").alias("regular_price"))
+
+
+def show_delete_requests(d: DriverData) -> DataFrame:
+    """Parts with key % 25 = 0 delete their show; key % 100 = 0 also asks for an unknown id."""
+    k = F.col("p_partkey")
+    p = d["part"].filter(k % 25 == 0)
+    return (p.select((k * 10 + 4).alias("request_id"), k.alias("show_id"))
+            .unionByName(p.filter(k % 100 == 0).select((k * 10 + 5).alias("request_id"), (-k - 1).alias("show_id"))))
+
+
+def quick_book_requests(d: DriverData) -> DataFrame:
+    """Orders with key % 11 = 0 call the two-seat procedure: seats number 1 + key % 48
+    and the next one in row (key % 7) + 1 of the booked show (the second may not
+    exist), food = key % 1200 (may not exist) with quantity key % 3 (0 = no food)."""
+    b = mapped_bookings(d).filter(F.col("booking_id") % 11 == 0)
+    k = F.col("booking_id")
+    s1 = F.col("show_id") * 1000 + (k % 7) * 100 + 1 + k % 48
+    return b.select((k * 10 + 8).alias("request_id"), F.timestamp_add("HOUR", F.lit(3), F.col("booking_date")).alias("requested_at"),
+                    "user_id", "show_id", s1.alias("seat_id1"), (s1 + 1).alias("seat_id2"),
+                    (k % 1200).alias("food_id"), (k % 3).cast("int").alias("food_qty"))

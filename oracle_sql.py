@@ -99,16 +99,16 @@ payments AS (
 """
 
 
-def mapping_cte(extra: str = "") -> str:
+def mapping_cte(extra: str = "", recursive: bool = False) -> str:
     """``WITH`` prefix defining the booking tables; ``extra`` appends more CTEs."""
     body = _MAPPING.strip()
     if extra:
         body = body + ",\n" + extra.strip()
-    return "WITH " + body + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + body + "\n"
 
 
-def q(select: str, extra: str = "") -> str:
-    return mapping_cte(extra) + select.strip()
+def q(select: str, extra: str = "", recursive: bool = False) -> str:
+    return mapping_cte(extra, recursive) + select.strip()
 
 
 # extra CTEs used by several statements
@@ -452,3 +452,312 @@ JOIN (SELECT show_id, count(*) AS total, CAST(sum(is_available) AS BIGINT) AS av
 JOIN shows e ON e.show_id = r.show_id""")
 
 ORACLE["refresh_availability"] = q("SELECT * FROM seats")
+
+# --------------------------------------------------------------------------
+# apply jobs
+# --------------------------------------------------------------------------
+_ALLOC = r"""
+rl_ AS (
+  SELECT l.l_orderkey AS request_id, b.booking_date AS requested_at, b.user_id, b.show_id, l.l_linenumber,
+         l.l_suppkey, l.l_returnflag,
+         b.show_id * 1000 + (l.l_linenumber - 1) * 100 + CAST(l.l_quantity AS BIGINT) AS seat_id
+  FROM lineitem l JOIN bookings b ON b.booking_id = l.l_orderkey),
+sc_ AS (
+  SELECT r.request_id, any_value(r.requested_at) AS requested_at, any_value(r.user_id) AS user_id,
+         any_value(r.show_id) AS show_id, count(*) = count(DISTINCT s.seat_id) AS seat_ok,
+         sum(s.price) AS seat_total, list(r.seat_id) AS seats
+  FROM rl_ r LEFT JOIN seats s ON s.seat_id = r.seat_id AND s.show_id = r.show_id GROUP BY r.request_id),
+fc_ AS (
+  SELECT r.request_id, count(*) = count(DISTINCT f.food_id) AS food_ok, sum(f.price * r.l_linenumber) AS food_total
+  FROM rl_ r LEFT JOIN food_items f
+    ON f.food_id = r.l_suppkey + CASE WHEN r.request_id % 50 = 0 THEN 100000 ELSE 0 END
+  WHERE r.l_returnflag = 'R' GROUP BY r.request_id),
+ck_ AS (SELECT sc_.*, coalesce(fc_.food_ok, true) AS food_ok, fc_.food_total FROM sc_ LEFT JOIN fc_ USING (request_id)),
+od_ AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY requested_at, request_id) AS rn FROM ck_ WHERE seat_ok),
+rec_ AS (
+  SELECT show_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS request_id,
+         CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS unavail
+  FROM (SELECT DISTINCT show_id FROM od_)
+  UNION ALL
+  SELECT o.show_id, o.rn,
+         CASE WHEN NOT list_has_any(r.taken, o.seats) AND o.food_ok THEN list_concat(r.taken, o.seats) ELSE r.taken END,
+         o.request_id,
+         CASE WHEN list_has_any(r.taken, o.seats) THEN 'CONFLICT' WHEN NOT o.food_ok THEN 'INVALID_FOOD'
+              ELSE 'ACCEPTED' END,
+         array_to_string(list_sort(list_distinct(list_filter(o.seats, lambda x: list_contains(r.taken, x)))), ',')
+  FROM rec_ r JOIN od_ o ON o.show_id = r.show_id AND o.rn = r.rn + 1),
+dec_ AS (SELECT request_id, outcome, unavail FROM rec_ WHERE request_id IS NOT NULL),
+acc_ AS (SELECT c.request_id, row_number() OVER (ORDER BY c.requested_at, c.request_id) AS booking_id
+         FROM ck_ c JOIN dec_ d USING (request_id) WHERE d.outcome = 'ACCEPTED')
+"""
+ORACLE["allocate_seats"] = q("""
+SELECT c.request_id, c.user_id, c.show_id,
+       CASE WHEN NOT c.seat_ok THEN 'INVALID_SEAT' ELSE d.outcome END AS outcome,
+       CAST(a.booking_id AS BIGINT) AS booking_id,
+       CASE WHEN a.booking_id IS NOT NULL THEN CAST(c.seat_total + coalesce(c.food_total, 0) AS DECIMAL(10,2)) END
+         AS total_amount,
+       CASE WHEN d.outcome = 'CONFLICT' THEN d.unavail END AS unavailable_seats
+FROM ck_ c LEFT JOIN dec_ d USING (request_id) LEFT JOIN acc_ a USING (request_id)""", _ALLOC, recursive=True)
+
+_QUICK = r"""
+qr_ AS (
+  SELECT booking_id * 10 + 8 AS request_id, booking_date + INTERVAL 3 HOUR AS requested_at, user_id, show_id,
+         show_id * 1000 + (booking_id % 7) * 100 + 1 + booking_id % 48 AS s1, booking_id % 1200 AS food_id,
+         booking_id % 3 AS qty
+  FROM bookings WHERE booking_id % 11 = 0),
+qc_ AS (
+  SELECT q.*, [q.s1, q.s1 + 1] AS seats, (x1.seat_id IS NOT NULL AND x2.seat_id IS NOT NULL) AS seat_ok,
+         x1.price + x2.price AS seat_total,
+         (NOT (q.food_id > 0 AND q.qty > 0) OR f.food_id IS NOT NULL) AS food_ok
+  FROM qr_ q LEFT JOIN seats x1 ON x1.seat_id = q.s1 LEFT JOIN seats x2 ON x2.seat_id = q.s1 + 1
+  LEFT JOIN food_items f ON f.food_id = q.food_id),
+od_ AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY requested_at, request_id) AS rn FROM qc_ WHERE seat_ok),
+t0_ AS (SELECT show_id, list(seat_id) AS t FROM seats WHERE is_available = 0 GROUP BY show_id),
+rec_ AS (
+  SELECT d.show_id, CAST(0 AS BIGINT) AS rn, coalesce(t0_.t, CAST([] AS BIGINT[])) AS taken,
+         CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS unavail
+  FROM (SELECT DISTINCT show_id FROM od_) d LEFT JOIN t0_ USING (show_id)
+  UNION ALL
+  SELECT o.show_id, o.rn,
+         CASE WHEN NOT list_has_any(r.taken, o.seats) AND o.food_ok THEN list_concat(r.taken, o.seats) ELSE r.taken END,
+         o.request_id,
+         CASE WHEN list_has_any(r.taken, o.seats) THEN 'CONFLICT' WHEN NOT o.food_ok THEN 'INVALID_FOOD'
+              ELSE 'ACCEPTED' END,
+         array_to_string(list_sort(list_distinct(list_filter(o.seats, lambda x: list_contains(r.taken, x)))), ',')
+  FROM rec_ r JOIN od_ o ON o.show_id = r.show_id AND o.rn = r.rn + 1),
+dec_ AS (SELECT request_id, outcome, unavail FROM rec_ WHERE request_id IS NOT NULL),
+acc_ AS (SELECT c.request_id, (SELECT max(booking_id) FROM bookings)
+                              + row_number() OVER (ORDER BY c.requested_at, c.request_id) AS booking_id
+         FROM qc_ c JOIN dec_ d USING (request_id) WHERE d.outcome = 'ACCEPTED')
+"""
+ORACLE["quick_book_two"] = q("""
+SELECT c.request_id, CASE WHEN NOT c.seat_ok THEN 'INVALID_SEAT' ELSE d.outcome END AS outcome,
+       CAST(a.booking_id AS BIGINT) AS booking_id,
+       CASE WHEN a.booking_id IS NOT NULL THEN CAST(c.seat_total AS DECIMAL(10,2)) END AS total_amount,
+       CASE WHEN d.outcome = 'CONFLICT' THEN d.unavail END AS unavailable_seats
+FROM qc_ c LEFT JOIN dec_ d USING (request_id) LEFT JOIN acc_ a USING (request_id)""", _QUICK, recursive=True)
+
+ORACLE["register_users"] = q(r"""
+SELECT request_id, email, outcome,
+       CAST(CASE WHEN outcome = 'ACCEPTED' THEN (SELECT max(user_id) FROM users)
+            + row_number() OVER (PARTITION BY outcome = 'ACCEPTED' ORDER BY requested_at, request_id) END AS BIGINT)
+         AS user_id
+FROM (SELECT v.request_id, v.email, v.requested_at,
+             CASE WHEN NOT v.valid THEN 'INVALID' WHEN v.known OR NOT f.first THEN 'DUPLICATE' ELSE 'ACCEPTED' END
+               AS outcome
+      FROM rv_ v LEFT JOIN rf_ f USING (request_id))""", r"""
+rr_ AS (
+  SELECT c_custkey AS request_id, TIMESTAMP '2001-01-01 00:00:00' + to_minutes(c_custkey) AS requested_at,
+         CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_name END AS full_name,
+         CASE WHEN c_custkey % 50 = 0 THEN 'U' || c_custkey || '@example.test'
+              ELSE (CASE WHEN c_custkey % 2 = 0 THEN 'New' ELSE 'new' END) || (c_custkey // 2) || '@Example.test'
+         END AS email
+  FROM customer),
+rv_ AS (
+  SELECT r.*, (coalesce(length(trim(full_name)), 0) > 0
+               AND coalesce(regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$'), false)) AS valid,
+         lower(email) IN (SELECT lower(email) FROM users) AS known
+  FROM rr_ r),
+rf_ AS (SELECT request_id, row_number() OVER (PARTITION BY lower(email) ORDER BY requested_at, request_id) = 1 AS first
+        FROM rv_ WHERE valid AND NOT known)
+""")
+
+ORACLE["cancel_bookings"] = q("""
+SELECT j.request_id, j.booking_id, j.actor_id,
+       CASE WHEN j.owner IS NULL THEN 'NOT_FOUND' WHEN f.first IS NULL THEN 'FORBIDDEN'
+            WHEN j.st = 'CANCELLED' OR NOT f.first THEN 'ALREADY_CANCELLED' ELSE 'CANCELLED' END AS outcome
+FROM cj_ j LEFT JOIN cf_ f USING (request_id)""", """
+cr_ AS (
+  SELECT booking_id * 10 + 3 AS request_id, booking_date + INTERVAL 2 DAY AS requested_at,
+         CASE WHEN booking_id % 49 = 0 THEN -booking_id - 1 ELSE booking_id END AS booking_id,
+         CASE WHEN booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
+  FROM bookings WHERE booking_id % 7 = 0),
+cj_ AS (SELECT r.*, r.actor_id % 100 = 0 AS adm, b.user_id AS owner, b.booking_status AS st
+        FROM cr_ r LEFT JOIN bookings b USING (booking_id)),
+cf_ AS (SELECT request_id, row_number() OVER (PARTITION BY booking_id ORDER BY requested_at, request_id) = 1 AS first
+        FROM cj_ WHERE owner IS NOT NULL AND (owner = actor_id OR adm))
+""")
+
+_PAY = """
+pr_ AS (
+  SELECT b.booking_id * 10 + 5 + c.c AS request_id, b.booking_date + to_hours(c.c) AS requested_at, b.booking_id,
+         CASE WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
+         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 45 = 0 THEN 'REFUNDED'
+              WHEN b.booking_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS payment_status,
+         CASE WHEN b.booking_id % 20 = 0 THEN NULL ELSE 'Credit Card' END AS payment_method
+  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)),
+po_ AS (
+  SELECT r.*, CASE WHEN r.payment_status NOT IN ('SUCCESS', 'FAILED') THEN 'INVALID_STATUS'
+                   WHEN p.booking_id IS NULL THEN 'NOT_FOUND'
+                   WHEN NOT (b.user_id = r.actor_id OR r.actor_id % 100 = 0) THEN 'FORBIDDEN'
+                   ELSE 'APPLIED' END AS outcome
+  FROM pr_ r LEFT JOIN payments p USING (booking_id) LEFT JOIN bookings b USING (booking_id)),
+la_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY requested_at DESC, request_id DESC) AS rn
+                       FROM po_ WHERE outcome = 'APPLIED') WHERE rn = 1),
+lm_ AS (SELECT * FROM (SELECT booking_id, payment_method,
+                              row_number() OVER (PARTITION BY booking_id ORDER BY requested_at DESC, request_id DESC) AS rn
+                       FROM po_ WHERE outcome = 'APPLIED' AND payment_method IS NOT NULL) WHERE rn = 1)
+"""
+ORACLE["apply_payment_results"] = q("""
+SELECT request_id, booking_id, actor_id, payment_status, outcome,
+       CASE WHEN outcome = 'APPLIED' THEN CASE WHEN payment_status = 'SUCCESS' THEN 'CONFIRMED' ELSE 'CANCELLED' END END
+         AS booking_status
+FROM po_""", _PAY)
+
+ORACLE["payments_after_results"] = q("""
+SELECT p.booking_id, p.payment_id, p.amount, coalesce(lm.payment_method, p.payment_method) AS payment_method,
+       coalesce(la.payment_status, p.payment_status) AS payment_status,
+       CASE WHEN la.booking_id IS NULL THEN p.paid_at WHEN la.payment_status = 'SUCCESS' THEN la.requested_at END AS paid_at,
+       CASE WHEN la.booking_id IS NULL THEN b.booking_status WHEN la.payment_status = 'SUCCESS' THEN 'CONFIRMED'
+            ELSE 'CANCELLED' END AS booking_status
+FROM payments p JOIN bookings b USING (booking_id) LEFT JOIN la_ la USING (booking_id)
+LEFT JOIN lm_ lm USING (booking_id)""", _PAY)
+
+ORACLE["release_failed_seats"] = q("""
+SELECT s.seat_id, s.show_id, 1 AS is_available FROM seats s
+WHERE s.is_available = 0 AND s.seat_id IN (
+  SELECT bs.seat_id FROM booking_seats bs
+  WHERE bs.booking_id IN (SELECT booking_id FROM po_ WHERE outcome = 'APPLIED' AND payment_status = 'FAILED'))""", _PAY)
+
+ORACLE["submit_reviews"] = q("""
+SELECT request_id, user_id, show_id, outcome,
+       CAST(CASE WHEN outcome = 'ACCEPTED' THEN (SELECT max(review_id) FROM reviews)
+            + row_number() OVER (PARTITION BY outcome = 'ACCEPTED' ORDER BY requested_at, request_id) END AS BIGINT)
+         AS review_id
+FROM (SELECT j.request_id, j.user_id, j.show_id, j.requested_at,
+             CASE WHEN NOT j.rate_ok THEN 'INVALID' WHEN NOT j.booked THEN 'FORBIDDEN'
+                  WHEN j.dup OR NOT f.first THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS outcome
+      FROM vj_ j LEFT JOIN vf_ f USING (request_id))""", """
+vr_ AS (
+  SELECT b.booking_id * 10 + c.c AS request_id, b.booking_date + to_hours(CAST(24 * 31 + c.c AS BIGINT)) AS requested_at,
+         b.user_id, b.show_id,
+         CASE WHEN b.booking_id % 33 = 0 THEN 6 ELSE 1 + (b.booking_id // 7) % 5 END AS rating
+  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 3 = 0 AND (c.c = 1 OR b.booking_id % 15 = 0)),
+vj_ AS (
+  SELECT r.*, r.rating BETWEEN 1 AND 5 AS rate_ok,
+         EXISTS (SELECT 1 FROM bookings b WHERE b.user_id = r.user_id AND b.show_id = r.show_id
+                 AND b.booking_status = 'CONFIRMED') AS booked,
+         EXISTS (SELECT 1 FROM reviews v WHERE v.user_id = r.user_id AND v.show_id = r.show_id) AS dup
+  FROM vr_ r),
+vf_ AS (SELECT request_id, row_number() OVER (PARTITION BY user_id, show_id ORDER BY requested_at, request_id) = 1 AS first
+        FROM vj_ WHERE rate_ok AND booked AND NOT dup)
+""")
+
+ORACLE["update_reviews"] = q("""
+SELECT o.request_id, o.review_id, o.actor_id, o.outcome,
+       CASE WHEN l.review_id IS NOT NULL THEN l.rating ELSE v.rating END AS rating,
+       CASE WHEN l.review_id IS NOT NULL THEN l.comment ELSE v.comment END AS comment
+FROM uo_ o LEFT JOIN reviews v ON v.review_id = o.review_id LEFT JOIN ul_ l ON l.review_id = o.review_id""", """
+ur_ AS (
+  SELECT review_id * 10 + 2 AS request_id, reviewed_at + INTERVAL 1 DAY AS requested_at,
+         CASE WHEN review_id % 20 = 0 THEN -review_id - 1 ELSE review_id END AS review_id,
+         CASE WHEN review_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS actor_id,
+         CAST(CASE WHEN review_id % 12 = 0 THEN 0 ELSE rating % 5 + 1 END AS INTEGER) AS rating,
+         'Edited ' || review_id AS comment
+  FROM reviews WHERE review_id % 4 = 0),
+uo_ AS (
+  SELECT r.*, CASE WHEN NOT (r.rating BETWEEN 1 AND 5) THEN 'INVALID' WHEN v.review_id IS NULL THEN 'NOT_FOUND'
+                   WHEN v.user_id <> r.actor_id THEN 'FORBIDDEN' ELSE 'UPDATED' END AS outcome
+  FROM ur_ r LEFT JOIN reviews v USING (review_id)),
+ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY requested_at DESC, request_id DESC) AS rn
+                       FROM uo_ WHERE outcome = 'UPDATED') WHERE rn = 1)
+""")
+
+_DEL_REV = """
+dr_ AS (
+  SELECT review_id * 10 + 3 + c.c AS request_id, reviewed_at + to_days(CAST(2 + c.c AS INTEGER)) AS requested_at, review_id,
+         CASE WHEN review_id % 10 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
+  FROM reviews, range(1, 3) c(c) WHERE review_id % 5 = 0 AND (c.c = 1 OR review_id % 35 = 0)),
+dj_ AS (SELECT r.*, v.user_id AS owner FROM dr_ r LEFT JOIN reviews v USING (review_id)),
+df_ AS (SELECT request_id, row_number() OVER (PARTITION BY review_id ORDER BY requested_at, request_id) = 1 AS first
+        FROM dj_ WHERE owner IS NOT NULL AND (owner = actor_id OR actor_id % 100 = 0)),
+gone_ AS (SELECT review_id FROM dj_ JOIN df_ USING (request_id) WHERE first)
+"""
+ORACLE["delete_reviews"] = q("""
+SELECT j.request_id, j.review_id, j.actor_id,
+       CASE WHEN j.owner IS NULL THEN 'NOT_FOUND' WHEN f.first IS NULL THEN 'FORBIDDEN' WHEN NOT f.first THEN 'NOT_FOUND'
+            ELSE 'DELETED' END AS outcome
+FROM dj_ j LEFT JOIN df_ f USING (request_id)""", _DEL_REV)
+
+ORACLE["refresh_avg_rating"] = q("""
+SELECT s.show_id,
+       CAST(coalesce(CAST((200 * a.s + a.n) // (2 * a.n) AS DECIMAL(18,0)) * 0.01, 0) AS DECIMAL(3,2)) AS avg_rating
+FROM shows s LEFT JOIN (SELECT show_id, sum(rating) AS s, count(*) AS n FROM reviews
+                        WHERE review_id NOT IN (SELECT review_id FROM gone_) GROUP BY 1) a USING (show_id)""", _DEL_REV)
+
+_SEATMAP = """
+sp_ AS (
+  SELECT CASE WHEN p_partkey % 70 = 0 THEN -p_partkey - 1 ELSE p_partkey END AS show_id,
+         CASE WHEN p_partkey % 90 = 0 THEN -1 WHEN p_partkey % 20 = 0 THEN 30 ELSE p_partkey % 9 END AS nr0,
+         p_partkey % 13 AS pr0, p_partkey % 3 AS vr0
+  FROM part WHERE p_partkey % 10 = 0),
+sd_ AS (SELECT show_id, CASE WHEN nr0 = 0 THEN 5 ELSE nr0 END AS nr, CASE WHEN pr0 = 0 THEN 10 ELSE pr0 END AS pr,
+               CASE WHEN vr0 = 0 THEN 1 ELSE vr0 END AS vr, 2 AS pm FROM sp_),
+ok_ AS (SELECT d.* FROM sd_ d WHERE d.show_id IN (SELECT show_id FROM shows) AND d.nr >= 1 AND d.pr >= 1)
+"""
+ORACLE["generate_seat_map"] = q("""
+SELECT show_id * 1000 + (r - 1) * 100 + n AS seat_id, show_id, chr(CAST(64 + r AS INTEGER)) AS row_letter,
+       CAST(n AS INTEGER) AS seat_number,
+       CASE WHEN r <= vr THEN 'VIP' WHEN r <= vr + pm THEN 'PREMIUM' ELSE 'REGULAR' END AS seat_type, 1 AS is_available,
+       CAST(CASE WHEN r <= vr THEN 1200 WHEN r <= vr + pm THEN 800 ELSE 500 END AS DECIMAL(10,2)) AS price
+FROM (SELECT show_id, vr, pm, r, unnest(range(1, pr + 1)) AS n
+      FROM (SELECT show_id, vr, pm, pr, unnest(range(1, least(nr, 26) + 1)) AS r FROM ok_))""", _SEATMAP)
+
+ORACLE["seat_map_outcomes"] = q("""
+SELECT d.show_id,
+       CASE WHEN d.show_id NOT IN (SELECT show_id FROM shows) THEN 'NOT_FOUND'
+            WHEN d.nr < 1 OR d.pr < 1 THEN 'INVALID' ELSE 'GENERATED' END AS outcome,
+       CAST(CASE WHEN d.show_id IN (SELECT show_id FROM shows) AND d.nr >= 1 AND d.pr >= 1
+                 THEN least(d.nr, 26) * d.pr ELSE 0 END AS INTEGER) AS seats_generated
+FROM sd_ d""", _SEATMAP)
+
+ORACLE["create_shows"] = q("""
+SELECT request_id, title, outcome,
+       CAST(CASE WHEN outcome = 'CREATED' THEN (SELECT max(show_id) FROM shows)
+            + row_number() OVER (PARTITION BY outcome = 'CREATED' ORDER BY requested_at, request_id) END AS BIGINT) AS show_id
+FROM (SELECT p_partkey * 10 + 9 AS request_id, TIMESTAMP '2001-03-01 00:00:00' + to_minutes(p_partkey) AS requested_at,
+             p_name || ' (encore)' AS title,
+             CASE WHEN p_partkey % 300 = 0 THEN 'INVALID' ELSE 'CREATED' END AS outcome
+      FROM part WHERE p_partkey % 100 = 0)""")
+
+ORACLE["update_shows"] = q("""
+SELECT s.show_id,
+       CASE WHEN p.k % 20 = 0 AND p.k % 50 <> 0 THEN upper(p.p_name) ELSE s.title END AS title,
+       CASE WHEN p.k % 40 = 0 AND p.k % 50 <> 0 THEN NULL ELSE s.description END AS description,
+       s.show_date,
+       CASE WHEN p.k % 20 <> 0 AND p.k % 30 <> 0 AND p.k % 40 <> 0 AND p.k % 50 <> 0 THEN '20:30:00'
+            ELSE s.show_time END AS show_time,
+       s.venue_id, s.category_id,
+       CASE WHEN p.k % 30 = 0 AND p.k % 50 <> 0 THEN CAST(p.p_retailprice + 1 AS DECIMAL(10,2)) ELSE s.base_price END
+         AS base_price,
+       s.avg_rating
+FROM shows s LEFT JOIN (SELECT p_partkey AS k, p_name, p_retailprice FROM part
+                        WHERE p_partkey % 10 = 0 AND p_partkey % 70 <> 0) p ON p.k = s.show_id""")
+
+ORACLE["delete_shows"] = q("""
+SELECT r.request_id, r.show_id,
+       CASE WHEN r.show_id IN (SELECT show_id FROM shows) THEN 'DELETED' ELSE 'NOT_FOUND' END AS outcome,
+       (SELECT count(*) FROM shows WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS shows,
+       (SELECT count(*) FROM bookings WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS bookings,
+       (SELECT count(*) FROM seats WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS seats,
+       (SELECT count(*) FROM reviews WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS reviews,
+       (SELECT count(*) FROM payments WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS payments,
+       (SELECT count(*) FROM booking_seats WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS booking_seats,
+       (SELECT count(*) FROM booking_food WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS booking_food
+FROM rq_ r""", """
+gs_ AS (SELECT show_id FROM shows WHERE show_id IN (SELECT p_partkey FROM part WHERE p_partkey % 25 = 0)),
+gb_ AS (SELECT booking_id FROM bookings WHERE show_id IN (SELECT show_id FROM gs_)),
+rq_ AS (SELECT p_partkey * 10 + 4 AS request_id, p_partkey AS show_id FROM part WHERE p_partkey % 25 = 0
+        UNION ALL
+        SELECT p_partkey * 10 + 5, -p_partkey - 1 FROM part WHERE p_partkey % 100 = 0)
+""")
+
+ORACLE["add_food_items"] = q("""
+SELECT request_id, food_name, outcome,
+       CAST(CASE WHEN outcome = 'CREATED' THEN (SELECT max(food_id) FROM food_items)
+            + row_number() OVER (PARTITION BY outcome = 'CREATED' ORDER BY requested_at, request_id) END AS BIGINT)
+         AS food_id
+FROM (SELECT s_suppkey * 10 + 1 AS request_id, TIMESTAMP '2001-04-01 00:00:00' + to_minutes(s_suppkey) AS requested_at,
+             'Snack ' || s_suppkey AS food_name,
+             CASE WHEN s_suppkey % 30 = 0 THEN 'INVALID' ELSE 'CREATED' END AS outcome
+      FROM supplier WHERE s_suppkey % 10 = 0)""")
