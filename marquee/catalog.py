@@ -17,6 +17,10 @@ from marquee.functions.text import format_inr, format_long_date, parse_seat_labe
 from marquee.operators import allocate as AL
 from marquee.operators import analytics as A
 from marquee.operators import apply as AP
+from marquee.operators import audits as Q
+from marquee.operators import validate as V
+from marquee.plans import paging as PG
+from marquee.session import scratch_dir
 from marquee.operators import documents as D
 from marquee.operators import listings as L
 from marquee.operators import notices as N
@@ -247,5 +251,64 @@ def _del_shows(spark, sf_dir):
 _REG["add_food_items"] = lambda spark, sf_dir: AP.add_food_items(state(spark, sf_dir), R.food_requests(data(spark, sf_dir)))[1]
 
 
+# --- audits ------------------------------------------------------------------
+_simple("audit_unique", Q.audit_unique)
+_simple("audit_fk", Q.audit_fk)
+_simple("audit_check", Q.audit_check)
+_simple("audit_not_null", Q.audit_not_null)
+_simple("audit_domain", Q.audit_domain)
+_simple("double_booked_seats", Q.double_booked_seats)
+_simple("cost_drift", Q.cost_drift)
+
+
+@register("rating_drift")
+def _rating_drift(spark, sf_dir):
+    """Reviews deleted the reference's way: no trigger on DELETE, stored averages stay."""
+    st = state(spark, sf_dir)
+    ns, _ = AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))
+    return Q.rating_drift({**st, "reviews": ns["reviews"]})
+
+
+@register("availability_drift")
+def _avail_drift(spark, sf_dir):
+    """After the payment results: FAILED frees seats, a later SUCCESS re-confirms without claiming."""
+    ns, _ = AP.apply_payment_results(state(spark, sf_dir), R.payment_requests(data(spark, sf_dir)))
+    return Q.availability_drift(ns)
+
+
+@register("validate_requests")
+def _validate(spark, sf_dir):
+    d = data(spark, sf_dir)
+    kinds = [("booking", R.booking_requests(d)), ("review", R.review_requests(d)),
+             ("register", R.registration_requests(d)), ("payment", R.payment_requests(d)),
+             ("show", R.new_show_requests(d)), ("food", R.food_requests(d))]
+    parts = [V.validate_requests(df, k).select(F.lit(k).alias("kind"), "request_id", "valid",
+                                               F.array_join("errors", "; ").alias("errors"))
+             for k, df in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_simple("paged", lambda st: PG.paged(D.bookings_admin(st), [F.desc("booking_date"), F.desc("booking_id")], 3, 20))
+
+
+@register("doc_sink")
+def _doc_sink(spark, sf_dir):
+    st = state(spark, sf_dir)
+    path = scratch_dir(spark, "documents")
+    return D.doc_sink(D.booking_documents(st), path, key="user_id")
+
+
+@register("outbox_sink")
+def _outbox_sink(spark, sf_dir):
+    path = scratch_dir(spark, "outbox")
+    msgs = _outbox(spark, sf_dir)
+    N.outbox_sink(msgs, path)
+    N.outbox_sink(msgs, path)  # a re-run appends nothing: idempotent by message_id
+    return spark.read.parquet(path).groupBy("template").agg(F.count(F.lit(1)).alias("messages"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)

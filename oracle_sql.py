@@ -761,3 +761,182 @@ FROM (SELECT s_suppkey * 10 + 1 AS request_id, TIMESTAMP '2001-04-01 00:00:00' +
              'Snack ' || s_suppkey AS food_name,
              CASE WHEN s_suppkey % 30 = 0 THEN 'INVALID' ELSE 'CREATED' END AS outcome
       FROM supplier WHERE s_suppkey % 10 = 0)""")
+
+# --------------------------------------------------------------------------
+# audits, validation, paging, sinks
+# --------------------------------------------------------------------------
+def _unique_sql() -> str:
+    rules = [("categories", ["category_id"], "primary_key"), ("venues", ["venue_id"], "primary_key"),
+             ("users", ["user_id"], "primary_key"), ("shows", ["show_id"], "primary_key"),
+             ("seats", ["seat_id"], "primary_key"), ("bookings", ["booking_id"], "primary_key"),
+             ("booking_seats", ["bs_id"], "primary_key"), ("food_items", ["food_id"], "primary_key"),
+             ("booking_food", ["bf_id"], "primary_key"), ("payments", ["payment_id"], "primary_key"),
+             ("reviews", ["review_id"], "primary_key"), ("categories", ["category_name"], "unique"),
+             ("users", ["email"], "unique"), ("seats", ["show_id", "row_letter", "seat_number"], "unique"),
+             ("booking_seats", ["booking_id", "seat_id"], "unique"), ("payments", ["booking_id"], "unique"),
+             ("reviews", ["user_id", "show_id"], "unique")]
+    parts = []
+    for t, cols, kind in rules:
+        sel = ", ".join(f"lower({c}) AS {c}" if c in ("email", "category_name") else c for c in cols)
+        key = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+        parts.append(f"SELECT '{kind}({','.join(cols)})' AS rule, '{t}' AS table_name, {key} AS row_key, "
+                     f"'rows=' || count(*) AS detail FROM (SELECT {sel} FROM {t}) GROUP BY ALL HAVING count(*) > 1")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _fk_sql() -> str:
+    fks = [("shows", "venue_id", "venues", "show_id"), ("shows", "category_id", "categories", "show_id"),
+           ("seats", "show_id", "shows", "seat_id"), ("bookings", "user_id", "users", "booking_id"),
+           ("bookings", "show_id", "shows", "booking_id"), ("booking_seats", "booking_id", "bookings", "bs_id"),
+           ("booking_seats", "seat_id", "seats", "bs_id"), ("booking_food", "booking_id", "bookings", "bf_id"),
+           ("booking_food", "food_id", "food_items", "bf_id"), ("payments", "booking_id", "bookings", "payment_id"),
+           ("reviews", "user_id", "users", "review_id"), ("reviews", "show_id", "shows", "review_id")]
+    parts = []
+    for child, col, parent, pk in fks:
+        parts.append(f"SELECT 'fk({col}->{parent})' AS rule, '{child}' AS table_name, CAST({pk} AS VARCHAR) AS row_key, "
+                     f"'{col}=' || {col} AS detail FROM {child} WHERE {col} IS NOT NULL "
+                     f"AND {col} NOT IN (SELECT {col} FROM {parent})")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _check_sql() -> str:
+    checks = [("venues", "capacity>0", "capacity > 0", "capacity", "venue_id"),
+              ("shows", "base_price>=0", "base_price >= 0", "base_price", "show_id"),
+              ("shows", "avg_rating between 0 and 5", "avg_rating BETWEEN 0 AND 5", "avg_rating", "show_id"),
+              ("seats", "price>=0", "price >= 0", "price", "seat_id"),
+              ("bookings", "booking_status in domain", "booking_status IN ('CONFIRMED','CANCELLED','PENDING')",
+               "booking_status", "booking_id"),
+              ("bookings", "total_amount>=0", "total_amount >= 0", "total_amount", "booking_id"),
+              ("food_items", "price>=0", "price >= 0", "price", "food_id"),
+              ("booking_food", "quantity>0", "quantity > 0", "quantity", "bf_id"),
+              ("payments", "amount>=0", "amount >= 0", "amount", "payment_id"),
+              ("reviews", "rating between 1 and 5", "rating BETWEEN 1 AND 5", "rating", "review_id")]
+    return "\nUNION ALL\n".join(
+        f"SELECT 'check({name})' AS rule, '{t}' AS table_name, CAST({pk} AS VARCHAR) AS row_key, "
+        f"'{col}=' || coalesce(CAST({col} AS VARCHAR), 'NULL') AS detail FROM {t} WHERE NOT coalesce({cond}, true)"
+        for t, name, cond, col, pk in checks)
+
+
+_NOT_NULL = {
+    "categories": ("category_id", ["category_id", "category_name"]),
+    "venues": ("venue_id", ["venue_id", "venue_name", "city", "state", "capacity", "address"]),
+    "users": ("user_id", ["user_id", "full_name", "email", "password_hash", "is_admin", "created_at"]),
+    "shows": ("show_id", ["show_id", "title", "show_date", "show_time", "venue_id", "category_id", "base_price",
+                          "avg_rating"]),
+    "seats": ("seat_id", ["seat_id", "show_id", "row_letter", "seat_number", "seat_type", "is_available", "price"]),
+    "bookings": ("booking_id", ["booking_id", "user_id", "show_id", "booking_date", "total_amount", "booking_status",
+                                "reminder_sent"]),
+    "booking_seats": ("bs_id", ["bs_id", "booking_id", "seat_id"]),
+    "food_items": ("food_id", ["food_id", "food_name", "price", "is_veg"]),
+    "booking_food": ("bf_id", ["bf_id", "booking_id", "food_id", "quantity"]),
+    "payments": ("payment_id", ["payment_id", "booking_id", "amount", "payment_method", "payment_status"]),
+    "reviews": ("review_id", ["review_id", "user_id", "show_id", "rating", "reviewed_at"]),
+}
+
+
+def _not_null_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT 'not_null({c})' AS rule, '{t}' AS table_name, CAST({pk} AS VARCHAR) AS row_key, "
+        f"'{c} is NULL' AS detail FROM {t} WHERE {c} IS NULL"
+        for t, (pk, cols) in _NOT_NULL.items() for c in cols)
+
+
+ORACLE["audit_unique"] = q(_unique_sql())
+ORACLE["audit_fk"] = q(_fk_sql())
+ORACLE["audit_check"] = q(_check_sql())
+ORACLE["audit_not_null"] = q(_not_null_sql())
+ORACLE["audit_domain"] = q("""
+SELECT 'domain(seat_type)' AS rule, 'seats' AS table_name, CAST(seat_id AS VARCHAR) AS row_key,
+       'seat_type=' || seat_type AS detail FROM seats WHERE seat_type NOT IN ('VIP', 'PREMIUM', 'REGULAR')
+UNION ALL
+SELECT 'domain(payment_status)', 'payments', CAST(payment_id AS VARCHAR), 'payment_status=' || payment_status
+FROM payments WHERE payment_status NOT IN ('PENDING', 'SUCCESS', 'FAILED')""")
+
+ORACLE["double_booked_seats"] = q("""
+SELECT l.seat_id, s.show_id, count(*) AS n_bookings,
+       string_agg(CAST(l.booking_id AS VARCHAR), ',' ORDER BY l.booking_id) AS booking_ids
+FROM (SELECT DISTINCT bs.seat_id, bs.booking_id FROM booking_seats bs
+      JOIN bookings b ON b.booking_id = bs.booking_id AND b.booking_status = 'CONFIRMED') l
+LEFT JOIN seats s ON s.seat_id = l.seat_id
+GROUP BY l.seat_id, s.show_id HAVING count(*) > 1""")
+
+ORACLE["cost_drift"] = q("""
+SELECT b.booking_id, CAST(b.total_amount AS DECIMAL(18,2)) AS stored_total,
+       CAST(coalesce(st.s, 0) + coalesce(ft.f, 0) AS DECIMAL(18,2)) AS total_cost
+FROM bookings b
+LEFT JOIN (SELECT booking_id, sum(price) AS s FROM seat_lines_ GROUP BY 1) st ON st.booking_id = b.booking_id
+LEFT JOIN (SELECT bf.booking_id, sum(f.price * bf.quantity) AS f FROM booking_food bf
+           JOIN food_items f ON f.food_id = bf.food_id GROUP BY 1) ft ON ft.booking_id = b.booking_id
+WHERE CAST(b.total_amount AS DECIMAL(18,2)) <> CAST(coalesce(st.s, 0) + coalesce(ft.f, 0) AS DECIMAL(18,2))""",
+                         _SEAT_LINES)
+
+ORACLE["rating_drift"] = q("""
+SELECT s.show_id, s.avg_rating AS stored_rating,
+       CAST(coalesce(CAST((200 * a.s + a.n) // (2 * a.n) AS DECIMAL(18,0)) * 0.01, 0) AS DECIMAL(3,2)) AS live_rating
+FROM shows s LEFT JOIN (SELECT show_id, sum(rating) AS s, count(*) AS n FROM reviews
+                        WHERE review_id NOT IN (SELECT review_id FROM gone_) GROUP BY 1) a USING (show_id)
+WHERE s.avg_rating <> CAST(coalesce(CAST((200 * a.s + a.n) // (2 * a.n) AS DECIMAL(18,0)) * 0.01, 0) AS DECIMAL(3,2))""",
+                           _DEL_REV)
+
+ORACLE["availability_drift"] = q("""
+SELECT seat_id, show_id, stored_available, expected_available FROM (
+  SELECT s.seat_id, s.show_id,
+         CASE WHEN s.is_available = 0 AND s.seat_id IN (
+                SELECT bs.seat_id FROM booking_seats bs WHERE bs.booking_id IN
+                  (SELECT booking_id FROM po_ WHERE outcome = 'APPLIED' AND payment_status = 'FAILED'))
+              THEN 1 ELSE s.is_available END AS stored_available,
+         CASE WHEN s.seat_id IN (SELECT bs.seat_id FROM booking_seats bs JOIN nb_ USING (booking_id)
+                                 WHERE nb_.st <> 'CANCELLED') THEN 0 ELSE 1 END AS expected_available
+  FROM seats s) WHERE stored_available <> expected_available""", _PAY + """,
+nb_ AS (SELECT b.booking_id, CASE WHEN la.booking_id IS NULL THEN b.booking_status
+                                  WHEN la.payment_status = 'SUCCESS' THEN 'CONFIRMED' ELSE 'CANCELLED' END AS st
+        FROM bookings b LEFT JOIN la_ la USING (booking_id))
+""")
+
+ORACLE["validate_requests"] = q(r"""
+SELECT 'booking' AS kind, b.booking_id AS request_id, b.show_id >= 1 AS valid,
+       CASE WHEN b.show_id >= 1 THEN '' ELSE 'event_id must be a positive integer' END AS errors
+FROM bookings b WHERE b.booking_id IN (SELECT l_orderkey FROM lineitem)
+UNION ALL
+SELECT 'review', b.booking_id * 10 + c.c,
+       b.show_id >= 1 AND NOT (b.booking_id % 33 = 0),
+       concat_ws('; ', CASE WHEN b.show_id < 1 THEN 'event_id is required' END,
+                       CASE WHEN b.booking_id % 33 = 0 THEN 'Rating must be 1–5' END)
+FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 3 = 0 AND (c.c = 1 OR b.booking_id % 15 = 0)
+UNION ALL
+SELECT 'register', c_custkey, c_custkey % 97 <> 0, CASE WHEN c_custkey % 97 = 0 THEN 'Name is required' ELSE '' END
+FROM customer
+UNION ALL
+SELECT 'payment', b.booking_id * 10 + 5 + c.c, NOT (c.c = 1 AND b.booking_id % 45 = 0),
+       CASE WHEN c.c = 1 AND b.booking_id % 45 = 0 THEN 'payment_status must be SUCCESS or FAILED' ELSE '' END
+FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)
+UNION ALL
+SELECT 'show', p_partkey * 10 + 9, p_partkey % 300 <> 0,
+       CASE WHEN p_partkey % 300 = 0 THEN 'base_price required' ELSE '' END
+FROM part WHERE p_partkey % 100 = 0
+UNION ALL
+SELECT 'food', s_suppkey * 10 + 1, s_suppkey % 30 <> 0,
+       CASE WHEN s_suppkey % 30 = 0 THEN 'food_name and price are required' ELSE '' END
+FROM supplier WHERE s_suppkey % 10 = 0""")
+
+ORACLE["paged"] = q("""
+SELECT b.booking_id, b.user_id, u.full_name, u.email, b.show_id, e.title, b.booking_date, b.total_amount,
+       b.booking_status, p.payment_status, p.payment_method
+FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN shows e ON e.show_id = b.show_id
+LEFT JOIN payments p ON p.booking_id = b.booking_id
+ORDER BY b.booking_date DESC, b.booking_id DESC LIMIT 20 OFFSET 40""")
+
+ORACLE["doc_sink"] = q("""
+SELECT b.user_id, count(*) AS count FROM bookings b JOIN shows e ON e.show_id = b.show_id
+JOIN venues v ON v.venue_id = e.venue_id GROUP BY b.user_id""")
+
+ORACLE["outbox_sink"] = q(f"""
+SELECT template, count(*) AS messages FROM (
+  SELECT 'welcome' AS template FROM users
+  UNION ALL
+  SELECT 'reminder' FROM bookings b JOIN shows e ON b.show_id = e.show_id
+  WHERE b.booking_status = 'CONFIRMED' AND e.show_date = {_AS_OF} + 1 AND coalesce(b.reminder_sent, 0) = 0
+    AND b.booking_id IN (SELECT booking_id FROM booking_seats)
+  UNION ALL
+  SELECT 'cancellation' FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
+  WHERE b.booking_status = 'CANCELLED') GROUP BY template""")
