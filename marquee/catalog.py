@@ -18,7 +18,9 @@ from marquee.operators import allocate as AL
 from marquee.operators import analytics as A
 from marquee.operators import apply as AP
 from marquee.operators import audits as Q
+from marquee.operators import replay as RP
 from marquee.operators import validate as V
+from marquee.streaming import streams as TS
 from marquee.plans import paging as PG
 from marquee.session import scratch_dir
 from marquee.operators import documents as D
@@ -310,5 +312,72 @@ def _outbox_sink(spark, sf_dir):
     return spark.read.parquet(path).groupBy("template").agg(F.count(F.lit(1)).alias("messages"))
 
 
+# --- log replay and streams ----------------------------------------------------
+def booking_log(spark, sf_dir) -> DataFrame:
+    d = data(spark, sf_dir)
+    return RP.command_log(fresh_state(spark, sf_dir), R.booking_requests(d), R.cancel_requests(d), R.payment_requests(d))
+
+
+_REG["replay_booking_log"] = lambda spark, sf_dir: RP.replay_booking_log(booking_log(spark, sf_dir))
+
+
+def _staged(spark, df, ts_col, name, slices=4):
+    path = TS.stage_stream_source(df, ts_col, scratch_dir(spark, name), slices)
+    return TS.file_stream(spark, path, df.schema)
+
+
+@register("stream_seat_state")
+def _t1(spark, sf_dir):
+    return TS.stream_to_table(spark, TS.stream_seat_state(_staged(spark, booking_log(spark, sf_dir), "ts", "cmdlog")), "t1")
+
+
+@register("stream_avg_rating")
+def _t2(spark, sf_dir):
+    st = state(spark, sf_dir)
+    running = TS.stream_to_table(spark, TS.stream_avg_rating(_staged(spark, st["reviews"], "reviewed_at", "reviews")),
+                                 "t2", mode="complete")
+    return TS.avg_from_running(running)
+
+
+@register("stream_request_windows")
+def _t3(spark, sf_dir):
+    events = data(spark, sf_dir)["events"]
+    # append mode: windows still open behind the final watermark are not emitted yet
+    return TS.stream_to_table(spark, TS.stream_request_windows(_staged(spark, events, "ts", "events")), "t3")
+
+
+@register("stream_hold_expiry")
+def _t4(spark, sf_dir):
+    events = data(spark, sf_dir)["events"]
+    src = _staged(spark, events, "ts", "events")
+    holds = src.filter(F.col("event_type") == "view")
+    confirms = src.filter(F.col("event_type") == "purchase")
+    return TS.stream_to_table(spark, TS.stream_hold_expiry(holds, confirms), "t4")
+
+
+@register("stream_reminders")
+def _t5(spark, sf_dir):
+    st = state(spark, sf_dir)
+    base = scratch_dir(spark, "reminders")
+    log, outbox = base + "/sent_log", base + "/outbox"
+    TS.run_reminders(st, AS_OF, log, outbox)
+    TS.run_reminders(st, AS_OF, log, outbox)  # the next hourly run sends nothing again
+    return spark.read.parquet(log)
+
+
+@register("stream_revenue")
+def _t6(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return TS.stream_to_table(spark, TS.stream_revenue(_staged(spark, st["bookings"], "booking_date", "bookings")),
+                              "t6", mode="complete")
+
+
+@register("stream_outbox")
+def _t7(spark, sf_dir):
+    st = state(spark, sf_dir)
+    msgs = TS.stream_outbox(_staged(spark, st["bookings"], "booking_date", "bookings"), st)
+    return TS.stream_to_table(spark, msgs, "t7")
+
+
 def queries() -> dict[str, Query]:
     return dict(_REG)

@@ -940,3 +940,48 @@ SELECT template, count(*) AS messages FROM (
   UNION ALL
   SELECT 'cancellation' FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
   WHERE b.booking_status = 'CANCELLED') GROUP BY template""")
+
+# --------------------------------------------------------------------------
+# streams (final answers after availableNow)
+# --------------------------------------------------------------------------
+ORACLE["stream_avg_rating"] = q("""
+SELECT show_id, CAST(CAST((200 * sum(rating) + count(*)) // (2 * count(*)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(3,2))
+         AS avg_rating, count(*) AS review_count
+FROM reviews GROUP BY show_id""")
+
+ORACLE["stream_request_windows"] = """
+WITH ev AS (SELECT user_id, ts, 'api' AS scope FROM events
+            UNION ALL SELECT user_id, ts, 'auth' FROM events WHERE event_type = 'signup'),
+w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, user_id, scope, count(*) AS requests
+      FROM ev GROUP BY ALL)
+SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, user_id, scope, requests,
+       CASE WHEN scope = 'auth' THEN 100 ELSE 5000 END AS request_limit,
+       requests > CASE WHEN scope = 'auth' THEN 100 ELSE 5000 END AS over_limit
+FROM w WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+ORACLE["stream_reminders"] = q(f"""
+SELECT DISTINCT b.booking_id, u.user_id, u.email, e.show_id, TIMESTAMP '1995-03-01 00:00:00' AS sent_as_of
+FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
+JOIN venues v ON e.venue_id = v.venue_id JOIN booking_seats bs ON b.booking_id = bs.booking_id
+WHERE b.booking_status = 'CONFIRMED' AND e.show_date = {_AS_OF} + 1 AND coalesce(b.reminder_sent, 0) = 0""")
+
+ORACLE["stream_revenue"] = q("""
+SELECT show_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS bookings
+FROM bookings WHERE booking_status = 'CONFIRMED' GROUP BY show_id""")
+
+ORACLE["stream_outbox"] = q(f"""
+SELECT u.email AS "to", 'Booking Confirmed – ' || e.title AS subject,
+       '{_WRAP_A}' || '<h2>Booking #' || b.booking_id || ' Confirmed</h2><p>Seats: ' || coalesce(sl.txt, '')
+         || '</p><p>Total: ₹' || CAST(b.total_amount AS VARCHAR) || '</p>' || '{_WRAP_B}' AS html,
+       'confirmation' AS template, 'confirmation:' || b.booking_id AS message_id
+FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
+LEFT JOIN (SELECT booking_id, string_agg(row_letter || seat_number || '(' || seat_type || ')', ', '
+                                         ORDER BY row_letter, seat_number, seat_type) AS txt
+           FROM seat_lines_ GROUP BY 1) sl ON sl.booking_id = b.booking_id
+WHERE b.booking_status = 'CONFIRMED'
+UNION ALL
+SELECT u.email, 'Booking Cancelled – ' || e.title,
+       '{_WRAP_A}' || '<h2>Booking #' || b.booking_id || ' Cancelled</h2>' || '{_WRAP_B}', 'cancellation',
+       'cancellation:' || b.booking_id
+FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
+WHERE b.booking_status = 'CANCELLED'""", _SEAT_LINES)
