@@ -146,7 +146,7 @@ _simple("refresh_availability", SM.refresh_availability)
 def fresh_state(spark, sf_dir) -> dict:
     """The booking-request scenario of FIXTURES.md: the generated seat maps with every
     seat free and no bookings yet (users, shows, menu as mapped)."""
-    st = state(spark, sf_dir)
+    st = booking_state(spark, sf_dir, with_availability=False)
     out = {k: (v.filter(F.lit(False)) if k in ("bookings", "booking_seats", "booking_food", "payments", "reviews") else v)
            for k, v in st.items()}
     out["seats"] = st["seats"].withColumn("is_available", F.lit(1))

@@ -14,8 +14,8 @@ Every round is a handful of shuffles on (request, seat) pairs keyed by seat or
 request; the per-seat minimum is a partial aggregate, so a hot seat or a hot
 show costs one partial row per task.  Rounds end when no request is undecided
 (the chain of conflicts is short in practice: 2-3 rounds on the driver data).
-Lineage is cut each round with a reliable ``checkpoint()`` into the session's
-checkpoint directory, so a lost executor recomputes at most one round.
+Lineage is cut each round by writing the round's tables as Parquet into the session's
+shared checkpoint directory, so a lost executor recomputes at most one round.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.plans.ids import assign_ids
-from marquee.session import ensure_checkpoint_dir
+from marquee.plans.lineage import materialize
 from marquee.sources.schemas import conform
 
 OUTCOME_ACCEPTED = "ACCEPTED"
@@ -71,27 +71,32 @@ def fixpoint(pairs: DataFrame, taken: DataFrame, max_rounds: int = 10_000) -> tu
 
     ``k`` is the order key (a comparable struct), ``taken`` the seats already
     unavailable.  Returns the pairs of the accepted requests (request_id, k,
-    seat_id) and the number of rounds.  Only the undecided-pair count goes to
-    the driver."""
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
-    und = pairs.checkpoint(eager=True)
+    seat_id) and the number of rounds.  Per round, one aggregate by seat gives
+    the earliest undecided key and whether the seat is taken; one aggregate by
+    request decides: any taken seat -> rejected, earliest on all seats ->
+    accepted, else undecided.  The round's pairs are written once (Parquet in
+    the checkpoint dir) with their decision; only the undecided count reaches
+    the driver.  Seats taken by round r's winners reject their rivals in round
+    r + 1, after which no undecided pair touches them, so ``taken`` is only
+    ever the previous round's winners (plus the initial set in round 1)."""
+    und = materialize(pairs, "alloc-pairs")
     taken = taken.select("seat_id").distinct()
     parts: list[DataFrame] = []
     rounds = 0
     while True:
         rounds += 1
-        # (a) requests touching a taken seat are rejected
-        hit = und.join(taken, "seat_id", "left_semi").select("request_id").distinct()
-        und = und.join(hit, "request_id", "left_anti")
-        # (b) earliest undecided request on every one of its seats is accepted
-        mins = und.groupBy("seat_id").agg(F.min("k").alias("_m"))
-        win = (und.join(mins, "seat_id").groupBy("request_id")
-               .agg(F.bool_and(F.col("k") == F.col("_m")).alias("_w")).filter("_w").select("request_id"))
-        acc_now = und.join(win, "request_id", "left_semi").checkpoint(eager=True)
+        per_seat = (und.groupBy("seat_id").agg(F.min("k").alias("_m"))
+                    .join(taken.withColumn("_t", F.lit(1)), "seat_id", "left"))
+        decision = (und.join(per_seat, "seat_id").groupBy("request_id")
+                    .agg(F.max(F.coalesce("_t", F.lit(0))).alias("_hit"),
+                         F.bool_and(F.col("k") == F.col("_m")).alias("_first"))
+                    .select("request_id", F.when(F.col("_hit") == 1, F.lit("R"))
+                            .when(F.col("_first"), F.lit("A")).otherwise(F.lit("U")).alias("_d")))
+        decided = materialize(und.join(decision, "request_id"), f"alloc-round-{rounds}")
+        acc_now = decided.filter(F.col("_d") == "A").drop("_d")
         parts.append(acc_now)
+        und = decided.filter(F.col("_d") == "U").drop("_d")
         taken = acc_now.select("seat_id")
-        und = und.join(win, "request_id", "left_anti").checkpoint(eager=True)
         if und.isEmpty() or rounds >= max_rounds:
             break
     accepted = parts[0]
@@ -112,14 +117,16 @@ def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_foo
     payment (``payment_status``; SUCCESS has paid_at = requested_at; method
     default UPI).  Booking ids continue the existing ids in arrival order.
     """
-    reqs = reqs.select("request_id", "requested_at", "user_id", "show_id", "seat_ids", "food", "payment_method")
+    # the batch is read by every phase below: materialise it once (one write, no re-derivation)
+    reqs = materialize(reqs.select("request_id", "requested_at", "user_id", "show_id", "seat_ids", "food",
+                                   "payment_method"), "alloc-requests")
     base = reqs.select("request_id", "requested_at", "user_id", "show_id",
                        (F.coalesce(F.size("seat_ids"), F.lit(0)) < 1).alias("_empty"))
     checks = (base.join(_seat_check(st, reqs, match_show), "request_id", "left")
               .join(_food_check(st, reqs), "request_id", "left")
               .withColumn("food_ok", F.coalesce("food_ok", F.lit(True)))
-              .withColumn("seat_ok", F.coalesce("seat_ok", F.lit(False)) & ~F.col("_empty"))
-              .checkpoint(eager=True))
+              .withColumn("seat_ok", F.coalesce("seat_ok", F.lit(False)) & ~F.col("_empty")))
+    checks = materialize(checks, "alloc-checks")
 
     # claimers: valid seats and valid food; a bad-food request never holds seats
     claim_ids = checks.filter("seat_ok AND food_ok").select("request_id", "requested_at")

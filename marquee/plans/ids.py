@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.plans.lineage import materialize
+
 
 def assign_ids(df: DataFrame, order: list[str], start: Column | int, name: str,
                partitions: int | None = None) -> DataFrame:
     """Add ``name`` = start + 1, start + 2, ... in ``order``; ``start`` may be a scalar subquery column."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ids")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: the window below runs over n rows, not over the data
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(

@@ -163,12 +163,14 @@ def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = Tr
             F.when(status == "CONFIRMED", F.timestamp_add("MINUTE", F.lit(5), F.col("booking_date"))).alias("paid_at")),
         "payments")
 
-    specs = st["shows"].select(
+    # seat maps depend only on the show ids: generate them from the part-derived shows,
+    # so the plan of ``seats`` never carries the rating aggregate over the orders
+    specs = shows0.select(
         "show_id", F.lit(SEAT_ROWS).alias("n_rows"), F.lit(SEATS_PER_ROW).alias("seats_per_row"),
         F.lit(VIP_ROWS).alias("vip_rows"), F.lit(PREMIUM_ROWS).alias("premium_rows"),
         F.lit(VIP_PRICE).alias("vip_price"), F.lit(PREMIUM_PRICE).alias("premium_price"),
         F.lit(REGULAR_PRICE).alias("regular_price"))
-    fresh, _ = generate_seat_map({"shows": st["shows"]}, specs)
+    fresh, _ = generate_seat_map({"shows": shows0.select("show_id")}, specs)
     st["seats"] = fresh
     if with_availability:
         st["seats"] = refresh_availability(st)

@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from marquee.functions.numeric import rating_round
 from marquee.operators.notices import outbox_messages, outbox_sink, reminders_due
 from marquee.operators.replay import OUTCOME_SCHEMA, ShowLedger
+from marquee.plans.lineage import materialize
 from marquee.session import scratch_dir
 
 # Fixed values of the reference's limiter and documented hold.
@@ -192,7 +193,7 @@ def run_reminders(st: dict, as_of, log_path: str, outbox_path: str | None = None
         due = due.join(sent, "booking_id", "left_anti")
     except Exception:  # noqa: BLE001 - first run: no log yet
         pass
-    new = due.withColumn("sent_as_of", F.lit(str(as_of)).cast("timestamp_ntz")).checkpoint(eager=True)
+    new = materialize(due.withColumn("sent_as_of", F.lit(str(as_of)).cast("timestamp_ntz")), "reminders-due")
     if outbox_path:
         outbox_sink(outbox_messages(new, "reminder"), outbox_path)
     new.select("booking_id", "user_id", "email", "show_id", "sent_as_of").write.mode("append").parquet(log_path)
