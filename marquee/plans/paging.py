@@ -35,10 +35,18 @@ def paged(df: DataFrame, order: list[Column], page=None, limit=None) -> DataFram
 def paged_after(df: DataFrame, order_cols: list[str], after: tuple | None, limit=None, descending: bool = False) -> DataFrame:
     """Keyset page: rows strictly after ``after`` in (order_cols) order (all asc or all desc)."""
     _, n = page_window(1, limit)
-    key = F.struct(*[F.col(c) for c in order_cols])
     out = df
     if after is not None:
-        bound = F.struct(*[F.lit(v) for v in after])
-        out = out.filter(key < bound if descending else key > bound)
+        # lexicographic "after": (k1 > v1) or (k1 = v1 and k2 > v2) or ...; a plain
+        # predicate on the key columns, so it can reach the scan
+        pred, prefix = None, None
+        for c, v in zip(order_cols, after):
+            lit = F.lit(v).cast(df.schema[c].dataType)
+            step = (F.col(c) < lit) if descending else (F.col(c) > lit)
+            term = step if prefix is None else prefix & step
+            pred = term if pred is None else pred | term
+            eq = F.col(c) == lit
+            prefix = eq if prefix is None else prefix & eq
+        out = out.filter(pred)
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_cols]
     return out.orderBy(*order).limit(n)
