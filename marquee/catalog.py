@@ -108,6 +108,11 @@ _REG["visible_to"] = lambda spark, sf_dir: D.visible_to(state(spark, sf_dir), R.
 _REG["payment_detail"] = lambda spark, sf_dir: D.payment_detail(state(spark, sf_dir), R.access_requests(data(spark, sf_dir)))
 _REG["has_booked"] = lambda spark, sf_dir: D.has_booked(state(spark, sf_dir), R.review_requests(data(spark, sf_dir)))
 _REG["has_reviewed"] = lambda spark, sf_dir: D.has_reviewed(state(spark, sf_dir), R.review_requests(data(spark, sf_dir)))
+_REG["booking_detail"] = lambda spark, sf_dir: D.booking_detail(
+    state(spark, sf_dir), R.payment_requests(data(spark, sf_dir))).select(
+    "booking_id", "user_id", "show_id", "title", "venue_name", "booking_status", "payment_status",
+    F.coalesce(F.size("seats"), F.lit(0)).cast("int").alias("n_seats"),
+    F.coalesce(F.size("food"), F.lit(0)).cast("int").alias("n_food"))
 _REG["my_bookings"] = lambda spark, sf_dir: D.my_bookings(state(spark, sf_dir), state(spark, sf_dir)["users"]) \
     .select("booking_id", "user_id", "show_id", "booking_date", "title", "payment_status",
             F.coalesce(F.size("seats"), F.lit(0)).cast("int").alias("n_seats"),
@@ -237,17 +242,16 @@ def _upd_shows(spark, sf_dir):
 
 @register("delete_shows")
 def _del_shows(spark, sf_dir):
+    """Outcome counts and the rows left in every table after the cascade (item, n)."""
     st = state(spark, sf_dir)
     ns, out = AP.delete_shows(st, R.show_delete_requests(data(spark, sf_dir)))
-    counts = F.lit(1).alias("_k")
-    remain = (ns["shows"].agg(F.count(F.lit(1)).alias("shows")).select(counts, "*")
-              .join(ns["bookings"].agg(F.count(F.lit(1)).alias("bookings")).select(counts, "*"), "_k")
-              .join(ns["seats"].agg(F.count(F.lit(1)).alias("seats")).select(counts, "*"), "_k")
-              .join(ns["reviews"].agg(F.count(F.lit(1)).alias("reviews")).select(counts, "*"), "_k")
-              .join(ns["payments"].agg(F.count(F.lit(1)).alias("payments")).select(counts, "*"), "_k")
-              .join(ns["booking_seats"].agg(F.count(F.lit(1)).alias("booking_seats")).select(counts, "*"), "_k")
-              .join(ns["booking_food"].agg(F.count(F.lit(1)).alias("booking_food")).select(counts, "*"), "_k"))
-    return out.select("request_id", "show_id", "outcome", F.lit(1).alias("_k")).join(remain, "_k").drop("_k")
+    parts = [out.groupBy(F.col("outcome").alias("item")).agg(F.count(F.lit(1)).alias("n"))]
+    for t in ("shows", "bookings", "seats", "reviews", "payments", "booking_seats", "booking_food"):
+        parts.append(ns[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("item"), "n"))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
 
 
 _REG["add_food_items"] = lambda spark, sf_dir: AP.add_food_items(state(spark, sf_dir), R.food_requests(data(spark, sf_dir)))[1]

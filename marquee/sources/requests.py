@@ -134,7 +134,7 @@ def new_show_requests(d: DriverData) -> DataFrame:
         F.concat(F.col("p_name"), F.lit(" (encore)")).alias("title"), F.lit(None).cast("string").alias("description"),
         F.date_add(F.lit("2002-01-01").cast("date"), (k % 365).cast("int")).alias("show_date"),
         F.lit("19:00:00").alias("show_time"), (F.col("p_size") % 25).cast("long").alias("venue_id"),
-        F.lit(1).cast("long").alias("category_id"),
+        (F.lit(1) + k % 3).cast("long").alias("category_id"),
         F.when(k % 300 == 0, F.lit(Decimal("-1.00"))).otherwise(F.col("p_retailprice").cast("decimal(10,2)"))
          .cast("decimal(10,2)").alias("base_price"))
 

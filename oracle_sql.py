@@ -735,16 +735,15 @@ FROM shows s LEFT JOIN (SELECT p_partkey AS k, p_name, p_retailprice FROM part
                         WHERE p_partkey % 10 = 0 AND p_partkey % 70 <> 0) p ON p.k = s.show_id""")
 
 ORACLE["delete_shows"] = q("""
-SELECT r.request_id, r.show_id,
-       CASE WHEN r.show_id IN (SELECT show_id FROM shows) THEN 'DELETED' ELSE 'NOT_FOUND' END AS outcome,
-       (SELECT count(*) FROM shows WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS shows,
-       (SELECT count(*) FROM bookings WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS bookings,
-       (SELECT count(*) FROM seats WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS seats,
-       (SELECT count(*) FROM reviews WHERE show_id NOT IN (SELECT show_id FROM gs_)) AS reviews,
-       (SELECT count(*) FROM payments WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS payments,
-       (SELECT count(*) FROM booking_seats WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS booking_seats,
-       (SELECT count(*) FROM booking_food WHERE booking_id NOT IN (SELECT booking_id FROM gb_)) AS booking_food
-FROM rq_ r""", """
+SELECT CASE WHEN show_id IN (SELECT show_id FROM shows) THEN 'DELETED' ELSE 'NOT_FOUND' END AS item, count(*) AS n
+FROM rq_ GROUP BY 1
+UNION ALL SELECT 'shows', count(*) FROM shows WHERE show_id NOT IN (SELECT show_id FROM gs_)
+UNION ALL SELECT 'bookings', count(*) FROM bookings WHERE booking_id NOT IN (SELECT booking_id FROM gb_)
+UNION ALL SELECT 'seats', count(*) FROM seats WHERE show_id NOT IN (SELECT show_id FROM gs_)
+UNION ALL SELECT 'reviews', count(*) FROM reviews WHERE show_id NOT IN (SELECT show_id FROM gs_)
+UNION ALL SELECT 'payments', count(*) FROM payments WHERE booking_id NOT IN (SELECT booking_id FROM gb_)
+UNION ALL SELECT 'booking_seats', count(*) FROM booking_seats WHERE booking_id NOT IN (SELECT booking_id FROM gb_)
+UNION ALL SELECT 'booking_food', count(*) FROM booking_food WHERE booking_id NOT IN (SELECT booking_id FROM gb_)""", """
 gs_ AS (SELECT show_id FROM shows WHERE show_id IN (SELECT p_partkey FROM part WHERE p_partkey % 25 = 0)),
 gb_ AS (SELECT booking_id FROM bookings WHERE show_id IN (SELECT show_id FROM gs_)),
 rq_ AS (SELECT p_partkey * 10 + 4 AS request_id, p_partkey AS show_id FROM part WHERE p_partkey % 25 = 0
@@ -985,3 +984,13 @@ SELECT u.email, 'Booking Cancelled – ' || e.title,
        'cancellation:' || b.booking_id
 FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
 WHERE b.booking_status = 'CANCELLED'""", _SEAT_LINES)
+
+ORACLE["booking_detail"] = q("""
+SELECT b.booking_id, b.user_id, b.show_id, e.title, v.venue_name, b.booking_status, p.payment_status,
+       CAST(coalesce(sl.n, 0) AS INTEGER) AS n_seats, CAST(coalesce(fl.n, 0) AS INTEGER) AS n_food
+FROM bookings b JOIN shows e ON e.show_id = b.show_id JOIN venues v ON v.venue_id = e.venue_id
+LEFT JOIN payments p ON p.booking_id = b.booking_id
+LEFT JOIN (SELECT booking_id, count(*) AS n FROM seat_lines_ GROUP BY 1) sl ON sl.booking_id = b.booking_id
+LEFT JOIN (SELECT bf.booking_id, count(*) AS n FROM booking_food bf JOIN food_items f ON f.food_id = bf.food_id
+           GROUP BY 1) fl ON fl.booking_id = b.booking_id
+WHERE b.booking_id IN (SELECT booking_id FROM bookings WHERE booking_id % 5 = 0)""", _SEAT_LINES)
