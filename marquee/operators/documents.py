@@ -69,11 +69,13 @@ def booking_documents(st: dict, bookings: DataFrame | None = None) -> DataFrame:
     Replaces the reference's per-booking query loop with two grouped sides."""
     b = st["bookings"] if bookings is None else bookings
     pay = st["payments"].select("booking_id", "payment_status", "payment_method", "paid_at")
-    return (b.join(st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id"), "show_id")
-            .join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
-            .join(pay, "booking_id", "left")
+    # booking-keyed sides first: the grouped sides are already hash-partitioned by
+    # booking_id, so the three joins share one partitioning of the bookings
+    return (b.join(pay, "booking_id", "left")
             .join(seats_by_booking(st).drop("_seat_total"), "booking_id", "left")
             .join(food_by_booking(st).drop("_food_total"), "booking_id", "left")
+            .join(st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id"), "show_id")
+            .join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
             .drop("venue_id"))
 
 
@@ -120,10 +122,10 @@ def ticket_manifest(st: dict, ids: DataFrame | None = None) -> DataFrame:
             lambda s: F.concat(s["row_letter"], s["seat_number"].cast("string"), F.lit("("), s["seat_type"], F.lit(")"))),
             ", ").alias("seat_list"),
         F.count(F.lit(1)).alias("n_seats"))
-    return (b.join(st["users"].select("user_id", "full_name", "email"), "user_id")
+    return (b.join(lines, "booking_id")
+            .join(st["users"].select("user_id", "full_name", "email"), "user_id")
             .join(st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id"), "show_id")
             .join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
-            .join(lines, "booking_id")
             .select("booking_id", "full_name", "email", "title", "show_date", "show_time", "venue_name", "city",
                     "total_amount", "booking_status", "seat_list", F.col("n_seats").cast("long").alias("n_seats")))
 
