@@ -332,7 +332,9 @@ def _staged(spark, df, ts_col, name, slices=4):
 
 @register("stream_seat_state")
 def _t1(spark, sf_dir):
-    return TS.stream_to_table(spark, TS.stream_seat_state(_staged(spark, booking_log(spark, sf_dir), "ts", "cmdlog")), "t1")
+    # two micro-batches: each one calls the per-show state function once per touched show
+    log = _staged(spark, booking_log(spark, sf_dir), "ts", "cmdlog", slices=2)
+    return TS.stream_to_table(spark, TS.stream_seat_state(log), "t1")
 
 
 @register("stream_avg_rating")
@@ -369,6 +371,28 @@ def _t5(spark, sf_dir):
     return spark.read.parquet(log)
 
 
+@register("stream_rating_upkeep")
+def _t2_edits(spark, sf_dir):
+    """Accepted review edits and deletions, streamed as upsert/delete events."""
+    st = state(spark, sf_dir)
+    _, upd = AP.update_reviews(st, R.review_update_requests(st["reviews"]))
+    _, dele = AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))
+    upd_req = R.review_update_requests(st["reviews"]).select("request_id", "requested_at", "rating", "comment")
+    edits = (upd.filter(F.col("outcome") == "UPDATED").join(upd_req, "request_id")
+             .join(st["reviews"].select("review_id", "user_id", "show_id", "reviewed_at"), "review_id")
+             .select("review_id", "user_id", "show_id", "rating", "comment", "reviewed_at",
+                     F.lit("upsert").alias("op"), F.col("requested_at").alias("event_ts")))
+    del_req = R.review_delete_requests(st["reviews"]).select("request_id", "requested_at")
+    deletes = (dele.filter(F.col("outcome") == "DELETED").join(del_req, "request_id")
+               .join(st["reviews"].select("review_id", "user_id", "show_id", "reviewed_at"), "review_id")
+               .select("review_id", "user_id", "show_id", F.lit(None).cast("int").alias("rating"),
+                       F.lit(None).cast("string").alias("comment"), "reviewed_at",
+                       F.lit("delete").alias("op"), F.col("requested_at").alias("event_ts")))
+    log = edits.unionByName(deletes)
+    events = _staged(spark, log, "event_ts", "review-events", slices=3)
+    return TS.stream_rating_upkeep(spark, events, st["reviews"], scratch_dir(spark, "rating-upkeep"))
+
+
 @register("stream_revenue")
 def _t6(spark, sf_dir):
     st = state(spark, sf_dir)

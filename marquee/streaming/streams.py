@@ -236,3 +236,60 @@ def stream_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str
             df.write.mode("overwrite").parquet(out)
         run_available_now(stream.writeStream.outputMode(mode).foreachBatch(overwrite), ck)
     return spark.read.schema(stream.schema).parquet(out)
+
+
+# --------------------------------------------------------------------------
+# T2 with edits: review upserts and deletes, ratings of touched shows
+# --------------------------------------------------------------------------
+REVIEW_EVENT_FIELDS = ["review_id", "user_id", "show_id", "rating", "comment", "reviewed_at", "op", "event_ts"]
+
+
+def _version(root: str, table: str, epoch: int | str) -> str:
+    return os.path.join(root, table, f"v{epoch}")
+
+
+def rating_upkeep_batch(spark: SparkSession, events: DataFrame, epoch: int, root: str) -> None:
+    """foreachBatch body.  State is two versioned Parquet tables under ``root``: reviews
+    and per-show ratings.  Batch ``e`` reads version e-1 (``init`` before the first)
+    and writes version e, so a retried batch rewrites the same version from the same
+    input (idempotent).  Per review id the last event of the batch wins; only the
+    shows it touches are re-averaged."""
+    from marquee.sources.schemas import TABLES
+    prev = "init" if epoch == 0 else epoch - 1
+    reviews = spark.read.schema(TABLES["reviews"]).parquet(_version(root, "reviews", prev))
+    ratings = spark.read.parquet(_version(root, "ratings", prev))
+    last = (events.groupBy("review_id")
+            .agg(F.max_by(F.struct(*[c for c in REVIEW_EVENT_FIELDS if c != "review_id"]), "event_ts").alias("e"))
+            .select("review_id", "e.*"))
+    touched_ids = last.select("review_id")
+    gone_shows = reviews.join(touched_ids, "review_id", "left_semi").select("show_id")
+    kept = reviews.join(touched_ids, "review_id", "left_anti")
+    upserts = last.filter(F.col("op") == "upsert").select(*[f.name for f in TABLES["reviews"].fields])
+    new_reviews = kept.unionByName(upserts)
+    touched_shows = gone_shows.unionByName(last.select("show_id")).distinct()
+    fresh = (new_reviews.join(touched_shows, "show_id", "left_semi").groupBy("show_id")
+             .agg(F.sum("rating").alias("_s"), F.count(F.lit(1)).alias("review_count"))
+             .select("show_id", rating_round(F.col("_s"), F.col("review_count")).alias("avg_rating"), "review_count"))
+    # touched shows whose last review went away drop out of the ratings table (0.00 by A8)
+    new_ratings = ratings.join(touched_shows, "show_id", "left_anti").unionByName(fresh)
+    new_reviews.write.mode("overwrite").parquet(_version(root, "reviews", epoch))
+    new_ratings.write.mode("overwrite").parquet(_version(root, "ratings", epoch))
+
+
+def stream_rating_upkeep(spark: SparkSession, events: DataFrame, reviews: DataFrame, root: str) -> DataFrame:
+    """T2 with edits: seed version ``init`` from ``reviews``, apply the event stream
+    (op = 'upsert' | 'delete', keyed by review_id, ordered by event_ts) batch by batch,
+    and return the latest ratings table (show_id, avg_rating, review_count)."""
+    from marquee.operators.analytics import avg_rating
+    reviews.write.mode("overwrite").parquet(_version(root, "reviews", "init"))
+    avg_rating({"reviews": reviews, "shows": reviews.select("show_id").distinct()}) \
+        .write.mode("overwrite").parquet(_version(root, "ratings", "init"))
+    epochs: list[int] = []
+
+    def body(df, epoch_id):
+        rating_upkeep_batch(spark, df, epoch_id, root)
+        epochs.append(epoch_id)
+
+    run_available_now(events.writeStream.foreachBatch(body), os.path.join(root, "_checkpoint"))
+    latest = max(epochs) if epochs else "init"
+    return spark.read.parquet(_version(root, "ratings", latest))

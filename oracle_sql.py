@@ -994,3 +994,25 @@ LEFT JOIN (SELECT booking_id, count(*) AS n FROM seat_lines_ GROUP BY 1) sl ON s
 LEFT JOIN (SELECT bf.booking_id, count(*) AS n FROM booking_food bf JOIN food_items f ON f.food_id = bf.food_id
            GROUP BY 1) fl ON fl.booking_id = b.booking_id
 WHERE b.booking_id IN (SELECT booking_id FROM bookings WHERE booking_id % 5 = 0)""", _SEAT_LINES)
+
+ORACLE["stream_rating_upkeep"] = q("""
+SELECT show_id,
+       CAST(CAST((200 * sum(rating) + count(*)) // (2 * count(*)) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(3,2)) AS avg_rating,
+       count(*) AS review_count
+FROM (SELECT v.show_id, coalesce(l.rating, v.rating) AS rating
+      FROM reviews v LEFT JOIN ul_ l ON l.review_id = v.review_id
+      WHERE v.review_id NOT IN (SELECT review_id FROM gone_))
+GROUP BY show_id""", """
+ur_ AS (
+  SELECT review_id * 10 + 2 AS request_id, reviewed_at + INTERVAL 1 DAY AS requested_at,
+         CASE WHEN review_id % 20 = 0 THEN -review_id - 1 ELSE review_id END AS review_id,
+         CASE WHEN review_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS actor_id,
+         CAST(CASE WHEN review_id % 12 = 0 THEN 0 ELSE rating % 5 + 1 END AS INTEGER) AS rating
+  FROM reviews WHERE review_id % 4 = 0),
+uo_ AS (
+  SELECT r.*, CASE WHEN NOT (r.rating BETWEEN 1 AND 5) THEN 'INVALID' WHEN v.review_id IS NULL THEN 'NOT_FOUND'
+                   WHEN v.user_id <> r.actor_id THEN 'FORBIDDEN' ELSE 'UPDATED' END AS outcome
+  FROM ur_ r LEFT JOIN reviews v USING (review_id)),
+ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY requested_at DESC, request_id DESC) AS rn
+                       FROM uo_ WHERE outcome = 'UPDATED') WHERE rn = 1),
+""" + _DEL_REV.strip())
