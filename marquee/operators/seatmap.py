@@ -67,8 +67,13 @@ def generate_seat_map(st: dict, specs: DataFrame) -> tuple[DataFrame, DataFrame]
         F.when(vip, F.col("vip_price")).when(prem, F.col("premium_price"))
          .otherwise(F.col("regular_price")).cast("decimal(10,2)").alias("price"),
     )
+    # The optimizer sizes explode(sequence(...)) like its small input (a few KB of specs
+    # for millions of seats), so left alone it would broadcast the grid.  The grid is
+    # hash-partitioned by seat_id and hinted shuffle_merge: joins with it are sort-merge
+    # joins on that partitioning (only the other side moves) and it is never broadcast.
+    new = conform(new, "seats").repartition("seat_id").hint("shuffle_merge")
     kept = st["seats"].join(ok.select("show_id"), "show_id", "left_anti") if "seats" in st else None
-    seats = conform(new, "seats") if kept is None else conform(kept, "seats").unionByName(conform(new, "seats"))
+    seats = new if kept is None else conform(kept, "seats").unionByName(new)
     return seats, outcome
 
 

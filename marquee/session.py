@@ -21,9 +21,27 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # keyed streaming state (T1 ledgers, windows, join buffers) lives in RocksDB, off the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster: shuffle partitions sized so a partition is about
+    ``target_partition_bytes`` of input (AQE coalesces small ones and splits skewed
+    ones at run time), at least two tasks per core, and file splits of the same size."""
+    parts = max(2 * executors * cores_per_executor, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        **{k: v for k, v in DEFAULT_CONF.items() if k != "spark.ui.showConsoleProgress"},
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app: str = "marquee", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)

@@ -1016,3 +1016,103 @@ uo_ AS (
 ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY requested_at DESC, request_id DESC) AS rn
                        FROM uo_ WHERE outcome = 'UPDATED') WHERE rn = 1),
 """ + _DEL_REV.strip())
+
+# A hold is emitted as expired once the global watermark (the minimum of both sides'
+# max event time - 10 minutes, at millisecond precision) passes hold_ts + 5 minutes.
+ORACLE["stream_hold_expiry"] = """
+WITH h AS (SELECT event_id AS hold_id, user_id, ts AS hold_ts FROM events WHERE event_type = 'view'),
+c AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+wm AS (SELECT least(date_trunc('millisecond', (SELECT max(hold_ts) FROM h)),
+                    date_trunc('millisecond', (SELECT max(ts) FROM c))) - INTERVAL 10 MINUTE AS w)
+SELECT h.hold_id, h.user_id, h.hold_ts FROM h
+WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = h.user_id AND c.ts >= h.hold_ts
+                  AND c.ts <= h.hold_ts + INTERVAL 5 MINUTE)
+  AND h.hold_ts + INTERVAL 5 MINUTE < (SELECT w FROM wm)"""
+
+# --------------------------------------------------------------------------
+# Ordered replay of book, cancel and payment commands per show.  The
+# recursion carries each show's ledger: unavailable seats and a list of bookings.
+# --------------------------------------------------------------------------
+_REPLAY = _ALLOC.split("od_ AS")[0].rstrip().rstrip(",") + """,
+cr_ AS (
+  SELECT booking_id * 10 + 3 AS request_id, booking_date + INTERVAL 2 DAY AS requested_at,
+         CASE WHEN booking_id % 49 = 0 THEN -booking_id - 1 ELSE booking_id END AS booking_id,
+         CASE WHEN booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
+  FROM bookings WHERE booking_id % 7 = 0),
+pr_ AS (
+  SELECT b.booking_id * 10 + 5 + c.c AS request_id, b.booking_date + to_hours(c.c) AS requested_at, b.booking_id,
+         CASE WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
+         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 45 = 0 THEN 'REFUNDED'
+              WHEN b.booking_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS payment_status
+  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)),
+cmd_ AS (
+  SELECT show_id, requested_at AS ts, request_id AS cmd_id, 'book' AS kind, request_id AS booking_id,
+         user_id AS actor_id, false AS adm, seats, seat_ok, food_ok, CAST(NULL AS VARCHAR) AS pstatus
+  FROM ck_
+  UNION ALL
+  SELECT k.show_id, r.requested_at, r.request_id, 'cancel', r.booking_id, r.actor_id, r.actor_id % 100 = 0,
+         CAST(NULL AS BIGINT[]), NULL, NULL, NULL
+  FROM cr_ r LEFT JOIN ck_ k ON k.request_id = r.booking_id
+  UNION ALL
+  SELECT k.show_id, r.requested_at, r.request_id, 'payment', r.booking_id, r.actor_id, r.actor_id % 100 = 0,
+         CAST(NULL AS BIGINT[]), NULL, NULL, r.payment_status
+  FROM pr_ r LEFT JOIN ck_ k ON k.request_id = r.booking_id),
+oc_ AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY ts, cmd_id) AS rn FROM cmd_ WHERE show_id IS NOT NULL),
+rp_ AS (
+  SELECT show_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS taken,
+         CAST([] AS STRUCT(id BIGINT, owner BIGINT, status VARCHAR, seats BIGINT[], paid BOOLEAN)[]) AS bk,
+         CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BIGINT) AS cmd_id, CAST(NULL AS VARCHAR) AS kind,
+         CAST(NULL AS BIGINT) AS booking_id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS status_after,
+         CAST(NULL AS VARCHAR) AS unavail
+  FROM (SELECT DISTINCT show_id FROM oc_)
+  UNION ALL
+  SELECT show_id, rn,
+         CASE WHEN outcome = 'ACCEPTED' THEN list_concat(taken, seats)
+              WHEN outcome = 'CANCELLED' OR (outcome = 'APPLIED' AND pstatus = 'FAILED')
+                THEN list_filter(taken, lambda x: NOT list_contains(b.seats, x))
+              ELSE taken END,
+         CASE WHEN outcome = 'ACCEPTED'
+                THEN list_append(bk, {'id': booking_id, 'owner': actor_id, 'status': 'CONFIRMED', 'seats': seats,
+                                      'paid': true})
+              WHEN outcome IN ('CANCELLED', 'APPLIED')
+                THEN list_transform(bk, lambda x: CASE WHEN x.id = booking_id
+                       THEN {'id': x.id, 'owner': x.owner, 'status': status_after,
+                             'seats': CASE WHEN outcome = 'CANCELLED' THEN CAST([] AS BIGINT[]) ELSE x.seats END,
+                             'paid': outcome <> 'CANCELLED'}
+                       ELSE x END)
+              ELSE bk END,
+         ts, cmd_id, kind, booking_id, outcome, status_after, unavail
+  FROM (
+    SELECT s.*,
+           CASE WHEN s.outcome = 'ACCEPTED' THEN 'CONFIRMED' WHEN s.outcome = 'CANCELLED' THEN 'CANCELLED'
+                WHEN s.outcome = 'APPLIED' THEN CASE WHEN s.pstatus = 'SUCCESS' THEN 'CONFIRMED' ELSE 'CANCELLED' END
+                WHEN s.kind = 'book' THEN NULL ELSE s.b.status END AS status_after
+    FROM (
+      SELECT o.show_id, o.rn, r.taken, r.bk, o.ts, o.cmd_id, o.kind, o.booking_id, o.actor_id, o.seats, o.pstatus,
+             b,
+             CASE WHEN o.kind = 'book' THEN
+                    CASE WHEN NOT o.seat_ok THEN 'INVALID_SEAT' WHEN list_has_any(r.taken, o.seats) THEN 'CONFLICT'
+                         WHEN NOT o.food_ok THEN 'INVALID_FOOD' ELSE 'ACCEPTED' END
+                  WHEN o.kind = 'cancel' THEN
+                    CASE WHEN b IS NULL THEN 'NOT_FOUND' WHEN b.owner <> o.actor_id AND NOT o.adm THEN 'FORBIDDEN'
+                         WHEN b.status = 'CANCELLED' THEN 'ALREADY_CANCELLED' ELSE 'CANCELLED' END
+                  ELSE
+                    CASE WHEN o.pstatus NOT IN ('SUCCESS', 'FAILED') THEN 'INVALID_STATUS'
+                         WHEN b IS NULL OR NOT b.paid THEN 'NOT_FOUND'
+                         WHEN b.owner <> o.actor_id AND NOT o.adm THEN 'FORBIDDEN' ELSE 'APPLIED' END
+             END AS outcome,
+             CASE WHEN o.kind = 'book' AND o.seat_ok AND list_has_any(r.taken, o.seats)
+                  THEN array_to_string(list_sort(list_distinct(list_filter(o.seats, lambda x: list_contains(r.taken, x)))), ',')
+             END AS unavail
+      FROM rp_ r JOIN oc_ o ON o.show_id = r.show_id AND o.rn = r.rn + 1
+      LEFT JOIN LATERAL (SELECT list_filter(r.bk, lambda x: x.id = o.booking_id)[1] AS b) lb ON true) s) t)
+"""
+_REPLAY_SELECT = """
+SELECT show_id, ts, cmd_id, kind, booking_id, outcome, status_after AS booking_status, unavail AS unavailable_seats
+FROM rp_ WHERE cmd_id IS NOT NULL
+"""
+ORACLE["replay_booking_log"] = q(_REPLAY_SELECT + """
+UNION ALL
+SELECT CAST(NULL AS BIGINT), ts, cmd_id, kind, booking_id, 'NOT_FOUND', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+FROM cmd_ WHERE show_id IS NULL""", _REPLAY, recursive=True)
+ORACLE["stream_seat_state"] = q(_REPLAY_SELECT, _REPLAY, recursive=True)
