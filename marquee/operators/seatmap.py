@@ -88,10 +88,11 @@ def refresh_availability(st: dict) -> DataFrame:
                 st["bookings"].filter(F.col("booking_status") != "CANCELLED").select("booking_id"),
                 "booking_id", "left_semi")
             .select("seat_id").distinct().withColumn("_taken", F.lit(1)))
+    # the result is as large as the seat table: keep it out of broadcasts downstream
     return conform(
         st["seats"].drop("is_available").join(live, "seat_id", "left")
         .withColumn("is_available", F.when(F.col("_taken").isNull(), 1).otherwise(0)),
-        "seats")
+        "seats").hint("shuffle_merge")
 
 
 def seat_map(st: dict, show_ids: DataFrame | None = None) -> DataFrame:
