@@ -852,12 +852,13 @@ SELECT 'domain(payment_status)', 'payments', CAST(payment_id AS VARCHAR), 'payme
 FROM payments WHERE payment_status NOT IN ('PENDING', 'SUCCESS', 'FAILED')""")
 
 ORACLE["double_booked_seats"] = q("""
-SELECT l.seat_id, s.show_id, count(*) AS n_bookings,
-       string_agg(CAST(l.booking_id AS VARCHAR), ',' ORDER BY l.booking_id) AS booking_ids
+SELECT l.seat_id, s.show_id, l.booking_id, c.n AS n_bookings
 FROM (SELECT DISTINCT bs.seat_id, bs.booking_id FROM booking_seats bs
       JOIN bookings b ON b.booking_id = bs.booking_id AND b.booking_status = 'CONFIRMED') l
-LEFT JOIN seats s ON s.seat_id = l.seat_id
-GROUP BY l.seat_id, s.show_id HAVING count(*) > 1""")
+JOIN (SELECT seat_id, count(*) AS n FROM (SELECT DISTINCT bs.seat_id, bs.booking_id FROM booking_seats bs
+      JOIN bookings b ON b.booking_id = bs.booking_id AND b.booking_status = 'CONFIRMED') GROUP BY seat_id
+      HAVING count(*) > 1) c ON c.seat_id = l.seat_id
+LEFT JOIN seats s ON s.seat_id = l.seat_id""")
 
 ORACLE["cost_drift"] = q("""
 SELECT b.booking_id, CAST(b.total_amount AS DECIMAL(18,2)) AS stored_total,
