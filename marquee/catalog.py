@@ -326,8 +326,8 @@ _REG["replay_booking_log"] = lambda spark, sf_dir: RP.replay_booking_log(booking
 
 
 def _staged(spark, df, ts_col, name, slices=4):
-    path = TS.stage_stream_source(df, ts_col, scratch_dir(spark, name), slices)
-    return TS.file_stream(spark, path, df.schema)
+    path, files = TS.stage_stream_source(df, ts_col, scratch_dir(spark, name), slices)
+    return TS.file_stream(spark, path, df.schema, files)
 
 
 @register("stream_seat_state")

@@ -37,22 +37,28 @@ HOLD_LENGTH = "5 minutes"
 # --------------------------------------------------------------------------
 # sources and driving
 # --------------------------------------------------------------------------
-def stage_stream_source(df: DataFrame, ts_col: str, path: str, slices: int = 4) -> str:
-    """Write ``df`` as ``slices`` time-ordered file groups, one write after the other, so a
-    file stream with maxFilesPerTrigger reads them in event-time order.  Slice bounds are
-    approximate quantiles of the timestamp (``slices - 1`` numbers reach the driver)."""
+def stage_stream_source(df: DataFrame, ts_col: str, path: str, slices: int = 4,
+                        files_per_slice: int | None = None) -> tuple[str, int]:
+    """Write ``df`` as ``slices`` time-ordered slices, one write after the other, each of
+    exactly ``f`` files written by ``f`` parallel tasks (round-robin).  A file stream
+    reading ``f`` files per trigger then gets one slice per micro-batch, in event-time
+    order.  Slice bounds are approximate quantiles of the timestamp; the driver only
+    sees ``slices - 1`` bounds and ``slices`` counts.  Returns (path, f)."""
+    spark = df.sparkSession
     ts_long = F.unix_micros(F.col(ts_col).cast("timestamp"))
     qs = df.select(ts_long.alias("_t")).approxQuantile("_t", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
-    bounds = [None] + sorted(set(int(q) for q in qs)) + [None]
-    for i in range(len(bounds) - 1):
-        lo, hi = bounds[i], bounds[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (ts_long >= lo)
-        if hi is not None:
-            cond = cond & (ts_long < hi)
-        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
-    return path
+    bounds = sorted(set(int(q) for q in qs))
+    slice_no = F.lit(0)
+    for b in bounds:
+        slice_no = slice_no + F.when(ts_long >= b, 1).otherwise(0)
+    tagged = df.withColumn("_slice", slice_no)
+    counts = {r["_slice"]: r["n"] for r in tagged.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = files_per_slice or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = max(1, min([want] + list(counts.values()))) if counts else 1
+    for i in range(len(bounds) + 1):
+        if counts.get(i):
+            tagged.filter(F.col("_slice") == i).drop("_slice").repartition(f).write.mode("append").parquet(path)
+    return path, f
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:

@@ -183,6 +183,6 @@ def test_stream_in_batches_equals_batch_replay(spark, fresh_seed):
     log = RP.command_log(fresh_seed, *_log_frames(spark, book, cancel, pay))
     batch = {r.cmd_id: r.outcome for r in RP.replay_booking_log(log).filter("show_id is not null").collect()}
     from marquee.session import scratch_dir
-    path = TS.stage_stream_source(log, "ts", scratch_dir(spark, "test-log"), slices=3)
-    streamed = TS.stream_to_table(spark, TS.stream_seat_state(TS.file_stream(spark, path, log.schema)), "test-t1")
+    path, files = TS.stage_stream_source(log, "ts", scratch_dir(spark, "test-log"), slices=3)
+    streamed = TS.stream_to_table(spark, TS.stream_seat_state(TS.file_stream(spark, path, log.schema, files)), "test-t1")
     assert {r.cmd_id: r.outcome for r in streamed.collect()} == batch

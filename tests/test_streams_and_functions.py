@@ -40,8 +40,8 @@ def test_request_windows_drop_late_rows(spark):
 
 def test_avg_rating_stream_in_batches_equals_batch(spark, seed):
     from marquee.operators.analytics import avg_rating
-    path = TS.stage_stream_source(seed["reviews"], "reviewed_at", scratch_dir(spark, "test-reviews"), slices=2)
-    running = TS.stream_to_table(spark, TS.stream_avg_rating(TS.file_stream(spark, path, seed["reviews"].schema)),
+    path, files = TS.stage_stream_source(seed["reviews"], "reviewed_at", scratch_dir(spark, "test-reviews"), slices=2)
+    running = TS.stream_to_table(spark, TS.stream_avg_rating(TS.file_stream(spark, path, seed["reviews"].schema, files)),
                                  "test-t2", mode="complete")
     got = {r.show_id: r.avg_rating for r in TS.avg_from_running(running).collect()}
     want = {r.show_id: r.avg_rating for r in avg_rating(seed).filter("review_count > 0").collect()}
