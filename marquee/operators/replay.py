@@ -16,14 +16,20 @@ a small state machine, not a query engine.
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.allocate import _food_check, _seat_check
 
+# Python workers receive this module's functions by value (cloudpickle), so executors
+# need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COMMAND_SCHEMA = T.StructType([
     T.StructField("show_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("cmd_id", T.LongType()), T.StructField("kind", T.StringType()),

@@ -14,9 +14,11 @@ which is how batch callers and tests read a stream's final answer.
 from __future__ import annotations
 
 import json
+import sys
 import os
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,10 @@ from marquee.operators.replay import OUTCOME_SCHEMA, ShowLedger
 from marquee.plans.lineage import materialize
 from marquee.session import scratch_dir
 
+# Python workers receive this module's functions by value (cloudpickle), so executors
+# need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the reference's limiter and documented hold.
 API_LIMIT, AUTH_LIMIT = 5000, 100
 LIMIT_WINDOW = "15 minutes"
