@@ -1,11 +1,70 @@
-"""Corpus pipeline: documents in, cleaned documents out, one stage per operator."""
+"""Corpus pipeline: documents in, cleaned and encoded documents out.
 
-STAGES = []
+Each stage calls one operator of ``marquee.llm`` on all rows that its predecessor kept;
+it is written as Parquet in the shared scratch folder and read again as the next stage's
+``docs``.  All stages but the last return the columns of ``documents``.
+
+Null or empty texts pass every stage (they are not toxic, equal nothing, hold nothing)
+and encode to no ids.  Rows without a doc_id can't be named as a group's other members
+and stay, once per text.
+"""
+
+from __future__ import annotations
+
+from marquee.llm import bpe, decontaminate, ngram_join, op1_toxicity, op8_bpe, suffix_dedup, toxicity
+from marquee.llm.common import materialize, read
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.7 or more go."""
+    scored = toxicity.score(docs, op1_toxicity.model(spark, docs, sf_dir), docs.columns)
+    return scored.where("score < 0.7").select(*docs.columns)
+
+
+def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 5-word shingles (similarity 0.8 or more) the one with the smallest doc_id stays."""
+    groups = ngram_join.ngram_components(docs, 5, 80, 100)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 200-byte string that also starts elsewhere go; n_chars follows."""
+    kept = suffix_dedup.remove_repeats(docs, 200, as_text=True)
+    changed = F.col("n_removed") > 0
+    return kept.withColumn(
+        "n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a segment of a benchmark item go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents with the text as its ids decode to, ``ids`` and ``n_tokens``."""
+    path = op8_bpe.vocabulary()
+    others = [c for c in docs.columns if c != "text"]
+    ids = bpe.encode(docs, path, keep=tuple(others))
+    back = bpe.decode(ids.withColumn("encoded", F.col("ids")), path, keep=(*others, "encoded"))
+    return back.select(*docs.columns, F.col("encoded").alias("ids"), (F.octet_length("encoded") / 4).cast("long").alias("n_tokens"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("bpe_encoding", encode),
+]
+#: The stages are learned scores, set joins and byte-wise refinement: no SQL for them.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -246,8 +246,13 @@ def _one_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
         "node", "text", "asked")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept (binary) of every row.
+
+    as_text: instead the rows as they were, with the kept bytes as their text (letters cut in two go)
+    and n_removed."""
+    kept = docs.columns
+    given = docs
     docs = columns_as(docs, id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     docs = docs.withColumn("node", F.xxhash64("text"))
     own = docs.select("id", "node", F.sha2("text", 256).alias("sha"))
@@ -258,7 +263,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     told = own.join(copies.where("n > 1").select("node", "sha", F.lit(True).alias("copy")), ["node", "sha"], "left").join(alone, "node", "left").where(
         "copy or gone is not null").select(F.col("id").alias("tid"), F.col("node").alias("of"), F.coalesce("copy", F.lit(False)).alias("copy"), "gone").dropDuplicates(["tid", "of"])
     nothing = F.array().cast("array<struct<ctx:bigint,d1:int,d2:int>>")
-    rows = docs.join(told, (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("tid")), "left").select(
-        "id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", nothing).alias("gone"))
-    kind = docs.schema["id"].dataType.simpleString()
-    return over(rows, _remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    cols = [F.coalesce("text", F.lit("")).alias("text"), F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce("gone", nothing).alias("gone")]
+    met = (F.xxhash64("text") == F.col("of")) & F.col("id").eqNullSafe(F.col("tid"))
+    if not as_text:
+        rows = docs.drop("node").join(told, met, "left").select("id", *cols)
+        kind = docs.schema["id"].dataType.simpleString()
+        return over(rows, _remove(length), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    at, key = kept.index(text_col), kept.index(id_col)
+    names = [f"c{k}" for k in range(len(kept))]
+    rows = given.toDF(*names).withColumn("text", F.coalesce(F.col(names[at]).cast("string"), F.lit(""))).withColumn("id", F.col(names[key]))
+    rows = rows.join(told, met, "left").select(*[n for k, n in enumerate(names) if k != at], *cols)
+    inner = _remove(length)
+
+    def task(batch):
+        text, copy, gone = batch.columns[-3:]
+        done = 0
+        for _, _, removed, _, bytes_ in inner(pa.RecordBatch.from_arrays([text, text, copy, gone], names=["id", "text", "copy", "gone"])):
+            part = [c.slice(done, len(removed)) for c in batch.columns[:-3]]
+            done += len(removed)
+            part.insert(at, pa.array([b.decode("utf-8", "ignore") for b in bytes_], pa.string()))
+            yield [*part, removed]
+
+    schema = ", ".join(f"`{n}` {'string' if k == at else given.schema[k].dataType.simpleString()}" for k, n in enumerate(names))
+    return over(rows, task, f"{schema}, n_removed long").toDF(*kept, "n_removed")

@@ -233,10 +233,11 @@ def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000,
 
 def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and ``score`` (0 to 1) of every row's whole text."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("scored text"))
-    k = len(keep)
     if model is None:
-        return rows.drop("scored text").withColumn("score", F.lit(0.0))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
+    k = len(keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`").alias("scored text")]))
+    at = keep.index(text_col) if text_col in keep else k
     lexicon, w = model
     shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.benign, lexicon.edits))  # bounded by max_terms
     key = hash((frozenset(lexicon.weights.items()), frozenset(lexicon.benign)))
@@ -246,9 +247,9 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[
             _LEXICA.clear()
             _LEXICA[key] = Lexicon(*shared.value)
         own = _LEXICA[key]
-        _, offsets = row_bytes(batch.column(k))
+        _, offsets = row_bytes(batch.column(at))
         for i, j in slices(offsets):
-            got = np.array([own.figures(t) for t in batch.column(k).slice(i, j - i).to_pylist()])
+            got = np.array([own.figures(t) for t in batch.column(at).slice(i, j - i).to_pylist()])
             yield [*[c.slice(i, j - i) for c in batch.columns[:k]], 1 / (1 + np.exp(-np.clip(w[0] + got @ w[1:], -30, 30)))]
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:k])
