@@ -9,6 +9,8 @@ row caps.
 from __future__ import annotations
 
 from collections.abc import Callable
+from copy import copy
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +24,15 @@ from marquee.operators import replay as RP
 from marquee.operators import validate as V
 from marquee.streaming import streams as TS
 from marquee.plans import paging as PG
+from marquee.plans.lineage import materialize
 from marquee.session import scratch_dir
 from marquee.operators import documents as D
 from marquee.operators import listings as L
 from marquee.operators import notices as N
 from marquee.operators import seatmap as SM
 from marquee.sources import requests as R
-from marquee.sources.driver import DriverData, booking_state
+from marquee.sources.driver import DriverData, booking_state, broken_state
+from marquee.sources.schemas import conform
 
 AS_OF = "1995-03-01"
 FILTERS = {"category_id": 2, "city": "nation_3", "date_from": "1996-01-01", "date_to": "1999-12-31"}
@@ -70,6 +74,13 @@ _simple("show_listing_filtered", lambda st: L.show_listing(st, **FILTERS))
 _simple("show_search", lambda st: L.show_listing(st, search=SEARCH))
 _simple("show_date_range", lambda st: L.show_listing(st, date_from=DATE_RANGE[0], date_to=DATE_RANGE[1]))
 _simple("point_lookup", lambda st: L.point_lookup(st, "shows", st["bookings"]))
+_simple("point_lookup_bookings", lambda st: L.point_lookup(st, "bookings", st["payments"]))
+_simple("point_lookup_seats", lambda st: L.point_lookup(st, "seats", st["booking_seats"]))
+_simple("point_lookup_payments", lambda st: L.point_lookup(st, "payments", st["bookings"]))
+_simple("point_lookup_reviews", lambda st: L.point_lookup(st, "reviews", st["bookings"].select(F.col("booking_id").alias("review_id"))))
+_simple("point_lookup_users", lambda st: L.point_lookup(st, "users", st["bookings"]))
+_simple("categories_list", L.categories_list)
+_simple("venues_list", L.venues_list)
 _simple("seat_summary", lambda st: L.seat_summary(st))
 _simple("show_detail", L.show_detail_flat)
 _simple("view_available_seats", L.view_available_seats)
@@ -152,10 +163,9 @@ def fresh_state(spark, sf_dir) -> dict:
     """The booking-request scenario of FIXTURES.md: the generated seat maps with every
     seat free and no bookings yet (users, shows, menu as mapped)."""
     st = booking_state(spark, sf_dir, with_availability=False)
-    out = {k: (v.filter(F.lit(False)) if k in ("bookings", "booking_seats", "booking_food", "payments", "reviews") else v)
-           for k, v in st.items()}
-    out["seats"] = st["seats"].withColumn("is_available", F.lit(1))
-    return out
+    for name in ("bookings", "booking_seats", "booking_food", "payments", "reviews"):
+        st[name] = st[name].filter(F.lit(False))
+    return st
 
 
 @register("allocate_seats")
@@ -220,9 +230,7 @@ def _refresh_rating(spark, sf_dir):
 def _gen_map(spark, sf_dir):
     st = state(spark, sf_dir)
     specs = R.seat_map_requests(data(spark, sf_dir))
-    seats, outcome = SM.generate_seat_map(st, specs)
-    gen = seats.join(outcome.filter(F.col("outcome") == "GENERATED").select("show_id"), "show_id", "left_semi")
-    return gen
+    return SM.generate_seat_map(st, specs)[0]
 
 
 @register("seat_map_outcomes")
@@ -245,24 +253,66 @@ def _del_shows(spark, sf_dir):
     """Outcome counts and the rows left in every table after the cascade (item, n)."""
     st = state(spark, sf_dir)
     ns, out = AP.delete_shows(st, R.show_delete_requests(data(spark, sf_dir)))
-    parts = [out.groupBy(F.col("outcome").alias("item")).agg(F.count(F.lit(1)).alias("n"))]
-    for t in ("shows", "bookings", "seats", "reviews", "payments", "booking_seats", "booking_food"):
-        parts.append(ns[t].agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("item"), "n"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+    tables = ("shows", "bookings", "seats", "reviews", "payments", "booking_seats", "booking_food")
+    rows = [out.select(F.col("outcome").alias("item"))] + [ns[t].select(F.lit(t).alias("item")) for t in tables]
+    return reduce(DataFrame.unionByName, rows).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
 _REG["add_food_items"] = lambda spark, sf_dir: AP.add_food_items(state(spark, sf_dir), R.food_requests(data(spark, sf_dir)))[1]
 
 
+# --- the tables after the apply jobs, one row of text per row --------------------
+def state_rows(st: dict, *tables: str) -> DataFrame:
+    """(table_name, row_text) of every row of the named tables; sold_seats: the unavailable seats' ids."""
+    parts = []
+    for name in tables:
+        df = st["seats"].filter("is_available = 0").select("seat_id") if name == "sold_seats" else conform(st[name], name)
+        text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+        parts.append(df.select(F.lit(name).alias("table_name"), text.alias("row_text")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+BOOKED = ("bookings", "booking_seats", "booking_food", "payments", "sold_seats")
+_REG["allocate_seats_state"] = lambda spark, sf_dir: state_rows(
+    AL.allocate_seats(fresh_state(spark, sf_dir), R.booking_requests(data(spark, sf_dir)))[0], *BOOKED)
+_REG["quick_book_two_state"] = lambda spark, sf_dir: state_rows(
+    AL.quick_book_two(state(spark, sf_dir), R.quick_book_requests(data(spark, sf_dir)))[0], *BOOKED)
+_REG["register_users_state"] = lambda spark, sf_dir: state_rows(
+    AP.register_users(state(spark, sf_dir), R.registration_requests(data(spark, sf_dir)))[0], "users")
+_REG["cancel_bookings_state"] = lambda spark, sf_dir: state_rows(
+    AP.cancel_bookings(state(spark, sf_dir), R.cancel_requests(data(spark, sf_dir)))[0], *BOOKED)
+_REG["submit_reviews_state"] = lambda spark, sf_dir: state_rows(
+    AP.submit_reviews(state(spark, sf_dir), R.review_requests(data(spark, sf_dir)))[0], "reviews", "shows")
+_REG["create_shows_state"] = lambda spark, sf_dir: state_rows(
+    AP.create_shows(state(spark, sf_dir), R.new_show_requests(data(spark, sf_dir)))[0], "shows")
+_REG["add_food_items_state"] = lambda spark, sf_dir: state_rows(
+    AP.add_food_items(state(spark, sf_dir), R.food_requests(data(spark, sf_dir)))[0], "food_items")
+_REG["update_shows_outcomes"] = lambda spark, sf_dir: AP.update_shows(state(spark, sf_dir), R.show_patches(data(spark, sf_dir)))[1]
+
+
+@register("update_reviews_state")
+def _upd_reviews_state(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return state_rows(AP.update_reviews(st, R.review_update_requests(st["reviews"]))[0], "reviews", "shows")
+
+
+@register("delete_reviews_state")
+def _del_reviews_state(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return state_rows(AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))[0], "reviews", "shows")
+
+
+@register("audit_unique_after_seat_map")
+def _audit_new_seats(spark, sf_dir):
+    """No key is broken after every show's map was generated anew (maps of up to 26 rows)."""
+    st = state(spark, sf_dir)
+    st["seats"] = SM.generate_seat_map(st, R.seat_map_requests(data(spark, sf_dir)))[0]
+    return Q.audit_unique(st)
+
+
 # --- audits ------------------------------------------------------------------
-_simple("audit_unique", Q.audit_unique)
-_simple("audit_fk", Q.audit_fk)
-_simple("audit_check", Q.audit_check)
-_simple("audit_not_null", Q.audit_not_null)
-_simple("audit_domain", Q.audit_domain)
+for _name in ("audit_unique", "audit_fk", "audit_check", "audit_not_null", "audit_domain", "audit_rows"):
+    _REG[_name] = lambda spark, sf_dir, audit=getattr(Q, _name): audit(broken_state(spark, sf_dir))
 _simple("double_booked_seats", Q.double_booked_seats)
 _simple("cost_drift", Q.cost_drift)
 
@@ -272,7 +322,9 @@ def _rating_drift(spark, sf_dir):
     """Reviews deleted the reference's way: no trigger on DELETE, stored averages stay."""
     st = state(spark, sf_dir)
     ns, _ = AP.delete_reviews(st, R.review_delete_requests(st["reviews"]))
-    return Q.rating_drift({**st, "reviews": ns["reviews"]})
+    after = copy(st)
+    after["reviews"] = ns["reviews"]
+    return Q.rating_drift(after)
 
 
 @register("availability_drift")
@@ -325,8 +377,26 @@ def booking_log(spark, sf_dir) -> DataFrame:
 _REG["replay_booking_log"] = lambda spark, sf_dir: RP.replay_booking_log(booking_log(spark, sf_dir))
 
 
-def _staged(spark, df, ts_col, name, slices=4):
+@register("replay_final_state")
+def _replayed(spark, sf_dir):
+    """Final bookings, payments and seats of the replay."""
+    log = materialize(booking_log(spark, sf_dir), "booking-log")
+    out = materialize(RP.replay_booking_log(log), "booking-outcomes")
+    parts = {"bookings": RP.final_bookings(out).select("booking_id", "show_id", "booking_status"),
+             "payments": RP.final_payments(log, out), "seats": RP.final_seats(log, out)}
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]).alias("row_text"))
+        for name, df in parts.items()])
+
+
+def _staged(spark, df, ts_col, name, slices=4, closing=()):
+    """``closing``: event types of the closing events, a day after the last one, that push the watermark past all windows."""
     path, files = TS.stage_stream_source(df, ts_col, scratch_dir(spark, name), slices)
+    if closing:
+        kinds = F.array(*[F.lit(k) for k in ([closing] if isinstance(closing, str) else closing)])
+        end = df.agg(F.max(ts_col).alias(ts_col)).select((F.col(ts_col) + F.expr("INTERVAL 1 DAY")).alias(ts_col), F.explode(kinds).alias("event_type"))
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (ts_col, "event_type") else F.col(f.name) for f in df.schema.fields]
+        end.select(*blank).coalesce(1).write.mode("append").parquet(path)
     return TS.file_stream(spark, path, df.schema, files)
 
 
@@ -348,14 +418,13 @@ def _t2(spark, sf_dir):
 @register("stream_request_windows")
 def _t3(spark, sf_dir):
     events = data(spark, sf_dir)["events"]
-    # append mode: windows still open behind the final watermark are not emitted yet
-    return TS.stream_to_table(spark, TS.stream_request_windows(_staged(spark, events, "ts", "events")), "t3")
+    return TS.stream_to_table(spark, TS.stream_request_windows(_staged(spark, events, "ts", "events", closing="view")), "t3")
 
 
 @register("stream_hold_expiry")
 def _t4(spark, sf_dir):
     events = data(spark, sf_dir)["events"]
-    src = _staged(spark, events, "ts", "events")
+    src = _staged(spark, events, "ts", "events", closing=("view", "purchase"))
     holds = src.filter(F.col("event_type") == "view")
     confirms = src.filter(F.col("event_type") == "purchase")
     return TS.stream_to_table(spark, TS.stream_hold_expiry(holds, confirms), "t4")
@@ -400,6 +469,12 @@ def _t6(spark, sf_dir):
                               "t6", mode="complete")
 
 
+@register("stream_registration_outbox")
+def _t7_registrations(spark, sf_dir):
+    users = state(spark, sf_dir)["users"]
+    return TS.stream_to_table(spark, TS.stream_registrations(_staged(spark, users, "created_at", "users")), "t7-users")
+
+
 @register("stream_outbox")
 def _t7(spark, sf_dir):
     st = state(spark, sf_dir)

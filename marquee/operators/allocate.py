@@ -12,19 +12,25 @@ for the lexicographically first independent set:
 
 Every round is a handful of shuffles on (request, seat) pairs keyed by seat or
 request; the per-seat minimum is a partial aggregate, so a hot seat or a hot
-show costs one partial row per task.  Rounds end when no request is undecided
-(the chain of conflicts is short in practice: 2-3 rounds on the driver data).
+show costs one partial row per task.  A round decides one link of a chain of
+conflicts, so after SET_ROUNDS rounds the requests that are still undecided are
+labelled by conflict component (rounds grow with the logarithm of the chain);
+components of at most TASK_PAIRS pairs are served in order, each within one task,
+and only larger ones go on in set-based rounds until none is undecided.  Both give
+the sequential answer, so the limits change no result.
 Lineage is cut each round by writing the round's tables as Parquet into the session's
 shared checkpoint directory, so a lost executor recomputes at most one round.
 """
 
 from __future__ import annotations
 
+from copy import copy
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.plans.components import components
 from marquee.plans.ids import assign_ids
 from marquee.plans.lineage import materialize
 from marquee.sources.schemas import conform
@@ -35,25 +41,31 @@ OUTCOME_INVALID_SEAT = "INVALID_SEAT"
 OUTCOME_CONFLICT = "CONFLICT"
 OUTCOME_INVALID_FOOD = "INVALID_FOOD"
 DEFAULT_METHOD = "UPI"
+SET_ROUNDS = 3
+TASK_PAIRS = 20_000
 
 
-def _key(df: DataFrame) -> F.Column:
-    return F.struct(df["requested_at"].alias("t"), df["request_id"].alias("i"))
+def _last(table: DataFrame, column: str) -> F.Column:
+    """The largest id in use: new ids continue it."""
+    return table.select(F.coalesce(F.max(column), F.lit(0))).scalar()
 
 
-def _seat_check(st: dict, reqs: DataFrame, match_show: bool) -> DataFrame:
-    """Per request: (seat_ok, seat_total).  OK iff every listed id is a seat (of the
-    request's show when ``match_show``) and no id repeats: the reference compares
-    the number of matching seat rows with the length of the list."""
-    pairs = reqs.select("request_id", "show_id", F.explode("seat_ids").alias("seat_id"))
-    seats = st["seats"].select("seat_id", F.col("show_id").alias("_sshow"), "price")
-    j = pairs.join(seats, "seat_id", "left")
+def _seat_pairs(st: dict, reqs: DataFrame, match_show: bool) -> DataFrame:
+    """(request, its order key, seat id, found, price, held) for every listed id, in one join with the seats.
+    found: the id is a seat (of the request's show when ``match_show``); held: that seat is unavailable."""
+    pairs = reqs.select("request_id", "requested_at", "show_id", F.explode("seat_ids").alias("seat_id"))
+    seats = st["seats"].select("seat_id", F.col("show_id").alias("_sshow"), "price", "is_available")
     found = F.col("_sshow").isNotNull() & ((F.col("_sshow") == F.col("show_id")) if match_show else F.lit(True))
-    per = j.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_distinct(F.when(found, F.col("seat_id"))).alias("_nf"),
-        F.sum(F.when(found, F.col("price"))).alias("seat_total"))
-    return per.select("request_id", (F.col("_n") == F.col("_nf")).alias("seat_ok"), "seat_total")
+    return materialize(pairs.join(seats, "seat_id", "left").select(
+        "request_id", "requested_at", "seat_id", found.alias("found"), "price", F.coalesce(F.col("is_available") == 0, F.lit(False)).alias("held")), "alloc-pairs")
+
+
+def _seat_check(reqs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per request with seats: (seat_ok, seat_total).  OK iff every listed id was found and no id repeats:
+    the reference compares the number of matching seat rows with the length of the list."""
+    once = reqs.select("request_id", (F.size(F.array_distinct("seat_ids")) == F.size("seat_ids")).alias("_once"))
+    per = pairs.groupBy("request_id").agg(F.bool_and("found").alias("_all"), F.sum(F.when(F.col("found"), F.col("price"))).alias("seat_total"))
+    return per.join(once, "request_id").select("request_id", (F.col("_all") & F.col("_once")).alias("seat_ok"), "seat_total")
 
 
 def _food_check(st: dict, reqs: DataFrame) -> DataFrame:
@@ -66,45 +78,70 @@ def _food_check(st: dict, reqs: DataFrame) -> DataFrame:
         F.sum(F.col("price") * F.col("quantity")).alias("food_total"))
 
 
-def fixpoint(pairs: DataFrame, taken: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, int]:
-    """Lexicographically-first independent set over (request_id, k, seat_id) pairs.
-
-    ``k`` is the order key (a comparable struct), ``taken`` the seats already
-    unavailable.  Returns the pairs of the accepted requests (request_id, k,
-    seat_id) and the number of rounds.  Per round, one aggregate by seat gives
-    the earliest undecided key and whether the seat is taken; one aggregate by
-    request decides: any taken seat -> rejected, earliest on all seats ->
-    accepted, else undecided.  The round's pairs are written once (Parquet in
-    the checkpoint dir) with their decision; only the undecided count reaches
-    the driver.  Seats taken by round r's winners reject their rivals in round
-    r + 1, after which no undecided pair touches them, so ``taken`` is only
-    ever the previous round's winners (plus the initial set in round 1)."""
-    und = materialize(pairs, "alloc-pairs")
-    taken = taken.select("seat_id").distinct()
+def _serve(pdf):
+    """One conflict component in order: a request gets its seats if all are still free."""
+    taken, won = set(), []
+    pdf = pdf.sort_values(["requested_at", "request_id"])
+    for rid, seats in pdf.groupby(["requested_at", "request_id"], sort=False)["seat_id"]:
+        ids = set(seats)
+        if not taken & ids:
+            taken |= ids
+            won.append(rid[1])
+    return pdf[pdf["request_id"].isin(won)][["request_id", "requested_at", "seat_id"]]
+
+
+def fixpoint(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """Lexicographically-first independent set over (request_id, requested_at, seat_id, held) pairs.
+
+    held: the seat is unavailable from the start.  Returns the pairs of the accepted requests
+    (request_id, requested_at, seat_id) and the number of rounds.  Per round, one aggregate by seat
+    gives the earliest undecided key and whether the seat is taken; one aggregate by request decides:
+    any taken seat -> rejected, earliest on all seats -> accepted, else undecided.  Seats taken by
+    round r's winners reject their rivals in round r + 1, after which no undecided pair touches them.
+    It ends when no request is undecided, however long that takes."""
+    key = F.struct(F.col("requested_at").alias("t"), F.col("request_id").alias("i"))
+    und = pairs.select("request_id", "requested_at", "seat_id", F.col("held").cast("int").alias("_t"))
     parts: list[DataFrame] = []
     rounds = 0
+    cols = ["request_id", "requested_at", "seat_id"]
     while True:
         rounds += 1
-        per_seat = (und.groupBy("seat_id").agg(F.min("k").alias("_m"))
-                    .join(taken.withColumn("_t", F.lit(1)), "seat_id", "left"))
-        decision = (und.join(per_seat, "seat_id").groupBy("request_id")
-                    .agg(F.max(F.coalesce("_t", F.lit(0))).alias("_hit"),
-                         F.bool_and(F.col("k") == F.col("_m")).alias("_first"))
+        first = und.groupBy("seat_id").agg(F.min(key).alias("_m"))
+        decision = (und.join(first, "seat_id").groupBy("request_id")
+                    .agg(F.max("_t").alias("_hit"), F.bool_and(key == F.col("_m")).alias("_first"))
                     .select("request_id", F.when(F.col("_hit") == 1, F.lit("R"))
                             .when(F.col("_first"), F.lit("A")).otherwise(F.lit("U")).alias("_d")))
         decided = materialize(und.join(decision, "request_id"), f"alloc-round-{rounds}")
-        acc_now = decided.filter(F.col("_d") == "A").drop("_d")
-        parts.append(acc_now)
-        und = decided.filter(F.col("_d") == "U").drop("_d")
-        taken = acc_now.select("seat_id")
-        if und.isEmpty() or rounds >= max_rounds:
+        won = decided.filter(F.col("_d") == "A").select(*cols)
+        parts.append(won)
+        und = decided.filter(F.col("_d") == "U").select(*cols)
+        if und.isEmpty():
             break
+        taken = won.select("seat_id").distinct().withColumn("_t", F.lit(1))
+        und = und.join(taken, "seat_id", "left").select(*cols, F.coalesce("_t", F.lit(0)).alias("_t"))
+        if rounds % SET_ROUNDS == 0:
+            und, small = _split(und)
+            parts.append(materialize(small.groupBy("component").applyInPandas(
+                _serve, "request_id long, requested_at timestamp_ntz, seat_id long"), "alloc-served"))
     accepted = parts[0]
     for p in parts[1:]:
         accepted = accepted.unionByName(p)
     return accepted, rounds
 
 
+def _split(und: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The undecided pairs of large conflict components, and those of the components that fit a task."""
+    lost = und.groupBy("request_id").agg(F.max("_t").alias("_h")).where("_h = 1").select("request_id")
+    und = materialize(und.join(lost, "request_id", "left_anti"), "alloc-undecided")
+    hub = und.groupBy("seat_id").agg(F.min("request_id").alias("b"))
+    links = und.join(hub, "seat_id").select(F.col("request_id").alias("a"), "b")
+    label = components(links, "alloc-components").withColumnRenamed("vertex", "request_id")
+    und = materialize(und.join(label, "request_id", "left").withColumn("component", F.coalesce("component", "request_id")), "alloc-labelled")
+    size = und.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    und = und.join(size, "component")
+    return und.where(F.col("_n") > TASK_PAIRS).drop("component", "_n"), und.where(F.col("_n") <= TASK_PAIRS).drop("_n", "_t")
+
+
 def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_food: bool = True,
                    payment_status: str = "SUCCESS", return_rounds: bool = False):
     """POST /bookings for a batch (M1).  Returns ``(new_state, outcomes)``.
@@ -122,30 +159,25 @@ def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_foo
                                    "payment_method"), "alloc-requests")
     base = reqs.select("request_id", "requested_at", "user_id", "show_id",
                        (F.coalesce(F.size("seat_ids"), F.lit(0)) < 1).alias("_empty"))
-    checks = (base.join(_seat_check(st, reqs, match_show), "request_id", "left")
+    pairs = _seat_pairs(st, reqs, match_show)
+    checks = (base.join(_seat_check(reqs, pairs), "request_id", "left")
               .join(_food_check(st, reqs), "request_id", "left")
               .withColumn("food_ok", F.coalesce("food_ok", F.lit(True)))
               .withColumn("seat_ok", F.coalesce("seat_ok", F.lit(False)) & ~F.col("_empty")))
     checks = materialize(checks, "alloc-checks")
 
     # claimers: valid seats and valid food; a bad-food request never holds seats
-    claim_ids = checks.filter("seat_ok AND food_ok").select("request_id", "requested_at")
-    pairs = (reqs.join(claim_ids.select("request_id"), "request_id", "left_semi")
-             .select("request_id", _key(reqs).alias("k"), F.explode("seat_ids").alias("seat_id")))
-    taken0 = st["seats"].filter(F.col("is_available") == 0).select("seat_id")
-    accepted, rounds = fixpoint(pairs, taken0)
+    valid = pairs.join(checks.filter("seat_ok").select("request_id", "food_ok"), "request_id")
+    accepted, rounds = fixpoint(valid.filter("food_ok").select("request_id", "requested_at", "seat_id", "held"))
+    accepted = materialize(accepted, "alloc-accepted")
 
     # seats unavailable at each seat-valid request's turn: taken before the batch,
     # or held by an accepted request that comes earlier
-    valid_pairs = (reqs.join(checks.filter("seat_ok").select("request_id"), "request_id", "left_semi")
-                   .select("request_id", _key(reqs).alias("k"), F.explode("seat_ids").alias("seat_id")))
-    holder = accepted.select("seat_id", F.col("k").alias("_hk"), F.col("request_id").alias("_hr"))
-    blocked = (valid_pairs.join(holder, "seat_id", "left").join(taken0.withColumn("_t0", F.lit(True)), "seat_id", "left")
-               .filter(F.col("_t0").isNotNull() | ((F.col("_hk") < F.col("k")) & (F.col("_hr") != F.col("request_id"))))
+    holder = accepted.select("seat_id", F.struct("requested_at", "request_id").alias("_h"))
+    blocked = (valid.join(holder, "seat_id", "left")
+               .filter(F.col("held") | (F.col("_h") < F.struct("requested_at", "request_id")))
                .groupBy("request_id")
-               .agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list(F.col("seat_id").cast("string")))), ",")
-                    .alias("_unavail_txt"),
-                    F.array_sort(F.array_distinct(F.collect_list("seat_id"))).alias("unavailable_seats")))
+               .agg(F.array_sort(F.array_distinct(F.collect_list("seat_id"))).alias("unavailable_seats")))
     acc_ids = accepted.select("request_id").distinct().withColumn("_acc", F.lit(True))
 
     outcome = (checks.join(acc_ids, "request_id", "left").join(blocked, "request_id", "left")
@@ -155,10 +187,11 @@ def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_foo
                            .when(F.col("unavailable_seats").isNotNull(), F.lit(OUTCOME_CONFLICT))
                            .when(~F.col("food_ok"), F.lit(OUTCOME_INVALID_FOOD))
                            .when(F.col("_acc"), F.lit(OUTCOME_ACCEPTED))
-                           .otherwise(F.lit(OUTCOME_CONFLICT))))
+                           .otherwise(F.raise_error(F.lit("request left undecided")))))
+    outcome = materialize(outcome, "alloc-outcomes")
     zero = F.lit(Decimal("0.00"))
     total = (F.coalesce("seat_total", zero) + (F.coalesce("food_total", zero) if count_food else zero)).cast("decimal(10,2)")
-    start = st["bookings"].select(F.coalesce(F.max("booking_id"), F.lit(0))).scalar()
+    start = _last(st["bookings"], "booking_id")
     won = assign_ids(outcome.filter(F.col("outcome") == OUTCOME_ACCEPTED)
                      .select("request_id", "requested_at", "user_id", "show_id", total.alias("total_amount")),
                      ["requested_at", "request_id"], start, "booking_id")
@@ -169,19 +202,20 @@ def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_foo
     new = won.join(reqs.select("request_id", "seat_ids", "food", "payment_method"), "request_id")
     new_bookings = new.select("booking_id", "user_id", "show_id", F.col("requested_at").alias("booking_date"),
                               "total_amount", F.lit("CONFIRMED").alias("booking_status"), F.lit(0).alias("reminder_sent"))
-    new_lines = new.select("booking_id", F.explode("seat_ids").alias("seat_id")).withColumn(
-        "bs_id", F.col("booking_id") * 1000 + F.col("seat_id") % 1000)
-    new_food = (new.select("booking_id", F.posexplode("food").alias("_pos", "f"))
-                .select((F.col("booking_id") * 100 + F.col("_pos") + 1).alias("bf_id"), "booking_id",
-                        F.col("f.food_id").alias("food_id"), F.col("f.quantity").alias("quantity")))
-    new_pay = new.select(F.col("booking_id").alias("payment_id"), "booking_id", F.col("total_amount").alias("amount"),
-                         F.coalesce("payment_method", F.lit(DEFAULT_METHOD)).alias("payment_method"),
-                         F.lit(payment_status).alias("payment_status"),
-                         F.when(F.lit(payment_status) == "SUCCESS", F.col("requested_at")).cast("timestamp_ntz").alias("paid_at"))
+    new_lines = assign_ids(new.select("booking_id", F.explode("seat_ids").alias("seat_id")), ["booking_id", "seat_id"],
+                           _last(st["booking_seats"], "bs_id"), "bs_id")
+    new_food = assign_ids(new.select("booking_id", F.posexplode("food").alias("_pos", "f")), ["booking_id", "_pos"],
+                          _last(st["booking_food"], "bf_id"), "bf_id").select(
+        "bf_id", "booking_id", F.col("f.food_id").alias("food_id"), F.col("f.quantity").alias("quantity"))
+    paid = F.when(F.lit(payment_status) == "SUCCESS", F.col("requested_at")).cast("timestamp_ntz")
+    new_pay = assign_ids(new.select("booking_id", F.col("total_amount").alias("amount"),
+                                    F.coalesce("payment_method", F.lit(DEFAULT_METHOD)).alias("payment_method"),
+                                    F.lit(payment_status).alias("payment_status"), paid.alias("paid_at")),
+                         ["booking_id"], _last(st["payments"], "payment_id"), "payment_id")
     sold = new_lines.select("seat_id").distinct().withColumn("_sold", F.lit(True))
     seats = (st["seats"].join(sold, "seat_id", "left")
              .withColumn("is_available", F.when(F.col("_sold"), F.lit(0)).otherwise(F.col("is_available"))))
-    out = dict(st)
+    out = copy(st)
     out["bookings"] = conform(st["bookings"], "bookings").unionByName(conform(new_bookings, "bookings"))
     out["booking_seats"] = conform(st["booking_seats"], "booking_seats").unionByName(conform(new_lines, "booking_seats"))
     out["booking_food"] = conform(st["booking_food"], "booking_food").unionByName(conform(new_food, "booking_food"))

@@ -11,6 +11,7 @@ tables (Parquet has no in-place update); the caller writes version v+1.
 
 from __future__ import annotations
 
+from copy import copy
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from marquee.operators.analytics import avg_rating
 from marquee.plans.ids import assign_ids
 from marquee.sources.schemas import conform
 
+MIN_PASSWORD = 6  # fixed value: the reference's registration rule
 EMAIL_RE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 SHOW_FIELDS = {  # patchable columns -> type (fixed list of the reference's update handler)
     "title": "string", "description": "string", "show_date": "date", "show_time": "string",
@@ -31,6 +33,11 @@ def _order_key() -> F.Column:
     return F.struct(F.col("requested_at").alias("t"), F.col("request_id").alias("i"))
 
 
+def _may() -> F.Column:
+    """The actor owns the row or is an admin; an unknown (NULL) actor is neither."""
+    return F.coalesce(F.col("_owner") == F.col("actor_id"), F.lit(False)) | F.coalesce(F.col("actor_is_admin"), F.lit(False))
+
+
 def _first_per(df: DataFrame, key: list[str], flag: str) -> DataFrame:
     """Mark the earliest row per ``key`` (by requested_at, request_id): partial-aggregate min + join back."""
     firsts = df.groupBy(*key).agg(F.min(_order_key()).alias("_f")).select(F.col("_f.i").alias("request_id"))
@@ -40,10 +47,13 @@ def _first_per(df: DataFrame, key: list[str], flag: str) -> DataFrame:
 
 # --- M2 ----------------------------------------------------------------------
 def register_users(st: dict, reqs: DataFrame):
-    """Registration (M2): name required and a valid address (INVALID); an address
+    """Registration (M2): name required, a valid address and a password of at least six
+    characters, of which only the length is carried (INVALID); an address
     already registered, or used by an earlier request of the batch, ignoring case
     (DUPLICATE).  New user ids continue the existing ids in arrival order."""
     valid = (F.coalesce(F.length(F.trim("full_name")), F.lit(0)) > 0) & F.coalesce(F.col("email").rlike(EMAIL_RE), F.lit(False))
+    if "password_length" in reqs.columns:
+        valid = valid & F.coalesce(F.col("password_length") >= MIN_PASSWORD, F.lit(False))
     r = reqs.withColumn("_valid", valid).withColumn("_lemail", F.lower("email"))
     known = st["users"].select(F.lower("email").alias("_lemail")).distinct().withColumn("_known", F.lit(True))
     r = r.join(known, "_lemail", "left")
@@ -59,7 +69,7 @@ def register_users(st: dict, reqs: DataFrame):
                   .select("request_id", "email", "outcome", "user_id")
     new_users = won.select("user_id", "full_name", "email", F.lit("").alias("password_hash"),
                            F.lit(False).alias("is_admin"), F.col("requested_at").alias("created_at"))
-    ns = dict(st)
+    ns = copy(st)
     ns["users"] = conform(st["users"], "users").unionByName(conform(new_users, "users"))
     return ns, outcomes
 
@@ -72,7 +82,7 @@ def cancel_bookings(st: dict, reqs: DataFrame):
     become free and the booking is CANCELLED (total kept)."""
     b = st["bookings"].select("booking_id", F.col("user_id").alias("_owner"), F.col("booking_status").alias("_status"))
     r = reqs.join(b, "booking_id", "left")
-    allowed = r.filter(F.col("_owner").isNotNull() & ((F.col("_owner") == F.col("actor_id")) | F.col("actor_is_admin")))
+    allowed = r.filter(F.col("_owner").isNotNull() & _may())
     firsts = _first_per(allowed, ["booking_id"], "_first").select("request_id", "_first")
     r = r.join(firsts, "request_id", "left")
     out = r.withColumn("outcome", F.when(F.col("_owner").isNull(), "NOT_FOUND")
@@ -81,7 +91,7 @@ def cancel_bookings(st: dict, reqs: DataFrame):
                        .otherwise("CANCELLED"))
     outcomes = out.select("request_id", "booking_id", "actor_id", "outcome")
     done = out.filter(F.col("outcome") == "CANCELLED").select("booking_id").distinct()
-    ns = dict(st)
+    ns = copy(st)
     freed = st["booking_seats"].join(done, "booking_id", "left_semi").select("seat_id").distinct().withColumn("_f", F.lit(True))
     ns["booking_seats"] = st["booking_seats"].join(done, "booking_id", "left_anti")
     ns["booking_food"] = st["booking_food"].join(done, "booking_id", "left_anti")
@@ -107,8 +117,7 @@ def apply_payment_results(st: dict, reqs: DataFrame):
     r = reqs.join(p, "booking_id", "left").join(b, "booking_id", "left")
     out = r.withColumn("outcome", F.when(~F.coalesce(F.col("payment_status").isin("SUCCESS", "FAILED"), F.lit(False)), "INVALID_STATUS")
                        .when(F.col("_has").isNull(), "NOT_FOUND")
-                       .when(~((F.col("_owner") == F.col("actor_id")) | F.col("actor_is_admin")), "FORBIDDEN")
-                       .otherwise("APPLIED"))
+                       .when(_may(), "APPLIED").otherwise("FORBIDDEN"))
     outcomes = out.select("request_id", "booking_id", "actor_id", "payment_status", "outcome",
                           F.when(F.col("outcome") == "APPLIED",
                                  F.when(F.col("payment_status") == "SUCCESS", "CONFIRMED").otherwise("CANCELLED"))
@@ -118,7 +127,7 @@ def apply_payment_results(st: dict, reqs: DataFrame):
         F.max_by(F.struct("payment_status", "requested_at"), _order_key()).alias("_last"),
         F.max_by("payment_method", F.when(F.col("payment_method").isNotNull(), _order_key())).alias("_method"),
         F.max((F.col("payment_status") == "FAILED").cast("int")).alias("_failed"))
-    ns = dict(st)
+    ns = copy(st)
     pay = st["payments"].join(last, "booking_id", "left")
     ns["payments"] = conform(pay.select(
         "payment_id", "booking_id", "amount",
@@ -167,7 +176,7 @@ def submit_reviews(st: dict, reqs: DataFrame):
     new = won.select("review_id", "user_id", "show_id", "rating",
                      F.when(F.col("comment") == "", F.lit(None)).otherwise(F.col("comment")).alias("comment"),
                      F.col("requested_at").alias("reviewed_at"))
-    ns = dict(st)
+    ns = copy(st)
     ns["reviews"] = conform(st["reviews"], "reviews").unionByName(conform(new, "reviews"))
     ns["shows"] = refresh_avg_rating(ns)
     return ns, outcomes
@@ -181,10 +190,10 @@ def update_reviews(st: dict, reqs: DataFrame):
     r = reqs.join(own, "review_id", "left")
     out = r.withColumn("outcome", F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)), "INVALID")
                        .when(F.col("_owner").isNull(), "NOT_FOUND")
-                       .when(F.col("_owner") != F.col("actor_id"), "FORBIDDEN").otherwise("UPDATED"))
+                       .when(F.coalesce(F.col("_owner") == F.col("actor_id"), F.lit(False)), "UPDATED").otherwise("FORBIDDEN"))
     last = (out.filter(F.col("outcome") == "UPDATED").groupBy("review_id")
             .agg(F.max_by(F.struct("rating", "comment"), _order_key()).alias("_u")))
-    ns = dict(st)
+    ns = copy(st)
     ns["reviews"] = conform(st["reviews"].join(last, "review_id", "left").select(
         "review_id", "user_id", "show_id",
         F.when(F.col("_u").isNull(), F.col("rating")).otherwise(F.col("_u.rating")).alias("rating"),
@@ -200,13 +209,13 @@ def delete_reviews(st: dict, reqs: DataFrame):
     delete of the same review in the batch is NOT_FOUND."""
     own = st["reviews"].select("review_id", F.col("user_id").alias("_owner"))
     r = reqs.join(own, "review_id", "left")
-    allowed = r.filter(F.col("_owner").isNotNull() & ((F.col("_owner") == F.col("actor_id")) | F.col("actor_is_admin")))
+    allowed = r.filter(F.col("_owner").isNotNull() & _may())
     firsts = _first_per(allowed, ["review_id"], "_first").select("request_id", "_first")
     out = r.join(firsts, "request_id", "left").withColumn(
         "outcome", F.when(F.col("_owner").isNull(), "NOT_FOUND").when(F.col("_first").isNull(), "FORBIDDEN")
         .when(~F.col("_first"), "NOT_FOUND").otherwise("DELETED"))
     gone = out.filter(F.col("outcome") == "DELETED").select("review_id")
-    ns = dict(st)
+    ns = copy(st)
     ns["reviews"] = st["reviews"].join(gone, "review_id", "left_anti")
     # the reference has no trigger on DELETE, so its stored average goes stale; we recompute
     ns["shows"] = refresh_avg_rating(ns)
@@ -236,20 +245,42 @@ def create_shows(st: dict, reqs: DataFrame):
     start = st["shows"].select(F.coalesce(F.max("show_id"), F.lit(0))).scalar()
     won = assign_ids(out.filter(F.col("outcome") == "CREATED").drop("_ok", "_v", "_c", "outcome"),
                      ["requested_at", "request_id"], start, "show_id")
-    ns = dict(st)
+    ns = copy(st)
     ns["shows"] = conform(st["shows"], "shows").unionByName(
         conform(won.withColumn("avg_rating", F.lit(Decimal("0.00"))), "shows"))
     return ns, out.join(won.select("request_id", "show_id"), "request_id", "left").select("request_id", "title", "outcome", "show_id")
 
 
+def _field_error(field: F.Column, value: F.Column) -> F.Column:
+    """What the schema has against a patched value: INVALID (NOT NULL, type, CHECK) or None."""
+    bad = F.when(field == "title", value.isNull()).when(field == "description", F.lit(False))
+    bad = bad.when(field == "show_time", value.isNull()).when(field == "base_price", ~F.coalesce(value.try_cast(SHOW_FIELDS["base_price"]) >= 0, F.lit(False)))
+    for name in ("show_date", "venue_id", "category_id"):
+        bad = bad.when(field == name, value.try_cast(SHOW_FIELDS[name]).isNull())
+    return F.coalesce(bad, F.lit(False))
+
+
 def update_shows(st: dict, patches: DataFrame):
-    """PUT /events/:id (M12): only fields *present* in the patch change (a present
-    null sets NULL); a patch without known fields is NO_FIELDS; an unknown show id
-    is silently UPDATED (the UPDATE matches nothing).  Several patches of a show
-    apply in order: per field the last present value wins."""
+    """PUT /events/:id (M12): only fields *present* in the patch change; a patch
+    without known fields is NO_FIELDS; an unknown show id is silently UPDATED (the
+    UPDATE matches nothing).  A value that the schema refuses makes the whole patch
+    fail: INVALID (NULL in a required field, a value of another type, a negative
+    price) or INVALID_REFERENCE (no such venue or category).  Several patches of a
+    show apply in order: per field the last present value wins."""
     known = F.array(*[F.lit(f) for f in SHOW_FIELDS])
     p = patches.withColumn("_keys", F.array_intersect(F.map_keys("patch"), known))
-    out = p.withColumn("outcome", F.when(F.coalesce(F.size("_keys"), F.lit(0)) == 0, "NO_FIELDS").otherwise("UPDATED"))
+    exists = st["shows"].select("show_id", F.lit(True).alias("_known"))
+    p = p.join(exists, "show_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    wrong = F.exists(F.map_entries("patch"), lambda e: _field_error(e["key"], e["value"]))
+    p = p.withColumn("_bad", F.col("_known") & F.coalesce(wrong, F.lit(False)))
+    for field, table in (("venue_id", "venues"), ("category_id", "categories")):
+        ids = st[table].select(F.col(field).alias(f"_{field}"), F.lit(True).alias(f"_has_{field}"))
+        p = p.withColumn(f"_{field}", F.col("patch")[field].try_cast("bigint")).join(ids, f"_{field}", "left")
+    lost = F.lit(False)
+    for field in ("venue_id", "category_id"):
+        lost = lost | (F.coalesce(F.map_contains_key("patch", F.lit(field)), F.lit(False)) & F.col(f"_has_{field}").isNull())
+    out = p.withColumn("outcome", F.when(F.coalesce(F.size("_keys"), F.lit(0)) < 1, "NO_FIELDS").when(F.col("_bad"), "INVALID")
+                       .when(F.col("_known") & lost, "INVALID_REFERENCE").otherwise("UPDATED"))
     entries = (out.filter(F.col("outcome") == "UPDATED")
                .select("show_id", "request_id", "requested_at", F.explode("patch").alias("field", "value"))
                .filter(F.col("field").isin(*SHOW_FIELDS)))
@@ -263,7 +294,7 @@ def update_shows(st: dict, patches: DataFrame):
                                F.col("_m")[f].try_cast(SHOW_FIELDS[f])).otherwise(F.col(f)).alias(f))
         else:
             cols.append(F.col(f))
-    ns = dict(st)
+    ns = copy(st)
     ns["shows"] = conform(s.select(*cols), "shows")
     return ns, out.select("request_id", "show_id", "outcome")
 
@@ -278,7 +309,7 @@ def delete_shows(st: dict, reqs: DataFrame):
         "outcome", F.when(F.col("_k").isNull(), "NOT_FOUND").otherwise("DELETED")).drop("_k")
     gone = out.filter(F.col("outcome") == "DELETED").select("show_id").distinct()
     gone_b = st["bookings"].join(gone, "show_id", "left_semi").select("booking_id")
-    ns = dict(st)
+    ns = copy(st)
     ns["reviews"] = st["reviews"].join(gone, "show_id", "left_anti")
     ns["payments"] = st["payments"].join(gone_b, "booking_id", "left_anti")
     ns["booking_food"] = st["booking_food"].join(gone_b, "booking_id", "left_anti")
@@ -296,7 +327,7 @@ def add_food_items(st: dict, reqs: DataFrame):
     start = st["food_items"].select(F.coalesce(F.max("food_id"), F.lit(0))).scalar()
     won = assign_ids(out.filter(F.col("outcome") == "CREATED"), ["requested_at", "request_id"], start, "food_id")
     new = won.select("food_id", "food_name", "price", F.coalesce("is_veg", F.lit(1)).alias("is_veg"))
-    ns = dict(st)
+    ns = copy(st)
     ns["food_items"] = conform(st["food_items"], "food_items").unionByName(conform(new, "food_items"))
     return ns, out.join(won.select("request_id", "food_id"), "request_id", "left").select(
         "request_id", "food_name", "outcome", "food_id")

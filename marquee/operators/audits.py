@@ -2,9 +2,9 @@
 
 Spark does not enforce keys, so each rule is a query returning violation rows
 ``(rule, table_name, row_key, detail)``.  Unique rules are ``groupBy().count()``
-(partial aggregation, one shuffle per rule); foreign keys are anti joins;
-CHECK / NOT NULL / domain rules are narrow filters on the scans.  All rules of
-a kind are unioned into one DataFrame, one job.
+(partial aggregation, one shuffle per rule); foreign keys are anti joins against the
+parent's key column; CHECK, NOT NULL and domain rules of a table are one array of
+broken rules per row, exploded: one scan per table and no shuffle.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def audit_fk(st: dict) -> DataFrame:
     parts = []
     for child, col, parent, pcol in FOREIGN_KEYS:
         orphans = st[child].filter(F.col(col).isNotNull()).join(
-            st[parent].select(F.col(pcol).alias(col)).distinct(), col, "left_anti")
+            st[parent].select(F.col(pcol).alias(col)), col, "left_anti")
         parts.append(_violations(orphans, f"fk({col}->{parent})", child, _key_text(PRIMARY_KEYS[child]),
                                  F.concat(F.lit(f"{col}="), F.col(col).cast("string"))))
     return _union(parts)
@@ -91,38 +91,49 @@ def check_rules() -> list[tuple[str, str, F.Column, str]]:
     ]
 
 
-def audit_check(st: dict) -> DataFrame:
-    """Q3: rows where a CHECK condition is false (NULL passes, as in SQL)."""
-    parts = []
-    for table, name, cond, col in check_rules():
-        bad = st[table].filter(~F.coalesce(cond, F.lit(True)))
-        parts.append(_violations(bad, f"check({name})", table, _key_text(PRIMARY_KEYS[table]),
+DOMAINS = [("seats", "seat_type", SEAT_TYPES), ("payments", "payment_status", PAYMENT_STATUSES)]
+
+
+def _row_rules(kinds: tuple[str, ...]) -> dict[str, list[tuple[str, F.Column, F.Column]]]:
+    """Per table: (rule, condition that breaks it, detail)."""
+    rules: dict[str, list] = {t: [] for t in TABLES}
+    if "check" in kinds:
+        for table, name, cond, col in check_rules():
+            rules[table].append((f"check({name})", ~F.coalesce(cond, F.lit(True)),
                                  F.concat(F.lit(f"{col}="), F.coalesce(F.col(col).cast("string"), F.lit("NULL")))))
+    if "not_null" in kinds:
+        for table, schema in TABLES.items():
+            rules[table] += [(f"not_null({f.name})", F.col(f.name).isNull(), F.lit(f"{f.name} is NULL")) for f in schema.fields if not f.nullable]
+    if "domain" in kinds:
+        for table, col, values in DOMAINS:
+            rules[table].append((f"domain({col})", ~F.col(col).isin(*values), F.concat(F.lit(f"{col}="), F.col(col))))
+    return {t: r for t, r in rules.items() if r}
+
+
+def audit_rows(st: dict, kinds: tuple[str, ...] = ("check", "not_null", "domain")) -> DataFrame:
+    """Q3, Q4 and Q5 in one pass over each table."""
+    parts = []
+    for table, rules in _row_rules(kinds).items():
+        broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
+                                           for rule, bad, detail in rules]))
+        parts.append(st[table].select(_key_text(PRIMARY_KEYS[table]).alias("row_key"), F.explode(broken).alias("b")).select(
+            F.col("b.rule").alias("rule"), F.lit(table).alias("table_name"), "row_key", F.col("b.detail").alias("detail")))
     return _union(parts)
 
 
+def audit_check(st: dict) -> DataFrame:
+    """Q3: rows where a CHECK condition is false (NULL passes, as in SQL)."""
+    return audit_rows(st, ("check",))
+
+
 def audit_not_null(st: dict) -> DataFrame:
     """Q4: NULL in a NOT NULL column of the declared schemas."""
-    parts = []
-    for table, schema in TABLES.items():
-        for f in schema.fields:
-            if not f.nullable:
-                bad = st[table].filter(F.col(f.name).isNull())
-                parts.append(_violations(bad, f"not_null({f.name})", table, _key_text(PRIMARY_KEYS[table]),
-                                         F.lit(f"{f.name} is NULL")))
-    return _union(parts)
+    return audit_rows(st, ("not_null",))
 
 
 def audit_domain(st: dict) -> DataFrame:
     """Q5: ENUM domains of seat_type and payment_status."""
-    seats = st["seats"].filter(~F.col("seat_type").isin(*SEAT_TYPES))
-    pays = st["payments"].filter(~F.col("payment_status").isin(*PAYMENT_STATUSES))
-    return _union([
-        _violations(seats, "domain(seat_type)", "seats", _key_text(["seat_id"]),
-                    F.concat(F.lit("seat_type="), F.col("seat_type"))),
-        _violations(pays, "domain(payment_status)", "payments", _key_text(["payment_id"]),
-                    F.concat(F.lit("payment_status="), F.col("payment_status"))),
-    ])
+    return audit_rows(st, ("domain",))
 
 
 def double_booked_seats(st: dict) -> DataFrame:

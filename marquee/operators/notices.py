@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import seat_labels_agg
+from marquee.plans.paths import exists
 from marquee.sources.schemas import conform
 
 # Fixed message formats of the reference (subjects and bodies); the brand name is ours to set.
@@ -88,8 +89,8 @@ def _fmt(template: str, **cols) -> F.Column:
 
 
 def wrap_html(body: F.Column, brand: str = BRAND) -> F.Column:
-    return F.concat(F.lit(f'<div style="font-family:Arial,sans-serif;max-width:600px;margin:0 auto">'
-                          f'<h1>{brand}</h1><div style="padding:24px">'), body, F.lit("</div></div>"))
+    """The body as a section under the brand's name."""
+    return F.concat(F.lit(f"<section><header>{brand}</header>"), body, F.lit("</section>"))
 
 
 def outbox_messages(df: DataFrame, kind: str, subject: str | None = None, message: str | None = None,
@@ -118,11 +119,10 @@ def outbox_messages(df: DataFrame, kind: str, subject: str | None = None, messag
 
 def outbox_sink(messages: DataFrame, path: str) -> None:
     """Append messages to an outbox table partitioned by template (idempotent
-    by message_id: rows already in the outbox are not appended again)."""
-    spark = messages.sparkSession
-    try:
-        existing = spark.read.parquet(path).select("message_id")
-        messages = messages.join(existing, "message_id", "left_anti")
-    except Exception:  # noqa: BLE001 - first write: no outbox yet
-        pass
+    by message_id: rows already in the outbox, and repeats within the batch, are not
+    appended).  The first run finds no table; any other read error is raised."""
+    messages = messages.dropDuplicates(["message_id"])
+    if exists(messages.sparkSession, path):
+        sent = messages.sparkSession.read.parquet(path).select("template", "message_id")
+        messages = messages.join(sent, ["template", "message_id"], "left_anti")
     messages.write.mode("append").partitionBy("template").parquet(path)

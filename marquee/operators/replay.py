@@ -3,10 +3,13 @@
 Book, cancel and payment-result commands interact (a FAILED result frees seats
 but keeps the lines, a later SUCCESS re-confirms without re-claiming them), so
 the outcome of a command depends on every earlier command of the same show;
-shows are independent.  The batch job hash-partitions the log by show, sorts
-each partition by (show, time, id) and streams it through ``mapInPandas``: the
-task keeps the ledger of *one* show at a time (its unavailable seats and its
-bookings), never the show's whole command list, and shows run in parallel.
+shows are independent.  So are, within a show, bookings that no chain of shared
+seats connects: the batch job labels every booking with its seat-conflict
+component (rounds grow with the logarithm of the chain), hash-partitions the log
+by component, sorts each partition by (component, time, id) and streams it through
+``mapInPandas``: the task keeps the ledger of *one* component at a time, never a
+list of its commands, and a show with a third of all commands spreads over as
+many tasks as it has components.
 
 Everything a command needs from the static tables (seat existence and prices,
 food prices) is attached by joins before the replay, so the per-row Python is
@@ -24,7 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marquee.operators.allocate import _food_check, _seat_check
+from marquee.operators.allocate import DEFAULT_METHOD, _food_check, _seat_check, _seat_pairs
+from marquee.plans.components import components
+from marquee.plans.lineage import materialize
+
+NOBODY = -(2**63)  # stands for an unknown (NULL) actor in a log: owns nothing
 
 # Python workers receive this module's functions by value (cloudpickle), so executors
 # need no copy of the package on their path.
@@ -103,13 +110,13 @@ class ShowLedger:
 
 
 def _replay_partition(batches):
-    """mapInPandas body: rows arrive sorted by (show_id, ts, cmd_id); one ledger at a time."""
+    """mapInPandas body: rows arrive sorted by (part, ts, cmd_id); one ledger at a time."""
     ledger, current = None, None
     for pdf in batches:
         out = []
         for c in pdf.itertuples(index=False):
-            if c.show_id != current:
-                current, ledger = c.show_id, ShowLedger()
+            if c.part != current:
+                current, ledger = c.part, ShowLedger()
             outcome, status, unavail = ledger.apply(c)
             out.append((c.show_id, c.ts, c.cmd_id, c.kind, c.booking_id, outcome, status, unavail))
         yield pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
@@ -119,7 +126,7 @@ def command_log(st: dict, book: DataFrame, cancel: DataFrame, payment: DataFrame
     """One ordered log over the three request kinds.  booking_id of a book command is
     its request_id; cancel and payment rows take the show of their booking's book
     command (rows naming no booked booking keep a NULL show and are NOT_FOUND)."""
-    checks = (book.select("request_id").join(_seat_check(st, book, True), "request_id", "left")
+    checks = (book.select("request_id").join(_seat_check(book, _seat_pairs(st, book, True)), "request_id", "left")
               .join(_food_check(st, book), "request_id", "left"))
     zero = F.lit(0).cast("decimal(18,2)")
     b = book.join(checks, "request_id").select(
@@ -140,7 +147,8 @@ def command_log(st: dict, book: DataFrame, cancel: DataFrame, payment: DataFrame
         "booking_id", "actor_id", "actor_is_admin", F.lit(None).cast("array<bigint>").alias("seat_ids"),
         F.lit(None).cast("boolean").alias("seat_ok"), F.lit(None).cast("boolean").alias("food_ok"),
         F.lit(None).cast("decimal(18,2)").alias("total"), "payment_status", "payment_method")
-    log = b.unionByName(c).unionByName(p)
+    log = b.unionByName(c).unionByName(p).withColumns({
+        "actor_id": F.coalesce("actor_id", F.lit(NOBODY)), "actor_is_admin": F.coalesce("actor_is_admin", F.lit(False))})
     return log.select([F.col(f.name).cast(f.dataType) for f in COMMAND_SCHEMA.fields])
 
 
@@ -148,12 +156,17 @@ def replay_booking_log(log: DataFrame, partitions: int | None = None) -> DataFra
     """Outcome of every command in show order.  Commands without a show (their
     booking was never booked) are NOT_FOUND without entering the replay."""
     spark = log.sparkSession
+    log = materialize(log, "replay-log")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     orphan = log.filter(F.col("show_id").isNull()).select(
         "show_id", "ts", "cmd_id", "kind", "booking_id", F.lit("NOT_FOUND").alias("outcome"),
         F.lit(None).cast("string").alias("booking_status"), F.lit(None).cast("string").alias("unavailable_seats"))
-    ordered = (log.filter(F.col("show_id").isNotNull()).repartition(n, "show_id")
-               .sortWithinPartitions("show_id", "ts", "cmd_id"))
+    held = log.filter("kind = 'book' and seat_ok").select("booking_id", F.explode("seat_ids").alias("seat_id"))
+    hub = held.groupBy("seat_id").agg(F.min("booking_id").alias("b"))
+    label = components(held.join(hub, "seat_id").select(F.col("booking_id").alias("a"), "b"), "replay-parts").withColumnsRenamed(
+        {"vertex": "booking_id", "component": "part"})
+    ordered = (log.filter(F.col("show_id").isNotNull()).join(label, "booking_id", "left")
+               .withColumn("part", F.coalesce("part", "booking_id")).repartition(n, "part").sortWithinPartitions("part", "ts", "cmd_id"))
     return ordered.mapInPandas(_replay_partition, OUTCOME_SCHEMA).unionByName(orphan)
 
 
@@ -162,3 +175,28 @@ def final_bookings(outcomes: DataFrame) -> DataFrame:
     eff = outcomes.filter(F.col("booking_status").isNotNull())
     return eff.groupBy("booking_id").agg(F.max_by("booking_status", F.struct("ts", "cmd_id")).alias("booking_status"),
                                          F.first("show_id").alias("show_id"))
+
+
+def final_payments(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(booking_id, payment_status, payment_method, paid_at) of every payment left: accepted bookings
+    pay at once; cancelling deletes the payment; results set status, method (if given) and paid_at."""
+    done = outcomes.filter(F.col("outcome").isin("ACCEPTED", "CANCELLED", "APPLIED")).select("cmd_id", "kind", "booking_id", "ts")
+    full = done.join(log.select("cmd_id", "kind", "payment_status", "payment_method"), ["cmd_id", "kind"])
+    order = F.struct("ts", "cmd_id")
+    status = F.when(F.col("kind") == "book", F.lit("SUCCESS")).otherwise(F.col("payment_status"))
+    out = full.groupBy("booking_id").agg(
+        F.max(F.col("kind") == "cancel").alias("gone"), F.max_by(F.struct(status.alias("s"), "ts"), order).alias("last"),
+        F.max_by("payment_method", F.when(F.col("payment_method").isNotNull(), order)).alias("payment_method"))
+    return out.filter("not gone").select("booking_id", F.col("last.s").alias("payment_status"),
+                                         F.coalesce("payment_method", F.lit(DEFAULT_METHOD)).alias("payment_method"),
+                                         F.when(F.col("last.s") == "SUCCESS", F.col("last.ts")).alias("paid_at"))
+
+
+def final_seats(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(seat_id, is_available) of every seat that a booking took or freed: the last such event of a seat
+    counts (an aggregate by seat, no list of its events)."""
+    free = (F.col("outcome") == "CANCELLED") | ((F.col("outcome") == "APPLIED") & (F.col("booking_status") == "CANCELLED"))
+    events = outcomes.filter((F.col("outcome") == "ACCEPTED") | free).select(
+        "booking_id", "ts", "cmd_id", F.when(free, 1).otherwise(0).alias("is_available"))
+    lines = log.filter("kind = 'book'").select("booking_id", F.explode("seat_ids").alias("seat_id"))
+    return events.join(lines, "booking_id").groupBy("seat_id").agg(F.max_by("is_available", F.struct("ts", "cmd_id")).alias("is_available"))

@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.plans.ids import assign_ids
 from marquee.sources.schemas import conform
 
 # Fixed values of the reference's seat-map procedure and controller.
@@ -16,11 +17,6 @@ DEFAULTS = {"n_rows": 5, "seats_per_row": 10, "vip_rows": 1, "premium_rows": 1,
             "regular_price": Decimal("500")}
 
 
-def seat_id_of(show_id, row_no, seat_no):
-    """Seat ids derived from the natural key (show, row, number): unique for <=26 rows and <100 seats."""
-    return show_id.cast("long") * 1000 + (row_no.cast("long") - 1) * 100 + seat_no.cast("long")
-
-
 def seat_map_specs(specs: DataFrame) -> DataFrame:
     """Apply the controller's defaults: an absent or 0 parameter takes the default."""
     out = specs
@@ -31,14 +27,30 @@ def seat_map_specs(specs: DataFrame) -> DataFrame:
               .withColumn("seats_per_row", F.col("seats_per_row").cast("int"))
 
 
+def seat_grid(specs: DataFrame, *keep: str) -> DataFrame:
+    """The seats of each (valid, defaulted) spec without ids: row_no, row letter chr(64 + row), number,
+    type by row band (rows <= vip are VIP, the next premium_rows PREMIUM, the rest REGULAR) and price.
+    One narrow explode per show; ``keep`` names further spec columns to carry."""
+    grid = (specs.withColumn("row_no", F.explode(F.sequence(F.lit(1), F.least(F.col("n_rows"), F.lit(MAX_ROWS)))))
+                 .withColumn("seat_number", F.explode(F.sequence(F.lit(1), F.col("seats_per_row")))))
+    vip = F.col("row_no") <= F.col("vip_rows")
+    prem = F.col("row_no") <= (F.col("vip_rows") + F.col("premium_rows"))
+    return grid.select(
+        F.col("show_id").cast("long").alias("show_id"), F.col("row_no").cast("long").alias("row_no"),
+        F.expr("chr(64 + row_no)").alias("row_letter"), F.col("seat_number").cast("int").alias("seat_number"),
+        F.when(vip, "VIP").when(prem, "PREMIUM").otherwise("REGULAR").alias("seat_type"),
+        F.lit(1).alias("is_available"),
+        F.when(vip, F.col("vip_price")).when(prem, F.col("premium_price"))
+         .otherwise(F.col("regular_price")).cast("decimal(10,2)").alias("price"), *keep)
+
+
 def generate_seat_map(st: dict, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replace the seats of each show in ``specs`` with a generated grid.
 
     Returns ``(new_seats, outcomes)``.  Unknown show or rows/per_row < 1 is an
-    error outcome; rows are capped at 26; row letter is chr(64 + row); row band
-    decides the type: rows <= vip are VIP, the next premium_rows PREMIUM, the rest
-    REGULAR.  Work is one narrow explode per show, no shuffle except the
-    existence check against ``shows``.
+    error outcome; rows are capped at 26.  New seat ids continue the largest
+    existing id (replaced seats included) in (show, row, number) order, so they
+    are unique whatever the rows and seats per row; kept seats keep theirs.
     """
     sp = seat_map_specs(specs)
     known = sp.join(st["shows"].select("show_id"), "show_id", "left_semi")
@@ -53,25 +65,9 @@ def generate_seat_map(st: dict, specs: DataFrame) -> tuple[DataFrame, DataFrame]
                  .otherwise(F.lit(0)).alias("seats_generated"))
     )
     ok = known.filter((F.col("n_rows") >= 1) & (F.col("seats_per_row") >= 1))
-    grid = (ok.withColumn("row_no", F.explode(F.sequence(F.lit(1), F.least(F.col("n_rows"), F.lit(MAX_ROWS)))))
-              .withColumn("seat_number", F.explode(F.sequence(F.lit(1), F.col("seats_per_row")))))
-    vip = F.col("row_no") <= F.col("vip_rows")
-    prem = F.col("row_no") <= (F.col("vip_rows") + F.col("premium_rows"))
-    new = grid.select(
-        seat_id_of(F.col("show_id"), F.col("row_no"), F.col("seat_number")).alias("seat_id"),
-        F.col("show_id").cast("long").alias("show_id"),
-        F.expr("chr(64 + row_no)").alias("row_letter"),
-        F.col("seat_number").cast("int").alias("seat_number"),
-        F.when(vip, "VIP").when(prem, "PREMIUM").otherwise("REGULAR").alias("seat_type"),
-        F.lit(1).alias("is_available"),
-        F.when(vip, F.col("vip_price")).when(prem, F.col("premium_price"))
-         .otherwise(F.col("regular_price")).cast("decimal(10,2)").alias("price"),
-    )
-    # The optimizer sizes explode(sequence(...)) like its small input (a few KB of specs
-    # for millions of seats), so left alone it would broadcast the grid.  The grid is
-    # hash-partitioned by seat_id and hinted shuffle_merge: joins with it are sort-merge
-    # joins on that partitioning (only the other side moves) and it is never broadcast.
-    new = conform(new, "seats").repartition("seat_id").hint("shuffle_merge")
+    start = st["seats"].select(F.coalesce(F.max("seat_id"), F.lit(0))).scalar() if "seats" in st else 0
+    # assign_ids writes the numbered grid once: its size is a file size, so it is broadcast only if really small
+    new = conform(assign_ids(seat_grid(ok), ["show_id", "row_no", "seat_number"], start, "seat_id"), "seats")
     kept = st["seats"].join(ok.select("show_id"), "show_id", "left_anti") if "seats" in st else None
     seats = new if kept is None else conform(kept, "seats").unionByName(new)
     return seats, outcome
@@ -88,11 +84,10 @@ def refresh_availability(st: dict) -> DataFrame:
                 st["bookings"].filter(F.col("booking_status") != "CANCELLED").select("booking_id"),
                 "booking_id", "left_semi")
             .select("seat_id").distinct().withColumn("_taken", F.lit(1)))
-    # the result is as large as the seat table: keep it out of broadcasts downstream
     return conform(
         st["seats"].drop("is_available").join(live, "seat_id", "left")
         .withColumn("is_available", F.when(F.col("_taken").isNull(), 1).otherwise(0)),
-        "seats").hint("shuffle_merge")
+        "seats")
 
 
 def seat_map(st: dict, show_ids: DataFrame | None = None) -> DataFrame:

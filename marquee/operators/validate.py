@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.apply import EMAIL_RE
+from marquee.operators.apply import EMAIL_RE, MIN_PASSWORD
 
 
 def _blank(c: str) -> F.Column:
@@ -26,6 +26,7 @@ RULES = {
     "register": [
         ("Name is required", lambda: _blank("full_name")),
         ("Valid email is required", lambda: ~F.coalesce(F.col("email").rlike(EMAIL_RE), F.lit(False))),
+        ("Password must be at least 6 characters", lambda: ~F.coalesce(F.col("password_length") >= MIN_PASSWORD, F.lit(False))),
     ],
     "booking": [
         ("event_id must be a positive integer", lambda: _not_int_at_least("show_id", 1)),

@@ -66,7 +66,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="marquee-ckpt-")  # tests / local runs only
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="marquee-ckpt-")  # one process: its own folder will do
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 

@@ -13,6 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marquee.plans.lineage import materialize
 from marquee.sources.schemas import conform
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -70,13 +71,29 @@ def mapped_bookings(d: DriverData) -> DataFrame:
     )
 
 
+class BookingState(dict):
+    """Tables by name; a table given as a function is built when first asked for."""
+
+    def __getitem__(self, name):
+        table = super().__getitem__(name)
+        if not isinstance(table, DataFrame):
+            table = self[name] = table()
+        return table
+
+    def __copy__(self) -> BookingState:
+        out = BookingState()
+        for name in self:
+            dict.__setitem__(out, name, dict.__getitem__(self, name))
+        return out
+
+
 def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = True) -> dict:
     """The eleven booking tables over the driver data of ``sf_dir``."""
     from marquee.operators.analytics import avg_rating
-    from marquee.operators.seatmap import generate_seat_map, refresh_availability
+    from marquee.operators.seatmap import seat_grid
 
     d = DriverData(spark, sf_dir)
-    st: dict[str, DataFrame] = {}
+    st = BookingState()
 
     c = d["customer"]
     st["users"] = conform(c.select(
@@ -134,7 +151,7 @@ def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = Tr
     lines = (li.filter(F.col("l_quantity") <= SEATS_PER_ROW)
              .select(F.col("l_orderkey").alias("booking_id"), "l_linenumber", "l_quantity")
              .join(live, "booking_id")
-             .select("booking_id",
+             .select("booking_id", "show_id",
                      (F.col("show_id") * 1000 + (F.col("l_linenumber") - 1) * 100
                       + F.col("l_quantity").cast("long")).alias("seat_id"))
              .distinct())
@@ -170,8 +187,59 @@ def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = Tr
         F.lit(VIP_ROWS).alias("vip_rows"), F.lit(PREMIUM_ROWS).alias("premium_rows"),
         F.lit(VIP_PRICE).alias("vip_price"), F.lit(PREMIUM_PRICE).alias("premium_price"),
         F.lit(REGULAR_PRICE).alias("regular_price"))
-    fresh, _ = generate_seat_map({"shows": shows0.select("show_id")}, specs)
-    st["seats"] = fresh
-    if with_availability:
-        st["seats"] = refresh_availability(st)
+
+    def seats() -> DataFrame:
+        # a show's taken seat ids (at most its 336 seats) meet its spec, and one narrow explode makes the
+        # rows: no seat row is shuffled.  Written once, so that joins see its true size.
+        taken = lines.groupBy("show_id").agg(F.collect_set("seat_id").alias("_taken"))
+        grid = seat_grid(specs.join(taken, "show_id", "left") if with_availability else specs.withColumn("_taken", F.lit(None)), "_taken")
+        sid = F.col("show_id") * 1000 + (F.col("row_no") - 1) * 100 + F.col("seat_number")
+        held = F.coalesce(F.array_contains("_taken", sid), F.lit(False)) if with_availability else F.lit(False)
+        return materialize(conform(grid.withColumn("seat_id", sid).withColumn("is_available", F.when(held, 0).otherwise(1)), "seats"), "seats")
+
+    dict.__setitem__(st, "seats", seats)
     return st
+
+
+def broken_state(spark: SparkSession, sf_dir: str) -> dict:
+    """The mapped tables with every kind of violation planted in some rows of each (audits Q1-Q5)."""
+    st = booking_state(spark, sf_dir)
+
+    def alter(table: str, **cols):
+        """Column -> (key, modulus, remainder, value) or several of them."""
+        out = st[table]
+        for col, rules in cols.items():
+            value = F.col(col)
+            for key, m, r, new in reversed(rules if isinstance(rules, list) else [rules]):
+                value = F.when(F.col(key) % m == r, new).otherwise(value)
+            cols[col] = value.cast(st[table].schema[col].dataType)
+        return out.withColumns(cols)
+
+    none, minus = F.lit(None), F.lit(-1)
+    again = {t: st[t].filter(F.col(k) % m == r) for t, k, m, r in (
+        ("seats", "seat_id", 8000, 4), ("booking_seats", "booking_id", 500, 1), ("booking_food", "booking_id", 450, 3),
+        ("payments", "booking_id", 550, 5), ("reviews", "review_id", 120, 3))}
+    again["categories"] = st["categories"].filter("category_id % 50 = 1").withColumns(
+        {"category_id": F.col("category_id") + 1000000, "category_name": F.upper("category_name")})
+    c = F.col
+    new = {
+        "venues": alter("venues", capacity=("venue_id", 10, 1, F.lit(0)), address=("venue_id", 12, 5, none)),
+        "categories": st["categories"],
+        "users": alter("users", email=("user_id", 50, 1, F.concat(F.lit("U"), (c("user_id") + 1).cast("string"), F.lit("@Example.TEST"))),
+                       full_name=("user_id", 40, 3, none)),
+        "shows": alter("shows", venue_id=("show_id", 30, 1, c("venue_id") + 1000), category_id=("show_id", 30, 7, minus),
+                       base_price=("show_id", 25, 2, minus), avg_rating=("show_id", 35, 6, F.lit(9.5)), title=("show_id", 45, 4, none)),
+        "seats": alter("seats", seat_type=("seat_id", 5000, 1, F.lit("BALCONY")), price=("seat_id", 7000, 2, minus),
+                       show_id=("seat_id", 9000, 3, -c("show_id") - 1)),
+        "bookings": alter("bookings", user_id=("booking_id", 300, 4, F.lit(-5)), show_id=("booking_id", 300, 8, F.lit(-6)),
+                          total_amount=("booking_id", 250, 6, minus),
+                          booking_status=[("booking_id", 200, 3, F.lit("LOST")), ("booking_id", 210, 9, none)]),
+        "booking_seats": alter("booking_seats", booking_id=("booking_id", 400, 12, -c("booking_id")), seat_id=("booking_id", 400, 5, -c("seat_id"))),
+        "food_items": alter("food_items", price=("food_id", 10, 1, minus)),
+        "booking_food": alter("booking_food", booking_id=("booking_id", 350, 13, -c("booking_id")), food_id=("booking_id", 350, 2, F.lit(-7)),
+                              quantity=("booking_id", 300, 1, F.lit(0))),
+        "payments": alter("payments", booking_id=("booking_id", 600, 14, -c("booking_id")), amount=("booking_id", 260, 4, minus),
+                          payment_method=("booking_id", 170, 2, none), payment_status=("booking_id", 150, 1, F.lit("UNKNOWN"))),
+        "reviews": alter("reviews", user_id=("review_id", 110, 7, F.lit(-8)), show_id=("review_id", 110, 9, F.lit(-9)), rating=("review_id", 100, 3, F.lit(9))),
+    }
+    return {t: df.unionByName(again[t]) if t in again else df for t, df in new.items()}

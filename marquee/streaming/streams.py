@@ -28,6 +28,7 @@ from marquee.functions.numeric import rating_round
 from marquee.operators.notices import outbox_messages, outbox_sink, reminders_due
 from marquee.operators.replay import OUTCOME_SCHEMA, ShowLedger
 from marquee.plans.lineage import materialize
+from marquee.plans.paths import exists, latest_version
 from marquee.session import scratch_dir
 
 # Python workers receive this module's functions by value (cloudpickle), so executors
@@ -59,11 +60,16 @@ def stage_stream_source(df: DataFrame, ts_col: str, path: str, slices: int = 4,
         slice_no = slice_no + F.when(ts_long >= b, 1).otherwise(0)
     tagged = df.withColumn("_slice", slice_no)
     counts = {r["_slice"]: r["n"] for r in tagged.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).collect()}
-    want = files_per_slice or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    f = max(1, min([want] + list(counts.values()))) if counts else 1
-    for i in range(len(bounds) + 1):
-        if counts.get(i):
-            tagged.filter(F.col("_slice") == i).drop("_slice").repartition(f).write.mode("append").parquet(path)
+    f = min(files_per_slice or int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, sum(counts.values())))
+    groups, group, rows = [], [], 0  # neighbouring thin slices are one, so that each fills its f files
+    for i in sorted(counts):
+        group, rows = [*group, i], rows + counts[i]
+        if rows >= f:
+            groups, group, rows = [*groups, group], [], 0
+    if group:
+        groups = [*groups[:-1], [*(groups[-1] if groups else []), *group]]
+    for group in groups:
+        tagged.filter(F.col("_slice").isin(group)).drop("_slice").repartition(f).write.mode("append").parquet(path)
     return path, f
 
 
@@ -175,7 +181,11 @@ def stream_hold_expiry(holds: DataFrame, confirms: DataFrame, hold: str = HOLD_L
                                  F.col("ts").alias("hold_ts")), "hold_ts", watermark).withColumnRenamed("_et", "h_et")
     c = _event_time(confirms.select(F.col("event_id").alias("confirm_id"), F.col("user_id").alias("c_user"),
                                     F.col("ts").alias("confirm_ts")), "confirm_ts", watermark).withColumnRenamed("_et", "c_et")
-    cond = ((F.col("h_user") == F.col("c_user")) & (F.col("c_et") >= F.col("h_et"))
+    # time bins of the hold's length: a confirmation can only meet holds of its own bin and the one before,
+    # so a busy client's views and purchases are dealt out by bin
+    h = h.withColumn("h_bin", F.window("h_et", hold).start)
+    c = c.withColumn("c_bin", F.explode(F.array(F.window("c_et", hold).start, F.window("c_et", hold).start - F.expr(f"INTERVAL {hold}"))))
+    cond = ((F.col("h_user") == F.col("c_user")) & (F.col("h_bin") == F.col("c_bin")) & (F.col("c_et") >= F.col("h_et"))
             & (F.col("c_et") <= F.col("h_et") + F.expr(f"INTERVAL {hold}")))
     j = h.join(c, cond, "leftOuter")
     return j.filter(F.col("confirm_id").isNull()).select("hold_id", F.col("h_user").alias("user_id"), "hold_ts")
@@ -200,11 +210,8 @@ def run_reminders(st: dict, as_of, log_path: str, outbox_path: str | None = None
     A crash between the two writes re-sends nothing: the log is the source of truth."""
     spark = st["bookings"].sparkSession
     due = reminders_due(st, as_of)
-    try:
-        sent = spark.read.parquet(log_path).select("booking_id")
-        due = due.join(sent, "booking_id", "left_anti")
-    except Exception:  # noqa: BLE001 - first run: no log yet
-        pass
+    if exists(spark, log_path):
+        due = due.join(spark.read.parquet(log_path).select("booking_id"), "booking_id", "left_anti")
     new = materialize(due.withColumn("sent_as_of", F.lit(str(as_of)).cast("timestamp_ntz")), "reminders-due")
     if outbox_path:
         outbox_sink(outbox_messages(new, "reminder"), outbox_path)
@@ -215,6 +222,11 @@ def run_reminders(st: dict, as_of, log_path: str, outbox_path: str | None = None
 # --------------------------------------------------------------------------
 # Messages after commits
 # --------------------------------------------------------------------------
+def stream_registrations(users: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """A welcome message per new user; a user seen again within the watermark is not welcomed twice."""
+    return outbox_messages(_event_time(users, "created_at", watermark).dropDuplicatesWithinWatermark(["user_id"]), "welcome")
+
+
 def stream_outbox(bookings: DataFrame, st: dict, watermark: str = "1 day") -> DataFrame:
     """A confirmation message per CONFIRMED booking and a cancellation message per
     CANCELLED one, built by stream-static joins (users, shows, pre-aggregated seat
@@ -238,15 +250,17 @@ def stream_outbox(bookings: DataFrame, st: dict, watermark: str = "1 day") -> Da
 # --------------------------------------------------------------------------
 def stream_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run ``stream`` to completion into Parquet under the checkpoint dir; read the result back.
-    ``append`` uses the exactly-once file sink; ``complete`` rewrites the table each batch."""
+    ``append`` uses the exactly-once file sink; ``complete`` writes a version per batch."""
     base = scratch_dir(spark, name)
     out, ck = os.path.join(base, "out"), os.path.join(base, "_checkpoint")
     if mode == "append":
         run_available_now(stream.writeStream.outputMode("append").format("parquet").option("path", out), ck)
     else:
-        def overwrite(df, _epoch):
-            df.write.mode("overwrite").parquet(out)
-        run_available_now(stream.writeStream.outputMode(mode).foreachBatch(overwrite), ck)
+        def version(df, epoch):  # a failed write leaves the version before it whole
+            df.write.mode("overwrite").parquet(_version(base, "out", epoch))
+        run_available_now(stream.writeStream.outputMode(mode).foreachBatch(version), ck)
+        last = latest_version(spark, out)
+        return spark.createDataFrame([], stream.schema) if last is None else spark.read.schema(stream.schema).parquet(_version(base, "out", last))
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -296,12 +310,7 @@ def stream_rating_upkeep(spark: SparkSession, events: DataFrame, reviews: DataFr
     reviews.write.mode("overwrite").parquet(_version(root, "reviews", "init"))
     avg_rating({"reviews": reviews, "shows": reviews.select("show_id").distinct()}) \
         .write.mode("overwrite").parquet(_version(root, "ratings", "init"))
-    epochs: list[int] = []
-
-    def body(df, epoch_id):
-        rating_upkeep_batch(spark, df, epoch_id, root)
-        epochs.append(epoch_id)
-
-    run_available_now(events.writeStream.foreachBatch(body), os.path.join(root, "_checkpoint"))
-    latest = max(epochs) if epochs else "init"
-    return spark.read.parquet(_version(root, "ratings", latest))
+    run_available_now(events.writeStream.foreachBatch(lambda df, epoch: rating_upkeep_batch(spark, df, epoch, root)),
+                      os.path.join(root, "_checkpoint"))
+    latest = latest_version(spark, os.path.join(root, "ratings"))  # also after a restart without new data
+    return spark.read.parquet(_version(root, "ratings", "init" if latest is None else latest))

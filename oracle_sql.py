@@ -9,6 +9,8 @@ double), every output column cast to the same type the Spark query emits.
 
 from __future__ import annotations
 
+import re
+
 # --------------------------------------------------------------------------
 # booking-shaped tables over the driver tables (FIXTURES.md section 3)
 # --------------------------------------------------------------------------
@@ -122,7 +124,7 @@ _REVIEW_REQ = r"""
 review_req_ AS (
   SELECT b.booking_id * 10 + c.c AS request_id, b.user_id, b.show_id
   FROM bookings b, range(1, 3) c(c)
-  WHERE b.booking_id % 3 = 0 AND (c.c = 1 OR b.booking_id % 15 = 0))
+  WHERE c.c = 1 OR b.booking_id % 15 = 0)
 """
 _ACCESS = r"""
 access_ AS (
@@ -399,8 +401,8 @@ FROM bookings b LEFT JOIN (
   WHERE b.booking_status = 'CONFIRMED' AND e.show_date = {_AS_OF} + 1 AND coalesce(b.reminder_sent, 0) = 0) d
   ON d.booking_id = b.booking_id""")
 
-_WRAP_A = '<div style="font-family:Arial,sans-serif;max-width:600px;margin:0 auto"><h1>Box Office</h1><div style="padding:24px">'
-_WRAP_B = "</div></div>"
+_WRAP_A = '<section><header>Box Office</header>'
+_WRAP_B = '</section>'
 ORACLE["outbox_messages"] = q(f"""
 SELECT email AS "to", 'Welcome to Box Office!' AS subject,
        '{_WRAP_A}' || '<h2>Welcome, ' || full_name || '!</h2><p>Your account is ready.</p>' || '{_WRAP_B}' AS html,
@@ -504,7 +506,7 @@ qr_ AS (
   SELECT booking_id * 10 + 8 AS request_id, booking_date + INTERVAL 3 HOUR AS requested_at, user_id, show_id,
          show_id * 1000 + (booking_id % 7) * 100 + 1 + booking_id % 48 AS s1, booking_id % 1200 AS food_id,
          booking_id % 3 AS qty
-  FROM bookings WHERE booking_id % 11 = 0),
+  FROM bookings),
 qc_ AS (
   SELECT q.*, [q.s1, q.s1 + 1] AS seats, (x1.seat_id IS NOT NULL AND x2.seat_id IS NOT NULL) AS seat_ok,
          x1.price + x2.price AS seat_total,
@@ -551,11 +553,11 @@ rr_ AS (
          CASE WHEN c_custkey % 97 = 0 THEN NULL ELSE c_name END AS full_name,
          CASE WHEN c_custkey % 50 = 0 THEN 'U' || c_custkey || '@example.test'
               ELSE (CASE WHEN c_custkey % 2 = 0 THEN 'New' ELSE 'new' END) || (c_custkey // 2) || '@Example.test'
-         END AS email
+         END AS email, CASE WHEN c_custkey % 89 = 0 THEN 5 ELSE 6 + c_custkey % 7 END AS pw
   FROM customer),
 rv_ AS (
   SELECT r.*, (coalesce(length(trim(full_name)), 0) > 0
-               AND coalesce(regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$'), false)) AS valid,
+               AND coalesce(regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$'), false) AND pw >= 6) AS valid,
          lower(email) IN (SELECT lower(email) FROM users) AS known
   FROM rr_ r),
 rf_ AS (SELECT request_id, row_number() OVER (PARTITION BY lower(email) ORDER BY requested_at, request_id) = 1 AS first
@@ -570,26 +572,26 @@ FROM cj_ j LEFT JOIN cf_ f USING (request_id)""", """
 cr_ AS (
   SELECT booking_id * 10 + 3 AS request_id, booking_date + INTERVAL 2 DAY AS requested_at,
          CASE WHEN booking_id % 49 = 0 THEN -booking_id - 1 ELSE booking_id END AS booking_id,
-         CASE WHEN booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
-  FROM bookings WHERE booking_id % 7 = 0),
+         CASE WHEN booking_id % 7 <> 0 OR booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
+  FROM bookings),
 cj_ AS (SELECT r.*, r.actor_id % 100 = 0 AS adm, b.user_id AS owner, b.booking_status AS st
         FROM cr_ r LEFT JOIN bookings b USING (booking_id)),
 cf_ AS (SELECT request_id, row_number() OVER (PARTITION BY booking_id ORDER BY requested_at, request_id) = 1 AS first
-        FROM cj_ WHERE owner IS NOT NULL AND (owner = actor_id OR adm))
+        FROM cj_ WHERE owner IS NOT NULL AND (coalesce(owner = actor_id, false) OR coalesce(adm, false)))
 """)
 
 _PAY = """
 pr_ AS (
   SELECT b.booking_id * 10 + 5 + c.c AS request_id, b.booking_date + to_hours(c.c) AS requested_at, b.booking_id,
-         CASE WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
-         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 45 = 0 THEN 'REFUNDED'
+         CASE WHEN b.booking_id % 65 = 0 THEN NULL WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
+         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 5 <> 0 OR b.booking_id % 45 = 0 THEN 'REFUNDED'
               WHEN b.booking_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS payment_status,
          CASE WHEN b.booking_id % 20 = 0 THEN NULL ELSE 'Credit Card' END AS payment_method
-  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)),
+  FROM bookings b, range(1, 3) c(c) WHERE c.c = 1 OR b.booking_id % 25 = 0),
 po_ AS (
   SELECT r.*, CASE WHEN r.payment_status NOT IN ('SUCCESS', 'FAILED') THEN 'INVALID_STATUS'
                    WHEN p.booking_id IS NULL THEN 'NOT_FOUND'
-                   WHEN NOT (b.user_id = r.actor_id OR r.actor_id % 100 = 0) THEN 'FORBIDDEN'
+                   WHEN NOT (coalesce(b.user_id = r.actor_id, false) OR coalesce(r.actor_id % 100 = 0, false)) THEN 'FORBIDDEN'
                    ELSE 'APPLIED' END AS outcome
   FROM pr_ r LEFT JOIN payments p USING (booking_id) LEFT JOIN bookings b USING (booking_id)),
 la_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY booking_id ORDER BY requested_at DESC, request_id DESC) AS rn
@@ -632,7 +634,7 @@ vr_ AS (
   SELECT b.booking_id * 10 + c.c AS request_id, b.booking_date + to_hours(CAST(24 * 31 + c.c AS BIGINT)) AS requested_at,
          b.user_id, b.show_id,
          CASE WHEN b.booking_id % 33 = 0 THEN 6 ELSE 1 + (b.booking_id // 7) % 5 END AS rating
-  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 3 = 0 AND (c.c = 1 OR b.booking_id % 15 = 0)),
+  FROM bookings b, range(1, 3) c(c) WHERE c.c = 1 OR b.booking_id % 15 = 0),
 vj_ AS (
   SELECT r.*, r.rating BETWEEN 1 AND 5 AS rate_ok,
          EXISTS (SELECT 1 FROM bookings b WHERE b.user_id = r.user_id AND b.show_id = r.show_id
@@ -651,13 +653,13 @@ FROM uo_ o LEFT JOIN reviews v ON v.review_id = o.review_id LEFT JOIN ul_ l ON l
 ur_ AS (
   SELECT review_id * 10 + 2 AS request_id, reviewed_at + INTERVAL 1 DAY AS requested_at,
          CASE WHEN review_id % 20 = 0 THEN -review_id - 1 ELSE review_id END AS review_id,
-         CASE WHEN review_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS actor_id,
+         CASE WHEN review_id % 4 = 1 THEN NULL WHEN review_id % 8 = 4 THEN user_id ELSE user_id + 1 END AS actor_id,
          CAST(CASE WHEN review_id % 12 = 0 THEN 0 ELSE rating % 5 + 1 END AS INTEGER) AS rating,
          'Edited ' || review_id AS comment
-  FROM reviews WHERE review_id % 4 = 0),
+  FROM reviews),
 uo_ AS (
   SELECT r.*, CASE WHEN NOT (r.rating BETWEEN 1 AND 5) THEN 'INVALID' WHEN v.review_id IS NULL THEN 'NOT_FOUND'
-                   WHEN v.user_id <> r.actor_id THEN 'FORBIDDEN' ELSE 'UPDATED' END AS outcome
+                   WHEN v.user_id = r.actor_id THEN 'UPDATED' ELSE 'FORBIDDEN' END AS outcome
   FROM ur_ r LEFT JOIN reviews v USING (review_id)),
 ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY requested_at DESC, request_id DESC) AS rn
                        FROM uo_ WHERE outcome = 'UPDATED') WHERE rn = 1)
@@ -666,8 +668,8 @@ ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER
 _DEL_REV = """
 dr_ AS (
   SELECT review_id * 10 + 3 + c.c AS request_id, reviewed_at + to_days(CAST(2 + c.c AS INTEGER)) AS requested_at, review_id,
-         CASE WHEN review_id % 10 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
-  FROM reviews, range(1, 3) c(c) WHERE review_id % 5 = 0 AND (c.c = 1 OR review_id % 35 = 0)),
+         CASE WHEN review_id % 5 = 1 THEN NULL WHEN review_id % 10 = 5 THEN user_id ELSE user_id + 1 END AS actor_id
+  FROM reviews, range(1, 3) c(c) WHERE c.c = 1 OR review_id % 35 = 0),
 dj_ AS (SELECT r.*, v.user_id AS owner FROM dr_ r LEFT JOIN reviews v USING (review_id)),
 df_ AS (SELECT request_id, row_number() OVER (PARTITION BY review_id ORDER BY requested_at, request_id) = 1 AS first
         FROM dj_ WHERE owner IS NOT NULL AND (owner = actor_id OR actor_id % 100 = 0)),
@@ -690,16 +692,19 @@ sp_ AS (
   SELECT CASE WHEN p_partkey % 70 = 0 THEN -p_partkey - 1 ELSE p_partkey END AS show_id,
          CASE WHEN p_partkey % 90 = 0 THEN -1 WHEN p_partkey % 20 = 0 THEN 30 ELSE p_partkey % 9 END AS nr0,
          p_partkey % 13 AS pr0, p_partkey % 3 AS vr0
-  FROM part WHERE p_partkey % 10 = 0),
+  FROM part),
 sd_ AS (SELECT show_id, CASE WHEN nr0 = 0 THEN 5 ELSE nr0 END AS nr, CASE WHEN pr0 = 0 THEN 10 ELSE pr0 END AS pr,
                CASE WHEN vr0 = 0 THEN 1 ELSE vr0 END AS vr, 2 AS pm FROM sp_),
 ok_ AS (SELECT d.* FROM sd_ d WHERE d.show_id IN (SELECT show_id FROM shows) AND d.nr >= 1 AND d.pr >= 1)
 """
 ORACLE["generate_seat_map"] = q("""
-SELECT show_id * 1000 + (r - 1) * 100 + n AS seat_id, show_id, chr(CAST(64 + r AS INTEGER)) AS row_letter,
-       CAST(n AS INTEGER) AS seat_number,
-       CASE WHEN r <= vr THEN 'VIP' WHEN r <= vr + pm THEN 'PREMIUM' ELSE 'REGULAR' END AS seat_type, 1 AS is_available,
-       CAST(CASE WHEN r <= vr THEN 1200 WHEN r <= vr + pm THEN 800 ELSE 500 END AS DECIMAL(10,2)) AS price
+SELECT seat_id, show_id, row_letter, seat_number, seat_type, is_available, price FROM seats
+WHERE show_id NOT IN (SELECT show_id FROM ok_)
+UNION ALL
+SELECT (SELECT max(seat_id) FROM seats) + row_number() OVER (ORDER BY show_id, r, n), show_id,
+       chr(CAST(64 + r AS INTEGER)), CAST(n AS INTEGER),
+       CASE WHEN r <= vr THEN 'VIP' WHEN r <= vr + pm THEN 'PREMIUM' ELSE 'REGULAR' END, 1,
+       CAST(CASE WHEN r <= vr THEN 1200 WHEN r <= vr + pm THEN 800 ELSE 500 END AS DECIMAL(10,2))
 FROM (SELECT show_id, vr, pm, r, unnest(range(1, pr + 1)) AS n
       FROM (SELECT show_id, vr, pm, pr, unnest(range(1, least(nr, 26) + 1)) AS r FROM ok_))""", _SEATMAP)
 
@@ -717,22 +722,32 @@ SELECT request_id, title, outcome,
             + row_number() OVER (PARTITION BY outcome = 'CREATED' ORDER BY requested_at, request_id) END AS BIGINT) AS show_id
 FROM (SELECT p_partkey * 10 + 9 AS request_id, TIMESTAMP '2001-03-01 00:00:00' + to_minutes(p_partkey) AS requested_at,
              p_name || ' (encore)' AS title,
-             CASE WHEN p_partkey % 300 = 0 THEN 'INVALID' ELSE 'CREATED' END AS outcome
-      FROM part WHERE p_partkey % 100 = 0)""")
-
+             CASE WHEN p_partkey % 300 = 0 THEN 'INVALID' WHEN p_partkey % 7 = 0 THEN 'INVALID_REFERENCE' ELSE 'CREATED' END
+               AS outcome
+      FROM part)""")
+
+_PATCH = """
+pt_ AS (
+  SELECT p_partkey * 10 + 7 AS request_id, CASE WHEN p_partkey % 70 = 0 THEN -p_partkey - 1 ELSE p_partkey END AS show_id,
+         p_partkey AS k, p_name, p_retailprice,
+         CASE WHEN p_partkey % 50 = 0 OR p_partkey % 10 > 5 THEN 'NO_FIELDS'
+              WHEN p_partkey % 70 = 0 THEN 'UPDATED'
+              WHEN p_partkey % 10 IN (1, 3, 4) THEN 'INVALID'
+              WHEN p_partkey % 10 = 2 THEN 'INVALID_REFERENCE' ELSE 'UPDATED' END AS outcome
+  FROM part)
+"""
 ORACLE["update_shows"] = q("""
 SELECT s.show_id,
-       CASE WHEN p.k % 20 = 0 AND p.k % 50 <> 0 THEN upper(p.p_name) ELSE s.title END AS title,
-       CASE WHEN p.k % 40 = 0 AND p.k % 50 <> 0 THEN NULL ELSE s.description END AS description,
+       CASE WHEN p.k % 20 = 0 THEN upper(p.p_name) ELSE s.title END AS title,
+       CASE WHEN p.k % 40 = 0 THEN NULL ELSE s.description END AS description,
        s.show_date,
-       CASE WHEN p.k % 20 <> 0 AND p.k % 30 <> 0 AND p.k % 40 <> 0 AND p.k % 50 <> 0 THEN '20:30:00'
+       CASE WHEN p.k % 10 = 0 AND p.k % 20 <> 0 AND p.k % 30 <> 0 AND p.k % 40 <> 0 THEN '20:30:00'
             ELSE s.show_time END AS show_time,
-       s.venue_id, s.category_id,
-       CASE WHEN p.k % 30 = 0 AND p.k % 50 <> 0 THEN CAST(p.p_retailprice + 1 AS DECIMAL(10,2)) ELSE s.base_price END
-         AS base_price,
+       CASE WHEN p.k % 10 = 5 THEN CAST(p.k % 25 AS BIGINT) ELSE s.venue_id END AS venue_id, s.category_id,
+       CASE WHEN p.k % 30 = 0 THEN CAST(p.p_retailprice + 1 AS DECIMAL(10,2)) ELSE s.base_price END AS base_price,
        s.avg_rating
-FROM shows s LEFT JOIN (SELECT p_partkey AS k, p_name, p_retailprice FROM part
-                        WHERE p_partkey % 10 = 0 AND p_partkey % 70 <> 0) p ON p.k = s.show_id""")
+FROM shows s LEFT JOIN (SELECT * FROM pt_ WHERE outcome = 'UPDATED') p ON p.show_id = s.show_id""", _PATCH)
+ORACLE["update_shows_outcomes"] = q("SELECT request_id, show_id, outcome FROM pt_", _PATCH)
 
 ORACLE["delete_shows"] = q("""
 SELECT CASE WHEN show_id IN (SELECT show_id FROM shows) THEN 'DELETED' ELSE 'NOT_FOUND' END AS item, count(*) AS n
@@ -746,7 +761,8 @@ UNION ALL SELECT 'booking_seats', count(*) FROM booking_seats WHERE booking_id N
 UNION ALL SELECT 'booking_food', count(*) FROM booking_food WHERE booking_id NOT IN (SELECT booking_id FROM gb_)""", """
 gs_ AS (SELECT show_id FROM shows WHERE show_id IN (SELECT p_partkey FROM part WHERE p_partkey % 25 = 0)),
 gb_ AS (SELECT booking_id FROM bookings WHERE show_id IN (SELECT show_id FROM gs_)),
-rq_ AS (SELECT p_partkey * 10 + 4 AS request_id, p_partkey AS show_id FROM part WHERE p_partkey % 25 = 0
+rq_ AS (SELECT p_partkey * 10 + 4 AS request_id,
+               CASE WHEN p_partkey % 25 = 0 THEN p_partkey ELSE -p_partkey - 1 END AS show_id FROM part
         UNION ALL
         SELECT p_partkey * 10 + 5, -p_partkey - 1 FROM part WHERE p_partkey % 100 = 0)
 """)
@@ -759,7 +775,7 @@ SELECT request_id, food_name, outcome,
 FROM (SELECT s_suppkey * 10 + 1 AS request_id, TIMESTAMP '2001-04-01 00:00:00' + to_minutes(s_suppkey) AS requested_at,
              'Snack ' || s_suppkey AS food_name,
              CASE WHEN s_suppkey % 30 = 0 THEN 'INVALID' ELSE 'CREATED' END AS outcome
-      FROM supplier WHERE s_suppkey % 10 = 0)""")
+      FROM supplier)""")
 
 # --------------------------------------------------------------------------
 # audits, validation, paging, sinks
@@ -840,11 +856,66 @@ def _not_null_sql() -> str:
         for t, (pk, cols) in _NOT_NULL.items() for c in cols)
 
 
-ORACLE["audit_unique"] = q(_unique_sql())
-ORACLE["audit_fk"] = q(_fk_sql())
-ORACLE["audit_check"] = q(_check_sql())
-ORACLE["audit_not_null"] = q(_not_null_sql())
-ORACLE["audit_domain"] = q("""
+# the audited state: the mapped tables with every kind of violation planted
+_BROKEN = """
+x_venues AS (SELECT * REPLACE (CASE WHEN venue_id % 10 = 1 THEN 0 ELSE capacity END AS capacity,
+                               CASE WHEN venue_id % 12 = 5 THEN NULL ELSE address END AS address) FROM venues),
+x_categories AS (SELECT * FROM categories
+                 UNION ALL SELECT category_id + 1000000, upper(category_name), description FROM categories WHERE category_id % 50 = 1),
+x_users AS (SELECT * REPLACE (CASE WHEN user_id % 50 = 1 THEN 'U' || (user_id + 1) || '@Example.TEST' ELSE email END AS email,
+                              CASE WHEN user_id % 40 = 3 THEN NULL ELSE full_name END AS full_name) FROM users),
+x_shows AS (SELECT * REPLACE (CASE WHEN show_id % 30 = 1 THEN venue_id + 1000 ELSE venue_id END AS venue_id,
+                              CASE WHEN show_id % 30 = 7 THEN -1 ELSE category_id END AS category_id,
+                              CASE WHEN show_id % 25 = 2 THEN CAST(-1 AS DECIMAL(10,2)) ELSE base_price END AS base_price,
+                              CASE WHEN show_id % 35 = 6 THEN CAST(9.5 AS DECIMAL(3,2)) ELSE avg_rating END AS avg_rating,
+                              CASE WHEN show_id % 45 = 4 THEN NULL ELSE title END AS title) FROM shows),
+x_seats AS (SELECT * REPLACE (CASE WHEN seat_id % 5000 = 1 THEN 'BALCONY' ELSE seat_type END AS seat_type,
+                              CASE WHEN seat_id % 7000 = 2 THEN CAST(-1 AS DECIMAL(10,2)) ELSE price END AS price,
+                              CASE WHEN seat_id % 9000 = 3 THEN -show_id - 1 ELSE show_id END AS show_id) FROM seats
+            UNION ALL SELECT * FROM seats WHERE seat_id % 8000 = 4),
+x_bookings AS (SELECT booking_id, CASE WHEN booking_id % 300 = 4 THEN -5 ELSE user_id END AS user_id,
+                      CASE WHEN booking_id % 300 = 8 THEN -6 ELSE show_id END AS show_id, booking_date,
+                      CASE WHEN booking_id % 250 = 6 THEN CAST(-1 AS DECIMAL(10,2)) ELSE total_amount END AS total_amount,
+                      CASE WHEN booking_id % 200 = 3 THEN 'LOST' WHEN booking_id % 210 = 9 THEN NULL ELSE booking_status END AS booking_status,
+                      reminder_sent FROM bookings),
+x_booking_seats AS (SELECT bs_id, CASE WHEN booking_id % 400 = 12 THEN -booking_id ELSE booking_id END AS booking_id,
+                           CASE WHEN booking_id % 400 = 5 THEN -seat_id ELSE seat_id END AS seat_id FROM booking_seats
+                    UNION ALL SELECT * FROM booking_seats WHERE booking_id % 500 = 1),
+x_food_items AS (SELECT * REPLACE (CASE WHEN food_id % 10 = 1 THEN CAST(-1 AS DECIMAL(8,2)) ELSE price END AS price) FROM food_items),
+x_booking_food AS (SELECT bf_id, CASE WHEN booking_id % 350 = 13 THEN -booking_id ELSE booking_id END AS booking_id,
+                          CASE WHEN booking_id % 350 = 2 THEN -7 ELSE food_id END AS food_id,
+                          CASE WHEN booking_id % 300 = 1 THEN 0 ELSE quantity END AS quantity FROM booking_food
+                   UNION ALL SELECT bf_id, booking_id, food_id, quantity FROM booking_food WHERE booking_id % 450 = 3),
+x_payments AS (SELECT payment_id, CASE WHEN booking_id % 600 = 14 THEN -booking_id ELSE booking_id END AS booking_id,
+                      CASE WHEN booking_id % 260 = 4 THEN CAST(-1 AS DECIMAL(10,2)) ELSE amount END AS amount,
+                      CASE WHEN booking_id % 170 = 2 THEN NULL ELSE payment_method END AS payment_method,
+                      CASE WHEN booking_id % 150 = 1 THEN 'UNKNOWN' ELSE payment_status END AS payment_status, paid_at FROM payments
+               UNION ALL SELECT payment_id, booking_id, amount, payment_method, payment_status, paid_at FROM payments WHERE booking_id % 550 = 5),
+x_reviews AS (SELECT review_id, CASE WHEN review_id % 110 = 7 THEN -8 ELSE user_id END AS user_id,
+                     CASE WHEN review_id % 110 = 9 THEN -9 ELSE show_id END AS show_id,
+                     CASE WHEN review_id % 100 = 3 THEN 9 ELSE rating END AS rating, comment, reviewed_at FROM reviews
+              UNION ALL SELECT review_id, user_id, show_id, rating, comment, reviewed_at FROM reviews WHERE review_id % 120 = 3)
+"""
+
+
+def _broken(sql: str) -> str:
+    """The statement over the broken tables."""
+    names = "|".join(sorted(_NOT_NULL, key=len, reverse=True))
+    return q(re.sub(rf"\bFROM ({names})\b", r"FROM x_\1", sql), _BROKEN)
+
+
+ORACLE["audit_unique"] = _broken(_unique_sql())
+ORACLE["audit_fk"] = _broken(_fk_sql())
+ORACLE["audit_check"] = _broken(_check_sql())
+ORACLE["audit_not_null"] = _broken(_not_null_sql())
+ORACLE["audit_rows"] = _broken(_check_sql() + "\nUNION ALL\n" + _not_null_sql() + """
+UNION ALL
+SELECT 'domain(seat_type)', 'seats', CAST(seat_id AS VARCHAR), 'seat_type=' || seat_type FROM seats
+WHERE seat_type NOT IN ('VIP', 'PREMIUM', 'REGULAR')
+UNION ALL
+SELECT 'domain(payment_status)', 'payments', CAST(payment_id AS VARCHAR), 'payment_status=' || payment_status
+FROM payments WHERE payment_status NOT IN ('PENDING', 'SUCCESS', 'FAILED')""")
+ORACLE["audit_domain"] = _broken("""
 SELECT 'domain(seat_type)' AS rule, 'seats' AS table_name, CAST(seat_id AS VARCHAR) AS row_key,
        'seat_type=' || seat_type AS detail FROM seats WHERE seat_type NOT IN ('VIP', 'PREMIUM', 'REGULAR')
 UNION ALL
@@ -902,22 +973,24 @@ SELECT 'review', b.booking_id * 10 + c.c,
        b.show_id >= 1 AND NOT (b.booking_id % 33 = 0),
        concat_ws('; ', CASE WHEN b.show_id < 1 THEN 'event_id is required' END,
                        CASE WHEN b.booking_id % 33 = 0 THEN 'Rating must be 1–5' END)
-FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 3 = 0 AND (c.c = 1 OR b.booking_id % 15 = 0)
+FROM bookings b, range(1, 3) c(c) WHERE c.c = 1 OR b.booking_id % 15 = 0
 UNION ALL
-SELECT 'register', c_custkey, c_custkey % 97 <> 0, CASE WHEN c_custkey % 97 = 0 THEN 'Name is required' ELSE '' END
+SELECT 'register', c_custkey, c_custkey % 97 <> 0 AND c_custkey % 89 <> 0,
+       concat_ws('; ', CASE WHEN c_custkey % 97 = 0 THEN 'Name is required' END,
+                       CASE WHEN c_custkey % 89 = 0 THEN 'Password must be at least 6 characters' END)
 FROM customer
 UNION ALL
-SELECT 'payment', b.booking_id * 10 + 5 + c.c, NOT (c.c = 1 AND b.booking_id % 45 = 0),
-       CASE WHEN c.c = 1 AND b.booking_id % 45 = 0 THEN 'payment_status must be SUCCESS or FAILED' ELSE '' END
-FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)
+SELECT 'payment', b.booking_id * 10 + 5 + c.c, NOT (c.c = 1 AND (b.booking_id % 5 <> 0 OR b.booking_id % 45 = 0)),
+       CASE WHEN c.c = 1 AND (b.booking_id % 5 <> 0 OR b.booking_id % 45 = 0) THEN 'payment_status must be SUCCESS or FAILED' ELSE '' END
+FROM bookings b, range(1, 3) c(c) WHERE c.c = 1 OR b.booking_id % 25 = 0
 UNION ALL
 SELECT 'show', p_partkey * 10 + 9, p_partkey % 300 <> 0,
        CASE WHEN p_partkey % 300 = 0 THEN 'base_price required' ELSE '' END
-FROM part WHERE p_partkey % 100 = 0
+FROM part
 UNION ALL
 SELECT 'food', s_suppkey * 10 + 1, s_suppkey % 30 <> 0,
        CASE WHEN s_suppkey % 30 = 0 THEN 'food_name and price are required' ELSE '' END
-FROM supplier WHERE s_suppkey % 10 = 0""")
+FROM supplier""")
 
 ORACLE["paged"] = q("""
 SELECT b.booking_id, b.user_id, u.full_name, u.email, b.show_id, e.title, b.booking_date, b.total_amount,
@@ -957,7 +1030,7 @@ w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, user_id, scope
 SELECT window_start, window_start + INTERVAL 15 MINUTE AS window_end, user_id, scope, requests,
        CASE WHEN scope = 'auth' THEN 100 ELSE 5000 END AS request_limit,
        requests > CASE WHEN scope = 'auth' THEN 100 ELSE 5000 END AS over_limit
-FROM w WHERE window_start + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+FROM w"""
 
 ORACLE["stream_reminders"] = q(f"""
 SELECT DISTINCT b.booking_id, u.user_id, u.email, e.show_id, TIMESTAMP '1995-03-01 00:00:00' AS sent_as_of
@@ -994,7 +1067,7 @@ LEFT JOIN payments p ON p.booking_id = b.booking_id
 LEFT JOIN (SELECT booking_id, count(*) AS n FROM seat_lines_ GROUP BY 1) sl ON sl.booking_id = b.booking_id
 LEFT JOIN (SELECT bf.booking_id, count(*) AS n FROM booking_food bf JOIN food_items f ON f.food_id = bf.food_id
            GROUP BY 1) fl ON fl.booking_id = b.booking_id
-WHERE b.booking_id IN (SELECT booking_id FROM bookings WHERE booking_id % 5 = 0)""", _SEAT_LINES)
+WHERE true""", _SEAT_LINES)
 
 ORACLE["stream_rating_upkeep"] = q("""
 SELECT show_id,
@@ -1007,28 +1080,21 @@ GROUP BY show_id""", """
 ur_ AS (
   SELECT review_id * 10 + 2 AS request_id, reviewed_at + INTERVAL 1 DAY AS requested_at,
          CASE WHEN review_id % 20 = 0 THEN -review_id - 1 ELSE review_id END AS review_id,
-         CASE WHEN review_id % 8 = 0 THEN user_id + 1 ELSE user_id END AS actor_id,
+         CASE WHEN review_id % 4 = 1 THEN NULL WHEN review_id % 8 = 4 THEN user_id ELSE user_id + 1 END AS actor_id,
          CAST(CASE WHEN review_id % 12 = 0 THEN 0 ELSE rating % 5 + 1 END AS INTEGER) AS rating
-  FROM reviews WHERE review_id % 4 = 0),
+  FROM reviews),
 uo_ AS (
   SELECT r.*, CASE WHEN NOT (r.rating BETWEEN 1 AND 5) THEN 'INVALID' WHEN v.review_id IS NULL THEN 'NOT_FOUND'
-                   WHEN v.user_id <> r.actor_id THEN 'FORBIDDEN' ELSE 'UPDATED' END AS outcome
+                   WHEN v.user_id = r.actor_id THEN 'UPDATED' ELSE 'FORBIDDEN' END AS outcome
   FROM ur_ r LEFT JOIN reviews v USING (review_id)),
 ul_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY requested_at DESC, request_id DESC) AS rn
                        FROM uo_ WHERE outcome = 'UPDATED') WHERE rn = 1),
 """ + _DEL_REV.strip())
 
-# A hold is emitted as expired once the global watermark (the minimum of both sides'
-# max event time - 10 minutes, at millisecond precision) passes hold_ts + 5 minutes.
 ORACLE["stream_hold_expiry"] = """
-WITH h AS (SELECT event_id AS hold_id, user_id, ts AS hold_ts FROM events WHERE event_type = 'view'),
-c AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
-wm AS (SELECT least(date_trunc('millisecond', (SELECT max(hold_ts) FROM h)),
-                    date_trunc('millisecond', (SELECT max(ts) FROM c))) - INTERVAL 10 MINUTE AS w)
-SELECT h.hold_id, h.user_id, h.hold_ts FROM h
-WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = h.user_id AND c.ts >= h.hold_ts
-                  AND c.ts <= h.hold_ts + INTERVAL 5 MINUTE)
-  AND h.hold_ts + INTERVAL 5 MINUTE < (SELECT w FROM wm)"""
+SELECT h.event_id AS hold_id, h.user_id, h.ts AS hold_ts FROM events h
+WHERE h.event_type = 'view' AND NOT EXISTS (
+  SELECT 1 FROM events c WHERE c.event_type = 'purchase' AND c.user_id = h.user_id AND c.ts >= h.ts AND c.ts <= h.ts + INTERVAL 5 MINUTE)"""
 
 # --------------------------------------------------------------------------
 # Ordered replay of book, cancel and payment commands per show.  The
@@ -1038,14 +1104,14 @@ _REPLAY = _ALLOC.split("od_ AS")[0].rstrip().rstrip(",") + """,
 cr_ AS (
   SELECT booking_id * 10 + 3 AS request_id, booking_date + INTERVAL 2 DAY AS requested_at,
          CASE WHEN booking_id % 49 = 0 THEN -booking_id - 1 ELSE booking_id END AS booking_id,
-         CASE WHEN booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
-  FROM bookings WHERE booking_id % 7 = 0),
+         CASE WHEN booking_id % 7 <> 0 OR booking_id % 21 = 0 THEN user_id + 1 ELSE user_id END AS actor_id
+  FROM bookings),
 pr_ AS (
   SELECT b.booking_id * 10 + 5 + c.c AS request_id, b.booking_date + to_hours(c.c) AS requested_at, b.booking_id,
-         CASE WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
-         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 45 = 0 THEN 'REFUNDED'
+         CASE WHEN b.booking_id % 65 = 0 THEN NULL WHEN b.booking_id % 35 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id,
+         CASE WHEN c.c = 2 THEN 'SUCCESS' WHEN b.booking_id % 5 <> 0 OR b.booking_id % 45 = 0 THEN 'REFUNDED'
               WHEN b.booking_id % 10 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS payment_status
-  FROM bookings b, range(1, 3) c(c) WHERE b.booking_id % 5 = 0 AND (c.c = 1 OR b.booking_id % 25 = 0)),
+  FROM bookings b, range(1, 3) c(c) WHERE c.c = 1 OR b.booking_id % 25 = 0),
 cmd_ AS (
   SELECT show_id, requested_at AS ts, request_id AS cmd_id, 'book' AS kind, request_id AS booking_id,
          user_id AS actor_id, false AS adm, seats, seat_ok, food_ok, CAST(NULL AS VARCHAR) AS pstatus
@@ -1095,12 +1161,12 @@ rp_ AS (
                     CASE WHEN NOT o.seat_ok THEN 'INVALID_SEAT' WHEN list_has_any(r.taken, o.seats) THEN 'CONFLICT'
                          WHEN NOT o.food_ok THEN 'INVALID_FOOD' ELSE 'ACCEPTED' END
                   WHEN o.kind = 'cancel' THEN
-                    CASE WHEN b IS NULL THEN 'NOT_FOUND' WHEN b.owner <> o.actor_id AND NOT o.adm THEN 'FORBIDDEN'
+                    CASE WHEN b IS NULL THEN 'NOT_FOUND' WHEN NOT (coalesce(b.owner = o.actor_id, false) OR coalesce(o.adm, false)) THEN 'FORBIDDEN'
                          WHEN b.status = 'CANCELLED' THEN 'ALREADY_CANCELLED' ELSE 'CANCELLED' END
                   ELSE
                     CASE WHEN o.pstatus NOT IN ('SUCCESS', 'FAILED') THEN 'INVALID_STATUS'
                          WHEN b IS NULL OR NOT b.paid THEN 'NOT_FOUND'
-                         WHEN b.owner <> o.actor_id AND NOT o.adm THEN 'FORBIDDEN' ELSE 'APPLIED' END
+                         WHEN NOT (coalesce(b.owner = o.actor_id, false) OR coalesce(o.adm, false)) THEN 'FORBIDDEN' ELSE 'APPLIED' END
              END AS outcome,
              CASE WHEN o.kind = 'book' AND o.seat_ok AND list_has_any(r.taken, o.seats)
                   THEN array_to_string(list_sort(list_distinct(list_filter(o.seats, lambda x: list_contains(r.taken, x)))), ',')
@@ -1117,3 +1183,162 @@ UNION ALL
 SELECT CAST(NULL AS BIGINT), ts, cmd_id, kind, booking_id, 'NOT_FOUND', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
 FROM cmd_ WHERE show_id IS NULL""", _REPLAY, recursive=True)
 ORACLE["stream_seat_state"] = q(_REPLAY_SELECT, _REPLAY, recursive=True)
+
+# --------------------------------------------------------------------------
+# the tables after the apply jobs: one row of text per row, NULL shown as ~
+# --------------------------------------------------------------------------
+def _rows(table: str, cols: list[str], source: str) -> str:
+    text = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols)
+    return f"SELECT '{table}' AS table_name, {text} AS row_text FROM {source}"
+
+
+_BOOKING = ["booking_id", "user_id", "show_id", "booking_date", "total_amount", "booking_status", "reminder_sent"]
+_BS, _BF = ["bs_id", "booking_id", "seat_id"], ["bf_id", "booking_id", "food_id", "quantity"]
+_PAYMENT = ["payment_id", "booking_id", "amount", "payment_method", "payment_status", "paid_at"]
+_REVIEW = ["review_id", "user_id", "show_id", "rating", "comment", "reviewed_at"]
+_USER = ["user_id", "full_name", "email", "password_hash", "is_admin", "created_at"]
+_SHOW = ["show_id", "title", "description", "show_date", "show_time", "venue_id", "category_id", "base_price", "avg_rating"]
+_FOOD = ["food_id", "food_name", "price", "is_veg"]
+_SOLD = ["seat_id"]
+
+
+def _union(*parts: str) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+_NEW_ALLOC = _ALLOC.rstrip() + """,
+won_ AS (SELECT a.booking_id, c.*, CAST(c.seat_total + coalesce(c.food_total, 0) AS DECIMAL(10,2)) AS total
+         FROM acc_ a JOIN ck_ c USING (request_id)),
+nb_ AS (SELECT booking_id, user_id, show_id, requested_at AS booking_date, total AS total_amount,
+               'CONFIRMED' AS booking_status, 0 AS reminder_sent FROM won_),
+nl_ AS (SELECT row_number() OVER (ORDER BY booking_id, seat_id) AS bs_id, booking_id, seat_id
+        FROM (SELECT booking_id, unnest(seats) AS seat_id FROM won_)),
+nf_ AS (SELECT row_number() OVER (ORDER BY w.booking_id, r.l_linenumber, r.l_suppkey) AS bf_id, w.booking_id,
+               r.l_suppkey AS food_id, r.l_linenumber AS quantity
+        FROM won_ w JOIN rl_ r USING (request_id) WHERE r.l_returnflag = 'R'),
+np2_ AS (SELECT row_number() OVER (ORDER BY w.booking_id) AS payment_id, w.booking_id, w.total AS amount,
+               b.method_ AS payment_method, 'SUCCESS' AS payment_status, w.requested_at AS paid_at
+        FROM won_ w JOIN bookings b ON b.booking_id = w.request_id)
+"""
+ORACLE["allocate_seats_state"] = q(_union(
+    _rows("bookings", _BOOKING, "nb_"), _rows("booking_seats", _BS, "nl_"), _rows("booking_food", _BF, "nf_"),
+    _rows("payments", _PAYMENT, "np2_"), _rows("sold_seats", _SOLD, "(SELECT DISTINCT seat_id FROM nl_)")), _NEW_ALLOC, recursive=True)
+
+_NEW_QUICK = _QUICK.rstrip() + """,
+won_ AS (SELECT a.booking_id, c.* FROM acc_ a JOIN qc_ c USING (request_id)),
+nb_ AS (SELECT booking_id, user_id, show_id, booking_date, total_amount, booking_status, reminder_sent FROM bookings
+        UNION ALL SELECT booking_id, user_id, show_id, requested_at, CAST(seat_total AS DECIMAL(10,2)), 'CONFIRMED', 0 FROM won_),
+nl_ AS (SELECT bs_id, booking_id, seat_id FROM booking_seats
+        UNION ALL SELECT (SELECT max(bs_id) FROM booking_seats) + row_number() OVER (ORDER BY booking_id, seat_id), booking_id, seat_id
+        FROM (SELECT booking_id, unnest(seats) AS seat_id FROM won_)),
+nf_ AS (SELECT bf_id, booking_id, food_id, quantity FROM booking_food
+        UNION ALL SELECT (SELECT max(bf_id) FROM booking_food) + row_number() OVER (ORDER BY booking_id), booking_id, food_id, qty
+        FROM won_ WHERE food_id > 0 AND qty > 0),
+np2_ AS (SELECT payment_id, booking_id, amount, payment_method, payment_status, paid_at FROM payments
+        UNION ALL SELECT (SELECT max(payment_id) FROM payments) + row_number() OVER (ORDER BY booking_id), booking_id,
+               CAST(seat_total AS DECIMAL(10,2)), 'UPI', 'PENDING', NULL FROM won_),
+ns_ AS (SELECT seat_id FROM seats WHERE is_available = 0 UNION SELECT unnest(seats) FROM won_)
+"""
+ORACLE["quick_book_two_state"] = q(_union(
+    _rows("bookings", _BOOKING, "nb_"), _rows("booking_seats", _BS, "nl_"), _rows("booking_food", _BF, "nf_"),
+    _rows("payments", _PAYMENT, "np2_"), _rows("sold_seats", _SOLD, "ns_")), _NEW_QUICK, recursive=True)
+
+
+def _after(name: str) -> tuple[str, str]:
+    """The outcome statement of a job as a CTE body, and the CTEs that it rests on."""
+    body = ORACLE[name]
+    head = mapping_cte()
+    rest = body[len(head.rstrip()):].lstrip()
+    if rest.startswith(","):  # further CTEs up to the statement at the left margin
+        cut = rest.index("\n)\nSELECT") + 2 if "\n)\nSELECT" in rest else rest.index(")\nSELECT") + 1
+        return rest[cut:].strip(), rest[1:cut].strip() + ",\n"
+    return rest.strip(), ""
+
+
+def _state(name: str, tables: str, *parts: str) -> str:
+    select, ctes = _after(name)
+    return q(_union(*parts), f"{ctes}oc_ AS (\n{select}),\n{tables.strip()}")
+
+
+ORACLE["register_users_state"] = _state("register_users", """
+nu_ AS (SELECT user_id, full_name, email, password_hash, is_admin, created_at FROM users
+        UNION ALL SELECT o.user_id, r.full_name, r.email, '', false, r.requested_at
+        FROM oc_ o JOIN rr_ r USING (request_id) WHERE o.outcome = 'ACCEPTED')""", _rows("users", _USER, "nu_"))
+ORACLE["cancel_bookings_state"] = _state("cancel_bookings", """
+dn_ AS (SELECT DISTINCT booking_id FROM oc_ WHERE outcome = 'CANCELLED'),
+nb_ AS (SELECT * REPLACE (CASE WHEN booking_id IN (SELECT booking_id FROM dn_) THEN 'CANCELLED' ELSE booking_status END
+                          AS booking_status) FROM bookings),
+ns_ AS (SELECT seat_id FROM seats WHERE is_available = 0 AND seat_id NOT IN
+        (SELECT seat_id FROM booking_seats WHERE booking_id IN (SELECT booking_id FROM dn_)))""",
+    _rows("bookings", _BOOKING, "nb_"), *[_rows(t, c, f"{t} WHERE booking_id NOT IN (SELECT booking_id FROM dn_)")
+                                          for t, c in (("booking_seats", _BS), ("booking_food", _BF), ("payments", _PAYMENT))],
+    _rows("sold_seats", _SOLD, "ns_"))
+_RATED = """
+ra_ AS (SELECT show_id, sum(rating) AS s, count(*) AS n FROM nr_ GROUP BY 1),
+sh_ AS (SELECT s.* REPLACE (CAST(coalesce(CAST((200 * a.s + a.n) // (2 * a.n) AS DECIMAL(18,0)) * 0.01, 0) AS DECIMAL(3,2)) AS avg_rating)
+        FROM shows s LEFT JOIN ra_ a USING (show_id))"""
+ORACLE["submit_reviews_state"] = _state("submit_reviews", """
+nr_ AS (SELECT review_id, user_id, show_id, rating, comment, reviewed_at FROM reviews
+        UNION ALL SELECT o.review_id, o.user_id, o.show_id, r.rating,
+               CASE WHEN (r.request_id // 10) % 2 = 0 THEN NULL ELSE 'Request ' || (r.request_id // 10) END, r.requested_at
+        FROM oc_ o JOIN vr_ r USING (request_id) WHERE o.outcome = 'ACCEPTED'),""" + _RATED,
+    _rows("reviews", _REVIEW, "nr_"), _rows("shows", _SHOW, "sh_"))
+ORACLE["update_reviews_state"] = _state("update_reviews", """
+nr_ AS (SELECT v.review_id, v.user_id, v.show_id, CASE WHEN l.review_id IS NULL THEN v.rating ELSE l.rating END AS rating,
+               CASE WHEN l.review_id IS NULL THEN v.comment ELSE l.comment END AS comment, v.reviewed_at
+        FROM reviews v LEFT JOIN ul_ l USING (review_id)),""" + _RATED,
+    _rows("reviews", _REVIEW, "nr_"), _rows("shows", _SHOW, "sh_"))
+ORACLE["delete_reviews_state"] = _state("delete_reviews", """
+nr_ AS (SELECT review_id, user_id, show_id, rating, comment, reviewed_at FROM reviews
+        WHERE review_id NOT IN (SELECT review_id FROM gone_)),""" + _RATED,
+    _rows("reviews", _REVIEW, "nr_"), _rows("shows", _SHOW, "sh_"))
+ORACLE["create_shows_state"] = _state("create_shows", """
+nw_ AS (SELECT show_id, title, description, show_date, show_time, venue_id, category_id, base_price, avg_rating FROM shows
+        UNION ALL SELECT o.show_id, o.title, NULL, DATE '2002-01-01' + CAST(p_partkey % 365 AS INTEGER), '19:00:00',
+               CAST(p_size % 25 AS BIGINT), CAST(1 + p_partkey % 3 AS BIGINT), CAST(p_retailprice AS DECIMAL(10,2)), CAST(0 AS DECIMAL(3,2))
+        FROM oc_ o JOIN part ON p_partkey * 10 + 9 = o.request_id WHERE o.outcome = 'CREATED')""", _rows("shows", _SHOW, "nw_"))
+ORACLE["add_food_items_state"] = _state("add_food_items", """
+nw_ AS (SELECT food_id, food_name, price, is_veg FROM food_items
+        UNION ALL SELECT o.food_id, o.food_name, CAST((5 + s_suppkey % 7) * 10 AS DECIMAL(8,2)),
+               CASE WHEN s_suppkey % 20 = 0 THEN 1 ELSE CAST(s_suppkey % 40 <> 0 AS INTEGER) END
+        FROM oc_ o JOIN supplier ON s_suppkey * 10 + 1 = o.request_id WHERE o.outcome = 'CREATED')""", _rows("food_items", _FOOD, "nw_"))
+ORACLE["audit_unique_after_seat_map"] = """
+SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS detail
+WHERE false"""
+
+_LOOKUP = {"bookings": "booking_id IN (SELECT booking_id FROM payments)", "seats": "seat_id IN (SELECT seat_id FROM booking_seats)",
+           "payments": "booking_id IN (SELECT booking_id FROM bookings)", "reviews": "review_id IN (SELECT booking_id FROM bookings)",
+           "users": "user_id IN (SELECT user_id FROM bookings)"}
+for _table, _where in _LOOKUP.items():
+    _drop = {"bookings": " EXCLUDE (method_, prio_)", "users": " EXCLUDE (password_hash)"}.get(_table, "")
+    ORACLE[f"point_lookup_{_table}"] = q(f"SELECT *{_drop} FROM {_table} WHERE {_where}")
+ORACLE["categories_list"] = q("SELECT * FROM categories")
+ORACLE["venues_list"] = q("SELECT * FROM venues")
+
+ORACLE["replay_final_state"] = q("""
+SELECT 'bookings' AS table_name, booking_id || '|' || show_id || '|' || status_after AS row_text FROM (
+  SELECT booking_id, show_id, status_after, row_number() OVER (PARTITION BY booking_id ORDER BY ts DESC, cmd_id DESC) AS n
+  FROM rp_ WHERE status_after IS NOT NULL) WHERE n = 1
+UNION ALL
+SELECT 'payments', booking_id || '|' || st || '|' || coalesce(m, 'UPI') || '|' || coalesce(CAST(CASE WHEN st = 'SUCCESS' THEN ts END AS VARCHAR), '~')
+FROM (SELECT booking_id, first(CASE WHEN kind = 'book' THEN 'SUCCESS' ELSE pstatus END ORDER BY ts DESC, cmd_id DESC) AS st,
+             first(ts ORDER BY ts DESC, cmd_id DESC) AS ts, bool_or(kind = 'cancel') AS gone,
+             first(pm ORDER BY ts DESC, cmd_id DESC) FILTER (pm IS NOT NULL) AS m
+      FROM (SELECT r.*, c.pstatus, CASE WHEN r.kind = 'book' THEN CASE WHEN k.prio_ = '5' THEN NULL ELSE k.method_ END
+                                        WHEN r.booking_id % 20 = 0 THEN NULL ELSE 'Credit Card' END AS pm
+            FROM rp_ r JOIN oc_ c ON c.cmd_id = r.cmd_id AND c.kind = r.kind LEFT JOIN bookings k ON k.booking_id = r.booking_id
+            WHERE r.outcome IN ('ACCEPTED', 'CANCELLED', 'APPLIED'))
+      GROUP BY booking_id) WHERE NOT gone
+UNION ALL
+SELECT 'seats', seat_id || '|' || av FROM (
+  SELECT seat_id, first(av ORDER BY ts DESC, cmd_id DESC) AS av FROM (
+    SELECT e.ts, e.cmd_id, CASE WHEN e.outcome = 'ACCEPTED' THEN 0 ELSE 1 END AS av, unnest(k.seats) AS seat_id
+    FROM rp_ e JOIN ck_ k ON k.request_id = e.booking_id
+    WHERE e.outcome IN ('ACCEPTED', 'CANCELLED') OR (e.outcome = 'APPLIED' AND e.status_after = 'CANCELLED')) GROUP BY seat_id)
+""", _REPLAY, recursive=True)
+
+ORACLE["stream_registration_outbox"] = q(f"""
+SELECT email AS "to", 'Welcome to Box Office!' AS subject,
+       '{_WRAP_A}<h2>Welcome, ' || full_name || '!</h2><p>Your account is ready.</p>{_WRAP_B}' AS html,
+       'welcome' AS template, 'welcome:' || user_id AS message_id
+FROM users""")

@@ -15,5 +15,5 @@ def spark():
 
 @pytest.fixture()
 def seed(spark):
-    from marquee.sources.fixture import seed_state
+    from tests.seed_fixture import seed_state
     return seed_state(spark)
