@@ -1,7 +1,7 @@
 """Vectorised helpers over the UTF-8 bytes of Arrow string columns.
 
 Tasks see a column as one byte buffer with row offsets; words, shingles and
-rolling hashes are numpy passes over slices of about a megabyte, so a task's
+rolling hashes are numpy passes over slices of half a megabyte, so a task's
 memory follows the slice and not the batch.  Nulls read as empty texts.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
 BYTE_KEY = _RNG.integers(1, 2**64, 256, dtype=U)
