@@ -37,6 +37,7 @@ from marquee.sources.schemas import conform
 AS_OF = "1995-03-01"
 FILTERS = {"category_id": 2, "city": "nation_3", "date_from": "1996-01-01", "date_to": "1999-12-31"}
 SEARCH = "Ring"
+PAGE_KEY = ("1998-01-01 00:00:00", 0)  # the last row of the page before
 DATE_RANGE = ("1996-03-01", "1996-06-30")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +353,24 @@ def _validate(spark, sf_dir):
 _simple("paged", lambda st: PG.paged(D.bookings_admin(st), [F.desc("booking_date"), F.desc("booking_id")], 3, 20))
 
 
+_simple("paged_after", lambda st: PG.paged_after(D.bookings_admin(st), ["booking_date", "booking_id"], PAGE_KEY, 20, descending=True))
+_simple("rating_summary", lambda st: A.rating_summary(st).select(
+    "show_id", "avg_rating", "total_reviews",
+    F.array_join(F.transform(F.sequence(F.lit(5), F.lit(1)), lambda r: F.concat(
+        F.col("distribution")[r]["count"].cast("string"), F.lit("="), F.col("distribution")[r]["percentage"].cast("string"))), " ").alias("stars")))
+
+
+@register("sql_views")
+def _sql_views(spark, sf_dir):
+    """The named views, queried by SQL."""
+    L.create_views(state(spark, sf_dir))
+    return spark.sql("""
+        SELECT b.event_name, b.payment_status, count(*) AS bookings, max(r.total_revenue) AS total_revenue
+        FROM vw_booking_summary b JOIN vw_event_revenue r ON r.title = b.event_name
+        WHERE r.show_id IN (SELECT show_id FROM vw_available_seats WHERE seat_type = 'VIP')
+        GROUP BY b.event_name, b.payment_status""")
+
+
 @register("doc_sink")
 def _doc_sink(spark, sf_dir):
     st = state(spark, sf_dir)

@@ -162,3 +162,12 @@ def booking_report(st: dict) -> DataFrame:
             .join(st["shows"].select("show_id", F.col("title").alias("event_name")), "show_id")
             .select("booking_id", "customer", "event_name", "total_amount", F.col("booking_status").alias("status"))
             .orderBy("booking_id"))
+
+
+def create_views(st: dict) -> None:
+    """S3: the three named views, for SQL users of the session (``spark.sql("... FROM vw_event_revenue")``)."""
+    from marquee.operators.analytics import view_event_revenue
+
+    view_booking_summary(st).createOrReplaceTempView("vw_booking_summary")
+    view_available_seats(st).createOrReplaceTempView("vw_available_seats")
+    view_event_revenue(st).createOrReplaceTempView("vw_event_revenue")

@@ -1342,3 +1342,27 @@ SELECT email AS "to", 'Welcome to Box Office!' AS subject,
        '{_WRAP_A}<h2>Welcome, ' || full_name || '!</h2><p>Your account is ready.</p>{_WRAP_B}' AS html,
        'welcome' AS template, 'welcome:' || user_id AS message_id
 FROM users""")
+
+ORACLE["paged_after"] = q("""
+SELECT b.booking_id, b.user_id, u.full_name, u.email, b.show_id, e.title, b.booking_date, b.total_amount,
+       b.booking_status, p.payment_status, p.payment_method
+FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN shows e ON e.show_id = b.show_id
+LEFT JOIN payments p ON p.booking_id = b.booking_id
+WHERE b.booking_date < TIMESTAMP '1998-01-01 00:00:00' OR (b.booking_date = TIMESTAMP '1998-01-01 00:00:00' AND b.booking_id < 0)
+ORDER BY b.booking_date DESC, b.booking_id DESC LIMIT 20""")
+ORACLE["rating_summary"] = q("""
+SELECT s.show_id, s.avg_rating, CAST(coalesce(t.t, 0) AS BIGINT) AS total_reviews, d.stars
+FROM shows s LEFT JOIN (SELECT show_id, count(*) AS t FROM reviews GROUP BY 1) t ON t.show_id = s.show_id
+JOIN (SELECT x.show_id, string_agg(coalesce(c.c, 0) || '=' || CAST(CASE WHEN t.t IS NULL THEN 0
+               ELSE CAST((2000 * coalesce(c.c, 0) + t.t) // (2 * t.t) AS DECIMAL(18,0)) * 0.1 END AS DECIMAL(4,1)), ' ' ORDER BY g.r DESC) AS stars
+      FROM shows x CROSS JOIN range(1, 6) g(r)
+      LEFT JOIN (SELECT show_id, rating, count(*) AS c FROM reviews GROUP BY 1, 2) c ON c.show_id = x.show_id AND c.rating = g.r
+      LEFT JOIN (SELECT show_id, count(*) AS t FROM reviews GROUP BY 1) t ON t.show_id = x.show_id GROUP BY x.show_id) d ON d.show_id = s.show_id""")
+ORACLE["sql_views"] = q("""
+SELECT e.title AS event_name, p.payment_status, count(*) AS bookings, max(r.rev) AS total_revenue
+FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id JOIN venues v ON e.venue_id = v.venue_id
+LEFT JOIN payments p ON b.booking_id = p.booking_id
+JOIN (SELECT s.show_id, s.title, CAST(coalesce(sum(k.total_amount), 0) AS DECIMAL(18,2)) AS rev FROM shows s
+      LEFT JOIN bookings k ON k.show_id = s.show_id AND k.booking_status = 'CONFIRMED' GROUP BY s.show_id, s.title) r ON r.title = e.title
+WHERE r.show_id IN (SELECT show_id FROM seats WHERE is_available = 1 AND seat_type = 'VIP')
+GROUP BY e.title, p.payment_status""")
