@@ -414,7 +414,9 @@ def _staged(spark, df, ts_col, name, slices=4, closing=()):
     if closing:
         kinds = F.array(*[F.lit(k) for k in ([closing] if isinstance(closing, str) else closing)])
         end = df.agg(F.max(ts_col).alias(ts_col)).select((F.col(ts_col) + F.expr("INTERVAL 1 DAY")).alias(ts_col), F.explode(kinds).alias("event_type"))
-        blank = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (ts_col, "event_type") else F.col(f.name) for f in df.schema.fields]
+        # its client is -1, not NULL: a filter for known clients must not drop it before the watermark
+        blank = [F.lit(-1 if "int" in f.dataType.simpleString() else None).cast(f.dataType).alias(f.name) if f.name not in (ts_col, "event_type")
+                 else F.col(f.name) for f in df.schema.fields]
         end.select(*blank).coalesce(1).write.mode("append").parquet(path)
     return TS.file_stream(spark, path, df.schema, files)
 
