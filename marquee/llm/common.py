@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 import marquee
 from marquee.plans.lineage import materialize
 
-__all__ = ["materialize", "read", "ship", "over", "columns_as"]
+__all__ = ["materialize", "read", "ship", "over", "columns_as", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +39,15 @@ def ship(spark: SparkSession) -> None:
     sc._marquee_shipped = True
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` after which the shuffle files behind ``df`` may go: Spark's cleaner drops them once
+    the driver's garbage is collected, which a job of many steps would else wait long for."""
+    out = materialize(df, name)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def columns_as(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under internal names: other columns of the input can't clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])

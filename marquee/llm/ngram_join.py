@@ -10,15 +10,18 @@ n-gram among the first n - ceil(t n) + 1 of each, so only those prefixes are joi
    and the sketch, whose size is fixed.
 2. Prefix n-grams that only one class has are dropped by an aggregate (min and max
    class, map-side partials), the rest are joined.
-3. Candidates come in two passes.  First each class meets the smallest class of each
-   prefix n-gram it has (rows linear in the input).  The verified links give
-   components.  Then, in the n-grams whose classes are still in several components, the
-   classes outside the n-gram's largest component meet all classes of other components.
+3. Candidates come in passes.  In the first, each class meets the hub of each prefix n-gram
+   it has: the class with the largest share of n-grams that others have too, for a group of
+   near copies their common origin (rows linear in the input).  The verified links give
+   components.  In the second, classes meet the hub of the n-gram's classes outside its
+   largest component.  In the last, in the n-grams whose classes are still in several
+   components, the classes outside the largest meet all classes of other components.
    Pairs that are in one component already need no test: a group of thousands of near
    copies is never expanded to all its pairs, and no link between components is lost.
 4. Pairs pass the length filter, the positional filter (shared prefix n-grams plus what
-   can follow the last shared one) and the suffix filter (differences of the counts in 16
-   fixed parts of the hash range bound the overlap), and are verified once on their texts.
+   can follow the last shared one) and the suffix filter (the counts in 64 WORDS fixed parts
+   of the hash range: every part whose parity differs holds an n-gram that one set lacks),
+   and are verified once on their texts.
 
 Null and empty texts have empty sets and no links.  Repeated rows are copies.  Rows with
 the same doc_id are one vertex.  A null doc_id takes part as a copy only.  Long texts are
@@ -27,19 +30,24 @@ read in pieces; memory follows the number of their words.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, materialize, over
+from marquee.llm.common import columns_as, materialize, over, written
 from marquee.plans.components import components
 from marquee.llm.textbytes import U, mix, row_bytes, signed, word_hashes
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 SKETCH = 1 << 17
-PARTS = 16
+WORDS = 16
+PART_BITS = 6 + WORDS.bit_length() - 1
+BITS = [f"b{k}" for k in range(WORDS)]
 
 
 def _sets(column: pa.Array, n: int):
@@ -74,16 +82,16 @@ def _signature(n: int):
             size.append(len(s))
             node.append(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U))
             check.append(np.add.reduce(mix(s ^ U(0x14057B7EF767814F)), dtype=U))
-            parts.append(np.bincount((s >> U(60)).astype(np.int64), minlength=PARTS))
+            odd = np.bincount((s >> U(64 - PART_BITS)).astype(np.int64), minlength=64 * WORDS) & 1
+            parts.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             sketch += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         node, check = signed(np.array(node, U)), signed(np.array(check, U))
         k = len(size)
-        flat = pa.array(np.concatenate(parts).astype(np.int32)) if k else pa.array([], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * PARTS), flat)
-        yield [pa.array(np.zeros(k, np.int32)), batch.column(0), node, check, size, lists]
+        bits = np.array(parts, np.int64).reshape(k, WORDS)
+        yield [pa.array(np.zeros(k, np.int32)), batch.column(0), node, check, size, *np.ascontiguousarray(bits.T)]
         used = np.flatnonzero(sketch)
         none = pa.nulls(len(used), pa.int64())
-        yield [np.ones(len(used), np.int32), none, used, sketch[used], none, pa.nulls(len(used), pa.list_(pa.int32()))]
+        yield [np.ones(len(used), np.int32), none, used, sketch[used], none, *[none] * WORDS]
 
     return task
 
@@ -117,6 +125,11 @@ def _verify(n: int, num: int, den: int):
     return task
 
 
+def _apart():
+    """At least as many n-grams as this are in one of the two sets only."""
+    return reduce(add, [F.bit_count(F.col(x).bitwiseXOR(F.col(f"r_{x}"))) for x in BITS])
+
+
 def _pairs(met: DataFrame, classes: DataFrame, num: int, den: int, every: bool) -> DataFrame:
     """Pairs (a, b) of documents, from rows of two classes that share a prefix n-gram, after the filters.
 
@@ -134,10 +147,9 @@ def _pairs(met: DataFrame, classes: DataFrame, num: int, den: int, every: bool)
     found = pair.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(best).alias("best"), F.max("na").alias("na"), F.max("nb").alias("nb"),
                                        F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     found = found.where((F.col("shared") + after(F.col("ia"), F.col("ib")) if every else F.col("best")) >= need)
-    a = classes.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("parts").alias("parts_a"))
-    b = classes.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("parts").alias("parts_b"))
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    return found.join(a, "a").join(b, "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).where("rep_a <> rep_b").select(
+    a = classes.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), *BITS)
+    b = classes.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), *[F.col(x).alias(f"r_{x}") for x in BITS])
+    return found.join(a, "a").join(b, "b").where(_apart() <= F.col("na") + F.col("nb") - 2 * need).where("rep_a <> rep_b").select(
         F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
@@ -148,48 +160,72 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
     return over(full, _verify(n, num, den), "a long, b long").distinct()
 
 
+def _hub_pairs(rows: DataFrame, others: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of ``others`` with the hub of each n-gram: of its ``rows``, the class with the largest share of shared n-grams."""
+    hub = rows.groupBy("gram").agg(F.max_by("node", "shared").alias("hub"))
+    hubs = rows.join(hub, "gram").where("node = hub").drop("hub", "shared")
+    met = hubs.join(others, "gram")
+    if "r_comp" in others.columns:
+        met = met.where("comp <> r_comp")
+    return _pairs(met, classes, num, den, every=False)
+
+
+def _apart_rows(grams: DataFrame, links: DataFrame, classes: DataFrame, other: list) -> tuple[DataFrame, DataFrame]:
+    """Rows of the n-grams whose classes are in several components: those outside the largest one, and all (as r_...)."""
+    group = classes.join(components(links, "ngram-near"), F.col("rep") == F.col("vertex"), "left").select(
+        "node", F.coalesce("component", "rep").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
+    in_comp = materialize(grams.join(group, "node"), "ngram-grouped")
+    sizes = in_comp.groupBy("gram", "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("gram").agg(F.max_by("comp", "n").alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
+    open_ = in_comp.join(split, "gram")
+    return open_.where("comp <> largest").drop("largest"), open_.select("gram", *other, F.col("comp").alias("r_comp"), "largest")
+
+
 def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (smallest id with an equal set),
     component_id (smallest id reachable by links of Jaccard similarity >= num / den)."""
     docs = columns_as(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    scan = materialize(over(docs, _signature(n), "kind int, id long, node long, chk long, size long, parts array<int>"), "ngram-sets")
-    members = scan.where("kind = 0").select("id", "node", "chk", F.col("size").cast("int").alias("size"), "parts")
+    scan = materialize(over(docs, _signature(n), "kind int, id long, node long, chk long, size long, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sets")
+    members = scan.where("kind = 0").select("id", "node", "chk", F.col("size").cast("int").alias("size"), *BITS)
     counts = scan.where("kind = 1").groupBy("node").agg(F.sum("chk").alias("n")).toPandas()  # SKETCH rows at most
     sketch = np.zeros(SKETCH, np.int64)
     sketch[counts["node"].to_numpy()] = counts["n"].to_numpy()
-    classes = members.where("size > 0").groupBy("node", "chk", "size").agg(F.min("id").alias("rep"), F.first("parts").alias("parts"))
+    classes = members.where("size > 0").groupBy("node", "chk", "size").agg(F.min("id").alias("rep"), *[F.first(x).alias(x) for x in BITS])
 
     prefixes = over(docs.select("text"), _prefixes(n, num, den, sketch), "gram long, node long, size int, pos int")
     several = prefixes.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    grams = materialize(prefixes.join(several.select("gram", "least"), "gram").groupBy("gram", "node").agg(
-        F.first("size").alias("size"), F.first("pos").alias("pos"), F.first("least").alias("least")), "ngram-prefixes")
+    grams = written(prefixes.join(several.select("gram"), "gram").groupBy("gram", "node").agg(
+        F.first("size").alias("size"), F.first("pos").alias("pos")), "ngram-prefixes")
+    shared = grams.groupBy("node").agg((F.count("*") / F.first("size")).alias("shared"))
+    grams = materialize(grams.join(shared, "node"), "ngram-shared")
     here = classes.join(grams.select("node").distinct(), "node", "left_semi")
     classes_here = materialize(here, "ngram-classes")
     reps = classes_here.select("rep").distinct()
-    texts = materialize(docs.withColumnRenamed("id", "rep").join(reps, "rep", "left_semi").distinct(), "ngram-texts")
+    texts = written(docs.withColumnRenamed("id", "rep").join(reps, "rep", "left_semi").distinct(), "ngram-texts")
 
     other = [F.col(c).alias(f"r_{c}") for c in ("node", "size", "pos")]
-    hubs = grams.where("node = least").select("gram", "node", "size", "pos")
-    tried = materialize(_pairs(hubs.join(grams.select("gram", *other), "gram"), classes_here, num, den, every=False), "ngram-tried")
-    links = materialize(_links(tried, texts, n, num, den), "ngram-links")
-
-    group = classes_here.join(components(links, "ngram-near"), F.col("rep") == F.col("vertex"), "left").select(
-        "node", F.coalesce("component", "rep").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    in_comp = materialize(grams.drop("least").join(group, "node"), "ngram-grouped")
-    sizes = in_comp.groupBy("gram", "comp").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("gram").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1").select(
-        "gram", F.col("top.comp").alias("largest"))
-    open_ = in_comp.join(split, "gram")
-    left = open_.where("comp <> largest").select("gram", "node", "size", "pos", "comp")
-    right = open_.select("gram", *other, F.col("comp").alias("r_comp"), "largest")
-    met = left.join(right, "gram").where("comp <> r_comp and (r_comp = largest or node < r_node)")
-    rest = _pairs(met, classes_here, num, den, every=True).join(tried, ["a", "b"], "left_anti")
-    more = _links(materialize(rest, "ngram-rest"), texts, n, num, den)
+    tried = materialize(_hub_pairs(grams, grams.select("gram", *other), classes_here, num, den), "ngram-tried")
+    links = written(_links(tried, texts, n, num, den), "ngram-links")
+
+    left, right = _apart_rows(grams, links, classes_here, other)
+    more = _hub_pairs(left, right.drop("largest"), classes_here, num, den).join(tried, ["a", "b"], "left_anti")
+    more = materialize(more, "ngram-tried-2")
+    links = written(links.unionByName(_links(more, texts, n, num, den)), "ngram-links-2")
+
+    left, right = _apart_rows(grams, links, classes_here, other)
+    bits = classes_here.select("node", *BITS).dropDuplicates(["node"])
+    left = left.join(bits, "node")
+    right = right.join(bits.withColumnsRenamed({x: f"r_{x}" for x in ["node", *BITS]}), "r_node")
+    least = F.ceil(num * (F.col("size") + F.col("r_size")) / F.lit(num + den))
+    met = left.join(right, "gram").where("comp <> r_comp and (r_comp = largest or node < r_node)").where(
+        _apart() <= F.col("size") + F.col("r_size") - 2 * least).drop(*BITS, *[f"r_{x}" for x in BITS])
+    rest = _pairs(met, classes_here, num, den, every=True).join(tried.unionByName(more), ["a", "b"], "left_anti")
+    more = _links(written(rest, "ngram-rest"), texts, n, num, den)
 
     final = materialize(components(links.unionByName(more), "ngram-comps"), "ngram-final")
     by_class = classes.select("node", "chk", "size", "rep").join(final, F.col("rep") == F.col("vertex"), "left").select(
         "node", "chk", "size", "rep", F.coalesce("component", "rep").alias("component"))
-    return members.drop("parts").join(by_class, ["node", "chk", "size"], "left").select(
+    return members.drop(*BITS).join(by_class, ["node", "chk", "size"], "left").select(
         F.col("id").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"),
         F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
