@@ -1,17 +1,19 @@
 """Operator 4: benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts are compared as bytes with A-Z lower-cased and every run of ASCII punctuation and
-white space as one space.  Benchmark items are cut into overlapping segments of SEGMENT
-bytes (shorter items are one segment; under LEAST bytes an item is too common to judge
-and is left out).  A segment of n bytes that stands in a document with at most e = RATE n
-edits shares at least n - q + 1 - q e q-grams with it, all within e + 1 diagonals; so
-shared q-grams are counted in diagonal bands of width 2 (E + 1) that overlap by half, and
-bands that reach the bound are verified by a banded alignment.
+white space as one space.  A document matches an item if any SEGMENT bytes of it, at
+whatever offset, stand in the document with at most RATE of edits (shorter items as a
+whole; under LEAST bytes an item is too common to judge and is left out).  A segment of
+n bytes that stands in a document with at most e edits shares at least n - q + 1 - q e
+q-grams with it, all within e + 1 diagonals; so the shared q-grams of whole items are
+counted in diagonal bands of width 2 (E + 1) that overlap by half, and every segment that
+reaches the bound in a band is verified by a banded alignment.
 
 The benchmark is a query set: it is indexed in blocks of at most BLOCK bytes, each sent
 to the tasks and run over all documents in one scan without a shuffle, whatever
 the benchmark's size.  Null or empty items and texts match nothing.  Repeated rows are
-judged alike; equal items all match.  Long texts are read in overlapping pieces.
+judged alike; equal items all match.  Long texts are read in pieces that overlap by more
+than a segment of folded bytes.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ from pyspark.sql import functions as F
 from marquee.llm.common import columns_as, over
 from marquee.llm.textbytes import LOWER, SLICE, U, fixed_hash, prefix_hash, row_bytes, slices
 
-GRAM, SEGMENT, STRIDE, LEAST, RATE = 12, 80, 40, 24, 0.05
+GRAM, SEGMENT, LEAST, RATE = 12, 80, 24, 0.05
 MOST = int(SEGMENT * RATE)
 BAND = MOST + 1
 BLOCK = 4 << 20
 BITS = 22
 SPACE = 0x20
+END = 0xFF  # no byte of UTF-8: between rows, before and behind a text; no alignment crosses it
+CHUNK = 2048
 FOLD = LOWER.copy()
 FOLD[[b for b in range(128) if not chr(b).isalnum()]] = SPACE
 
@@ -46,40 +50,41 @@ def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The q-grams of a block of benchmark items, by segment."""
+    """The q-grams of a block of benchmark items, which stand end to end."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = [i for i, _ in items]
-        self.segments: list[bytes] = []
-        self.owner: list[int] = []
-        grams, segment, place = [], [], []
+        parts, grams, place, owner = [], [], [], []
+        self.start = np.zeros(len(items), np.int64)
+        sizes = np.zeros(len(items), np.int64)
+        total = 0
         for k, (_, text) in enumerate(items):
-            whole = normal(np.frombuffer(text.encode(), np.uint8))[0].tobytes().strip(b" ")
+            whole = np.frombuffer(normal(np.frombuffer(text.encode(), np.uint8))[0].tobytes().strip(b" "), np.uint8)
             if len(whole) < LEAST:
                 continue
-            starts = list(range(0, max(1, len(whole) - SEGMENT + 1), STRIDE))
-            if starts[-1] + SEGMENT < len(whole):
-                starts.append(len(whole) - SEGMENT)
-            for s in starts:
-                part = whole[s:s + SEGMENT]
-                found = fixed_hash(prefix_hash(np.frombuffer(part, np.uint8)), GRAM)
-                grams.append(found)
-                segment.append(np.full(len(found), len(self.segments)))
-                place.append(np.arange(len(found)))
-                self.segments.append(part)
-                self.owner.append(k)
+            found = fixed_hash(prefix_hash(whole), GRAM)
+            grams.append(found)
+            place.append(total + np.arange(len(found)))
+            owner.append(np.full(len(found), k))
+            parts.append(whole)
+            self.start[k], sizes[k] = total, len(whole)
+            total += len(whole)
         none = [np.zeros(0, np.int64)]
-        grams, segment, place = np.concatenate(grams or [np.zeros(0, U)]), np.concatenate(segment or none), np.concatenate(place or none)
+        self.text = np.concatenate(parts or [np.zeros(0, np.uint8)])
+        grams, place = np.concatenate(grams or [np.zeros(0, U)]), np.concatenate(place or none)
         order = np.argsort(grams, kind="stable")
-        self.grams, self.segment, self.place = grams[order], segment[order], place[order]
-        sizes = np.array([len(s) for s in self.segments], np.int64)
-        self.edits = (sizes * RATE).astype(np.int64)
-        self.bound = sizes - GRAM + 1 - GRAM * self.edits
+        self.grams, self.place = grams[order], place[order]
+        self.owner = np.zeros(total, np.int64)
+        self.owner[place] = np.concatenate(owner or none)
+        self.end = self.start + sizes
+        self.size = np.minimum(sizes, SEGMENT)
+        self.edits = (self.size * RATE).astype(np.int64)
+        self.bound = self.size - GRAM + 1 - GRAM * self.edits
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[(self.grams >> U(64 - BITS)).astype(np.int64)] = True
 
-    def find(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item's place, start, end, edits) of every matched segment, in the folded text."""
+    def find(self, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item's place, segment's offset, start, end, edits) of every segment in every band that holds it, in the folded text."""
         hashes = fixed_hash(prefix_hash(text), GRAM)
         near = np.flatnonzero(self.bits[(hashes >> U(64 - BITS)).astype(np.int64)])
         if not len(near):
@@ -87,59 +92,79 @@ class Index:
         lo, hi = np.searchsorted(self.grams, hashes[near], "left"), np.searchsorted(self.grams, hashes[near], "right")
         n = hi - lo
         row = np.repeat(np.arange(len(near)), n)
-        post = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-        seg, diagonal = self.segment[post], near[row] - self.place[post] + SEGMENT  # never negative
-        band = diagonal // BAND
-        size = (len(text) + 2 * SEGMENT) // BAND + 2
-        # distinct q-gram places of the segment in each of the two bands that hold the diagonal
-        key = np.concatenate([seg * size + band, seg * size + band + 1])
-        place = np.tile(self.place[post], 2)
-        pairs = np.unique(key * SEGMENT + place)
-        keys, counts = np.unique(pairs // SEGMENT, return_counts=True)
-        keys = keys[counts >= np.maximum(1, self.bound[keys // size])]
-        found = []
-        raw = text.tobytes()
-        for s, b in zip((keys // size).tolist(), (keys % size).tolist()):
-            first = (b - 1) * BAND - SEGMENT - MOST  # the lowest diagonal of the band, less the edits
-            part, e = self.segments[s], int(self.edits[s])
-            a = max(0, first)
-            window = raw[a:max(0, first + 2 * BAND + 2 * MOST + len(part))]
-            if hit := align(part, window, e, first - a, 2 * BAND + 2 * MOST):
-                found.append((self.owner[s], a + hit[0], a + hit[1], hit[2]))
-        return sorted(set(found))
+        place = self.place[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]]
+        total = len(self.text)
+        band = (near[row] - place + total) // BAND  # never negative
+        # distinct q-gram places in each of the two bands that hold the diagonal
+        keys = np.unique(np.concatenate([band * total + place, (band + 1) * total + place]))
+        band, place = keys // max(total, 1), keys % max(total, 1)
+        own = self.owner[place]
+        # the first and the last of as many q-grams as a segment needs
+        last = np.arange(len(keys)) + np.maximum(1, self.bound[own]) - 1
+        first = np.flatnonzero(last < len(keys))
+        last = last[first]
+        reach = self.size[own[first]] - GRAM
+        first = first[(band[first] == band[last]) & (own[first] == own[last]) & (place[last] - place[first] <= reach)]
+        last = first + np.maximum(1, self.bound[own[first]]) - 1
+        k, b = own[first], band[first]
+        # the segments that hold them: offsets from ``low`` to ``high``, each once in a band
+        low = np.maximum(place[last] - (self.size[k] - GRAM), self.start[k])
+        high = np.minimum(place[first], self.end[k] - self.size[k])
+        again = np.zeros(len(k), bool)
+        again[1:] = (k[1:] == k[:-1]) & (b[1:] == b[:-1])
+        low[1:] = np.where(again[1:], np.maximum(low[1:], high[:-1] + 1), low[1:])
+        n = np.maximum(high - low + 1, 0)
+        row = np.repeat(np.arange(len(k)), n)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+        k, b = k[row], b[row]
+        side = 2 * (SEGMENT + 2 * BAND + 2 * MOST)
+        padded = np.concatenate([np.full(side, END, np.uint8), text, np.full(side, END, np.uint8)])
+        found = set()
+        for size in np.unique(self.size[k]).tolist():
+            for rows in np.array_split(r := np.flatnonzero(self.size[k] == size), -(-len(r) // CHUNK)):
+                # the lowest diagonal of the band, less the edits
+                at = offset[rows] + (b[rows] - 1) * BAND - total - MOST
+                parts = self.text[offset[rows] + np.arange(size)[:, None]]
+                windows = padded[np.clip(at + side, 0, len(padded) - side) + np.arange(size + 2 * BAND + 2 * MOST)[:, None]]
+                cost, start, end = aligned(parts, windows)
+                good = np.flatnonzero(cost <= self.edits[k[rows]])
+                own = k[rows][good]
+                found.update(zip(own.tolist(), (offset[rows][good] - self.start[own]).tolist(), (at[good] + start[good]).tolist(),
+                                 (at[good] + end[good]).tolist(), cost[good].tolist()))
+        return sorted(found)
+
+
+def aligned(parts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best place of each column of ``parts`` in that column of ``windows``, on the diagonals
+    from 0 to the difference of their lengths; END in a window is never crossed."""
+    size, width = len(parts), len(windows) - len(parts) + 1
+    one = 1 << 12  # an edit; the start of the place is kept below it
+    wall = one << 8
+    step = np.where(windows == END, wall, one).astype(np.int32)
+    extra = np.zeros((len(windows) + 1, windows.shape[1]), np.int64)  # what reading the window's letters so far would cost
+    np.cumsum(step, axis=0, out=extra[1:])
+    # by diagonal: edits, then start
+    cost = np.repeat(np.arange(width, dtype=np.int64)[:, None], windows.shape[1], axis=1)
+    for i in range(size):
+        nxt = cost + np.where(windows[i:i + width] == parts[i], 0, step[i:i + width])
+        np.minimum(nxt[:-1], cost[1:] + one, out=nxt[:-1])  # the part's letter is missing in the window
+        base = extra[i + 1:i + 1 + width]
+        nxt -= base
+        np.minimum.accumulate(nxt, axis=0, out=nxt)  # letters of the window are extra
+        nxt += base
+        cost = nxt
+    best = cost.argmin(axis=0)
+    value = cost[best, np.arange(len(best))]
+    return value // one, value % one, best + size
 
 
 def align(part: bytes, window: bytes, most: int, low: int, width: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of ``part`` in ``window`` on diagonals low .. low + width, or None beyond ``most`` edits."""
-    if (at := window.find(part)) >= 0:
-        return at, at + len(part), 0
-    far = most + 1
-    cost = {d: (0, d) for d in range(max(0, low), min(len(window), low + width) + 1)}  # diagonal (of the text's place) -> edits, start
-    for i, c in enumerate(part):
-        nxt: dict[int, tuple[int, int]] = {}
-        left = None
-        for d in range(low, low + width + 1):  # cell: i + 1 letters of the part, i + 1 + d of the window
-            j = i + 1 + d
-            if j < 0 or j > len(window):
-                left = None
-                continue
-            best = None
-            if j > 0 and (x := cost.get(d)) is not None:
-                best = (x[0] + (window[j - 1] != c), x[1])
-            if (x := cost.get(d + 1)) is not None and (best is None or x[0] + 1 < best[0]):
-                best = (x[0] + 1, x[1])
-            if left is not None and (best is None or left[0] + 1 < best[0]):
-                best = (left[0] + 1, left[1])
-            if best is not None and best[0] < far:
-                nxt[d] = best
-                left = best
-            else:
-                left = None
-        cost = nxt
-        if not cost:
-            return None
-    d, (edits, start) = min(cost.items(), key=lambda x: x[1])
-    return start, min(len(window), len(part) + d), edits
+    padded = np.full(len(part) + width, END, np.uint8)
+    inside = np.arange(max(0, low), min(len(window), low + len(padded)))
+    padded[inside - low] = np.frombuffer(window, np.uint8)[inside]
+    cost, start, end = aligned(np.frombuffer(part, np.uint8)[:, None], padded[:, None])
+    return (low + int(start[0]), low + int(end[0]), int(cost[0])) if cost[0] <= most else None
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int | None, str]]]:
@@ -166,36 +191,43 @@ def _index(shared) -> Index:
     return _INDEXES[key]
 
 
+def _pieces(part: np.ndarray):
+    """The folded bytes of one long text and where each stood, in pieces that overlap by two segments."""
+    text, at = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    for a in range(0, max(1, len(part)), SLICE):
+        more, stood = normal(part[a:a + SLICE])
+        if len(text) and len(more) and text[-1] == more[0] == SPACE:  # one run, cut
+            more, stood = more[1:], stood[1:]
+        text, at = np.concatenate([text[-2 * SEGMENT:], more]), np.concatenate([at[-2 * SEGMENT:], stood + a])
+        yield text, at
+
+
 def _rows(column: pa.Array, index: Index):
-    """(row, item's place, start, end, edits) in the bytes of each row."""
+    """(row, item's place, segment's offset, start, end, edits) in the bytes of each row."""
     data, offsets = row_bytes(column)
-    overlap = 4 * SEGMENT
     for i, j in slices(offsets):
         if j == i + 1:
-            part = data[offsets[i]:offsets[j]]
             found = set()
-            for a in range(0, max(1, len(part)), SLICE):
-                text, at = normal(part[a:a + SLICE + overlap])
-                found.update((k, a + int(at[s]), a + int(at[e - 1]) + 1, c) for k, s, e, c in index.find(text))
+            for text, at in _pieces(data[offsets[i]:offsets[j]]):
+                found.update((k, o, int(at[s]), int(at[e - 1]) + 1, c) for k, o, s, e, c in index.find(text))
             yield from ((i, *x) for x in sorted(found))
             continue
-        # rows end to end, a byte between them that no item has
+        # rows end to end, END between them
         own = offsets[i:j + 1] - offsets[i]
         rows = np.repeat(np.arange(j - i), np.diff(own))
-        joined = np.full(own[-1] + j - i, 0xFF, np.uint8)
+        joined = np.full(own[-1] + j - i, END, np.uint8)
         joined[np.arange(own[-1]) + rows] = data[offsets[i]:offsets[j]]
         text, at = normal(joined)
         starts = own[:-1] + np.arange(j - i)
-        for k, s, e, c in index.find(text):
+        for k, o, s, e, c in index.find(text):
             s0, e0 = int(at[s]), int(at[e - 1]) + 1
             r = int(np.searchsorted(starts, s0, "right")) - 1
-            stop = int(own[r + 1]) + r
-            if s0 < stop:
-                yield i + r, k, s0 - int(starts[r]), min(e0, stop) - int(starts[r]), c
+            yield i + r, k, o, s0 - int(starts[r]), e0 - int(starts[r]), c
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, item_id, n_segments, first_byte, last_byte, least_edits) for each document and item with a matched segment."""
+    """(id, item_id, n_segments, first_byte, last_byte, least_edits) for each document and item with a matched segment;
+    n_segments counts the item's offsets at which one starts."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, item_id long, n_segments int, first_byte long, last_byte long, least_edits int"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -205,11 +237,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         def task(batch, shared=shared):
             index = _index(shared)
             by: dict[tuple[int, int], list] = {}
-            for r, k, s, e, c in _rows(batch.column(1), index):
-                by.setdefault((r, k), []).append((s, e, c))
+            for r, k, o, s, e, c in _rows(batch.column(1), index):
+                by.setdefault((r, k), []).append((o, s, e, c))
             keys = list(by)
-            yield [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), [index.items[k] for _, k in keys], [len(by[x]) for x in keys],
-                   [min(s for s, _, _ in by[x]) for x in keys], [max(e for _, e, _ in by[x]) for x in keys], [min(c for _, _, c in by[x]) for x in keys]]
+            yield [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), [index.items[k] for _, k in keys], [len({o for o, *_ in by[x]}) for x in keys],
+                   [min(s for _, s, _, _ in by[x]) for x in keys], [max(e for *_, e, _ in by[x]) for x in keys], [min(c for *_, c in by[x]) for x in keys]]
 
         out = out.unionByName(over(rows, task, schema))
     return out

@@ -140,6 +140,33 @@ def test_decontaminate(spark):
     assert decontaminate.matches(docs.limit(0), bench).collect() == []
 
 
+def test_decontaminate_at_every_offset(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    item, edited = ("".join(rng.choice(letters) for _ in range(200)) for _ in range(2))
+    bench = spark.createDataFrame([(0, item), (1, edited)], "item_id long, text string")
+    noise = ["".join(rng.choice(letters) for _ in range(150)) for _ in range(121)]
+    rows = [(o, noise[o] + item[o:o + 80] + noise[o][::-1]) for o in range(121)]  # 80 bytes word for word
+    rows += [(200 + o, noise[o] + item[o:o + 60] + noise[o][::-1]) for o in range(121)]  # too short
+    for o in range(0, 121, 7):  # 4 edits
+        part = list(edited[o:o + 80])
+        part[20], part[40], part[60], part[70] = "#", "", part[60] + "#", "#"
+        rows.append((400 + o, noise[o] + "".join(part) + noise[o][::-1]))
+    rows += [(600, "clean end"), (601, item[5:115]), (602, "clean start"), (603, item[100:]), (604, "clean")]  # rows end to end
+    rows.append((700, noise[0] + item[60:100] + " " + ", " * 700 + item[100:140]))  # one run of punctuation is one space
+    want = {(o, 0) for o in range(121)} | {(400 + o, 1) for o in range(0, 121, 7)} | {(601, 0), (603, 0), (700, 0)}
+    docs = frame(spark, rows).coalesce(1)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(docs, bench).collect()}
+    assert set(got) == want
+    assert (got[601, 0].first_byte, got[601, 0].last_byte, got[601, 0].least_edits) == (0, 110, 0)
+    import pyarrow as pa
+
+    index = decontaminate.Index([(0, item)])
+    whole = noise[1] + item[60:100] + " " + ", " * 700 + item[100:140] + noise[2]
+    monkeypatch.setattr(decontaminate, "SLICE", 100)  # a long text in pieces
+    assert list(decontaminate._rows(pa.array([whole]), index))
+
+
 def test_align_finds_edits():
     part = b"the quick brown fox jumps over the lazy dog and sleeps"
     assert decontaminate.align(part, b"xx" + part, 2, 0, 10) == (2, 2 + len(part), 0)
