@@ -1,8 +1,8 @@
 """Operator 1: toxicity by a learned lexicon, Levenshtein automata and context windows.
 
 Fitting (on a bounded sample of labelled rows, ``max_rows``): words and word stems that
-toxic rows have and others hardly do form the lexicon, at most ``max_terms``.  Support is
-counted over distinct passages (a min-hash of word triples), so a text copied a hundred
+toxic rows have and others hardly do form the lexicon, which that sample bounds (a caller's
+``max_terms`` keeps the heaviest).  Support is counted over distinct passages (a min-hash of word triples), so a text copied a hundred
 times is one witness.  The lexicon is a trie.  A word that is not in it is matched by
 walking the trie together with the word's Levenshtein automaton (``edits``), so misspelt
 terms count too, unless the same spelling stands in clean labelled rows.  Each hit's
@@ -177,7 +177,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarr
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000, max_terms: int = 20_000, support: int = 6,
+def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000, max_terms: int | None = None, support: int = 6,
         precision: float = 0.8, edits: int = 1) -> tuple[Lexicon, np.ndarray] | None:
     """The lexicon and the logistic model, from at most ``max_rows`` labelled rows for which ``trains`` (SQL on doc_id) holds."""
     known = labels.where("toxic is not null and doc_id is not null").where(trains).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -195,23 +195,30 @@ def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000,
         yield [term, key]
 
     seen = over(rows.where("toxic = 1").select("text"), witnesses, "term string, passage long").distinct()
-    pos = {r.term: r.n for r in seen.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-           .orderBy(F.desc("n"), "term").limit(max_terms).collect()}  # the lexicon's bound
     kinds = dict(rows.groupBy("toxic").count().collect())
-    if not pos or not kinds.get(0):
+    if not kinds.get(0) or not kinds.get(1):
         return None
 
     def clean(batch):
         count: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            count.update([t for t in terms_of(set(WORD.findall(text.lower()))) if t in pos])
+            count.update(terms_of(set(WORD.findall(text.lower()))))
+            if len(count) >= CACHE:
+                yield [list(count), list(count.values())]
+                count.clear()
         yield [list(count), list(count.values())]
 
-    neg = dict(over(rows.where("toxic = 0").select("text"), clean, "term string, n long").groupBy("term").agg(F.sum("n")).collect())
+    pos = seen.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    neg = over(rows.where("toxic = 0").select("text"), clean, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
     passages = seen.agg(F.countDistinct("passage")).first()[0]
-    weights = {t: math.log((n + .5) / (passages + 1) * (kinds[0] + 1) / (neg.get(t, 0) + .5))
-               for t, n in pos.items() if n >= precision * (n + neg.get(t, 0))}
-    weights = {t: w for t, w in weights.items() if w > 0}
+    odds = (F.col("n") + .5) / (passages + 1) * (kinds[0] + 1) / (F.col("c") + .5)
+    terms = (pos.join(neg, "term", "left").withColumn("c", F.coalesce("c", F.lit(0))).where(F.col("n") >= precision * (F.col("n") + F.col("c")))
+             .withColumn("odds", odds).where("odds > 1"))
+    if max_terms is not None:
+        terms = terms.orderBy(F.desc("odds"), "term").limit(max_terms)
+    weights = {r.term: math.log(r.odds) for r in terms.select("term", "odds").collect()}  # bounded by the labelled sample
+    if not weights and not pos.limit(1).collect():
+        return None
     lexicon = Lexicon(weights, set(), edits)
 
     def spelled(batch):
@@ -220,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000,
             found.update(w for w in set(WORD.findall(text.lower())) if not lexicon.exact(w) and lexicon.misspelt(w))
         yield [list(found)]
 
-    benign = {r.word for r in over(rows.where("toxic = 0").select("text"), spelled, "word string").distinct().limit(max_terms).collect()}
+    benign = {r.word for r in over(rows.where("toxic = 0").select("text"), spelled, "word string").distinct().collect()}
     lexicon = Lexicon(weights, benign, edits)
 
     def figures(batch):
@@ -239,7 +246,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`").alias("scored text")]))
     at = keep.index(text_col) if text_col in keep else k
     lexicon, w = model
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.benign, lexicon.edits))  # bounded by max_terms
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.benign, lexicon.edits))  # bounded by the labelled sample
     key = hash((frozenset(lexicon.weights.items()), frozenset(lexicon.benign)))
 
     def task(batch):

@@ -346,6 +346,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).collect() == []
 
 
+def test_rare_precise_terms_outlive_common_words(spark):
+    rows, labels = toxic_rows()
+    rows = [(k, t + " zorgwight" if k % 3 == 0 and k < 60 else t) for k, t in rows]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    for most in (40, None):  # far fewer than the words and stems that toxic rows have
+        weights = toxicity.fit(docs, known, "true", max_terms=most)[0].weights
+        assert {"gruntle$", "snarfox$", "blithor$", "zorgwight$"} <= set(weights) and min(weights.values()) > 0
+    full = weights
+    heaviest = sorted(full, key=lambda t: (-full[t], t))[:5]
+    assert sorted(toxicity.fit(docs, known, "true", max_terms=5)[0].weights) == sorted(heaviest)
+
+
 def test_levenshtein_walk():
     lex = toxicity.Lexicon({w + "$": 5.0 for w in ("moronic", "idiot", "scoundrel")}, {"idiom"}, 1)
     assert [lex.misspelt(w) for w in ("idiott", "1diot", "idot", "moronix", "scondrel", "idi", "table")] == ["idiot", "idiot", None, "moronic", "scoundrel", None, None]
