@@ -421,11 +421,13 @@ def _staged(spark, df, ts_col, name, slices=4, closing=()):
     return TS.file_stream(spark, path, df.schema, files)
 
 
-@register("stream_seat_state")
-def _t1(spark, sf_dir):
-    # two micro-batches: each one calls the per-show state function once per touched show
+def _seat_upkeep(spark, sf_dir):
     log = _staged(spark, booking_log(spark, sf_dir), "ts", "cmdlog", slices=2)
-    return TS.stream_to_table(spark, TS.stream_seat_state(log), "t1")
+    return TS.stream_seat_upkeep(spark, log, scratch_dir(spark, "t1"))
+
+
+_REG["stream_seat_state"] = lambda spark, sf_dir: _seat_upkeep(spark, sf_dir)[0]
+_REG["stream_seat_availability"] = lambda spark, sf_dir: _seat_upkeep(spark, sf_dir)[1]
 
 
 @register("stream_avg_rating")

@@ -122,6 +122,73 @@ def _replay_partition(batches):
         yield pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
 
 
+#: Besides a command's outcome: its booking's seat lines and what became of them (is_available -1: nothing), or,
+#: as rows of kind BOOKING, a booking as its part's commands left it.
+BOOKING, SEAT = "=booking", "=seat"
+CHANGE_SCHEMA = T.StructType([*OUTCOME_SCHEMA.fields, T.StructField("seat_ids", T.ArrayType(T.LongType())), T.StructField("is_available", T.IntegerType()),
+                              T.StructField("owner", T.LongType()), T.StructField("paid", T.BooleanType())])
+
+
+def _replay_from_state(batches):
+    """mapInPandas body like ``_replay_partition``; a part's first rows (prio 0) are its bookings and taken seats so far."""
+    def left(ledger, shows):
+        return [(shows[k], None, 0, BOOKING, k, None, b["status"], None, b["seats"], -1, b["owner"], b["paid"]) for k, b in ledger.bookings.items()]
+
+    ledger, current, shows = ShowLedger(), None, {}
+    for pdf in batches:
+        out = []
+        for c in pdf.itertuples(index=False):
+            if c.part != current:
+                out.extend(left(ledger, shows))
+                current, ledger, shows = c.part, ShowLedger(), {}
+            bid = int(c.booking_id)
+            lines = [int(s) for s in c.seat_ids] if c.seat_ids is not None else []
+            if c.kind == SEAT:
+                ledger.unavailable.update(lines)
+                continue
+            shows[bid] = c.show_id
+            if c.kind == BOOKING:
+                ledger.bookings[bid] = {"owner": int(c.actor_id), "status": c.payment_status, "seats": lines, "paid": bool(c.seat_ok)}
+                continue
+            held = list(ledger.bookings[bid]["seats"]) if bid in ledger.bookings else []
+            outcome, status, unavail = ledger.apply(c)
+            free = outcome == "CANCELLED" or outcome == "APPLIED" and status == "CANCELLED"
+            out.append((c.show_id, c.ts, c.cmd_id, c.kind, bid, outcome, status, unavail, lines if outcome == "ACCEPTED" else held if free else [],
+                        0 if outcome == "ACCEPTED" else 1 if free else -1, 0, False))
+        yield pd.DataFrame(out, columns=[f.name for f in CHANGE_SCHEMA.fields])
+    yield pd.DataFrame(left(ledger, shows), columns=[f.name for f in CHANGE_SCHEMA.fields])
+
+
+def replay_from_state(log: DataFrame, bookings: DataFrame, seats: DataFrame) -> DataFrame:
+    """CHANGE_SCHEMA rows of the commands of ``log`` (a written table, show_id known) after ``bookings`` (show_id, booking_id,
+    owner, booking_status, seat_ids, paid) and ``seats`` (show_id, seat_id, is_available), dealt out by seat-conflict component:
+    the bookings that the log names, linked by the seats that they hold or ask for."""
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = materialize(bookings.join(log.select("show_id", "booking_id").distinct(), ["show_id", "booking_id"], "left_semi"), "replay-known")
+    held = materialize(log.filter("kind = 'book' and seat_ok").select("show_id", "booking_id", F.explode("seat_ids").alias("seat_id"))
+                       .unionByName(known.select("show_id", "booking_id", F.explode("seat_ids").alias("seat_id"))).distinct(), "replay-held")
+    hub = held.groupBy("seat_id").agg(F.min("booking_id").alias("b"))
+    label = components(held.join(hub, "seat_id").select(F.col("booking_id").alias("a"), "b"), "replay-parts").withColumnsRenamed(
+        {"vertex": "booking_id", "component": "part"})
+    part = F.coalesce("part", "booking_id").alias("part")
+    # a seat's holders are of one part
+    taken = (hub.join(label.withColumnRenamed("booking_id", "b"), "b", "left").select(F.coalesce("part", "b").alias("part"), "seat_id")
+             .join(seats.filter("is_available = 0"), "seat_id"))
+    cols = [f.name for f in COMMAND_SCHEMA.fields]
+
+    def row(df, prio, **given):
+        return df.select("part", F.lit(prio).alias("prio"), *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in COMMAND_SCHEMA.fields])
+
+    nothing = {"cmd_id": F.lit(0), "actor_is_admin": F.lit(False), "food_ok": F.lit(True)}
+    rows = (log.join(label, "booking_id", "left").select(part, F.lit(1).alias("prio"), *cols)
+            .unionByName(row(known.join(label, "booking_id", "left").withColumn("part", part), 0, show_id=F.col("show_id"), kind=F.lit(BOOKING),
+                             booking_id=F.col("booking_id"), actor_id=F.col("owner"), seat_ids=F.col("seat_ids"), seat_ok=F.col("paid"),
+                             payment_status=F.col("booking_status"), **nothing))
+            .unionByName(row(taken, 0, show_id=F.col("show_id"), kind=F.lit(SEAT), booking_id=F.lit(0), actor_id=F.lit(0), seat_ok=F.lit(True),
+                             seat_ids=F.array("seat_id"), **nothing)))
+    return rows.repartition(n, "part").sortWithinPartitions("part", "prio", "ts", "cmd_id").mapInPandas(_replay_from_state, CHANGE_SCHEMA)
+
+
 def command_log(st: dict, book: DataFrame, cancel: DataFrame, payment: DataFrame) -> DataFrame:
     """One ordered log over the three request kinds.  booking_id of a book command is
     its request_id; cancel and payment rows take the show of their booking's book

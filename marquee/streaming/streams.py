@@ -26,7 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from marquee.functions.numeric import rating_round
 from marquee.operators.notices import outbox_messages, outbox_sink, reminders_due
-from marquee.operators.replay import OUTCOME_SCHEMA, ShowLedger
+from marquee.operators.replay import BOOKING, COMMAND_SCHEMA, OUTCOME_SCHEMA, ShowLedger, replay_from_state
 from marquee.plans.lineage import materialize
 from marquee.plans.paths import exists, latest_version
 from marquee.session import scratch_dir
@@ -118,6 +118,55 @@ def stream_seat_state(commands: DataFrame) -> DataFrame:
             .applyInPandasWithState(_ledger_step, OUTCOME_SCHEMA, _LEDGER_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
+_SEAT_TABLES = {
+    "bookings": "show_id long, booking_id long, owner long, booking_status string, seat_ids array<long>, paid boolean",
+    "seats": "show_id long, seat_id long, is_available int, ts timestamp_ntz, cmd_id long",
+    "clock": "show_id long, ts timestamp_ntz, cmd_id long",
+}
+
+
+def seat_upkeep_batch(spark: SparkSession, commands: DataFrame, epoch: int, root: str) -> None:
+    """foreachBatch body.  State is three versioned Parquet tables under ``root``: bookings, seats (the last event of
+    each seat that was ever taken) and each show's last command.  Batch ``e`` reads version e-1 and writes version e
+    and its outcomes (idempotent).  The commands are dealt out by seat-conflict component, so a show with most of
+    them spreads over tasks; only bookings that the batch names and seats that those ask for or hold enter it."""
+    old = {t: spark.createDataFrame([], ddl) if epoch == 0 else spark.read.schema(ddl).parquet(_version(root, t, epoch - 1))
+           for t, ddl in _SEAT_TABLES.items()}
+    clock = old["clock"].select("show_id", F.struct("ts", "cmd_id").alias("_last"))
+    log = materialize(commands.filter(F.col("show_id").isNotNull()).join(clock, "show_id", "left")
+                      .withColumn("_late", F.coalesce(F.struct("ts", "cmd_id") < F.col("_last"), F.lit(False))), "t1-batch")
+    on_time = log.filter("not _late").select([f.name for f in COMMAND_SCHEMA.fields])
+    changes = materialize(replay_from_state(on_time, old["bookings"], old["seats"].select("show_id", "seat_id", "is_available")), "t1-changes")
+    left = changes.filter(F.col("kind") == BOOKING).select("show_id", "booking_id", "owner", "booking_status", "seat_ids", "paid")
+    done = changes.filter(F.col("kind") != BOOKING)
+    events = done.filter("is_available >= 0").select("show_id", F.explode("seat_ids").alias("seat_id"), "is_available", "ts", "cmd_id")
+    order = F.struct("ts", "cmd_id")
+    new = {
+        "bookings": old["bookings"].join(left, ["show_id", "booking_id"], "left_anti").unionByName(left),
+        "seats": (old["seats"].unionByName(events).groupBy("show_id", "seat_id")
+                  .agg(F.max_by(F.struct("is_available", "ts", "cmd_id"), order).alias("e")).select("show_id", "seat_id", "e.*")),
+        "clock": (old["clock"].unionByName(on_time.select("show_id", "ts", "cmd_id")).groupBy("show_id").agg(F.max(order).alias("e"))
+                  .select("show_id", "e.*")),
+        "outcomes": done.select([f.name for f in OUTCOME_SCHEMA.fields]).unionByName(log.filter("_late").select(
+            "show_id", "ts", "cmd_id", "kind", "booking_id", F.lit("LATE").alias("outcome"),
+            F.lit(None).cast("string").alias("booking_status"), F.lit(None).cast("string").alias("unavailable_seats"))),
+    }
+    for table, df in new.items():
+        df.write.mode("overwrite").parquet(_version(root, table, epoch))
+
+
+def stream_seat_upkeep(spark: SparkSession, commands: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
+    """T1 by micro-batches of the component-split replay: the outcome of every command, and (show_id, seat_id, is_available)
+    of every seat that a booking took or freed, as its last seat line added (taken) or removed (free) left it."""
+    run_available_now(commands.writeStream.foreachBatch(lambda df, epoch: seat_upkeep_batch(spark, df, epoch, root)),
+                      os.path.join(root, "_checkpoint"))
+    last = latest_version(spark, os.path.join(root, "outcomes"))
+    if last is None:
+        return spark.createDataFrame([], OUTCOME_SCHEMA), spark.createDataFrame([], "show_id long, seat_id long, is_available int")
+    outcomes = spark.read.schema(OUTCOME_SCHEMA).parquet(*[_version(root, "outcomes", e) for e in range(last + 1)])
+    return outcomes, spark.read.schema(_SEAT_TABLES["seats"]).parquet(_version(root, "seats", last)).select("show_id", "seat_id", "is_available")
+
+
 # --------------------------------------------------------------------------
 # Running aggregates per show
 # --------------------------------------------------------------------------

@@ -1337,6 +1337,13 @@ SELECT 'seats', seat_id || '|' || av FROM (
     WHERE e.outcome IN ('ACCEPTED', 'CANCELLED') OR (e.outcome = 'APPLIED' AND e.status_after = 'CANCELLED')) GROUP BY seat_id)
 """, _REPLAY, recursive=True)
 
+ORACLE["stream_seat_availability"] = q("""
+SELECT show_id, seat_id, first(av ORDER BY ts DESC, cmd_id DESC) AS is_available FROM (
+  SELECT e.show_id, e.ts, e.cmd_id, CASE WHEN e.outcome = 'ACCEPTED' THEN 0 ELSE 1 END AS av, unnest(k.seats) AS seat_id
+  FROM rp_ e JOIN ck_ k ON k.request_id = e.booking_id
+  WHERE e.outcome IN ('ACCEPTED', 'CANCELLED') OR (e.outcome = 'APPLIED' AND e.status_after = 'CANCELLED')) GROUP BY show_id, seat_id
+""", _REPLAY, recursive=True)
+
 ORACLE["stream_registration_outbox"] = q(f"""
 SELECT email AS "to", 'Welcome to Box Office!' AS subject,
        '{_WRAP_A}<h2>Welcome, ' || full_name || '!</h2><p>Your account is ready.</p>{_WRAP_B}' AS html,

@@ -186,3 +186,18 @@ def test_stream_in_batches_equals_batch_replay(spark, fresh_seed):
     path, files = TS.stage_stream_source(log, "ts", scratch_dir(spark, "test-log"), slices=3)
     streamed = TS.stream_to_table(spark, TS.stream_seat_state(TS.file_stream(spark, path, log.schema, files)), "test-t1")
     assert {r.cmd_id: r.outcome for r in streamed.collect()} == batch
+
+
+@pytest.mark.parametrize("seed_no,slices", [(11, 3), (12, 5)])
+def test_seat_upkeep_in_batches_equals_batch_replay(spark, fresh_seed, seed_no, slices):
+    from marquee.session import scratch_dir
+    book, cancel, pay = random_log(random.Random(seed_no))
+    log = RP.command_log(fresh_seed, *_log_frames(spark, book, cancel, pay))
+    batch = RP.replay_booking_log(log).filter("show_id is not null")
+    path, files = TS.stage_stream_source(log, "ts", scratch_dir(spark, "test-log"), slices=slices, files_per_slice=1)
+    outcomes, seats = TS.stream_seat_upkeep(spark, TS.file_stream(spark, path, log.schema, files), scratch_dir(spark, "test-t1"))
+    assert sorted(map(str, outcomes.collect())) == sorted(map(str, batch.collect()))
+    want = {r.seat_id: r.is_available for r in RP.final_seats(log, batch).collect()}
+    got = seats.collect()
+    assert {r.seat_id: r.is_available for r in got} == want and len(got) == len(want) and set(want.values()) == {0, 1}
+    assert all(r.show_id == (r.seat_id - 1) // 50 + 1 for r in got)
