@@ -5,7 +5,8 @@ toxic rows have and others hardly do form the lexicon, which that sample bounds
 ``max_terms`` keeps the heaviest).  Support is counted over distinct passages (a min-hash of word triples), so a text copied a hundred
 times is one witness.  The lexicon is a trie.  A word that is not in it is matched by
 walking the trie together with the word's Levenshtein automaton (``edits``), so misspelt
-terms count too, unless the same spelling stands in clean labelled rows.  Each hit's
+terms count too, unless the same spelling stands in clean labelled rows; term and word need
+5 letters for that, shorter terms count as spelt (or by a stem).  Each hit's
 weight is reduced where its context window reads as a quotation and raised where it
 addresses someone; a logistic model of these figures gives the score.
 
