@@ -1,11 +1,11 @@
-"""Operator 10: removal of repeated byte strings by bucket refinement of sampled suffixes.
+"""Operator 10: removal of repeated byte strings by hash refinement of sampled suffixes.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else
 (exact; strings never cross texts).  Suffixes are not all sorted: in every window of
 ``length`` bytes the q-gram with the smallest hash is the window's anchor, so equal
 windows have equal anchors, and the suffixes at anchors (about one in 70 bytes) stand for
-all.  Their buckets are refined from the q-gram outward, each level by the bucket
-identifiers (hashes) of strings at later and earlier offsets:
+all.  Their buckets are refined from the q-gram outward, each level by direct
+hashes of longer strings (not by identifiers of later offsets, as bucket-pointer refinement):
 
 1. q-gram buckets.  A bucket with one suffix is done: none of its windows repeats.
 2. whole contexts, the union of an anchor's windows.  Equal contexts are equal in all
