@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -56,17 +58,37 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
 def over(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function from one batch to column lists in the order of ``schema``."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
-        for batch in batches:
-            for cols in task(batch):
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
-                                                  for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+        try:
+            for batch in batches:
+                for cols in task(batch):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                                      for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``size`` bytes, where the session does not say otherwise: tasks
+    hold a batch and its results, however long the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(size))
+
+
+def release() -> None:
+    """Give a task's memory back: Spark's Python workers are used again and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
