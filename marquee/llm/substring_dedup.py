@@ -14,8 +14,8 @@ a smaller id (exact; windows never cross texts and are judged on the input).
    or more is a factor and thereby a duplicate span.  The windows that cross a factor's
    end are tried one by one, so no window that the block holds is missed.
 4. Rest.  A window outside all factors can still repeat in documents that share
-   its gram but are not the gram's first.  Those windows (few) go, by two 64-bit hashes, to
-   the smallest id that holds them.
+   its gram but are not the gram's first, or elsewhere in the first one.  Those windows (few)
+   go, by two 64-bit hashes, to the smallest id that holds them.
 
 Memory: a task holds a slice of texts, or one row of a block and a stretch.  Hot grams
 and blocks are aggregates with map-side partials and joins; nothing is gathered by gram.
@@ -194,16 +194,18 @@ class Block:
 
 
 def _parse(length: int):
-    """(block words, id, node, start, words) -> spans (role 0) and windows outside all factors (role 1)."""
+    """(block words, its id, id, node, start, words) -> spans (role 0) and windows outside all factors (role 1).
+
+    A document's own stretches beside its block have no factors: others may hold their windows."""
     def task(batch):
-        refs, ids, node, starts, own = batch.columns
+        refs, sources, ids, node, starts, own = batch.columns
         last, index = None, None
         out = []
-        for r, d, n, s, w in zip(refs, ids.to_pylist(), node.to_pylist(), starts.to_pylist(), own):
+        for r, z, d, n, s, w in zip(refs, sources.to_pylist(), ids.to_pylist(), node.to_pylist(), starts.to_pylist(), own):
             if last is None or r != last:
                 last, index = r, Block(np.frombuffer(r.as_buffer(), "<u8"), length)
             words = np.frombuffer(w.as_buffer(), "<u8")
-            factors = index.parse(words)
+            factors = index.parse(words) if d > z else []
             out.extend((0, d, n, s + a, s + b, 0, 0) for a, b in factors)
             rest = np.ones(max(0, len(words) - length + 1), bool)
             for a, b in factors:
@@ -256,7 +258,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     shared = written(shared.where("source < top").select("gram", "source", F.expr(f"cast(place div {BLOCK} as int)").alias("block")), "substring-grams")
 
     places = over(rows, _places(length), "gram long, doc long, at int, first int, last int")
-    asked = places.join(shared, "gram").where("doc > source")
+    asked = places.join(shared, "gram").where(f"doc > source or at div {BLOCK} <> block")
     own = shared.select("source", "block").distinct().select(
         F.lit(0).cast("long").alias("gram"), F.col("source").alias("doc"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"),
         F.lit(None).cast("long").alias("source"), "block")
@@ -267,7 +269,7 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
 
     refs = cuts.where("role = 0").select("source", "block", F.col("words").alias("reference"))
     todo = cuts.where("role = 1").select("source", "block", "doc", "node", "start", "words")
-    pairs = todo.join(refs, ["source", "block"]).select("reference", "doc", "node", "start", "words")
+    pairs = todo.join(refs, ["source", "block"]).select("reference", "source", "doc", "node", "start", "words")
     parsed = written(over(pairs, _parse(length), "role int, doc long, node long, s int, e int, h1 long, h2 long"), "substring-parsed")
     rest = parsed.where("role = 1")
     holders = rest.groupBy("h1", "h2").agg(F.min("doc").alias("holder"), F.max("doc").alias("top")).where("holder < top").select("h1", "h2", "holder")
