@@ -22,6 +22,7 @@ from marquee.operators import apply as AP
 from marquee.operators import audits as Q
 from marquee.operators import replay as RP
 from marquee.operators import validate as V
+from marquee.streaming import keyed as TK
 from marquee.streaming import streams as TS
 from marquee.plans import paging as PG
 from marquee.plans.lineage import materialize
@@ -147,6 +148,24 @@ def _outbox(spark, sf_dir):
     return welcome.unionByName(remind).unionByName(N.outbox_messages(cancelled, "cancellation"))
 
 
+@register("outbox_confirmation")
+def _confirmations(spark, sf_dir):
+    st = state(spark, sf_dir)
+    return N.outbox_messages(N.confirmations(st, st["bookings"]), "confirmation")
+
+
+MAILINGS = [("New season", "Booking opens on Friday."), ("Summer offers", "Two for one in June.")]
+
+
+@register("outbox_bulk")
+def _bulk(spark, sf_dir):
+    """Two mailings to all users, each run twice: every user gets each of them once."""
+    users, path = state(spark, sf_dir)["users"], scratch_dir(spark, "outbox-bulk")
+    for subject, message in [*MAILINGS, *MAILINGS]:
+        N.outbox_sink(N.outbox_messages(users, "bulk", subject, message), path)
+    return spark.read.parquet(path).select("to", "subject", "html", "template", "message_id")
+
+
 _simple("format_inr", lambda st: st["bookings"].select("booking_id", "total_amount",
                                                        format_inr(F.col("total_amount")).alias("amount_text")))
 _simple("format_long_date", lambda st: st["shows"].select("show_id", "show_date",
@@ -421,13 +440,13 @@ def _staged(spark, df, ts_col, name, slices=4, closing=()):
     return TS.file_stream(spark, path, df.schema, files)
 
 
-def _seat_upkeep(spark, sf_dir):
+def _seat_changes(spark, sf_dir):
     log = _staged(spark, booking_log(spark, sf_dir), "ts", "cmdlog", slices=2)
-    return TS.stream_seat_upkeep(spark, log, scratch_dir(spark, "t1"))
+    return TK.seat_changes(spark, log, scratch_dir(spark, "t1"))
 
 
-_REG["stream_seat_state"] = lambda spark, sf_dir: _seat_upkeep(spark, sf_dir)[0]
-_REG["stream_seat_availability"] = lambda spark, sf_dir: _seat_upkeep(spark, sf_dir)[1]
+_REG["stream_seat_state"] = lambda spark, sf_dir: TK.seat_outcomes(_seat_changes(spark, sf_dir))
+_REG["stream_seat_availability"] = lambda spark, sf_dir: TK.seat_availability(_seat_changes(spark, sf_dir))
 
 
 @register("stream_avg_rating")
@@ -444,6 +463,13 @@ def _t3(spark, sf_dir):
     return TS.stream_to_table(spark, TS.stream_request_windows(_staged(spark, events, "ts", "events", closing="view")), "t3")
 
 
+@register("stream_client_windows")
+def _t3_clients(spark, sf_dir):
+    events = data(spark, sf_dir)["events"]
+    with TK.rocksdb(spark):
+        return TS.stream_to_table(spark, TK.stream_client_windows(_staged(spark, events, "ts", "events", closing="view")), "t3-clients")
+
+
 @register("stream_hold_expiry")
 def _t4(spark, sf_dir):
     events = data(spark, sf_dir)["events"]
@@ -492,6 +518,25 @@ def _t6(spark, sf_dir):
                               "t6", mode="complete")
 
 
+def status_changes(spark, sf_dir) -> DataFrame:
+    """Every booking as it was made, then the cancellations and payment results that are applied to it."""
+    st, d = state(spark, sf_dir), data(spark, sf_dir)
+    cancels, payments = R.cancel_requests(d), R.payment_requests(d)
+    _, gone = AP.cancel_bookings(st, cancels)
+    _, paid = AP.apply_payment_results(st, payments)
+    changes = [st["bookings"].select("booking_id", "booking_status", F.col("booking_date").alias("changed_at"), (F.col("booking_id") * 10).alias("change_id"))]
+    for out, reqs, done, status in ((gone, cancels, "CANCELLED", F.lit("CANCELLED")), (paid, payments, "APPLIED", F.col("booking_status"))):
+        changes.append(out.filter(F.col("outcome") == done).withColumn("booking_status", status).join(reqs.select("request_id", "requested_at"), "request_id").select(
+            "booking_id", "booking_status", F.col("requested_at").alias("changed_at"), F.col("request_id").alias("change_id")))
+    return reduce(DataFrame.unionByName, changes).join(st["bookings"].select("booking_id", "show_id", "total_amount"), "booking_id")
+
+
+@register("stream_revenue_changes")
+def _t6_changes(spark, sf_dir):
+    changes = _staged(spark, materialize(status_changes(spark, sf_dir), "status-changes"), "changed_at", "status-changes", slices=3)
+    return TK.stream_revenue_changes(spark, changes, scratch_dir(spark, "t6-changes"))
+
+
 @register("stream_registration_outbox")
 def _t7_registrations(spark, sf_dir):
     users = state(spark, sf_dir)["users"]

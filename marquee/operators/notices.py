@@ -94,13 +94,17 @@ def wrap_html(body: F.Column, brand: str = BRAND) -> F.Column:
 
 
 def outbox_messages(df: DataFrame, kind: str, subject: str | None = None, message: str | None = None,
-                    brand: str = BRAND) -> DataFrame:
+                    brand: str = BRAND, mailing: str | None = None) -> DataFrame:
     """one message row (to, subject, html, template, message_id) per input row.
 
     welcome: users rows; confirmation: booking rows with email, title, booking_id,
     total_amount and seat_list; cancellation: booking rows with email, title,
     booking_id; reminder: ``reminders_due`` rows; bulk: users rows plus the
-    admin's subject and message (both required)."""
+    admin's subject and message (both required).
+
+    A message's id is its kind and its booking or user; a bulk message's id also has its mailing, by default
+    a digest of subject and message: another mailing is sent to the same users, the same one is not sent twice
+    unless it is given a ``mailing`` name of its own."""
     c = {k: F.col(k) for k in df.columns}
     c["brand"] = F.lit(brand)
     if kind == "bulk":
@@ -108,13 +112,26 @@ def outbox_messages(df: DataFrame, kind: str, subject: str | None = None, messag
             raise ValueError("subject and message required")
         c["subject"], c["message"] = F.lit(subject), F.lit(message)
         subj = F.lit(subject)
+        kind_id = F.concat_ws(":", F.lit(kind), F.lit(mailing) if mailing else F.substring(F.sha2(F.concat_ws("\n", c["subject"], c["message"]), 256), 1, 16))
     else:
+        kind_id = F.lit(kind)
         subj = _fmt(SUBJECTS[kind], **c)
     key = F.col("booking_id") if "booking_id" in df.columns else F.col("user_id")
     return df.select(F.col("email").alias("to"), subj.alias("subject"),
                      wrap_html(_fmt(BODIES[kind], **c), brand).alias("html"),
                      F.lit(kind).alias("template"),
-                     F.concat_ws(":", F.lit(kind), key.cast("string")).alias("message_id"))
+                     F.concat_ws(":", kind_id, key.cast("string")).alias("message_id"))
+
+
+def confirmations(st: dict, bookings: DataFrame) -> DataFrame:
+    """What a confirmation message needs of CONFIRMED ``bookings`` (rows of the booking table): address, title, seat list."""
+    from marquee.operators.documents import booking_seat_lines
+    label = F.transform(F.array_sort(F.collect_list(F.struct("row_letter", "seat_number", "seat_type"))),
+                        lambda s: F.concat(s["row_letter"], s["seat_number"].cast("string"), F.lit("("), s["seat_type"], F.lit(")")))
+    seats = booking_seat_lines(st).groupBy("booking_id").agg(F.array_join(label, ", ").alias("seat_list"))  # a booking's seats
+    return (bookings.filter(F.col("booking_status") == "CONFIRMED").join(st["users"].select("user_id", "email"), "user_id")
+            .join(st["shows"].select("show_id", "title"), "show_id").join(seats, "booking_id", "left")
+            .withColumn("seat_list", F.coalesce("seat_list", F.lit(""))))
 
 
 def outbox_sink(messages: DataFrame, path: str) -> None:

@@ -16,11 +16,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    """The largest n of the finished tables ``v<n>`` under ``path`` (a finished write has _SUCCESS)."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at ``path``, if there is anything."""
+    fs, at = _at(spark, path)
+    fs.delete(at, True)
+
+
+def latest_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The largest n (smaller than ``before``) of the finished tables ``v<n>`` under ``path`` (a finished write has _SUCCESS)."""
     fs, at = _at(spark, path)
     if not fs.exists(at):
         return None
     names = [s.getPath().getName() for s in fs.listStatus(at)]
-    done = [int(n[1:]) for n in names if n[1:].isdigit() and n[0] == "v" and exists(spark, f"{path}/{n}/_SUCCESS")]
+    done = [int(n[1:]) for n in names if n[1:].isdigit() and n[0] == "v" and (before is None or int(n[1:]) < before) and exists(spark, f"{path}/{n}/_SUCCESS")]
     return max(done, default=None)

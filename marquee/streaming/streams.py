@@ -27,6 +27,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from marquee.functions.numeric import rating_round
 from marquee.operators.notices import outbox_messages, outbox_sink, reminders_due
 from marquee.operators.replay import BOOKING, COMMAND_SCHEMA, OUTCOME_SCHEMA, ShowLedger, replay_from_state
+from marquee.plans.buckets import BucketTable
 from marquee.plans.lineage import materialize
 from marquee.plans.paths import exists, latest_version
 from marquee.session import scratch_dir
@@ -181,7 +182,8 @@ def avg_from_running(running: DataFrame) -> DataFrame:
 
 
 def stream_revenue(bookings: DataFrame) -> DataFrame:
-    """Running confirmed revenue and booking count per show (state: one row per show)."""
+    """T6 over a feed in which every booking comes once, with its final status: running confirmed revenue and booking
+    count per show (state: one row per show).  A feed of status changes: ``keyed.stream_revenue_changes``."""
     return (bookings.filter(F.col("booking_status") == "CONFIRMED").groupBy("show_id")
             .agg(F.sum("total_amount").cast("decimal(18,2)").alias("revenue"), F.count(F.lit(1)).alias("bookings")))
 
@@ -323,43 +325,60 @@ def _version(root: str, table: str, epoch: int | str) -> str:
     return os.path.join(root, table, f"v{epoch}")
 
 
-def rating_upkeep_batch(spark: SparkSession, events: DataFrame, epoch: int, root: str) -> None:
-    """foreachBatch body.  State is two versioned Parquet tables under ``root``: reviews
-    and per-show ratings.  Batch ``e`` reads version e-1 (``init`` before the first)
-    and writes version e, so a retried batch rewrites the same version from the same
-    input (idempotent).  Per review id the last event of the batch wins; only the
-    shows it touches are re-averaged."""
+RATING_SUMS = "show_id long, rating_sum long, review_count long"
+
+
+def rating_tables(spark: SparkSession, root: str, buckets: int = 32) -> tuple[BucketTable, BucketTable]:
+    """The upkeep's state under ``root``: reviews in buckets of review_id, sums of ratings in buckets of show_id."""
     from marquee.sources.schemas import TABLES
-    prev = "init" if epoch == 0 else epoch - 1
-    reviews = spark.read.schema(TABLES["reviews"]).parquet(_version(root, "reviews", prev))
-    ratings = spark.read.parquet(_version(root, "ratings", prev))
-    last = (events.groupBy("review_id")
-            .agg(F.max_by(F.struct(*[c for c in REVIEW_EVENT_FIELDS if c != "review_id"]), "event_ts").alias("e"))
-            .select("review_id", "e.*"))
-    touched_ids = last.select("review_id")
-    gone_shows = reviews.join(touched_ids, "review_id", "left_semi").select("show_id")
-    kept = reviews.join(touched_ids, "review_id", "left_anti")
-    upserts = last.filter(F.col("op") == "upsert").select(*[f.name for f in TABLES["reviews"].fields])
-    new_reviews = kept.unionByName(upserts)
-    touched_shows = gone_shows.unionByName(last.select("show_id")).distinct()
-    fresh = (new_reviews.join(touched_shows, "show_id", "left_semi").groupBy("show_id")
-             .agg(F.sum("rating").alias("_s"), F.count(F.lit(1)).alias("review_count"))
-             .select("show_id", rating_round(F.col("_s"), F.col("review_count")).alias("avg_rating"), "review_count"))
-    # touched shows whose last review went away drop out of the ratings table (0.00 by A8)
-    new_ratings = ratings.join(touched_shows, "show_id", "left_anti").unionByName(fresh)
-    new_reviews.write.mode("overwrite").parquet(_version(root, "reviews", epoch))
-    new_ratings.write.mode("overwrite").parquet(_version(root, "ratings", epoch))
+    reviews = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in TABLES["reviews"].fields)
+    return (BucketTable(spark, os.path.join(root, "reviews"), reviews, ["review_id"], buckets),
+            BucketTable(spark, os.path.join(root, "ratings"), RATING_SUMS, ["show_id"], buckets))
+
+
+def _rating_sums(rows: DataFrame) -> DataFrame:
+    """(show_id, rating, n) with n = 1 (a review) or -1 (a review taken back), or sums of such -> one row per show."""
+    return rows.groupBy("show_id").agg(F.sum("rating_sum").cast("long").alias("rating_sum"), F.sum("review_count").cast("long").alias("review_count"))
+
+
+def rating_upkeep_batch(spark: SparkSession, events: DataFrame, epoch: int, root: str) -> None:
+    """foreachBatch body.  State: two bucket tables under ``root`` (version 0: the start); batch ``e`` makes version
+    e + 1 from the version before, so a retried batch makes the same one again (idempotent).  Per review id the batch's last event
+    wins.  Its buckets of reviews are read and written, and the old and the new review of each changed id
+    become signed sums (minus the old, plus the new) that are added to their shows' buckets: no other review is touched."""
+    reviews, ratings = rating_tables(spark, root)
+    fields = [f.strip().split(" ")[0] for f in reviews.schema.split(",")]
+    last = materialize(events.groupBy("review_id").agg(F.max_by(F.struct(*[c for c in REVIEW_EVENT_FIELDS if c != "review_id"]), "event_ts").alias("e"))
+                       .select("review_id", "e.*"), "t2-events")
+    base, here = reviews.latest(epoch + 1), reviews.touched(last)
+    old = reviews.read(base, here)
+    upserts = last.filter(F.col("op") == "upsert").select(*fields)
+    gone = old.join(last.select("review_id"), "review_id", "left_semi")
+    changes = gone.select("show_id", (-F.col("rating")).alias("rating_sum"), F.lit(-1).alias("review_count")).unionByName(
+        upserts.select("show_id", F.col("rating").alias("rating_sum"), F.lit(1).alias("review_count")))
+    sums = materialize(_rating_sums(changes), "t2-sums")
+    reviews.write(old.join(last.select("review_id"), "review_id", "left_anti").unionByName(upserts), epoch + 1, here, base)
+    base, here = ratings.latest(epoch + 1), ratings.touched(sums)
+    ratings.write(_rating_sums(ratings.read(base, here).unionByName(sums)).filter("review_count > 0"), epoch + 1, here, base)
+
+
+def start_rating_upkeep(spark: SparkSession, reviews: DataFrame, root: str) -> None:
+    """Version 0 of the upkeep's state from a table of reviews."""
+    table, ratings = rating_tables(spark, root)
+    table.write(reviews, 0)
+    ratings.write(_rating_sums(reviews.select("show_id", F.col("rating").alias("rating_sum"), F.lit(1).alias("review_count"))), 0)
+
+
+def ratings_now(spark: SparkSession, root: str) -> DataFrame:
+    """(show_id, avg_rating, review_count) of the shows with reviews, as the last finished batch left them."""
+    ratings = rating_tables(spark, root)[1]
+    return avg_from_running(ratings.read(ratings.latest()))
 
 
 def stream_rating_upkeep(spark: SparkSession, events: DataFrame, reviews: DataFrame, root: str) -> DataFrame:
-    """T2 with edits: seed version ``init`` from ``reviews``, apply the event stream
-    (op = 'upsert' | 'delete', keyed by review_id, ordered by event_ts) batch by batch,
-    and return the latest ratings table (show_id, avg_rating, review_count)."""
-    from marquee.operators.analytics import avg_rating
-    reviews.write.mode("overwrite").parquet(_version(root, "reviews", "init"))
-    avg_rating({"reviews": reviews, "shows": reviews.select("show_id").distinct()}) \
-        .write.mode("overwrite").parquet(_version(root, "ratings", "init"))
-    run_available_now(events.writeStream.foreachBatch(lambda df, epoch: rating_upkeep_batch(spark, df, epoch, root)),
-                      os.path.join(root, "_checkpoint"))
-    latest = latest_version(spark, os.path.join(root, "ratings"))  # also after a restart without new data
-    return spark.read.parquet(_version(root, "ratings", "init" if latest is None else latest))
+    """T2 with edits: start from ``reviews``, apply the event stream (op = 'upsert' | 'delete', keyed by
+    review_id, ordered by event_ts) batch by batch, and return the ratings after it.  A root that has a state goes on with it."""
+    if rating_tables(spark, root)[1].latest() is None:
+        start_rating_upkeep(spark, reviews, root)
+    run_available_now(events.writeStream.foreachBatch(lambda df, epoch: rating_upkeep_batch(spark, df, epoch, root)), os.path.join(root, "_checkpoint"))
+    return ratings_now(spark, root)

@@ -564,11 +564,7 @@ rf_ AS (SELECT request_id, row_number() OVER (PARTITION BY lower(email) ORDER BY
         FROM rv_ WHERE valid AND NOT known)
 """)
 
-ORACLE["cancel_bookings"] = q("""
-SELECT j.request_id, j.booking_id, j.actor_id,
-       CASE WHEN j.owner IS NULL THEN 'NOT_FOUND' WHEN f.first IS NULL THEN 'FORBIDDEN'
-            WHEN j.st = 'CANCELLED' OR NOT f.first THEN 'ALREADY_CANCELLED' ELSE 'CANCELLED' END AS outcome
-FROM cj_ j LEFT JOIN cf_ f USING (request_id)""", """
+_CANCEL = """
 cr_ AS (
   SELECT booking_id * 10 + 3 AS request_id, booking_date + INTERVAL 2 DAY AS requested_at,
          CASE WHEN booking_id % 49 = 0 THEN -booking_id - 1 ELSE booking_id END AS booking_id,
@@ -578,7 +574,12 @@ cj_ AS (SELECT r.*, r.actor_id % 100 = 0 AS adm, b.user_id AS owner, b.booking_s
         FROM cr_ r LEFT JOIN bookings b USING (booking_id)),
 cf_ AS (SELECT request_id, row_number() OVER (PARTITION BY booking_id ORDER BY requested_at, request_id) = 1 AS first
         FROM cj_ WHERE owner IS NOT NULL AND (coalesce(owner = actor_id, false) OR coalesce(adm, false)))
-""")
+"""
+ORACLE["cancel_bookings"] = q("""
+SELECT j.request_id, j.booking_id, j.actor_id,
+       CASE WHEN j.owner IS NULL THEN 'NOT_FOUND' WHEN f.first IS NULL THEN 'FORBIDDEN'
+            WHEN j.st = 'CANCELLED' OR NOT f.first THEN 'ALREADY_CANCELLED' ELSE 'CANCELLED' END AS outcome
+FROM cj_ j LEFT JOIN cf_ f USING (request_id)""", _CANCEL)
 
 _PAY = """
 pr_ AS (
@@ -1042,6 +1043,44 @@ ORACLE["stream_revenue"] = q("""
 SELECT show_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS bookings
 FROM bookings WHERE booking_status = 'CONFIRMED' GROUP BY show_id""")
 
+ORACLE["stream_revenue_changes"] = q("""
+SELECT show_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS bookings
+FROM (SELECT booking_id, max_by(st, struct_pack(t := t, id := id)) AS st FROM chg_ GROUP BY booking_id) JOIN bookings USING (booking_id)
+WHERE st = 'CONFIRMED' GROUP BY show_id""", _CANCEL.rstrip() + "," + _PAY.rstrip() + """,
+chg_ AS (SELECT booking_id, booking_status AS st, booking_date AS t, booking_id * 10 AS id FROM bookings
+         UNION ALL SELECT j.booking_id, 'CANCELLED', j.requested_at, j.request_id FROM cj_ j JOIN cf_ f USING (request_id) WHERE f.first AND j.st <> 'CANCELLED'
+         UNION ALL SELECT booking_id, CASE WHEN payment_status = 'SUCCESS' THEN 'CONFIRMED' ELSE 'CANCELLED' END, requested_at, request_id FROM po_ WHERE outcome = 'APPLIED')
+""")
+
+ORACLE["stream_client_windows"] = """
+WITH RECURSIVE ev AS (SELECT user_id, ts, 'api' AS scope FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL
+            UNION ALL SELECT user_id, ts, 'auth' FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT user_id, scope, min(ts) AS s FROM ev GROUP BY ALL
+      UNION ALL SELECT w.user_id, w.scope, min(ev.ts) FROM w JOIN ev ON ev.user_id = w.user_id AND ev.scope = w.scope AND ev.ts >= w.s + INTERVAL 15 MINUTE
+      GROUP BY w.user_id, w.scope, w.s)
+SELECT w.user_id, w.scope, w.s AS window_start, w.s + INTERVAL 15 MINUTE AS window_end, count(*) AS requests,
+       CASE WHEN w.scope = 'auth' THEN 100 ELSE 5000 END AS request_limit,
+       count(*) > CASE WHEN w.scope = 'auth' THEN 100 ELSE 5000 END AS over_limit
+FROM w JOIN ev ON ev.user_id = w.user_id AND ev.scope = w.scope AND ev.ts >= w.s AND ev.ts < w.s + INTERVAL 15 MINUTE
+GROUP BY w.user_id, w.scope, w.s"""
+
+_CONFIRMATION = f"""
+SELECT u.email AS "to", 'Booking Confirmed – ' || e.title AS subject,
+       '{_WRAP_A}' || '<h2>Booking #' || b.booking_id || ' Confirmed</h2><p>Seats: ' || coalesce(sl.txt, '')
+         || '</p><p>Total: ₹' || CAST(b.total_amount AS VARCHAR) || '</p>' || '{_WRAP_B}' AS html,
+       'confirmation' AS template, 'confirmation:' || b.booking_id AS message_id
+FROM bookings b JOIN users u ON b.user_id = u.user_id JOIN shows e ON b.show_id = e.show_id
+LEFT JOIN (SELECT booking_id, string_agg(row_letter || seat_number || '(' || seat_type || ')', ', '
+                                         ORDER BY row_letter, seat_number, seat_type) AS txt
+           FROM seat_lines_ GROUP BY 1) sl ON sl.booking_id = b.booking_id
+WHERE b.booking_status = 'CONFIRMED'"""
+ORACLE["outbox_confirmation"] = q(_CONFIRMATION, _SEAT_LINES)
+
+ORACLE["outbox_bulk"] = q(f"""
+SELECT u.email AS "to", m.subject, '{_WRAP_A}' || '<h3>' || m.subject || '</h3><p>' || m.message || '</p><p>– Team Box Office</p>' || '{_WRAP_B}' AS html,
+       'bulk' AS template, 'bulk:' || substr(sha256(m.subject || chr(10) || m.message), 1, 16) || ':' || u.user_id AS message_id
+FROM users u, (VALUES ('New season', 'Booking opens on Friday.'), ('Summer offers', 'Two for one in June.')) m(subject, message)""")
+
 ORACLE["stream_outbox"] = q(f"""
 SELECT u.email AS "to", 'Booking Confirmed – ' || e.title AS subject,
        '{_WRAP_A}' || '<h2>Booking #' || b.booking_id || ' Confirmed</h2><p>Seats: ' || coalesce(sl.txt, '')
