@@ -16,8 +16,8 @@ show costs one partial row per task.  A round decides one link of a chain of
 conflicts, so after SET_ROUNDS rounds the requests that are still undecided are
 labelled by conflict component (rounds grow with the logarithm of the chain);
 components of at most TASK_PAIRS pairs are served in order, each within one task,
-and only larger ones go on in set-based rounds until none is undecided.  Both give
-the sequential answer, so the limits change no result.
+and larger ones slice by slice of their arrival order, each slice within one task.  All
+give the sequential answer, so the limits change no result.
 Lineage is cut each round by writing the round's tables as Parquet into the session's
 shared checkpoint directory, so a lost executor recomputes at most one round.
 """
@@ -43,6 +43,7 @@ OUTCOME_INVALID_FOOD = "INVALID_FOOD"
 DEFAULT_METHOD = "UPI"
 SET_ROUNDS = 3
 TASK_PAIRS = 20_000
+SERVED = "request_id long, requested_at timestamp_ntz, seat_id long"
 
 
 def _last(table: DataFrame, column: str) -> F.Column:
@@ -90,7 +91,7 @@ def _serve(pdf):
     return pdf[pdf["request_id"].isin(won)][["request_id", "requested_at", "seat_id"]]
 
 
-def fixpoint(pairs: DataFrame) -> tuple[DataFrame, int]:
+def fixpoint(pairs: DataFrame, task_pairs: int = TASK_PAIRS) -> tuple[DataFrame, int]:
     """Lexicographically-first independent set over (request_id, requested_at, seat_id, held) pairs.
 
     held: the seat is unavailable from the start.  Returns the pairs of the accepted requests
@@ -98,7 +99,7 @@ def fixpoint(pairs: DataFrame) -> tuple[DataFrame, int]:
     gives the earliest undecided key and whether the seat is taken; one aggregate by request decides:
     any taken seat -> rejected, earliest on all seats -> accepted, else undecided.  Seats taken by
     round r's winners reject their rivals in round r + 1, after which no undecided pair touches them.
-    It ends when no request is undecided, however long that takes."""
+    After SET_ROUNDS rounds what is left is served by component, in slices where that is large."""
     key = F.struct(F.col("requested_at").alias("t"), F.col("request_id").alias("i"))
     und = pairs.select("request_id", "requested_at", "seat_id", F.col("held").cast("int").alias("_t"))
     parts: list[DataFrame] = []
@@ -119,27 +120,55 @@ def fixpoint(pairs: DataFrame) -> tuple[DataFrame, int]:
             break
         taken = won.select("seat_id").distinct().withColumn("_t", F.lit(1))
         und = und.join(taken, "seat_id", "left").select(*cols, F.coalesce("_t", F.lit(0)).alias("_t"))
-        if rounds % SET_ROUNDS == 0:
-            und, small = _split(und)
-            parts.append(materialize(small.groupBy("component").applyInPandas(
-                _serve, "request_id long, requested_at timestamp_ntz, seat_id long"), "alloc-served"))
+        if rounds == SET_ROUNDS:
+            small, large = _split(und, task_pairs)
+            parts.append(materialize(small.groupBy("component").applyInPandas(_serve, SERVED), "alloc-served"))
+            if not large.isEmpty():
+                served, slices = _in_slices(large, task_pairs)
+                parts.append(served)
+                rounds += slices
+            break
     accepted = parts[0]
     for p in parts[1:]:
         accepted = accepted.unionByName(p)
     return accepted, rounds
 
 
-def _split(und: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The undecided pairs of large conflict components, and those of the components that fit a task."""
+def _split(und: DataFrame, task_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """The undecided pairs by conflict component: those of the components that fit a task, and the others."""
     lost = und.groupBy("request_id").agg(F.max("_t").alias("_h")).where("_h = 1").select("request_id")
     und = materialize(und.join(lost, "request_id", "left_anti"), "alloc-undecided")
     hub = und.groupBy("seat_id").agg(F.min("request_id").alias("b"))
     links = und.join(hub, "seat_id").select(F.col("request_id").alias("a"), "b")
     label = components(links, "alloc-components").withColumnRenamed("vertex", "request_id")
-    und = materialize(und.join(label, "request_id", "left").withColumn("component", F.coalesce("component", "request_id")), "alloc-labelled")
+    und = materialize(und.join(label, "request_id", "left").withColumn("component", F.coalesce("component", "request_id")).drop("_t"), "alloc-labelled")
     size = und.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     und = und.join(size, "component")
-    return und.where(F.col("_n") > TASK_PAIRS).drop("component", "_n"), und.where(F.col("_n") <= TASK_PAIRS).drop("_n", "_t")
+    return und.where(F.col("_n") <= task_pairs).drop("_n"), und.where(F.col("_n") > task_pairs).drop("_n")
+
+
+def _in_slices(und: DataFrame, task_pairs: int) -> tuple[DataFrame, int]:
+    """Large components, each cut into slices of its arrival order of about ``task_pairs`` pairs.
+
+    Slice by slice: requests that touch a seat taken in an earlier slice are out, the others of a component's slice are served
+    in order within one task, and the seats that they take go on to the next slice.  The number of jobs follows the
+    largest component's slices, whatever the chains of conflicts in them."""
+    order = ["component", "requested_at", "request_id", "seat_id"]
+    placed = materialize(assign_ids(und, order, 0, "_at"), "alloc-placed")
+    first = placed.groupBy("component").agg(F.min("_at").alias("_first"))
+    of = placed.groupBy("component", "request_id").agg(F.min("_at").alias("_lead")).join(first, "component").select(
+        "request_id", F.floor((F.col("_lead") - F.col("_first")) / task_pairs).cast("int").alias("slice"))
+    sliced = materialize(placed.drop("_at").join(of, "request_id"), "alloc-sliced")
+    slices = sliced.agg(F.max("slice")).first()[0] + 1
+    taken = None
+    for k in range(slices):
+        now = sliced.where(F.col("slice") == k)
+        if taken is not None:
+            out = now.join(taken.select("seat_id"), "seat_id", "left_semi").select("request_id").distinct()
+            now = now.join(out, "request_id", "left_anti")
+        served = materialize(now.groupBy("component").applyInPandas(_serve, SERVED), f"alloc-slice-{k}")
+        taken = served if taken is None else taken.unionByName(served)
+    return taken, slices
 
 
 def allocate_seats(st: dict, reqs: DataFrame, match_show: bool = True, count_food: bool = True,

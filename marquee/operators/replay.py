@@ -9,7 +9,8 @@ component (rounds grow with the logarithm of the chain), hash-partitions the log
 by component, sorts each partition by (component, time, id) and streams it through
 ``mapInPandas``: the task keeps the ledger of *one* component at a time, never a
 list of its commands, and a show with a third of all commands spreads over as
-many tasks as it has components.
+many tasks as it has components.  Components too large for that go through the
+fixpoint over seat timelines (``timelines``), which no single task serves.
 
 Everything a command needs from the static tables (seat existence and prices,
 food prices) is attached by joins before the replay, so the per-row Python is
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.operators.allocate import DEFAULT_METHOD, _food_check, _seat_check, _seat_pairs
+from marquee.operators.timelines import replay_large
 from marquee.plans.components import components
 from marquee.plans.lineage import materialize
 
+LARGE, ROUNDS = 20_000, 40
 NOBODY = -(2**63)  # stands for an unknown (NULL) actor in a log: owns nothing
 
 # Python workers receive this module's functions by value (cloudpickle), so executors
@@ -219,9 +222,13 @@ def command_log(st: dict, book: DataFrame, cancel: DataFrame, payment: DataFrame
     return log.select([F.col(f.name).cast(f.dataType) for f in COMMAND_SCHEMA.fields])
 
 
-def replay_booking_log(log: DataFrame, partitions: int | None = None) -> DataFrame:
+def replay_booking_log(log: DataFrame, partitions: int | None = None, large: int = LARGE, rounds: int = ROUNDS) -> DataFrame:
     """Outcome of every command in show order.  Commands without a show (their
-    booking was never booked) are NOT_FOUND without entering the replay."""
+    booking was never booked) are NOT_FOUND without entering the replay.
+
+    Seat-conflict components of at most ``large`` commands are replayed in order, each within one task; larger
+    ones by the fixpoint over seat timelines, all tasks at once, and in order only if they have not settled after
+    ``rounds`` rounds.  Both give the same answer."""
     spark = log.sparkSession
     log = materialize(log, "replay-log")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -232,9 +239,17 @@ def replay_booking_log(log: DataFrame, partitions: int | None = None) -> DataFra
     hub = held.groupBy("seat_id").agg(F.min("booking_id").alias("b"))
     label = components(held.join(hub, "seat_id").select(F.col("booking_id").alias("a"), "b"), "replay-parts").withColumnsRenamed(
         {"vertex": "booking_id", "component": "part"})
-    ordered = (log.filter(F.col("show_id").isNotNull()).join(label, "booking_id", "left")
-               .withColumn("part", F.coalesce("part", "booking_id")).repartition(n, "part").sortWithinPartitions("part", "ts", "cmd_id"))
-    return ordered.mapInPandas(_replay_partition, OUTCOME_SCHEMA).unionByName(orphan)
+    known = log.filter(F.col("show_id").isNotNull()).join(label, "booking_id", "left").withColumn("part", F.coalesce("part", "booking_id"))
+    big = materialize(known.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("part"), "replay-large")
+    if big.isEmpty():
+        return _in_order(known, n).unionByName(orphan)
+    settled, left, _ = replay_large(materialize(known.join(big, "part", "left_semi"), "replay-large-log"), rounds)
+    serial = known.join(big.join(left, "part", "left_anti"), "part", "left_anti")
+    return _in_order(serial, n).unionByName(settled).unionByName(orphan)
+
+
+def _in_order(log: DataFrame, n: int) -> DataFrame:
+    return log.repartition(n, "part").sortWithinPartitions("part", "ts", "cmd_id").mapInPandas(_replay_partition, OUTCOME_SCHEMA)
 
 
 def final_bookings(outcomes: DataFrame) -> DataFrame:
