@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 import marquee
 from marquee.plans.lineage import materialize
+from marquee.plans.paths import remove
 
-__all__ = ["materialize", "read", "ship", "over", "columns_as", "written"]
+__all__ = ["materialize", "read", "ship", "over", "columns_as", "discard", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that a later written table has replaced: their files would lie in the shared folder till the end."""
+    for table in tables:
+        for folder in sorted({os.path.dirname(f) for f in table.inputFiles()}):
+            remove(table.sparkSession, folder)
+
+
 def columns_as(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, under internal names: other columns of the input can't clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
@@ -73,6 +81,17 @@ def over(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[list]], schema
     return df.mapInArrow(run, schema)
 
 
+_KEPT: list = [None, None]
+
+
+def kept(name: str, key, build: Callable):
+    """A worker's model of one operator, built once; the model of the operator that ran before goes."""
+    if _KEPT[0] != (name, key):
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [(name, key), build()]
+    return _KEPT[1]
+
+
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     """Arrow batches of at most ``size`` bytes, where the session does not say otherwise: tasks
     hold a batch and its results, however long the texts."""

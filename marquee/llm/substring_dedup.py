@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, over, written
+from marquee.llm.common import columns_as, discard, over, written
 from marquee.llm.textbytes import SLICE, U, mix, pieces, prefix_hash, row_bytes, signed, slices, span_hash, word_spans
 
 GRAM = 5
@@ -107,13 +107,12 @@ def _first_places(length: int):
 
 
 def _places(length: int):
-    """(id, text) -> a row per anchor: gram, id, place, windows before and after its own."""
+    """(id, text) -> a row per anchor: gram, id, its place and (in the low bits) its windows: place, place - first, last - first."""
     def task(batch):
         ids = batch.column(0).to_numpy()
         for i, _, _, _, _, _, words, before in texts(batch.column(1)):
             row, at, first, last, gram = anchors(words, before, length)
-            zero = before[row]
-            yield [signed(gram), ids[i + row], *((x - zero).astype(np.int32) for x in (at, first, last))]
+            yield [signed(gram), ids[i + row], (at - before[row]) << 16 | (at - first) << 8 | (last - first)]
 
     return task
 
@@ -193,32 +192,64 @@ class Block:
         return out
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of a binary column end to end, and the rows' offsets among them."""
+    data, offsets = row_bytes(column)
+    return np.frombuffer(data.tobytes(), "<u8"), offsets // 8
+
+
 def _parse(length: int):
-    """(block words, its id, id, node, start, words) -> spans (role 0) and windows outside all factors (role 1).
+    """(source, block, block words, id, node, start, words), blocks together -> spans (role 0), windows outside all factors (role 1).
 
-    A document's own stretches beside its block have no factors: others may hold their windows."""
+    Where no window of a stretch stands twice in its block, its factors are the runs of windows that match one
+    after the other; the other stretches are factored one by one.  A document's own stretches beside its block have no
+    factors: others may hold their windows."""
     def task(batch):
-        refs, sources, ids, node, starts, own = batch.columns
-        last, index = None, None
-        out = []
-        for r, z, d, n, s, w in zip(refs, sources.to_pylist(), ids.to_pylist(), node.to_pylist(), starts.to_pylist(), own):
-            if last is None or r != last:
-                last, index = r, Block(np.frombuffer(r.as_buffer(), "<u8"), length)
-            words = np.frombuffer(w.as_buffer(), "<u8")
-            factors = index.parse(words) if d > z else []
-            out.extend((0, d, n, s + a, s + b, 0, 0) for a, b in factors)
-            rest = np.ones(max(0, len(words) - length + 1), bool)
-            for a, b in factors:
-                rest[a:b - length + 1] = False
-            left = np.flatnonzero(rest)
-            if len(left):
-                h1, h2 = signed(run_hash(words, length)), signed(run_hash(words, length, 0x5851F42D4C957F2D))
-                out.extend((1, d, n, s + p, s + p + length, x, y) for p, x, y in zip(left.tolist(), h1[left].tolist(), h2[left].tolist()))
-            if len(out) > 1 << 16:
-                yield [list(x) for x in zip(*out)]
-                out = []
-        if out:
-            yield [list(x) for x in zip(*out)]
+        source, block, ids, node, start = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4, 5))
+        first = np.concatenate([[True], (source[1:] != source[:-1]) | (block[1:] != block[:-1])])[:len(source)]
+        group = np.cumsum(first) - 1
+        refs, ref_at = _words(batch.column(2).take(pa.array(np.flatnonzero(first))))
+        own, own_at = _words(batch.column(6))
+        h1 = run_hash(own, length)
+        row = np.repeat(np.arange(len(ids)), np.diff(own_at))
+        inside = row[:len(h1)] == row[length - 1:length - 1 + len(h1)]
+        of = np.repeat(np.arange(len(ref_at) - 1), np.diff(ref_at))
+        ref_h = run_hash(refs, length)
+        ref_in = np.flatnonzero(of[:len(ref_h)] == of[length - 1:length - 1 + len(ref_h)])
+        keys = ref_h[ref_in] ^ mix(of[ref_in].astype(U) + U(1))  # a block's windows meet only that block's stretches
+        order = np.argsort(keys, kind="stable")
+        keys, places = keys[order], ref_in[order]
+        asked = h1 ^ mix(group[row[:len(h1)]].astype(U) + U(1))
+        lo, hi = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
+        met = inside & (hi > lo) & (ids > source)[row[:len(h1)]]
+        twice = np.zeros(len(ids), bool)
+        twice[row[:len(h1)][met & (hi > lo + 1)]] = True
+        p = np.flatnonzero(met & ~twice[row[:len(h1)]])
+        r = places[lo[p]] if len(p) else p
+        same = np.ones(len(p), bool)
+        for x in range(length):  # hashes may collide, words decide
+            same &= own[p + x] == refs[r + x]
+        p, r = p[same], r[same]
+        lead = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (r[1:] != r[:-1] + 1) | (row[p[1:]] != row[p[:-1]])])[:len(p)]
+        a = p[lead]
+        e = p[np.append(np.flatnonzero(lead)[1:], len(p)) - 1] + length if len(p) else p
+        factors = [(a, e)]
+        left = inside.copy()
+        left[p] = False
+        for k in np.flatnonzero(twice).tolist():
+            zero = own_at[k]
+            found = Block(refs[ref_at[group[k]]:ref_at[group[k] + 1]], length).parse(own[zero:own_at[k + 1]])
+            for s, t in found:
+                left[zero + s:zero + t - length + 1] = False
+            factors.append((np.array([s for s, _ in found], np.int64) + zero, np.array([t for _, t in found], np.int64) + zero))
+        a, e = (np.concatenate(x) for x in zip(*factors))
+        shift = start - own_at[:-1]
+        k, none = row[a] if len(a) else a, np.zeros(len(a), np.int64)
+        yield [none, ids[k], node[k], a + shift[k], e + shift[k], none, none]
+        a = np.flatnonzero(left)
+        k = row[a]
+        h2 = run_hash(own, length, 0x5851F42D4C957F2D)
+        yield [np.ones(len(a), np.int64), ids[k], node[k], a + shift[k], a + length + shift[k], signed(h1[a]), signed(h2[a])]
 
     return task
 
@@ -254,11 +285,13 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc, node, s, e): words [s, e) of the texts (by xxhash64, ``node``) that repeat an earlier document's."""
     rows = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), "text")
     first = over(rows, _first_places(length), "gram long, doc long, at int")
-    shared = first.groupBy("gram").agg(F.min("doc").alias("source"), F.max("doc").alias("top"), F.min_by("at", "doc").alias("place"))
-    shared = written(shared.where("source < top").select("gram", "source", F.expr(f"cast(place div {BLOCK} as int)").alias("block")), "substring-grams")
+    shared = first.groupBy("gram").agg(F.min("doc").alias("source"), F.max("doc").alias("top"), F.min_by("at", "doc").alias("at"))
+    shared = written(shared.where("source < top").select("gram", "source", F.expr(f"cast(at div {BLOCK} as int)").alias("block")), "substring-grams")
 
-    places = over(rows, _places(length), "gram long, doc long, at int, first int, last int")
-    asked = places.join(shared, "gram").where(f"doc > source or at div {BLOCK} <> block")
+    places = over(rows, _places(length), "gram long, doc long, place long")
+    at = F.expr("cast(shiftright(place, 16) as int)")
+    asked = places.join(shared, "gram").withColumn("at", at).where(f"doc > source or at div {BLOCK} <> block")
+    asked = asked.withColumn("first", F.expr("at - cast(shiftright(place, 8) & 255 as int)")).withColumn("last", F.expr("first + cast(place & 255 as int)"))
     own = shared.select("source", "block").distinct().select(
         F.lit(0).cast("long").alias("gram"), F.col("source").alias("doc"), F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"),
         F.lit(None).cast("long").alias("source"), "block")
@@ -266,11 +299,13 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
     lists = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "at", "first", "last", "source", "block")).alias("asked")), "substring-asked")  # of one text
     met = rows.join(lists, rows["id"] == lists["doc"]).select("id", "text", F.xxhash64("text").alias("node"), "asked")
     cuts = written(over(met, _cut_out(length), "source long, block int, role int, doc long, node long, start int, words binary"), "substring-cuts")
+    discard(shared, lists)
 
     refs = cuts.where("role = 0").select("source", "block", F.col("words").alias("reference"))
     todo = cuts.where("role = 1").select("source", "block", "doc", "node", "start", "words")
-    pairs = todo.join(refs, ["source", "block"]).select("reference", "source", "doc", "node", "start", "words")
+    pairs = todo.join(refs, ["source", "block"]).select("source", "block", "reference", "doc", "node", "start", "words")
     parsed = written(over(pairs, _parse(length), "role int, doc long, node long, s int, e int, h1 long, h2 long"), "substring-parsed")
+    discard(cuts)
     rest = parsed.where("role = 1")
     holders = rest.groupBy("h1", "h2").agg(F.min("doc").alias("holder"), F.max("doc").alias("top")).where("holder < top").select("h1", "h2", "holder")
     more = rest.join(holders, ["h1", "h2"]).where("doc > holder").select("doc", "node", "s", "e")
@@ -279,8 +314,8 @@ def spans(docs: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (UTF-8 bytes: the kept words joined by one space) of every row."""
-    if length < GRAM:
-        raise ValueError(f"length must be {GRAM} words or more")
+    if not GRAM <= length <= 200:
+        raise ValueError(f"length must be between {GRAM} and 200 words")
     kind = docs.schema[id_col].dataType.simpleString()
     docs = columns_as(docs, id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     found = spans(docs, length)
