@@ -24,6 +24,7 @@ from marquee.operators import replay as RP
 from marquee.operators import validate as V
 from marquee.streaming import keyed as TK
 from marquee.streaming import streams as TS
+from marquee.plans import pagedir as PD
 from marquee.plans import paging as PG
 from marquee.plans.lineage import materialize
 from marquee.session import scratch_dir
@@ -31,7 +32,10 @@ from marquee.operators import documents as D
 from marquee.operators import listings as L
 from marquee.operators import notices as N
 from marquee.operators import seatmap as SM
+from marquee.operators import titlesearch as TI
+from marquee.functions.sql import create_functions
 from marquee.sources import requests as R
+from marquee.sources import sinks as SK
 from marquee.sources.driver import DriverData, booking_state, broken_state
 from marquee.sources.schemas import conform
 
@@ -74,6 +78,7 @@ _simple("scan_catalog", L.scan_catalog)
 _simple("show_listing", lambda st: L.show_listing(st))
 _simple("show_listing_filtered", lambda st: L.show_listing(st, **FILTERS))
 _simple("show_search", lambda st: L.show_listing(st, search=SEARCH))
+_REG["show_search_batch"] = lambda spark, sf_dir: TI.show_search_batch(state(spark, sf_dir), R.title_patterns(data(spark, sf_dir)))
 _simple("show_date_range", lambda st: L.show_listing(st, date_from=DATE_RANGE[0], date_to=DATE_RANGE[1]))
 _simple("point_lookup", lambda st: L.point_lookup(st, "shows", st["bookings"]))
 _simple("point_lookup_bookings", lambda st: L.point_lookup(st, "bookings", st["payments"]))
@@ -92,6 +97,19 @@ _REG["seats_available"] = lambda spark, sf_dir: L.seats_available(
     state(spark, sf_dir), requested_seats(spark, sf_dir).drop("show_id"))
 _REG["seats_of_show_in"] = lambda spark, sf_dir: L.seats_of_show_in(state(spark, sf_dir), requested_seats(spark, sf_dir))
 
+
+
+@register("sql_functions")
+def _sql_functions(spark, sf_dir):
+    """The three stored functions called from SQL over whole tables: costs, ratings and requested seats."""
+    create_functions(state(spark, sf_dir))
+    requested_seats(spark, sf_dir).createOrReplaceTempView("requested_seats")
+    return spark.sql("""
+        SELECT 'fn_total_booking_cost' AS routine, booking_id AS id, CAST(fn_total_booking_cost(booking_id) AS DECIMAL(18,2)) AS value FROM bookings
+        UNION ALL SELECT 'fn_get_event_rating', show_id, CAST(fn_get_event_rating(show_id) AS DECIMAL(18,2)) FROM shows
+        UNION ALL SELECT 'fn_is_seat_available', seat_id, CAST(fn_is_seat_available(seat_id) AS DECIMAL(18,2)) FROM requested_seats""")
+
+
 # --- analytics ---------------------------------------------------------------
 _simple("view_event_revenue", A.view_event_revenue)
 _simple("revenue_by_event", A.revenue_by_event)
@@ -301,6 +319,19 @@ _REG["register_users_state"] = lambda spark, sf_dir: state_rows(
     AP.register_users(state(spark, sf_dir), R.registration_requests(data(spark, sf_dir)))[0], "users")
 _REG["cancel_bookings_state"] = lambda spark, sf_dir: state_rows(
     AP.cancel_bookings(state(spark, sf_dir), R.cancel_requests(data(spark, sf_dir)))[0], *BOOKED)
+
+
+@register("state_versions")
+def _state_versions(spark, sf_dir):
+    """Version 0 of the booking tables is written and read back, cancellations are applied to it, and version 1 is written and read back."""
+    root = scratch_dir(spark, "state")
+    tables = ["bookings", "booking_seats", "booking_food", "payments", "seats"]
+    SK.write_state(state(spark, sf_dir), root, 0, tables)
+    after, _ = AP.cancel_bookings(SK.read_state(spark, root, 0, tables), R.cancel_requests(data(spark, sf_dir)))
+    SK.write_state(after, root, 1, tables)
+    return state_rows(SK.read_state(spark, root, 1, tables), *BOOKED)
+
+
 _REG["submit_reviews_state"] = lambda spark, sf_dir: state_rows(
     AP.submit_reviews(state(spark, sf_dir), R.review_requests(data(spark, sf_dir)))[0], "reviews", "shows")
 _REG["create_shows_state"] = lambda spark, sf_dir: state_rows(
@@ -372,6 +403,19 @@ def _validate(spark, sf_dir):
 _simple("paged", lambda st: PG.paged(D.bookings_admin(st), [F.desc("booking_date"), F.desc("booking_id")], 3, 20))
 
 
+
+
+PAGES = (1, 7, 60)  # the pages that are read, 20 rows each
+
+
+@register("paged_directory")
+def _paged_directory(spark, sf_dir):
+    """Shallow and deep pages of the bookings, newest first, each read from its own partitions."""
+    order = ["-booking_date", "-booking_id"]
+    root = PD.build(D.bookings_admin(state(spark, sf_dir)), order)
+    return reduce(DataFrame.unionByName, [PD.page(spark, root, order, n, 20).withColumn("page", F.lit(n)) for n in PAGES])
+
+
 _simple("paged_after", lambda st: PG.paged_after(D.bookings_admin(st), ["booking_date", "booking_id"], PAGE_KEY, 20, descending=True))
 _simple("rating_summary", lambda st: A.rating_summary(st).select(
     "show_id", "avg_rating", "total_reviews",

@@ -1,10 +1,10 @@
 """Integrity rules of the reference's schema, re-aimed as audits (Q1-Q9).
 
 Spark does not enforce keys, so each rule is a query returning violation rows
-``(rule, table_name, row_key, detail)``.  Unique rules are ``groupBy().count()``
-(partial aggregation, one shuffle per rule); foreign keys are anti joins against the
-parent's key column; CHECK, NOT NULL and domain rules of a table are one array of
-broken rules per row, exploded: one scan per table and no shuffle.
+``(rule, table_name, row_key, detail)``.  Unique rules share one exchange of key hashes,
+foreign keys one exchange of key values, and only suspect keys are looked up exactly;
+CHECK, NOT NULL and domain rules of a table are one filter for rows that break any, whose
+broken rules are exploded: one scan per table and no shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators.analytics import avg_rating
 from marquee.operators.documents import booking_cost
+from marquee.plans.lineage import materialize
 from marquee.sources.schemas import BOOKING_STATUSES, PAYMENT_STATUSES, SEAT_TYPES, TABLES
 
 # Fixed rule lists of the reference's DDL (primary keys, UNIQUE, FOREIGN KEY).
@@ -52,27 +53,62 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _key_columns(table: str, cols: list[str]) -> list[F.Column]:
+    return [(F.lower(c) if (table, c) in CASE_INSENSITIVE else F.col(c)).alias(c) for c in cols]
+
+
 def audit_unique(st: dict) -> DataFrame:
-    """Q1: 11 primary keys and 6 UNIQUE rules; text keys compare without case."""
-    parts = []
+    """Q1: 11 primary keys and 6 UNIQUE rules; text keys compare without case.
+
+    All rules share one exchange: a table's rows give a (rule, key hash) row per rule, and one aggregate
+    counts them.  Only the rows of hashes that come twice (suspects) go to the exact count of their keys, so
+    equal hashes of different keys are no violation."""
     rules = [(t, cols, "primary_key") for t, cols in PRIMARY_KEYS.items()] + [(t, c, "unique") for t, c in UNIQUE_KEYS]
-    for table, cols, kind in rules:
-        keyed = st[table].select(*[(F.lower(c) if (table, c) in CASE_INSENSITIVE else F.col(c)).alias(c) for c in cols])
-        dup = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    hashes = []
+    for table in dict.fromkeys(t for t, _, _ in rules):
+        own = [F.struct(F.lit(k).alias("rule"), F.xxhash64(*[F.lower(c) if (t, c) in CASE_INSENSITIVE else F.col(c) for c in cols]).alias("hash"))
+               for k, (t, cols, _) in enumerate(rules) if t == table]
+        hashes.append(st[table].select(F.explode(F.array(*own)).alias("r")).select("r.*"))
+    suspects = materialize(_union(hashes).groupBy("rule", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rule", "hash"), "audit-suspects")
+    broken = {r.rule for r in suspects.select("rule").distinct().collect()}  # at most one row per rule
+    parts = []
+    for k, (table, cols, kind) in enumerate(rules):
+        if k not in broken:
+            continue
+        keyed = st[table].select(*_key_columns(table, cols)).withColumn("hash", F.xxhash64(*cols))
+        mine = keyed.join(suspects.filter(F.col("rule") == k).select("hash"), "hash", "left_semi")
+        dup = mine.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
         parts.append(_violations(dup, f"{kind}({','.join(cols)})", table, _key_text(cols),
                                  F.concat(F.lit("rows="), F.col("_n").cast("string"))))
-    return _union(parts)
+    nothing = suspects.sparkSession.createDataFrame([], "rule string, table_name string, row_key string, detail string")
+    return _union(parts) if parts else nothing
 
 
 def audit_fk(st: dict) -> DataFrame:
-    """Q2: 12 foreign keys as anti joins; the row key is the child's primary key."""
+    """Q2: 12 foreign keys; the row key is the child's primary key.
+
+    All keys share one exchange: children's and parents' key values (ids) are counted by (parent, value), which
+    the map side reduces to a row per value and task; values that no parent row has are orphans, and only
+    rows with such a value are looked up in the child tables again."""
+    parents = sorted({p for _, _, p, _ in FOREIGN_KEYS})
+    values = []
+    for child in dict.fromkeys(c for c, _, _, _ in FOREIGN_KEYS):
+        own = [F.struct(F.lit(parents.index(p)).alias("parent"), F.col(col).cast("long").alias("value")) for c, col, p, _ in FOREIGN_KEYS if c == child]
+        values.append(st[child].select(F.explode(F.array(*own)).alias("r"), F.lit(0).alias("here")).select("r.*", "here").filter("value is not null"))
+    for k, p in enumerate(parents):
+        key = next(pcol for _, _, q, pcol in FOREIGN_KEYS if q == p)
+        values.append(st[p].select(F.lit(k).alias("parent"), F.col(key).cast("long").alias("value"), F.lit(1).alias("here")))
+    orphaned = materialize(_union(values).groupBy("parent", "value").agg(F.max("here").alias("here")).filter("here = 0").select("parent", "value"), "audit-orphans")
+    broken = {r.parent for r in orphaned.select("parent").distinct().collect()}  # at most one row per parent table
     parts = []
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        orphans = st[child].filter(F.col(col).isNotNull()).join(
-            st[parent].select(F.col(pcol).alias(col)), col, "left_anti")
-        parts.append(_violations(orphans, f"fk({col}->{parent})", child, _key_text(PRIMARY_KEYS[child]),
+    for child, col, parent, _ in FOREIGN_KEYS:
+        if parents.index(parent) not in broken:
+            continue
+        lost = orphaned.filter(F.col("parent") == parents.index(parent)).select(F.col("value").alias(col))
+        parts.append(_violations(st[child].join(lost, col, "left_semi"), f"fk({col}->{parent})", child, _key_text(PRIMARY_KEYS[child]),
                                  F.concat(F.lit(f"{col}="), F.col(col).cast("string"))))
-    return _union(parts)
+    nothing = orphaned.sparkSession.createDataFrame([], "rule string, table_name string, row_key string, detail string")
+    return _union(parts) if parts else nothing
 
 
 def check_rules() -> list[tuple[str, str, F.Column, str]]:
@@ -116,7 +152,8 @@ def audit_rows(st: dict, kinds: tuple[str, ...] = ("check", "not_null", "domain"
     for table, rules in _row_rules(kinds).items():
         broken = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")))
                                            for rule, bad, detail in rules]))
-        parts.append(st[table].select(_key_text(PRIMARY_KEYS[table]).alias("row_key"), F.explode(broken).alias("b")).select(
+        some = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad, _ in rules])  # clean rows end here
+        parts.append(st[table].filter(some).select(_key_text(PRIMARY_KEYS[table]).alias("row_key"), F.explode(broken).alias("b")).select(
             F.col("b.rule").alias("rule"), F.lit(table).alias("table_name"), "row_key", F.col("b.detail").alias("detail")))
     return _union(parts)
 

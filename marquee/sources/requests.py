@@ -232,3 +232,17 @@ def quick_book_requests(d: DriverData) -> DataFrame:
     return b.select((k * 10 + 8).alias("request_id"), F.timestamp_add("HOUR", F.lit(3), F.col("booking_date")).alias("requested_at"),
                     "user_id", "show_id", s1.alias("seat_id1"), (s1 + 1).alias("seat_id2"),
                     (k % 1200).alias("food_id"), (k % 3).cast("int").alias("food_qty"))
+
+
+def title_patterns(d: DriverData) -> DataFrame:
+    """Every part asks for a piece of its name: pattern_id % 10 = 0 two letters in capitals, 1 with a letter as _, 2 two
+    pieces with % between, 3 its whole name backwards (rarely found), else three to eight letters; % 500 = 4 nothing."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    start = (F.lit(1) + k % 7).cast("int")
+    piece = lambda at, n: F.substr(name, at, n)
+    long = (F.lit(3) + k % 6).cast("int")
+    pattern = (F.when(k % 500 == 4, F.lit("")).when(k % 10 == 0, F.upper(piece(start, F.lit(2))))
+               .when(k % 10 == 1, F.concat(piece(start, F.lit(2)), F.lit("_"), piece(start + 3, F.lit(2))))
+               .when(k % 10 == 2, F.concat(piece(F.lit(1), F.lit(3)), F.lit("%"), piece(start + 4, F.lit(3))))
+               .when(k % 10 == 3, F.reverse(name)).otherwise(piece(start, long)))
+    return d["part"].select(k.alias("pattern_id"), pattern.alias("pattern"))

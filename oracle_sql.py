@@ -1000,6 +1000,13 @@ FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN shows e ON e.show_id
 LEFT JOIN payments p ON p.booking_id = b.booking_id
 ORDER BY b.booking_date DESC, b.booking_id DESC LIMIT 20 OFFSET 40""")
 
+ORACLE["paged_directory"] = q("""
+SELECT * EXCLUDE (place) REPLACE (CAST((place - 1) // 20 + 1 AS INTEGER) AS page) FROM (
+  SELECT b.booking_id, b.user_id, u.full_name, u.email, b.show_id, e.title, b.booking_date, b.total_amount,
+         b.booking_status, p.payment_status, p.payment_method, 0 AS page, row_number() OVER (ORDER BY b.booking_date DESC, b.booking_id DESC) AS place
+  FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN shows e ON e.show_id = b.show_id
+  LEFT JOIN payments p ON p.booking_id = b.booking_id) WHERE (place - 1) // 20 + 1 IN (1, 7, 60)""")
+
 ORACLE["doc_sink"] = q("""
 SELECT b.user_id, count(*) AS count FROM bookings b JOIN shows e ON e.show_id = b.show_id
 JOIN venues v ON v.venue_id = e.venue_id GROUP BY b.user_id""")
@@ -1043,6 +1050,22 @@ ORACLE["stream_revenue"] = q("""
 SELECT show_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS bookings
 FROM bookings WHERE booking_status = 'CONFIRMED' GROUP BY show_id""")
 
+ORACLE["sql_functions"] = q("""
+SELECT 'fn_total_booking_cost' AS routine, b.booking_id AS id, CAST(coalesce(sl.s, 0) + coalesce(fl.f, 0) AS DECIMAL(18,2)) AS value
+FROM bookings b LEFT JOIN (SELECT booking_id, sum(price) AS s FROM seat_lines_ GROUP BY 1) sl ON sl.booking_id = b.booking_id
+LEFT JOIN (SELECT bf.booking_id, sum(f.price * bf.quantity) AS f FROM booking_food bf JOIN food_items f ON f.food_id = bf.food_id GROUP BY 1) fl ON fl.booking_id = b.booking_id
+UNION ALL SELECT 'fn_get_event_rating', e.show_id, CAST(coalesce(r.a, 0) AS DECIMAL(18,2))
+FROM shows e LEFT JOIN (SELECT show_id, CAST((200 * sum(rating) + count(*)) // (2 * count(*)) AS DECIMAL(18,0)) * 0.01 AS a FROM reviews GROUP BY 1) r ON r.show_id = e.show_id
+UNION ALL SELECT 'fn_is_seat_available', q.seat_id, CAST(coalesce(s.is_available, 0) AS DECIMAL(18,2)) FROM req_seats_ q LEFT JOIN seats s ON s.seat_id = q.seat_id""",
+    _SEAT_LINES.rstrip() + "," + _REQ_SEATS)
+
+ORACLE["show_search_batch"] = """
+WITH p AS (SELECT p_partkey AS pattern_id, CASE WHEN p_partkey % 500 = 4 THEN '' WHEN p_partkey % 10 = 0 THEN upper(substr(p_name, 1 + p_partkey % 7, 2))
+                  WHEN p_partkey % 10 = 1 THEN substr(p_name, 1 + p_partkey % 7, 2) || '_' || substr(p_name, 4 + p_partkey % 7, 2)
+                  WHEN p_partkey % 10 = 2 THEN substr(p_name, 1, 3) || '%' || substr(p_name, 5 + p_partkey % 7, 3)
+                  WHEN p_partkey % 10 = 3 THEN reverse(p_name) ELSE substr(p_name, 1 + p_partkey % 7, 3 + p_partkey % 6) END AS pattern FROM part)
+SELECT pattern_id, e.p_partkey AS show_id, e.p_name AS title FROM p JOIN part e ON e.p_name ILIKE '%' || pattern || '%' WHERE pattern <> ''"""
+
 ORACLE["stream_revenue_changes"] = q("""
 SELECT show_id, CAST(sum(total_amount) AS DECIMAL(18,2)) AS revenue, count(*) AS bookings
 FROM (SELECT booking_id, max_by(st, struct_pack(t := t, id := id)) AS st FROM chg_ GROUP BY booking_id) JOIN bookings USING (booking_id)
@@ -1312,6 +1335,7 @@ ns_ AS (SELECT seat_id FROM seats WHERE is_available = 0 AND seat_id NOT IN
     _rows("bookings", _BOOKING, "nb_"), *[_rows(t, c, f"{t} WHERE booking_id NOT IN (SELECT booking_id FROM dn_)")
                                           for t, c in (("booking_seats", _BS), ("booking_food", _BF), ("payments", _PAYMENT))],
     _rows("sold_seats", _SOLD, "ns_"))
+ORACLE["state_versions"] = ORACLE["cancel_bookings_state"]
 _RATED = """
 ra_ AS (SELECT show_id, sum(rating) AS s, count(*) AS n FROM nr_ GROUP BY 1),
 sh_ AS (SELECT s.* REPLACE (CAST(coalesce(CAST((200 * a.s + a.n) // (2 * a.n) AS DECIMAL(18,0)) * 0.01, 0) AS DECIMAL(3,2)) AS avg_rating)
