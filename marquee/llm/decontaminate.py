@@ -3,11 +3,13 @@
 Texts are compared as bytes with A-Z lower-cased and every run of ASCII punctuation and
 white space as one space.  A document matches an item if any SEGMENT bytes of it, at
 whatever offset, stand in the document with at most RATE of edits (shorter items as a
-whole; under LEAST bytes an item is too common to judge and is left out).  A segment of
+whole; items under LEAST bytes only if ``least`` asks for them, and then word for word, as whole words).  A segment of
 n bytes that stands in a document with at most e edits shares at least n - q + 1 - q e
 q-grams with it, all within e + 1 diagonals; so the shared q-grams of whole items are
 counted in diagonal bands of width 2 (E + 1) that overlap by half, and every segment that
-reaches the bound in a band is verified by a banded alignment.
+reaches the bound in a band is verified by a banded alignment.  Templated items share q-grams
+by thousands: a q-gram that more than HOT places share is not expanded, and the bound falls by the
+number of such q-grams in the segment; segments of which that leaves nothing are counted by shorter q-grams.
 
 The benchmark is a query set: it is indexed in blocks of at most BLOCK bytes, each sent
 to the tasks and run over all documents in one scan without a shuffle, whatever
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, over
+from marquee.llm.common import kept, columns_as, over
 from marquee.llm.textbytes import LOWER, SLICE, U, fixed_hash, prefix_hash, row_bytes, slices
 
 GRAM, SEGMENT, LEAST, RATE = 12, 80, 24, 0.05
+GRAMS = (GRAM, 6, 4)  # lengths by which segments are counted, where rare ones of the longer do not tell
+HOT = 48  # places that a counted q-gram stands at, at most
+STRETCH = 1 << 16  # bytes of text whose q-grams are expanded at once
 MOST = int(SEGMENT * RATE)
 BAND = MOST + 1
 BLOCK = 4 << 20
@@ -49,66 +54,126 @@ def normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return folded[at], at
 
 
+class Level:
+    """The q-grams of one length that some segments are counted by: those that few places share (all of them at the last level).
+
+    ``need[o]``: how many of them a copy of the segment at offset o must hold; 0: another level counts that segment."""
+
+    def __init__(self, q: int, hashes: np.ndarray, counted: np.ndarray, need: np.ndarray, sizes: np.ndarray, item: np.ndarray, items: int):
+        self.q, self.need = q, need
+        mine = np.flatnonzero(need)
+        cover = np.zeros(len(need) + 1, np.int64)  # places within a segment of this level
+        np.add.at(cover, mine, 1)
+        np.add.at(cover, mine + sizes[mine] - q + 1, -1)
+        place = np.flatnonzero(counted & (np.cumsum(cover)[:len(need)] > 0))
+        order = np.argsort(hashes[place], kind="stable")
+        self.grams, self.place = hashes[place][order], place[order]
+        self.least = np.full(items, np.iinfo(np.int64).max)  # of an item's segments
+        np.minimum.at(self.least, item[mine], need[mine])
+        self.least[self.least == np.iinfo(np.int64).max] = 1
+        self.bits = np.zeros(1 << BITS, bool)
+        self.bits[(self.grams >> U(64 - BITS)).astype(np.int64)] = True
+
+
 class Index:
-    """The q-grams of a block of benchmark items, which stand end to end."""
+    """The q-grams of a block of benchmark items, which stand end to end.
+
+    A segment is counted by its long q-grams that at most HOT places share, its need lowered by the others that it
+    has.  Where that leaves no need (much of it is a template of many items), its shorter q-grams count, by
+    the same rule; what is left then stands in many items almost alike, and is counted by all its q-grams."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], least: int = LEAST):
         self.items = [i for i, _ in items]
-        parts, grams, place, owner = [], [], [], []
+        parts, owner = [], []
         self.start = np.zeros(len(items), np.int64)
         sizes = np.zeros(len(items), np.int64)
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         total = 0
         for k, (_, text) in enumerate(items):
             whole = np.frombuffer(normal(np.frombuffer(text.encode(), np.uint8))[0].tobytes().strip(b" "), np.uint8)
+            if least <= len(whole) < LEAST and len(whole):
+                self.short.setdefault(len(whole), {}).setdefault(whole.tobytes(), []).append(k)
             if len(whole) < LEAST:
                 continue
-            found = fixed_hash(prefix_hash(whole), GRAM)
-            grams.append(found)
-            place.append(total + np.arange(len(found)))
-            owner.append(np.full(len(found), k))
             parts.append(whole)
+            owner.append(np.full(len(whole), k))
             self.start[k], sizes[k] = total, len(whole)
             total += len(whole)
-        none = [np.zeros(0, np.int64)]
         self.text = np.concatenate(parts or [np.zeros(0, np.uint8)])
-        grams, place = np.concatenate(grams or [np.zeros(0, U)]), np.concatenate(place or none)
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.place = grams[order], place[order]
-        self.owner = np.zeros(total, np.int64)
-        self.owner[place] = np.concatenate(owner or none)
+        self.owner = np.concatenate(owner or [np.zeros(0, np.int64)])
         self.end = self.start + sizes
         self.size = np.minimum(sizes, SEGMENT)
         self.edits = (self.size * RATE).astype(np.int64)
-        self.bound = self.size - GRAM + 1 - GRAM * self.edits
-        self.bits = np.zeros(1 << BITS, bool)
-        self.bits[(self.grams >> U(64 - BITS)).astype(np.int64)] = True
+        self.levels: list[Level] = []
+        if not total:
+            return
+        size, edits = self.size[self.owner], self.edits[self.owner]
+        left = np.arange(total) + size <= self.end[self.owner]  # the offsets at which a segment starts
+        for q in GRAMS:
+            hashes, inside = self._grams(q)
+            _, of, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            counted = inside & (count[of] <= HOT)
+            common = np.concatenate([[0], np.cumsum(inside & ~counted)])
+            at = np.flatnonzero(left)
+            need = np.zeros(total, np.int64)
+            need[at] = np.maximum(0, size[at] - q + 1 - q * edits[at] - (common[at + size[at] - q + 1] - common[at]))
+            if need.any():
+                self.levels.append(Level(q, hashes, counted, need, size, self.owner, len(items)))
+                left &= need == 0
+        if left.any():
+            need = np.where(left, np.maximum(1, size - GRAM + 1 - GRAM * edits), 0)
+            self.levels.append(Level(GRAM, *self._grams(GRAM), need, size, self.owner, len(items)))
+
+    def _grams(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the q-gram at each place, and which of them lie within an item."""
+        hashes, inside = np.zeros(len(self.text), U), np.zeros(len(self.text), bool)
+        found = fixed_hash(prefix_hash(self.text), q)
+        hashes[:len(found)] = found
+        inside[:len(found)] = self.owner[:len(found)] == self.owner[q - 1:q - 1 + len(found)]
+        return hashes, inside
 
     def find(self, text: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item's place, segment's offset, start, end, edits) of every segment in every band that holds it, in the folded text."""
-        hashes = fixed_hash(prefix_hash(text), GRAM)
-        near = np.flatnonzero(self.bits[(hashes >> U(64 - BITS)).astype(np.int64)])
+        found: set = set()
+        for level in self.levels:
+            for a in range(0, max(1, len(text)), STRETCH):  # pieces that overlap by more than a segment and its edits
+                piece = text[a:a + STRETCH + 2 * SEGMENT]
+                found.update((k, o, s + a, e + a, c) for k, o, s, e, c in self._level(level, piece))
+                if a + STRETCH + 2 * SEGMENT >= len(text):
+                    break
+        for n, known in self.short.items():
+            if len(text) >= n:
+                edge = np.ones(len(text) + 2, bool)
+                edge[1:-1] = (text == SPACE) | (text == END)
+                for p in np.flatnonzero(edge[:len(text) - n + 1] & edge[n + 1:]).tolist():
+                    found.update((k, 0, p, p + n, 0) for k in known.get(text[p:p + n].tobytes(), ()))
+        return sorted(found)
+
+    def _level(self, level: Level, text: np.ndarray) -> set:
+        hashes = fixed_hash(prefix_hash(text), level.q)
+        near = np.flatnonzero(level.bits[(hashes >> U(64 - BITS)).astype(np.int64)])
         if not len(near):
-            return []
-        lo, hi = np.searchsorted(self.grams, hashes[near], "left"), np.searchsorted(self.grams, hashes[near], "right")
+            return set()
+        lo, hi = np.searchsorted(level.grams, hashes[near], "left"), np.searchsorted(level.grams, hashes[near], "right")
         n = hi - lo
         row = np.repeat(np.arange(len(near)), n)
-        place = self.place[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]]
+        place = level.place[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]]
         total = len(self.text)
         band = (near[row] - place + total) // BAND  # never negative
         # distinct q-gram places in each of the two bands that hold the diagonal
         keys = np.unique(np.concatenate([band * total + place, (band + 1) * total + place]))
-        band, place = keys // max(total, 1), keys % max(total, 1)
+        band, place = keys // total, keys % total
         own = self.owner[place]
-        # the first and the last of as many q-grams as a segment needs
-        last = np.arange(len(keys)) + np.maximum(1, self.bound[own]) - 1
+        # the first and the last of as many q-grams as one of the item's segments needs
+        last = np.arange(len(keys)) + level.least[own] - 1
         first = np.flatnonzero(last < len(keys))
         last = last[first]
-        reach = self.size[own[first]] - GRAM
+        reach = self.size[own[first]] - level.q
         first = first[(band[first] == band[last]) & (own[first] == own[last]) & (place[last] - place[first] <= reach)]
-        last = first + np.maximum(1, self.bound[own[first]]) - 1
+        last = first + level.least[own[first]] - 1
         k, b = own[first], band[first]
         # the segments that hold them: offsets from ``low`` to ``high``, each once in a band
-        low = np.maximum(place[last] - (self.size[k] - GRAM), self.start[k])
+        low = np.maximum(place[last] - (self.size[k] - level.q), self.start[k])
         high = np.minimum(place[first], self.end[k] - self.size[k])
         again = np.zeros(len(k), bool)
         again[1:] = (k[1:] == k[:-1]) & (b[1:] == b[:-1])
@@ -117,6 +182,10 @@ class Index:
         row = np.repeat(np.arange(len(k)), n)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
         k, b = k[row], b[row]
+        # what this very segment needs
+        enough = np.searchsorted(keys, b * total + offset + self.size[k] - level.q, "right") - np.searchsorted(keys, b * total + offset, "left")
+        fit = (level.need[offset] > 0) & (enough >= level.need[offset])
+        offset, k, b = offset[fit], k[fit], b[fit]
         side = 2 * (SEGMENT + 2 * BAND + 2 * MOST)
         padded = np.concatenate([np.full(side, END, np.uint8), text, np.full(side, END, np.uint8)])
         found = set()
@@ -131,7 +200,7 @@ class Index:
                 own = k[rows][good]
                 found.update(zip(own.tolist(), (offset[rows][good] - self.start[own]).tolist(), (at[good] + start[good]).tolist(),
                                  (at[good] + end[good]).tolist(), cost[good].tolist()))
-        return sorted(found)
+        return found
 
 
 def aligned(parts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,15 +249,8 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield block
 
 
-_INDEXES: dict[int, Index] = {}
-
-
-def _index(shared) -> Index:
-    key = hash(tuple(shared.value))
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = Index(shared.value)
-    return _INDEXES[key]
+def _index(shared, least: int) -> Index:
+    return kept("decontaminate", (hash(tuple(shared.value)), least), lambda: Index(shared.value, least))
 
 
 def _pieces(part: np.ndarray):
@@ -225,9 +287,9 @@ def _rows(column: pa.Array, index: Index):
             yield i + r, k, o, s0 - int(starts[r]), e0 - int(starts[r]), c
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, item_id, n_segments, first_byte, last_byte, least_edits) for each document and item with a matched segment;
-    n_segments counts the item's offsets at which one starts."""
+    n_segments counts the item's offsets at which one starts.  Items of ``least`` to LEAST - 1 folded bytes match as whole words."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, item_id long, n_segments int, first_byte long, last_byte long, least_edits int"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -235,7 +297,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK bytes
 
         def task(batch, shared=shared):
-            index = _index(shared)
+            index = _index(shared, least)
             by: dict[tuple[int, int], list] = {}
             for r, k, o, s, e, c in _rows(batch.column(1), index):
                 by.setdefault((r, k), []).append((o, s, e, c))
@@ -247,8 +309,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a matched segment of any item."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = LEAST) -> DataFrame:
+    """``docs`` without the rows that hold a matched segment of any item of ``least`` folded bytes or more."""
     k = docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for block in blocks(benchmark):
@@ -256,7 +318,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
 
         def task(batch, shared=shared):
             bad = np.zeros(batch.num_rows, bool)
-            bad[[r for r, *_ in _rows(batch.column(k), _index(shared))]] = True
+            bad[[r for r, *_ in _rows(batch.column(k), _index(shared, least))]] = True
             yield batch.filter(pa.array(~bad)).columns
 
         docs = over(docs, task, schema)

@@ -7,5 +7,5 @@ from marquee.llm.decontaminate import matches
 
 
 def query(spark, sf_dir):
-    """Each document and benchmark item that it holds a segment of, with places and edits."""
-    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    """Each document and benchmark item that it holds a segment of (a short item: the whole of it), with places and edits."""
+    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least=1)
