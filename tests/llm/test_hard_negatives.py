@@ -92,3 +92,34 @@ def test_products_do_not_wrap():
         a, b = np.array([[size, -size, 3.0]]), np.array([[size, size, 1.0], [size, -size, 0.0]])
         want = [[max(V.LOW, min(V.HIGH, sum(int(x) * int(y) for x, y in zip(r, c)))) for c in b] for r in a]
         assert V.products(a, b).tolist() == want
+
+
+def test_topk_takes_every_finite_vector_and_repeats_in_any_order(spark):
+    """Operator 2: components of 2**31 and more, and repeated ids, whichever row comes first."""
+    from marquee.llm import topk
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([1.0, -2.0**23, 2.0**31, 3e12, 0.25]) * rng.random() for _ in range(8)]) for i in range(60)]
+    rows += [(50, [0.1] * 8), (50, [2.0] * 8), (7, [0.3] * 8), (7, [0.2] * 8), (100, [1e30] * 8), (101, [-1e30] * 8)]
+    ints = {}
+    for i, v in rows:
+        w = [int(np.floor(256 * x)) for x in v]
+        ints[i] = min(ints.get(i, w), w)
+    want = []
+    for q in (i for i in ints if i % 50 == 0):
+        best = sorted((-min(V.HIGH, max(V.LOW, sum(x * y for x, y in zip(ints[q], w)))), i) for i, w in ints.items() if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.top_products(df, "vec_id % 50 = 0").collect())) == sorted(want)
+
+
+def test_topk_bound_does_not_wrap():
+    from marquee.llm import topk
+
+    x = np.full((3, 64), 2.0**30)
+    x[1] = -x[1]
+    x[2, 0] = 5.0
+    best, who = topk.search(np.array([0]), x[:1], np.array([[0.0]]), float((x * x).sum(1).max()), [(0, 0.0, 1e30, np.arange(3), x)], 2)
+    exact = [min(V.HIGH, max(V.LOW, sum(int(a) * int(b) for a, b in zip(x[0], r)))) for r in x]
+    assert (best[0].tolist(), who[0].tolist()) == ([exact[2], exact[1]], [2, 1])
