@@ -13,7 +13,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marquee.plans.lineage import materialize
 from marquee.sources.schemas import conform
 
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -190,12 +189,13 @@ def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = Tr
 
     def seats() -> DataFrame:
         # a show's taken seat ids (at most its 336 seats) meet its spec, and one narrow explode makes the
-        # rows: no seat row is shuffled.  Written once, so that joins see its true size.
+        # rows, of the columns that are asked for.  The optimizer takes an explode for as small as its input, so the
+        # hint keeps joins from broadcasting the table; nothing is written for queries that only read it.
         taken = lines.groupBy("show_id").agg(F.collect_set("seat_id").alias("_taken"))
         grid = seat_grid(specs.join(taken, "show_id", "left") if with_availability else specs.withColumn("_taken", F.lit(None)), "_taken")
         sid = F.col("show_id") * 1000 + (F.col("row_no") - 1) * 100 + F.col("seat_number")
         held = F.coalesce(F.array_contains("_taken", sid), F.lit(False)) if with_availability else F.lit(False)
-        return materialize(conform(grid.withColumn("seat_id", sid).withColumn("is_available", F.when(held, 0).otherwise(1)), "seats"), "seats")
+        return conform(grid.withColumn("seat_id", sid).withColumn("is_available", F.when(held, 0).otherwise(1)), "seats").hint("merge")
 
     dict.__setitem__(st, "seats", seats)
     return st
