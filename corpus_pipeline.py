@@ -6,7 +6,8 @@ it is written as Parquet in the shared scratch folder and read again as the next
 
 Null or empty texts pass every stage (they are not toxic, equal nothing, hold nothing)
 and encode to no ids.  Rows without a doc_id can't be named as a group's other members
-and stay, once per text.
+and stay, once per text.  Other columns may have any name (stages work on the columns under
+names of their own); columns named ids or n_tokens give way to those of the last stage.
 """
 
 from __future__ import annotations
@@ -17,10 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns of the pipeline's own names, and which name each has: no column clashes with an operator's."""
+    names = {c: f"column {k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of documents again."""
+    return df.select(*[F.col(f"`{inner}`").alias(outer) for outer, inner in names.items()])
+
+
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.7 or more go."""
-    scored = toxicity.score(docs, op1_toxicity.model(spark, docs, sf_dir), docs.columns)
-    return scored.where("score < 0.7").select(*docs.columns)
+    rows, names = renamed(docs)
+    return columns(toxicity.score(rows, op1_toxicity.model(spark, docs, sf_dir), rows.columns, names["text"], below=0.7), names)
 
 
 def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +44,10 @@ def one_of_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 200-byte string that also starts elsewhere go; n_chars follows."""
-    kept = suffix_dedup.remove_repeats(docs, 200, as_text=True)
-    changed = F.col("n_removed") > 0
-    return kept.withColumn(
-        "n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    rows, names = renamed(docs)
+    kept = suffix_dedup.remove_repeats(rows, 200, names["doc_id"], names["text"], as_text=True)
+    length = F.when(F.col("n_removed") > 0, F.char_length(F.col(f"`{names['text']}`"))).otherwise(F.col(f"`{names['n_chars']}`"))
+    return columns(kept.withColumn(names["n_chars"], length.cast(docs.schema["n_chars"].dataType)), names)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +58,13 @@ def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with the text as its ids decode to, ``ids`` and ``n_tokens``."""
     path = op8_bpe.vocabulary()
-    others = [c for c in docs.columns if c != "text"]
-    ids = bpe.encode(docs, path, keep=tuple(others))
-    back = bpe.decode(ids.withColumn("encoded", F.col("ids")), path, keep=(*others, "encoded"))
-    return back.select(*docs.columns, F.col("encoded").alias("ids"), (F.octet_length("encoded") / 4).cast("long").alias("n_tokens"))
+    docs = docs.drop("ids", "n_tokens")
+    rows, names = renamed(docs)
+    others = [c for c in names.values() if c != names["text"]]
+    ids = bpe.encode(rows, path, names["text"], keep=tuple(f"`{c}`" for c in others))
+    back = bpe.decode(ids.withColumn("encoded", F.col("ids")), path, keep=(*[f"`{c}`" for c in others], "encoded")).withColumnRenamed("text", names["text"])
+    tokens = (F.octet_length("encoded") / 4).cast("long").alias("n_tokens")
+    return back.select(*[F.col(f"`{inner}`").alias(outer) for outer, inner in names.items()], F.col("encoded").alias("ids"), tokens)
 
 
 STAGES = [

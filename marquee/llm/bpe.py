@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from marquee.llm.common import over
+from marquee.llm.common import kept as kept_model
 from marquee.llm.textbytes import row_bytes, slices
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -102,14 +103,8 @@ class Bpe(dict):
                          for a in range(0, len(found), BLOCK)]).decode("utf-8", "replace")
 
 
-_MODELS: dict[int, Bpe] = {}
-
-
 def _model(config) -> Bpe:
-    key = hash(config.value)
-    if key not in _MODELS:
-        _MODELS[key] = Bpe(config.value)
-    return _MODELS[key]
+    return kept_model("bpe", hash(config.value), lambda: Bpe(config.value))
 
 
 def read_config(path: str) -> str:

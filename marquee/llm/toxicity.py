@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm import common
 from marquee.llm.common import columns_as, materialize, over
 from marquee.llm.textbytes import row_bytes, slices
 
@@ -239,10 +240,12 @@ def fit(docs: DataFrame, labels: DataFrame, trains: str, max_rows: int = 20_000,
     return lexicon, _fit_logistic(table[["a", "b", "c"]].to_numpy(), (table["toxic"] == 1).to_numpy(float))
 
 
-def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The kept columns and ``score`` (0 to 1) of every row's whole text."""
+def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[str], text_col: str = "text", below: float | None = None) -> DataFrame:
+    """The kept columns and ``score`` (0 to 1) of every row's whole text; with ``below`` only rows of a smaller score,
+    chosen within the task.  A kept column named score gives way."""
+    keep = [c for c in keep if c != "score"]
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score"))
+        return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).alias("score")).where(F.lit(True) if below is None else F.col("score") < below)
     k = len(keep)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text_col in keep else [F.col(f"`{text_col}`").alias("scored text")]))
     at = keep.index(text_col) if text_col in keep else k
@@ -251,17 +254,16 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray] | None, keep: list[
     key = hash((frozenset(lexicon.weights.items()), frozenset(lexicon.benign)))
 
     def task(batch):
-        if key not in _LEXICA:
-            _LEXICA.clear()
-            _LEXICA[key] = Lexicon(*shared.value)
-        own = _LEXICA[key]
+        own = common.kept("toxicity", key, lambda: Lexicon(*shared.value))
         _, offsets = row_bytes(batch.column(at))
         for i, j in slices(offsets):
             got = np.array([own.figures(t) for t in batch.column(at).slice(i, j - i).to_pylist()])
-            yield [*[c.slice(i, j - i) for c in batch.columns[:k]], 1 / (1 + np.exp(-np.clip(w[0] + got @ w[1:], -30, 30)))]
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:k])
-    return over(rows, task, f"{kept}score double")
-
-
-_LEXICA: dict[int, Lexicon] = {}
+            scores = 1 / (1 + np.exp(-np.clip(w[0] + got @ w[1:], -30, 30)))
+            part = [c.slice(i, j - i) for c in batch.columns[:k]]
+            if below is not None:
+                chosen = pa.array(scores < below)
+                part, scores = [c.filter(chosen) for c in part], scores[scores < below]
+            yield [*part, scores]
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:k])
+    return over(rows, task, f"{fields}score double")

@@ -388,7 +388,8 @@ def test_pipeline_stages(spark, tmp_path):
     planted = [(6000, clean[0][1] + " end"), (6001, prose(rng, 30) + " " + passage + " " + prose(rng, 30)), (6002, passage + " " + prose(rng, 50)),
                (6003, prose(rng, 40) + " " + bench[2][1]), (6004, ""), (6005, None), (6006, "you gruntle snarfox gruntle")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + clean + planted], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    clash = {c: F.lit(i) for i, c in enumerate(("score", "n_removed", "ids", "encoded", "n_tokens", "id", "node", "column 1", "kept"))}
+    docs.withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
@@ -398,3 +399,4 @@ def test_pipeline_stages(spark, tmp_path):
     assert out[6004].text == "" and out[6005].n_tokens == 0
     for i, t in clean:
         assert out[i].text == t and out[i].n_tokens * 4 == len(out[i].ids)
+        assert (out[i].score, out[i].n_removed, out[i].encoded, out[i].id, out[i].node, out[i]["column 1"]) == (0, 1, 3, 5, 6, 7)
