@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, materialize, over, written
+from marquee.llm.common import columns_as, discard, materialize, over, written
 from marquee.plans.components import components
 from marquee.llm.textbytes import U, mix, row_bytes, signed, word_hashes
 
@@ -174,7 +174,7 @@ def _apart_rows(grams: DataFrame, links: DataFrame, classes: DataFrame, other: l
     """Rows of the n-grams whose classes are in several components: those outside the largest one, and all (as r_...)."""
     group = classes.join(components(links, "ngram-near"), F.col("rep") == F.col("vertex"), "left").select(
         "node", F.coalesce("component", "rep").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
-    in_comp = materialize(grams.join(group, "node"), "ngram-grouped")
+    in_comp = written(grams.join(group, "node"), "ngram-grouped")
     sizes = in_comp.groupBy("gram", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("gram").agg(F.max_by("comp", "n").alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
     open_ = in_comp.join(split, "gram")
@@ -197,7 +197,8 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     grams = written(prefixes.join(several.select("gram"), "gram").groupBy("gram", "node").agg(
         F.first("size").alias("size"), F.first("pos").alias("pos")), "ngram-prefixes")
     shared = grams.groupBy("node").agg((F.count("*") / F.first("size")).alias("shared"))
-    grams = materialize(grams.join(shared, "node"), "ngram-shared")
+    prefixes, grams = grams, written(grams.join(shared, "node"), "ngram-shared")
+    discard(prefixes)
     here = classes.join(grams.select("node").distinct(), "node", "left_semi")
     classes_here = materialize(here, "ngram-classes")
     reps = classes_here.select("rep").distinct()
@@ -210,7 +211,8 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     left, right = _apart_rows(grams, links, classes_here, other)
     more = _hub_pairs(left, right.drop("largest"), classes_here, num, den).join(tried, ["a", "b"], "left_anti")
     more = materialize(more, "ngram-tried-2")
-    links = written(links.unionByName(_links(more, texts, n, num, den)), "ngram-links-2")
+    near, links = links, written(links.unionByName(_links(more, texts, n, num, den)), "ngram-links-2")
+    discard(near)
 
     left, right = _apart_rows(grams, links, classes_here, other)
     bits = classes_here.select("node", *BITS).dropDuplicates(["node"])
@@ -220,9 +222,11 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     met = left.join(right, "gram").where("comp <> r_comp and (r_comp = largest or node < r_node)").where(
         _apart() <= F.col("size") + F.col("r_size") - 2 * least).drop(*BITS, *[f"r_{x}" for x in BITS])
     rest = _pairs(met, classes_here, num, den, every=True).join(tried.unionByName(more), ["a", "b"], "left_anti")
-    more = _links(written(rest, "ngram-rest"), texts, n, num, den)
+    rest = written(rest, "ngram-rest")
+    found = written(links.unionByName(_links(rest, texts, n, num, den)), "ngram-links-3")
+    discard(grams, texts, classes_here, tried, more, links, rest)
 
-    final = materialize(components(links.unionByName(more), "ngram-comps"), "ngram-final")
+    final = written(components(found, "ngram-comps"), "ngram-final")
     by_class = classes.select("node", "chk", "size", "rep").join(final, F.col("rep") == F.col("vertex"), "left").select(
         "node", "chk", "size", "rep", F.coalesce("component", "rep").alias("component"))
     return members.drop(*BITS).join(by_class, ["node", "chk", "size"], "left").select(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, materialize, over
+from marquee.llm.common import columns_as, discard, materialize, over, written
 from marquee.llm.textbytes import SLICE, U, fixed_hash, mix, prefix_hash, row_bytes, signed, slices, span_hash
 
 GRAM = 64
@@ -208,17 +208,17 @@ def _ranges(pairs: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _repeats(docs: DataFrame, length: int) -> DataFrame:
-    """(node, ctx, d1, d2): which windows repeat, by text and context; d1 = -1: all of the context's."""
+    """(node, ctx, d1, d2), written: which windows repeat, by text and context; d1 = -1: all of the context's."""
     rows = over(docs.select("node", "text"), _scan(length), "gram long, ctx long, node long, again int")
     buckets = rows.groupBy("gram").agg(F.min("node").alias("n1"), F.max("node").alias("n2"), F.max("again").alias("again"),
                                        F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).where("n1 <> n2 or again > 0")
-    open_ = materialize(rows.join(buckets.select("gram", (F.col("c1") != F.col("c2")).alias("mixed")), "gram"), "suffix-buckets")
+    open_ = written(rows.join(buckets.select("gram", (F.col("c1") != F.col("c2")).alias("mixed")), "gram"), "suffix-buckets")
     contexts = open_.groupBy("gram", "ctx", "mixed").agg(F.min("node").alias("n1"), F.max("node").alias("n2"), F.max("again").alias("again"))
     contexts = materialize(contexts.select("gram", "ctx", "mixed", F.col("n1").alias("node"), ((F.col("n1") != F.col("n2")) | (F.col("again") > 1)).alias("known")), "suffix-contexts")
     unsure = contexts.where("mixed").groupBy("gram").agg(F.min("known").alias("all_known")).where("not all_known").select("gram")
     asked = contexts.join(unsure, "gram", "left_semi").select("node", "ctx", "known")
     lists = asked.groupBy("node").agg(F.collect_list(F.struct("ctx", "known")).alias("asked"))  # of one text
-    held = materialize(over(_one_text(docs, lists), _cut_out(length), "ctx long, lead int, bytes binary, known boolean"), "suffix-held")
+    held = written(over(_one_text(docs, lists), _cut_out(length), "ctx long, lead int, bytes binary, known boolean"), "suffix-held")
 
     blocks = materialize(over(held, _blocks(length), "core long, whole long, ctx long, d1 int, d2 int, known boolean"), "suffix-blocks")
     kinds = blocks.groupBy("core", "whole").agg(F.min("ctx").alias("ctx"), F.max("known").alias("known"), F.count("*").alias("n"), F.first("d1").alias("d1"), F.first("d2").alias("d2"))
@@ -226,7 +226,8 @@ def _repeats(docs: DataFrame, length: int) -> DataFrame:
     left = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("known").alias("all_known")).where("k > 1 and not all_known").select("core")
     todo = kinds.join(left, "core", "left_semi").select("ctx", "d1", "d2", "known")
     per = todo.groupBy("ctx").agg(F.collect_list(F.struct("d1", "d2", "known")).alias("todo"))  # of one context
-    single = materialize(over(held.select("ctx", "lead", "bytes").join(per, "ctx"), _windows(length), "window long, ctx long, d int"), "suffix-windows")
+    single = written(over(held.select("ctx", "lead", "bytes").join(per, "ctx"), _windows(length), "window long, ctx long, d int"), "suffix-windows")
+    discard(held)
     twice = single.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     found = single.join(twice, "window", "left_semi").select("ctx", F.col("d").alias("d1"), F.col("d").alias("d2"))
 
@@ -235,7 +236,9 @@ def _repeats(docs: DataFrame, length: int) -> DataFrame:
     part = full.unionByName(found).join(unknown, "ctx").select("node", "ctx", "d1", "d2")
     sure = open_.select("gram", "ctx", "node").join(contexts.where("known").select("gram", "ctx"), ["gram", "ctx"], "left_semi").select(
         "node", "ctx", F.lit(-1).alias("d1"), F.lit(-1).alias("d2"))
-    return sure.unionByName(part)
+    out = written(sure.unionByName(part), "suffix-repeats")
+    discard(open_, contexts, blocks, kinds, single)
+    return out
 
 
 def _one_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -257,7 +260,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     docs = docs.withColumn("node", F.xxhash64("text"))
     own = docs.select("id", "node", F.sha2("text", 256).alias("sha"))
     copies = own.groupBy("node", "sha").agg(F.count("*").alias("n"))
-    gone = materialize(_repeats(docs, length), "suffix-repeats")
+    gone = _repeats(docs, length)
     lists = gone.groupBy("node").agg(F.collect_list(F.struct("ctx", "d1", "d2")).alias("gone"))  # of one text
     alone = copies.where("n = 1").select("node").join(lists, "node")
     told = own.join(copies.where("n > 1").select("node", "sha", F.lit(True).alias("copy")), ["node", "sha"], "left").join(alone, "node", "left").where(
