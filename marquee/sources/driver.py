@@ -18,6 +18,8 @@ from marquee.sources.schemas import conform
 DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents "
                  "embeddings pages benchmark labels conversations").split()
 
+SHOWS_PER_TASK = 2000  # shows whose seats (hundreds each) one task makes
+
 # Fixed values of the mapping (FIXTURES.md section 3).
 SEAT_ROWS, SEATS_PER_ROW, VIP_ROWS, PREMIUM_ROWS = 7, 48, 1, 1
 VIP_PRICE, PREMIUM_PRICE, REGULAR_PRICE = Decimal("1200"), Decimal("800"), Decimal("500")
@@ -191,8 +193,12 @@ def booking_state(spark: SparkSession, sf_dir: str, with_availability: bool = Tr
         # a show's taken seat ids (at most its 336 seats) meet its spec, and one narrow explode makes the
         # rows, of the columns that are asked for.  The optimizer takes an explode for as small as its input, so the
         # hint keeps joins from broadcasting the table; nothing is written for queries that only read it.
+        # The specs are small and their seats are not, so the shows are dealt to tasks by their number: sized by the
+        # specs' bytes, a few tasks would make all seats, and sort and spill them in what follows.
+        n = max(spark.sparkContext.defaultParallelism, -(-p.count() // SHOWS_PER_TASK))
         taken = lines.groupBy("show_id").agg(F.collect_set("seat_id").alias("_taken"))
-        grid = seat_grid(specs.join(taken, "show_id", "left") if with_availability else specs.withColumn("_taken", F.lit(None)), "_taken")
+        held_by = specs.join(taken, "show_id", "left") if with_availability else specs.withColumn("_taken", F.lit(None))
+        grid = seat_grid(held_by.repartition(n, "show_id"), "_taken")
         sid = F.col("show_id") * 1000 + (F.col("row_no") - 1) * 100 + F.col("seat_number")
         held = F.coalesce(F.array_contains("_taken", sid), F.lit(False)) if with_availability else F.lit(False)
         return conform(grid.withColumn("seat_id", sid).withColumn("is_available", F.when(held, 0).otherwise(1)), "seats").hint("merge")
