@@ -20,8 +20,11 @@ from marquee.functions.text import seat_labels_agg
 
 
 def booking_seat_lines(st: dict) -> DataFrame:
-    """booking_seats joined to seats."""
-    return st["booking_seats"].join(st["seats"], "seat_id") \
+    """booking_seats joined to seats.
+
+    Lines are far fewer than seats: each task hashes its lines and passes the seats by them, so the seats are never
+    sorted.  The hint on the seats (one that yields to the lines' hint) takes the place of a merge hint they may carry."""
+    return st["booking_seats"].hint("shuffle_hash").join(st["seats"].hint("shuffle_replicate_nl"), "seat_id") \
         .select("booking_id", "seat_id", "show_id", "row_letter", "seat_number", "seat_type", "price")
 
 

@@ -36,3 +36,11 @@ def test_seats_are_dealt_by_the_number_of_shows(spark, tables, monkeypatch):
     for free in (True, False):
         seats = driver.booking_state(spark, tables, with_availability=free)["seats"]
         assert seats.rdd.getNumPartitions() == 20 and seats.count() == 60 * 336
+
+
+def test_seats_are_not_sorted_for_their_lines(spark, tables):
+    lines = D.booking_seat_lines(driver.booking_state(spark, tables))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [seat_id" in plan and "BuildLeft" in plan
+    st = driver.booking_state(spark, tables)
+    assert lines.count() == st["booking_seats"].count() > 0
