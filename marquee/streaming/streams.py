@@ -287,9 +287,11 @@ def stream_outbox(bookings: DataFrame, st: dict, watermark: str = "1 day") -> Da
         F.array_sort(F.collect_list(F.struct("row_letter", "seat_number", "seat_type"))),
         lambda s: F.concat(s["row_letter"], s["seat_number"].cast("string"), F.lit("("), s["seat_type"], F.lit(")"))),
         ", ").alias("seat_list")))
+    # a static side is computed anew in every micro-batch: what does not change with the stream is written once
+    seats, users, shows = (materialize(df, f"t7-{name}") for name, df in (
+        ("seats", seats), ("users", st["users"].select("user_id", "email")), ("shows", st["shows"].select("show_id", "title"))))
     b = (_event_time(bookings, "booking_date", watermark).dropDuplicatesWithinWatermark(["booking_id", "booking_status"])
-         .join(st["users"].select("user_id", "email"), "user_id")
-         .join(st["shows"].select("show_id", "title"), "show_id"))
+         .join(users, "user_id").join(shows, "show_id"))
     conf = outbox_messages(b.filter(F.col("booking_status") == "CONFIRMED").join(seats, "booking_id", "left")
                            .withColumn("seat_list", F.coalesce("seat_list", F.lit(""))), "confirmation")
     canc = outbox_messages(b.filter(F.col("booking_status") == "CANCELLED"), "cancellation")

@@ -60,3 +60,12 @@ def test_sql_views_meet_a_row_per_title(spark, tables):
             revenue[r.show_id] = revenue.get(r.show_id, 0) + r.total_amount
     most = {t: max([v for s, v in revenue.items() if titles[s] == t], default=0) for t in titles.values()}
     assert {(r.event_name, r.payment_status): (r.bookings, r.total_revenue) for r in found.collect()} == {k: (n, most[k[0]]) for k, n in want.items()}
+
+
+def test_outbox_stream_computes_no_static_side_per_batch(spark, seed, tmp_path):
+    seed["bookings"].write.parquet(str(tmp_path / "b"))
+    out = TS.stream_outbox(TS.file_stream(spark, str(tmp_path / "b"), seed["bookings"].schema), seed)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "collect_list" not in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
+    got = TS.stream_to_table(spark, out, "outbox").collect()
+    assert len(got) == 5 and any("A1(VIP), A2(VIP), A3(VIP)" in r.html for r in got)
