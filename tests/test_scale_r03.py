@@ -6,6 +6,7 @@ from pyspark.sql import Row
 
 from marquee import catalog as C
 from marquee.operators import documents as D
+from marquee.operators.titlesearch import search_classes, show_search_batch
 from marquee.sources import driver
 from marquee.streaming import keyed as K
 from marquee.streaming import streams as TS
@@ -69,3 +70,15 @@ def test_outbox_stream_computes_no_static_side_per_batch(spark, seed, tmp_path):
     assert "collect_list" not in plan and "LocalRelation" not in plan and "LogicalRDD" not in plan
     got = TS.stream_to_table(spark, out, "outbox").collect()
     assert len(got) == 5 and any("A1(VIP), A2(VIP), A3(VIP)" in r.html for r in got)
+
+
+def test_search_classes_hold_every_pair(spark):
+    shows = spark.createDataFrame([(7, "Ring"), (3, "Ring"), (5, "ring"), (9, None), (1, "King")], "show_id long, title string")
+    asked = spark.createDataFrame([(4, "in"), (2, "in"), (6, "R"), (8, ""), (5, None), (5, "zz")], "pattern_id long, pattern string")
+    rows = search_classes({"shows": shows}, asked).collect()
+    of_pattern, of_show = ([r for r in rows if r.kind == k] for k in ("pattern", "show"))
+    match = [r for r in rows if r.kind == "match"]
+    assert len(match) == 3 + 2 and sorted((r.member_id, r.pattern_id) for r in of_pattern) == [(2, 2), (4, 2), (5, 5), (6, 6)]
+    pairs = sorted((p.member_id, s.member_id, s.title) for m in match for p in of_pattern for s in of_show
+                   if (p.pattern_id, p.pattern, s.show_id, s.title) == (m.pattern_id, m.pattern, m.show_id, m.title))
+    assert pairs == sorted(map(tuple, show_search_batch({"shows": shows}, asked).collect()))
