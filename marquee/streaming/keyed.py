@@ -127,36 +127,36 @@ class ClientWindows(StatefulProcessor):
 
     Requests wait (as counts by time) until the watermark has passed them, then they are taken in order of time, so
     requests that come late but before the watermark fall into the right window.  A timer wakes the client
-    when its earliest waiting request or its open window's end is due."""
+    when its earliest waiting request or its open window's end is due.  What waits is one list, read and written
+    as a whole: a call to the state store per batch and client, not several per request."""
 
     def __init__(self, length: int):
         self.length = length
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "requests long")
+        self.waiting = handle.getListState("waiting", "at long, requests long")
         self.open = handle.getValueState("open", "start long, requests long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         counts: dict[int, int] = {}
         for r in rows:
             counts[r.at] = counts.get(r.at, 0) + 1
-        for at, n in counts.items():
-            known = self.waiting.getValue((at,))
-            self.waiting.updateValue((at,), (n + (known[0] if known else 0),))
-        yield from self._advance(key, timerValues)
+        yield from self._advance(key, timerValues, counts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._advance(key, timerValues)
+        yield from self._advance(key, timerValues, {})
 
-    def _advance(self, key, timerValues) -> Iterator[Row]:
+    def _advance(self, key, timerValues, counts) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000  # nothing before it comes any more
-        waiting = sorted((k[0], v[0]) for k, v in self.waiting.iterator())
-        now = self.open.get()
+        before = [(w[0], w[1]) for w in self.waiting.get()]
+        for at, n in before:
+            counts[at] = counts.get(at, 0) + n
+        waiting = sorted(counts.items())
+        known = now = self.open.get()
         for at, n in waiting:
             if at >= passed:
                 break
-            self.waiting.removeKey((at,))
             if now is not None and at < now[0] + self.length:
                 now = (now[0], now[1] + n)
                 continue
@@ -166,11 +166,18 @@ class ClientWindows(StatefulProcessor):
         if now is not None and now[0] + self.length <= passed:
             yield self._row(key, now)
             now = None
-        if now is None:
-            self.open.clear()
-        else:
-            self.open.update(tuple(now))
-        due = [at for at, _ in waiting if at >= passed][:1] + ([now[0] + self.length] if now else [])
+        if now is not known:
+            if now is None:
+                self.open.clear()
+            else:
+                self.open.update(tuple(now))
+        waiting = [w for w in waiting if w[0] >= passed]
+        if waiting != before:
+            if waiting:
+                self.waiting.put(waiting)
+            else:
+                self.waiting.clear()
+        due = [at for at, _ in waiting[:1]] + ([now[0] + self.length] if now else [])
         if due:
             self.handle.registerTimer(min(due) // 1000 + 1)
 

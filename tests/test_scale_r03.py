@@ -82,3 +82,49 @@ def test_search_classes_hold_every_pair(spark):
     pairs = sorted((p.member_id, s.member_id, s.title) for m in match for p in of_pattern for s in of_show
                    if (p.pattern_id, p.pattern, s.show_id, s.title) == (m.pattern_id, m.pattern, m.show_id, m.title))
     assert pairs == sorted(map(tuple, show_search_batch({"shows": shows}, asked).collect()))
+
+
+class _Store:
+    """A stand-in for the state store that counts calls."""
+
+    def __init__(self):
+        self.calls, self.list, self.value = 0, [], None
+        self.getListState = lambda *_: self.State(self, "list", [])
+        self.getValueState = lambda *_: self.State(self, "value", None)
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    class State:
+        def __init__(self, store, slot, empty):
+            self.store, self.slot, self.none = store, slot, empty
+
+        def get(self):
+            self.store.calls += 1
+            return getattr(self.store, self.slot)
+
+        def put(self, value):
+            self.store.calls += 1
+            setattr(self.store, self.slot, value)
+
+        update = put
+
+        def clear(self):
+            self.put(self.none)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_client_windows_call_the_store_a_few_times_a_batch():
+    store, w = _Store(), K.ClientWindows(900_000_000)
+    w.init(store)
+    rows = [Row(at=k * 1_000_000) for k in range(1000)]
+    assert list(w.handleInputRows((1, "api"), iter(rows), _Clock(0))) == [] and store.calls <= 5
+    store.calls = 0
+    out = list(w.handleInputRows((1, "api"), iter([Row(at=5_000_000_000)]), _Clock(950_000)))
+    assert [(r.start, r.requests) for r in out] == [(0, 900)] and store.calls <= 5
+    assert [(r.start, r.requests) for r in w.handleExpiredTimer((1, "api"), _Clock(6_000_000), None)] == [(900_000_000, 100), (5_000_000_000, 1)]
+    assert store.list == [] and store.value is None
