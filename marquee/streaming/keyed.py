@@ -5,8 +5,8 @@
   by signed sums, so cancelled revenue is taken back.
 - T3 ``stream_client_windows``: a limit window starts with a client's first request and
   closes its length later, by a timer.
-- T1 ``stream_seat_ledger``: a show's taken seats and bookings lie in map state; a
-  batch touches only the seats and bookings that its commands name.
+- T1 ``stream_seat_ledger``: a show's taken seats and bookings lie in chunks of map state; a
+  batch touches only the chunks that its commands name.
 
 State is read and written key by key in the state store, so a batch costs what it
 brings and not what came before.  Results do not hang on how the stream is cut
@@ -15,10 +15,12 @@ into batches, but for rows behind the watermark (T3) or behind their show's last
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
+from types import SimpleNamespace
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -202,57 +204,97 @@ def stream_client_windows(events: DataFrame, minutes: int = 15, watermark: str =
 
 
 # --------------------------------------------------------------------------
-# Seats and bookings of a show as map state
+# Seats and bookings of a show as chunks of map state
 # --------------------------------------------------------------------------
 CHANGES = "show_id long, at long, cmd_id long, kind string, booking_id long, outcome string, booking_status string, unavailable_seats string, seat_ids array<long>, is_available int"
 
 
+CHUNK = 1000  # ids that a chunk of a show's state holds on average, at most
+BOOKINGS = "array<struct<id: long, owner: long, status: string, seats: array<long>, paid: boolean>>"
+
+
+class _Chunks:
+    """A show's taken seats and bookings over map state, dealt by a hash of their ids into chunks, each read and written as a
+    whole once a batch.  A small show is one chunk; when the chunks hold more than ``CHUNK`` ids on average their number
+    doubles, so a batch on a large show still moves only the chunks that its commands name."""
+
+    def __init__(self, state, n: int, size: int):
+        self.state, self.n, self.size, self.known, self.changed = state, n, size, {}, set()
+
+    def number(self, i: int) -> int:
+        return (i * 0x9E3779B97F4A7C15 % 2**64 >> 32) % self.n
+
+    def of(self, i: int, change: bool = False) -> tuple[set, dict]:
+        k = self.number(i)
+        if k not in self.known:
+            v = self.state.getValue((k,)) if self.size else None
+            self.known[k] = self._read(v) if v is not None else (set(), {})
+            self.size -= self._ids(k)  # counted again when it is saved
+        if change:
+            self.changed.add(k)
+        return self.known[k]
+
+    @staticmethod
+    def _read(v) -> tuple[set, dict]:
+        return set(v[0]), {b[0]: {"owner": b[1], "status": b[2], "seats": list(b[3]), "paid": b[4]} for b in v[1]}
+
+    def _ids(self, k: int) -> int:
+        return sum(map(len, self.known[k]))
+
+    def save(self) -> None:
+        self.size += sum(map(self._ids, self.known))
+        if self.size > CHUNK * self.n:
+            if self.n > 1:
+                for k, v in self.state.iterator():
+                    if k[0] not in self.known:
+                        self.known[k[0]] = self._read(v)
+            old, self.known = list(self.known.values()), {}
+            while self.size > CHUNK * self.n:
+                self.n *= 2
+            for seats, bookings in old:
+                for s in seats:
+                    self.known.setdefault(self.number(s), (set(), {}))[0].add(s)
+                for i, b in bookings.items():
+                    self.known.setdefault(self.number(i), (set(), {}))[1][i] = b
+            self.changed = set(self.known)
+            self.state.clear()
+        for k in self.changed:
+            seats, bookings = self.known[k]
+            self.state.updateValue((k,), (list(seats), [(i, b["owner"], b["status"], b["seats"], b["paid"]) for i, b in bookings.items()]))
+
+
 class _Taken:
-    """The set of a show's taken seats, over map state (seat -> booking): read once a batch and seat, written at its end."""
+    """The set of a show's taken seats."""
 
-    def __init__(self, state):
-        self.state, self.known, self.new, self.booking = state, {}, {}, 0
+    def __init__(self, chunks: _Chunks):
+        self.chunks = chunks
 
     def __contains__(self, seat: int) -> bool:
-        if seat not in self.known:
-            self.known[seat] = self.state.containsKey((seat,))
-        return self.known[seat]
+        return seat in self.chunks.of(seat)[0]
 
     def update(self, seats) -> None:
         for s in seats:
-            self.known[s], self.new[s] = True, self.booking
+            self.chunks.of(s, True)[0].add(s)
 
     def difference_update(self, seats) -> None:
         for s in seats:
-            self.known[s], self.new[s] = False, None
-
-    def save(self) -> None:
-        for seat, booking in self.new.items():
-            if booking is not None:
-                self.state.updateValue((seat,), (booking,))
-            elif self.state.containsKey((seat,)):
-                self.state.removeKey((seat,))
+            self.chunks.of(s, True)[0].discard(s)
 
 
 class _Bookings:
-    """A show's bookings over map state, read and written as ``_Taken``."""
+    """A show's bookings by id; who changes one marks it."""
 
-    def __init__(self, state):
-        self.state, self.known, self.changed = state, {}, set()
+    def __init__(self, chunks: _Chunks):
+        self.chunks = chunks
 
     def get(self, booking: int) -> dict | None:
-        if booking not in self.known:
-            v = self.state.getValue((booking,))
-            self.known[booking] = None if v is None else {"owner": v[0], "status": v[1], "seats": list(v[2]), "paid": v[3]}
-        return self.known[booking]
+        return self.chunks.of(booking)[1].get(booking)
 
     def __setitem__(self, booking: int, value: dict) -> None:
-        self.known[booking] = value
+        self.chunks.of(booking, True)[1][booking] = value
 
-    def save(self) -> None:
-        for k in self.changed:
-            b = self.known[k]
-            self.state.updateValue((k,), (b["owner"], b["status"], b["seats"], b["paid"]))
+    def mark(self, booking: int) -> None:
+        self.chunks.of(booking, True)
 
 
 class SeatLedger(StatefulProcessor):
@@ -260,48 +302,49 @@ class SeatLedger(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seats = handle.getMapState("seats", "seat_id long", "booking_id long")
-        self.bookings = handle.getMapState("bookings", "booking_id long", "owner long, status string, seats array<long>, paid boolean")
-        self.last = handle.getValueState("last", "at long, cmd_id long")
+        self.chunks = handle.getMapState("chunks", "chunk int", f"seats array<long>, bookings {BOOKINGS}")
+        self.now = handle.getValueState("now", "at long, cmd_id long, chunks int, ids long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = self.now.get()
+        last, n, size = (None, 1, 0) if now is None else ((now[0], now[1]), now[2], now[3])
+        chunks, before, ends = _Chunks(self.chunks, n, size), last, set()
         ledger = ShowLedger()
-        ledger.unavailable, ledger.bookings = _Taken(self.seats), _Bookings(self.bookings)
-        last = self.last.get()
-        last = tuple(last) if last is not None else None
-        for c in sorted(rows, key=lambda r: (r.at, r.cmd_id)):  # one show's commands of one batch
+        ledger.unavailable, ledger.bookings = _Taken(chunks), _Bookings(chunks)
+        told = (SimpleNamespace(**json.loads(r.command)) for r in rows)
+        for c in sorted(told, key=lambda r: (r.at, r.cmd_id)):  # one show's commands of one batch
             late = last is not None and (c.at, c.cmd_id) < last
             if late or c.ends is not None and c.at > c.ends:
-                yield self._row(c, "LATE", None, None, [], -1)
+                yield self._row(key, c, "LATE", None, None, [], -1)
                 continue
             last = (c.at, c.cmd_id)
-            ledger.unavailable.booking = c.booking_id
-            before = ledger.bookings.get(c.booking_id)
-            held = list(before["seats"]) if before else []
+            booked = ledger.bookings.get(c.booking_id)
+            held = list(booked["seats"]) if booked else []
             outcome, status, unavailable = ledger.apply(c)
             free = outcome == "CANCELLED" or outcome == "APPLIED" and status == "CANCELLED"
             if outcome in ("ACCEPTED", "CANCELLED", "APPLIED"):
-                ledger.bookings.changed.add(c.booking_id)
-            seats, now = (list(c.seat_ids), 0) if outcome == "ACCEPTED" else (held, 1) if free else ([], -1)
-            yield self._row(c, outcome, status, unavailable, seats, now)
+                ledger.bookings.mark(c.booking_id)
+            seats, available = (list(c.seat_ids), 0) if outcome == "ACCEPTED" else (held, 1) if free else ([], -1)
+            yield self._row(key, c, outcome, status, unavailable, seats, available)
             if c.ends is not None:
-                self.handle.registerTimer(c.ends // 1000 + 1)
-        ledger.unavailable.save()
-        ledger.bookings.save()
-        if last is not None:
-            self.last.update(last)
+                ends.add(c.ends)
+        for end in ends:
+            self.handle.registerTimer(end // 1000 + 1)
+        chunks.save()
+        if chunks.changed or last != before:
+            self.now.update((*last, chunks.n, chunks.size))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The show is over: its state goes."""
-        self.seats.clear()
-        self.bookings.clear()
-        self.last.clear()
+        self.chunks.clear()
+        self.now.clear()
         return iter([])
 
     @staticmethod
-    def _row(c, outcome, status, unavailable, seats, now) -> Row:
-        return Row(show_id=c.show_id, at=c.at, cmd_id=c.cmd_id, kind=c.kind, booking_id=c.booking_id, outcome=outcome, booking_status=status,
-                   unavailable_seats=unavailable, seat_ids=seats, is_available=now)
+    def _row(key, c, outcome, status, unavailable, seats, now) -> Row:
+        return Row(change=json.dumps({
+            "show_id": key[0], "at": c.at, "cmd_id": c.cmd_id, "kind": c.kind, "booking_id": c.booking_id, "outcome": outcome, "booking_status": status,
+            "unavailable_seats": unavailable, "seat_ids": seats, "is_available": now}))
 
 
 def stream_seat_ledger(commands: DataFrame, ends: DataFrame | None = None, watermark: str = "1 day") -> DataFrame:
@@ -309,13 +352,17 @@ def stream_seat_ledger(commands: DataFrame, ends: DataFrame | None = None, water
 
     ends (show_id, ends_at; one row a show): a show's state is dropped when the watermark passes ends_at, and commands
     later than that are LATE.  Without it state stays for good."""
-    fields = [f.name for f in COMMAND_SCHEMA.fields if f.name != "ts"]
-    rows = commands.filter("show_id is not null").select(*fields, micros("ts").alias("at"), F.col("ts").cast("timestamp").alias("_et"))
+    # rows reach Python column by column, so a command goes in, and a change comes out, as one text
+    fields = [f.name for f in COMMAND_SCHEMA.fields if f.name not in ("show_id", "ts", "total")]
+    rows = commands.filter("show_id is not null").select("show_id", *fields, micros("ts").alias("at"), F.col("ts").cast("timestamp").alias("_et"))
     if ends is None:
-        rows = rows.withColumn("ends", F.lit(None).cast("long")).drop("_et")
-        return rows.groupBy("show_id").transformWithState(SeatLedger(), CHANGES, "append", "none")
-    rows = rows.withWatermark("_et", watermark).join(ends.select("show_id", micros("ends_at").alias("ends")), "show_id", "left")
-    return rows.groupBy("show_id").transformWithState(SeatLedger(), CHANGES, "append", "eventTime")
+        rows, mode, also = rows.withColumn("ends", F.lit(None).cast("long")), "none", []
+    else:
+        rows = rows.withWatermark("_et", watermark).join(ends.select("show_id", micros("ends_at").alias("ends")), "show_id", "left")
+        mode, also = "eventTime", ["_et"]
+    told = rows.select("show_id", F.to_json(F.struct(*fields, "at", "ends"), {"ignoreNullFields": "false"}).alias("command"), *also)
+    changes = told.groupBy("show_id").transformWithState(SeatLedger(), "change string", "append", mode)
+    return changes.select(F.from_json("change", CHANGES).alias("c")).select("c.*")
 
 
 def seat_changes(spark: SparkSession, commands: DataFrame, root: str, ends: DataFrame | None = None) -> DataFrame:

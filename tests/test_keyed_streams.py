@@ -153,6 +153,45 @@ def test_state_of_finished_shows_goes(spark):
     assert got == {1: "ACCEPTED", 2: "CANCELLED", 3: "ACCEPTED", 4: "ACCEPTED", 5: "ACCEPTED", 6: "CONFLICT", 7: "LATE"}
 
 
+class CountedMap(dict):
+    """Map state that counts what goes to and from it."""
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+def test_seat_state_goes_by_chunks():
+    state, n, size, seats, booked, rng = CountedMap(), 1, 0, set(), set(), random.Random(8)
+    for batch in range(20):
+        state.calls, chunks = 0, K._Chunks(state, n, size)
+        taken, bookings = K._Taken(chunks), K._Bookings(chunks)
+        for _ in range(20 if batch < 10 else 400):
+            i = rng.randrange(10**6) * 20000 + 7  # ids of one remainder still spread
+            taken.update([i])
+            seats.add(i)
+            bookings[i] = {"owner": 1, "status": "CONFIRMED", "seats": [i], "paid": True}
+            booked.add(i)
+            if rng.random() < 0.2:
+                gone = rng.choice(sorted(seats))
+                taken.difference_update([gone])
+                seats.discard(gone)
+            assert i in bookings.chunks.of(i)[1] and 5 not in taken and bookings.get(5) is None
+        chunks.save()
+        n, size = chunks.n, chunks.size
+        assert size == len(seats) + len(booked) and size <= K.CHUNK * n and (batch >= 10 or state.calls <= 2)
+        assert {s for v in state.values() for s in v[0]} == seats and {b[0] for v in state.values() for b in v[1]} == booked
+    assert n == 8 and max(len(v[0]) + len(v[1]) for v in state.values()) < 2 * K.CHUNK
+
+
 def test_bucket_table(spark):
     root = scratch_dir(spark, "buckets")
     t = BucketTable(spark, root, "k long, v string", ["k"], 8)
