@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import seat_labels_agg
+from marquee.plans.lineage import materialize
 from marquee.plans.paths import exists
 from marquee.sources.schemas import conform
 
+SENT_LINES = 200_000  # seat lines (two longs each) that may be sent to every executor
+
 # Fixed message formats of the reference (subjects and bodies); the brand name is ours to set.
 BRAND = "Box Office"
 SUBJECTS = {
@@ -45,8 +48,11 @@ def reminders_due(st: dict, as_of) -> DataFrame:
     b = (st["bookings"].filter((F.col("booking_status") == "CONFIRMED")
                                & (F.coalesce(F.col("reminder_sent"), F.lit(0)) == 0))
          .join(shows, "show_id"))
-    labels = (st["booking_seats"].join(b.select("booking_id"), "booking_id", "left_semi")
-              .join(st["seats"].select("seat_id", "row_letter", "seat_number"), "seat_id")
+    # the day's seat lines are few and the seats are not: written, the lines are small enough to be sent to the seats
+    # where these are made; more than that many lines are hashed by task, and the seats pass by them unsorted
+    lines = materialize(st["booking_seats"].join(b.select("booking_id"), "booking_id", "left_semi").select("booking_id", "seat_id"), "reminder-lines")
+    lines = F.broadcast(lines) if lines.limit(SENT_LINES + 1).count() <= SENT_LINES else lines.hint("shuffle_hash")
+    labels = (lines.join(st["seats"].select("seat_id", "row_letter", "seat_number").hint("shuffle_replicate_nl"), "seat_id")
               .groupBy("booking_id").agg(seat_labels_agg().alias("seat_labels")))
     return (b.join(st["users"].select("user_id", "full_name", "email"), "user_id")
             .join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
@@ -138,8 +144,7 @@ def outbox_sink(messages: DataFrame, path: str) -> None:
     """Append messages to an outbox table partitioned by template (idempotent
     by message_id: rows already in the outbox, and repeats within the batch, are not
     appended).  The first run finds no table; any other read error is raised."""
-    messages = messages.dropDuplicates(["message_id"])
     if exists(messages.sparkSession, path):
         sent = messages.sparkSession.read.parquet(path).select("template", "message_id")
         messages = messages.join(sent, ["template", "message_id"], "left_anti")
-    messages.write.mode("append").partitionBy("template").parquet(path)
+    messages.dropDuplicates(["message_id"]).write.mode("append").partitionBy("template").parquet(path)

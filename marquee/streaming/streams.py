@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import sys
 import os
+from copy import copy
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -260,9 +261,10 @@ def run_reminders(st: dict, as_of, log_path: str, outbox_path: str | None = None
     log are appended to the log (and the outbox); returns the newly sent rows.
     A crash between the two writes re-sends nothing: the log is the source of truth."""
     spark = st["bookings"].sparkSession
+    if exists(spark, log_path):  # what was sent leaves before its seats are looked up
+        st = copy(st)
+        st["bookings"] = st["bookings"].join(spark.read.parquet(log_path).select("booking_id"), "booking_id", "left_anti")
     due = reminders_due(st, as_of)
-    if exists(spark, log_path):
-        due = due.join(spark.read.parquet(log_path).select("booking_id"), "booking_id", "left_anti")
     new = materialize(due.withColumn("sent_as_of", F.lit(str(as_of)).cast("timestamp_ntz")), "reminders-due")
     if outbox_path:
         outbox_sink(outbox_messages(new, "reminder"), outbox_path)
