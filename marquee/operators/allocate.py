@@ -44,6 +44,7 @@ DEFAULT_METHOD = "UPI"
 SET_ROUNDS = 3
 TASK_PAIRS = 20_000
 MARKS = 4096
+SENT_IDS = 2_000_000  # seat ids (a long each) that may be sent to every executor
 SERVED = "request_id long, requested_at timestamp_ntz, seat_id long"
 
 
@@ -83,9 +84,12 @@ def _seat_pairs(st: dict, reqs: DataFrame, match_show: bool) -> DataFrame:
     lost = looked.filter("not found").select("request_id", "requested_at", "seat_id")
     if lost.isEmpty():
         return looked
-    # a task's lost ids are hashed and the seats pass by them: no seat of any show is sorted
-    ids = lost.select("seat_id").filter("seat_id is not null").distinct()
-    any_show = materialize(seats.hint("shuffle_replicate_nl").join(ids.hint("shuffle_hash"), "seat_id").withColumnRenamed("show_id", "_sshow"), "alloc-elsewhere")
+    ids = materialize(lost.select("seat_id").filter("seat_id is not null").distinct(), "alloc-lost")
+    if ids.limit(SENT_IDS + 1).count() <= SENT_IDS:  # sent to where the seats are
+        there = seats.join(F.broadcast(ids), "seat_id", "left_semi")
+    else:  # a task's lost ids are hashed and the seats pass by them: no seat is sorted
+        there = seats.hint("shuffle_replicate_nl").join(ids.hint("shuffle_hash"), "seat_id", "left_semi")
+    any_show = materialize(there.withColumnRenamed("show_id", "_sshow"), "alloc-elsewhere")
     elsewhere = lost.join(any_show.withColumn("found", F.col("_sshow").isNotNull()), "seat_id", "left").select(*cols)
     return materialize(looked.filter("found").unionByName(elsewhere), "alloc-pairs")
 

@@ -3,6 +3,7 @@
 import datetime as dt
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import allocate as AL
@@ -37,7 +38,9 @@ def test_only_seats_asked_for_leave_their_shows(spark):
     assert not any("seat_id" in line.split("hashpartitioning(")[1].split(")")[0] for line in shuffled(seats))
 
 
-def test_seats_of_other_shows_count_where_any_seat_will_do(spark):
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_seats_of_other_shows_count_where_any_seat_will_do(spark, monkeypatch, sent):
+    monkeypatch.setattr(AL, "SENT_IDS", sent)
     st = {"seats": seat_table(spark)}
     reqs = spark.createDataFrame([(1, T0, 0, [3, 60]), (2, T0, 1, [51, 99999]), (3, T0, None, [5, None])],
                                  "request_id long, requested_at timestamp_ntz, show_id long, seat_ids array<long>")
