@@ -1,6 +1,6 @@
 """Streams with state per key and timers (``transformWithState``, RocksDB).
 
-- T6 ``stream_revenue_changes``: each booking's last status is kept by booking id; a
+- T6 ``stream_revenue_changes``: each booking's last status is kept, in one value for a span of booking ids; a
   change emits minus the old and plus the new state, and the shows' totals follow
   by signed sums, so cancelled revenue is taken back.
 - T3 ``stream_client_windows``: a limit window starts with a client's first request and
@@ -8,7 +8,7 @@
 - T1 ``stream_seat_ledger``: a show's taken seats and bookings lie in chunks of map state; a
   batch touches only the chunks that its commands name.
 
-State is read and written key by key in the state store, so a batch costs what it
+State is read and written key by key in the state store (a key of T6 is a span of ids, of bounded size), so a batch costs what it
 brings and not what came before.  Results do not hang on how the stream is cut
 into batches, but for rows behind the watermark (T3) or behind their show's last command (T1).
 """
@@ -65,35 +65,61 @@ def moment(col: str) -> F.Column:
 # --------------------------------------------------------------------------
 SIGNED = "show_id long, booking_id long, cents long, bookings long"
 TOTALS = "show_id long, cents long, bookings long"
+SPAN_BITS = 10  # 1,024 neighbouring booking ids share one state value
+UNKNOWN = -(1 << 63)  # an unknown time or id is before all others
 
 
 class StatusChanges(StatefulProcessor):
-    """A booking's changes -> minus its old and plus its new share of a show's revenue.
+    """The changes of a span of neighbouring booking ids -> minus the old and plus the new share of a show's revenue.
 
-    The state is the last change by (time, id), so older and repeated changes do nothing, whenever they come."""
+    The state is each booking's last change by (time, id), so older and repeated changes do nothing, whenever they come.
+    The bookings of a span lie in one value, rows of six longs, which is read and written as a whole: a few calls to the
+    state store per span and batch, not per booking, and a span never holds more bookings than it has ids."""
+
+    COLUMNS = ("booking_id", "show_id", "cents", "confirmed", "at", "change_id")
 
     def init(self, handle) -> None:
-        self.now = handle.getValueState("now", "show_id long, cents long, confirmed boolean, at long, change_id long")
+        self.now = handle.getValueState("now", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        known = self.now.get()
+        old = np.frombuffer(known[0] if known is not None else b"", dtype="<i8").reshape(-1, 6)
+        every = old
+        for pdf in rows:  # one change per booking is kept, however many come
+            every = self._last(np.concatenate([every, pdf[list(self.COLUMNS)].to_numpy(dtype="<i8")]))
+        if np.array_equal(every, old):
+            return
+        self.now.update((every.tobytes(),))
+        here = np.searchsorted(every[:, 0], old[:, 0])  # a booking never leaves
+        moved = (every[here] != old).any(axis=1)
+        fresh = np.ones(len(every), dtype=bool)
+        fresh[here[~moved]] = False
+        gone, came = old[moved], every[fresh]
+        out = np.concatenate([r[r[:, 3] == 1][:, :4] * np.array([1, 1, sign, sign]) for r, sign in ((gone, -1), (came, 1))])
+        if len(out):
+            yield pd.DataFrame({"show_id": out[:, 1], "booking_id": out[:, 0], "cents": out[:, 2], "bookings": out[:, 3]})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old = new = self.now.get()
-        for r in rows:  # one row is kept, however many come
-            if new is None or (r.at, r.change_id) > (new[3], new[4]):
-                new = (r.show_id, r.cents, r.confirmed, r.at, r.change_id)
-        if new is not old:
-            self.now.update(tuple(new))
-            if old is not None and old[2]:
-                yield Row(show_id=old[0], booking_id=key[0], cents=-old[1], bookings=-1)
-            if new[2]:
-                yield Row(show_id=new[0], booking_id=key[0], cents=new[1], bookings=1)
+    @staticmethod
+    def _last(rows):
+        """The last change of each booking; of equal ones the one that came first."""
+        import numpy as np
+
+        rows = rows[np.lexsort((-np.arange(len(rows)), rows[:, 5], rows[:, 4], rows[:, 0]))]
+        return rows[np.append(rows[1:, 0] != rows[:-1, 0], True)] if len(rows) else rows
 
 
 def signed_revenue(changes: DataFrame) -> DataFrame:
     """(booking_id, show_id, total_amount, booking_status, changed_at, change_id) -> signed shares of CONFIRMED revenue."""
+    unknown = F.lit(UNKNOWN).cast("long")
     told = changes.filter("booking_id is not null and show_id is not null").select(
-        "booking_id", "show_id", F.coalesce((F.col("total_amount") * 100).cast("long"), F.lit(0).cast("long")).alias("cents"),
-        F.coalesce(F.col("booking_status") == "CONFIRMED", F.lit(False)).alias("confirmed"), micros("changed_at").alias("at"), F.col("change_id").cast("long").alias("change_id"))
-    return told.groupBy("booking_id").transformWithState(StatusChanges(), SIGNED, "append", "none")
+        F.shiftright(F.col("booking_id").cast("long"), SPAN_BITS).alias("span"), F.col("booking_id").cast("long").alias("booking_id"), F.col("show_id").cast("long").alias("show_id"),
+        F.coalesce((F.col("total_amount") * 100).cast("long"), F.lit(0).cast("long")).alias("cents"),
+        F.coalesce(F.col("booking_status") == "CONFIRMED", F.lit(False)).cast("long").alias("confirmed"),
+        F.coalesce(micros("changed_at").cast("long"), unknown).alias("at"), F.coalesce(F.col("change_id").cast("long"), unknown).alias("change_id"))
+    return told.groupBy("span").transformWithStateInPandas(StatusChanges(), SIGNED, "append", "none")
 
 
 def revenue_table(spark: SparkSession, root: str, buckets: int = 32) -> BucketTable:

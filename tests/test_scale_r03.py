@@ -1,6 +1,7 @@
 """Queries that failed on larger tables: plans and state calls that kept them from growing in proportion."""
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 
@@ -128,3 +129,21 @@ def test_client_windows_call_the_store_a_few_times_a_batch():
     assert [(r.start, r.requests) for r in out] == [(0, 900)] and store.calls <= 5
     assert [(r.start, r.requests) for r in w.handleExpiredTimer((1, "api"), _Clock(6_000_000), None)] == [(900_000_000, 100), (5_000_000_000, 1)]
     assert store.list == [] and store.value is None
+
+
+def test_status_changes_call_the_store_a_few_times_a_span():
+    store, w = _Store(), K.StatusChanges()
+    w.init(store)
+
+    def feed(*rows):
+        store.calls = 0
+        frames = [pd.DataFrame([r], columns=K.StatusChanges.COLUMNS, dtype="int64") for r in rows]
+        out = [tuple(r) for f in w.handleInputRows((0,), iter(frames), None) for r in f[["show_id", "booking_id", "cents", "bookings"]].to_numpy()]
+        assert store.calls <= 2
+        return sorted(out)
+
+    first = [(b, b % 3, 100 + b, 1, K.UNKNOWN if b == 7 else 50, b) for b in range(300)]
+    assert feed(*first) == sorted((b % 3, b, 100 + b, 1) for b in range(300))
+    assert feed((5, 9, 7, 1, 49, 999), first[6], (6, 9, 1, 1, 50, 6)) == []  # older, repeated, and equal in time and id
+    assert feed((5, 2, 105, 0, 51, 1), (7, 8, 3, 1, K.UNKNOWN, 8), (8, 1, 1, 1, 60, 1), (8, 4, 2, 1, 61, 1)) == sorted(
+        [(2, 5, -105, -1), (1, 7, -107, -1), (8, 7, 3, 1), (2, 8, -108, -1), (4, 8, 2, 1)])
