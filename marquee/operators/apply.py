@@ -13,12 +13,15 @@ from __future__ import annotations
 
 from copy import copy
 from decimal import Decimal
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.analytics import avg_rating
 from marquee.plans.ids import assign_ids
+from marquee.plans.lineage import materialize
+from marquee.sources.driver import BookingState
 from marquee.sources.schemas import conform
 
 MIN_PASSWORD = 6  # fixed value: the reference's registration rule
@@ -90,17 +93,13 @@ def cancel_bookings(st: dict, reqs: DataFrame):
                        .when((F.col("_status") == "CANCELLED") | ~F.col("_first"), "ALREADY_CANCELLED")
                        .otherwise("CANCELLED"))
     outcomes = out.select("request_id", "booking_id", "actor_id", "outcome")
-    done = out.filter(F.col("outcome") == "CANCELLED").select("booking_id").distinct()
-    ns = copy(st)
-    freed = st["booking_seats"].join(done, "booking_id", "left_semi").select("seat_id").distinct().withColumn("_f", F.lit(True))
-    ns["booking_seats"] = st["booking_seats"].join(done, "booking_id", "left_anti")
-    ns["booking_food"] = st["booking_food"].join(done, "booking_id", "left_anti")
-    ns["payments"] = st["payments"].join(done, "booking_id", "left_anti")
-    ns["bookings"] = conform(st["bookings"].join(done.withColumn("_c", F.lit(True)), "booking_id", "left")
-                             .withColumn("booking_status", F.when(F.col("_c"), "CANCELLED").otherwise(F.col("booking_status"))),
-                             "bookings")
-    ns["seats"] = conform(st["seats"].join(freed, "seat_id", "left")
-                          .withColumn("is_available", F.when(F.col("_f"), 1).otherwise(F.col("is_available"))), "seats")
+    done = cache(lambda: materialize(out.filter(F.col("outcome") == "CANCELLED").select("booking_id").distinct(), "cancelled"))
+    ns = BookingState(st)  # each table is made when first asked for, the cancelled ids once for all of them
+    for name in ("booking_seats", "booking_food", "payments"):
+        ns[name] = lambda name=name: st[name].join(done(), "booking_id", "left_anti")
+    ns["bookings"] = lambda: conform(st["bookings"].join(done().withColumn("_c", F.lit(True)), "booking_id", "left").withColumn(
+        "booking_status", F.when(F.col("_c"), "CANCELLED").otherwise(F.col("booking_status"))), "bookings")
+    ns["seats"] = lambda: free_seats(st["seats"], st["booking_seats"].join(done(), "booking_id", "left_semi").select("seat_id"))
     return ns, outcomes
 
 
@@ -146,10 +145,19 @@ def apply_payment_results(st: dict, reqs: DataFrame):
 
 def release_failed_seats(st: dict, failed_bookings: DataFrame) -> DataFrame:
     """Seats of the lines of failed bookings become available; lines stay."""
-    freed = (st["booking_seats"].join(failed_bookings.select("booking_id").distinct(), "booking_id", "left_semi")
-             .select("seat_id").distinct().withColumn("_f", F.lit(True)))
-    return conform(st["seats"].join(freed, "seat_id", "left")
-                   .withColumn("is_available", F.when(F.col("_f"), 1).otherwise(F.col("is_available"))), "seats")
+    return free_seats(st["seats"], st["booking_seats"].join(failed_bookings.select("booking_id").distinct(), "booking_id", "left_semi").select("seat_id"))
+
+
+def free_seats(seats: DataFrame, freed: DataFrame) -> DataFrame:
+    """``seats`` with those of ``freed`` (seat_id, repeats kept) available.
+
+    Seats that are available stay so, freed or not: only the taken ones, a small part, meet the freed ids, and the others
+    are neither shuffled nor sorted.  The hint (one that yields to that of the ids) takes the place of a merge hint."""
+    free = F.coalesce(F.col("is_available") == 1, F.lit(False))
+    ids = freed.distinct().withColumn("_f", F.lit(True))
+    taken = seats.filter(~free).hint("shuffle_replicate_nl").join(ids.hint("shuffle_hash"), "seat_id", "left")
+    return conform(seats.filter(free), "seats").unionByName(
+        conform(taken.withColumn("is_available", F.when(F.col("_f"), 1).otherwise(F.col("is_available"))), "seats"))
 
 
 # --- M6 / M7 / M8 / M9 ----------------------------------------------------------

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import allocate as AL
+from marquee.operators import apply as AP
 from marquee.operators import notices as N
+from marquee.plans.lineage import materialize
 from marquee.sources.schemas import TABLES
 
 T0 = dt.datetime(2001, 1, 1)
@@ -75,3 +77,23 @@ def test_reminders_leave_the_seats_where_they_are(spark, monkeypatch):
         due = N.reminders_due(st, "2001-01-01")
         assert [(r.booking_id, r.seat_labels) for r in due.collect()] == [(5, "A2, A3")]
         assert any("seat_id" in line and "row_letter" not in line for line in shuffled(due)) != sent
+
+
+def test_only_taken_seats_meet_the_freed_ones(spark):
+    seats = seat_table(spark).withColumn("is_available", F.when(F.col("seat_id") % 50 == 0, 0).when(F.col("seat_id") == 7, None).otherwise(1)).unionByName(seat_table(spark).filter("seat_id = 50").withColumn("is_available", F.lit(0)))
+    freed = spark.createDataFrame([(0,), (0,), (7,), (9,), (50,), (None,), (99999,)], "seat_id long")
+    after = AP.free_seats(seats, freed)
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(seat_id") == 2 and "Sort [seat_id" not in plan  # of taken and of freed seats
+    rows = {(r.seat_id, r.is_available) for r in after.collect()}
+    assert after.count() == 2001 and {(0, 1), (7, 1), (9, 1), (50, 1), (100, 0)} <= rows and sum(a == 0 for _, a in rows) == 38
+
+
+def test_cancellations_are_decided_once_for_all_tables(spark, seed, monkeypatch):
+    written = []
+    monkeypatch.setattr(AP, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    reqs = spark.createDataFrame([(1, T0, 1, 2, True), (2, T0, 999, 2, True)], "request_id long, requested_at timestamp_ntz, booking_id long, actor_id long, actor_is_admin boolean")
+    after, out = AP.cancel_bookings(seed, reqs)
+    assert out.count() == 2 and written == []  # outcomes alone write nothing
+    assert all(after[t].count() >= 0 for t in ("bookings", "booking_seats", "booking_food", "payments", "seats")) and written == ["cancelled"]
+    assert after["bookings"].filter("booking_id = 1").head().booking_status == "CANCELLED" and after["booking_seats"].filter("booking_id = 1").isEmpty()
