@@ -1,11 +1,14 @@
 """Queries that failed on larger tables: plans and state calls that kept them from growing in proportion."""
 import datetime as dt
+from decimal import Decimal
 
 import pandas as pd
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from marquee import catalog as C
+from marquee.operators import audits as Q
 from marquee.operators import documents as D
 from marquee.operators.titlesearch import search_classes, show_search_batch
 from marquee.sources import driver
@@ -147,3 +150,37 @@ def test_status_changes_call_the_store_a_few_times_a_span():
     assert feed((5, 9, 7, 1, 49, 999), first[6], (6, 9, 1, 1, 50, 6)) == []  # older, repeated, and equal in time and id
     assert feed((5, 2, 105, 0, 51, 1), (7, 8, 3, 1, K.UNKNOWN, 8), (8, 1, 1, 1, 60, 1), (8, 4, 2, 1, 61, 1)) == sorted(
         [(2, 5, -105, -1), (1, 7, -107, -1), (8, 7, 3, 1), (2, 8, -108, -1), (4, 8, 2, 1)])
+
+
+def test_broken_tables_are_made_once(spark, tables):
+    plain, broken = driver.booking_state(spark, tables), driver.broken_state(spark, tables)
+    for table in ("seats", "booking_seats", "booking_food", "payments", "reviews"):
+        assert "Union" not in broken[table]._jdf.queryExecution().optimizedPlan().toString()
+        assert broken[table].columns == plain[table].columns and broken[table].schema.simpleString() == plain[table].schema.simpleString()
+    was = {r.seat_id: tuple(r) for r in plain["seats"].collect()}
+    now = sorted(tuple(r) for r in broken["seats"].collect())
+    want = [w for i, w in was.items() if i % 8000 == 4]
+    for i, w in was.items():
+        price = Decimal("-1.00") if i % 7000 == 2 else w[-1]
+        want.append((i, -w[1] - 1 if i % 9000 == 3 else w[1], *w[2:4], "BALCONY" if i % 5000 == 1 else w[4], w[5], price))
+    assert [(r[0], r[1], r[4], r[-1]) for r in now] == sorted((r[0], r[1], r[4], r[-1]) for r in want if r[0] is not None) and len(now) > len(was)
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_foreign_keys_meet_as_blocks_of_ids(spark, seed, monkeypatch, sent):
+    monkeypatch.setattr(Q, "SENT_IDS", sent)
+    far = 1 << 40
+    lines = [(far, 1, -1), (far + 1, -64, far + 7), (far + 2, 1, 1), (far + 3, None, None), (far + 4, -64, -1), (far + 4, -64, -1)]
+    broken = dict(seed)
+    broken["booking_seats"] = seed["booking_seats"].unionByName(spark.createDataFrame(lines, "bs_id long, booking_id long, seat_id long"))
+    broken["seats"] = seed["seats"].unionByName(seed["seats"].limit(1).withColumn("seat_id", F.lit(None).cast("long")))
+    found = sorted((r.rule, r.table_name, int(r.row_key) - far, r.detail) for r in Q.audit_fk(broken).collect())
+    lost_booking, lost_seat = "fk(booking_id->bookings)", "fk(seat_id->seats)"
+    assert found == sorted([(lost_booking, "booking_seats", k, "booking_id=-64") for k in (1, 4, 4)]
+                           + [(lost_seat, "booking_seats", k, "seat_id=-1") for k in (0, 4, 4)] + [(lost_seat, "booking_seats", 1, f"seat_id={far + 7}")])
+
+
+def test_ids_of_a_block_are_one_row_a_task(spark):
+    rows = spark.range(-640, 6400).select(F.lit(3).alias("parent"), F.col("id").alias("value"))
+    blocks = Q._id_blocks(rows, "held").groupBy("parent", "block").agg(F.bit_or("held").alias("held"), F.bit_or("named").alias("named")).collect()
+    assert len(blocks) == 110 and all(b.held == -1 and b.named == 0 for b in blocks)
