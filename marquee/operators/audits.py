@@ -37,7 +37,7 @@ FOREIGN_KEYS = [
     ("booking_food", "food_id", "food_items", "food_id"), ("payments", "booking_id", "bookings", "booking_id"),
     ("reviews", "user_id", "users", "user_id"), ("reviews", "show_id", "shows", "show_id"),
 ]
-SENT_IDS = 2_000_000  # orphaned ids (a long each) that may be sent to every executor
+SENT_IDS = 2_000_000  # orphaned ids or hashes of suspects (a long each) that may be sent to every executor
 CASE_INSENSITIVE = {("users", "email"), ("categories", "category_name")}
 
 
@@ -58,26 +58,44 @@ def _key_columns(table: str, cols: list[str]) -> list[F.Column]:
     return [(F.lower(c) if (table, c) in CASE_INSENSITIVE else F.col(c)).alias(c) for c in cols]
 
 
+def _key_block(df: DataFrame, table: str, cols: list[str]) -> tuple[F.Column, F.Column]:
+    """A key's hash and bit: equal keys have both in common.  The last column, if it is a number, gives the bit (its last
+    six bits) and the hash takes the rest; other keys are hashed whole."""
+    keys = [F.lower(c) if (table, c) in CASE_INSENSITIVE else F.col(c) for c in cols]
+    if df.schema[cols[-1]].dataType.typeName() not in ("long", "integer"):
+        return F.xxhash64(*keys), F.lit(1).cast("long")
+    last = F.col(cols[-1]).cast("long")
+    return F.xxhash64(*keys[:-1], F.shiftright(last, 6)), F.call_function("shiftleft", F.lit(1).cast("long"), F.coalesce(last.bitwiseAND(63), F.lit(0)).cast("int"))
+
+
 def audit_unique(st: dict) -> DataFrame:
     """Q1: 11 primary keys and 6 UNIQUE rules; text keys compare without case.
 
-    All rules share one exchange: a table's rows give a (rule, key hash) row per rule, and one aggregate
-    counts them.  Only the rows of hashes that come twice (suspects) go to the exact count of their keys, so
-    equal hashes of different keys are no violation."""
+    All rules share one exchange: a row gives, per rule, the hash of its key but for the last six bits of its last number,
+    and these as one bit of 64, so neighbouring keys are one row a task.  Where there are more rows than bits, a key may come
+    twice (suspects): only rows of such hashes go to the exact count of their keys, so equal hashes of different keys
+    are no violation.  Suspects that are few are sent to where the rows are."""
     rules = [(t, cols, "primary_key") for t, cols in PRIMARY_KEYS.items()] + [(t, c, "unique") for t, c in UNIQUE_KEYS]
     hashes = []
     for table in dict.fromkeys(t for t, _, _ in rules):
-        own = [F.struct(F.lit(k).alias("rule"), F.xxhash64(*[F.lower(c) if (t, c) in CASE_INSENSITIVE else F.col(c) for c in cols]).alias("hash"))
-               for k, (t, cols, _) in enumerate(rules) if t == table]
+        own = []
+        for k, (t, cols, _) in enumerate(rules):
+            if t == table:
+                block, bit = _key_block(st[t], t, cols)
+                own.append(F.struct(F.lit(k).alias("rule"), block.alias("hash"), bit.alias("bits")))
         hashes.append(st[table].select(F.explode(F.array(*own)).alias("r")).select("r.*"))
-    suspects = materialize(_union(hashes).groupBy("rule", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rule", "hash"), "audit-suspects")
-    broken = {r.rule for r in suspects.select("rule").distinct().collect()}  # at most one row per rule
+    counted = _union(hashes).groupBy("rule", "hash").agg(F.count(F.lit(1)).alias("_n"), F.bit_or("bits").alias("_bits"))
+    suspects = materialize(counted.filter("_n > bit_count(_bits)").select("rule", "hash"), "audit-suspects")
+    broken = {r.rule: r.n for r in suspects.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per rule
     parts = []
     for k, (table, cols, kind) in enumerate(rules):
         if k not in broken:
             continue
-        keyed = st[table].select(*_key_columns(table, cols)).withColumn("hash", F.xxhash64(*cols))
-        mine = keyed.join(suspects.filter(F.col("rule") == k).select("hash"), "hash", "left_semi")
+        keyed = st[table].withColumn("hash", _key_block(st[table], table, cols)[0]).select(*_key_columns(table, cols), "hash")
+        few = suspects.filter(F.col("rule") == k).select("hash")
+        # more than may be sent: hashed by task, and the rows pass by them unsorted
+        few = F.broadcast(few) if broken[k] <= SENT_IDS else few.hint("shuffle_hash")
+        mine = keyed.hint("shuffle_replicate_nl").join(few, "hash", "left_semi")
         dup = mine.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
         parts.append(_violations(dup, f"{kind}({','.join(cols)})", table, _key_text(cols),
                                  F.concat(F.lit("rows="), F.col("_n").cast("string"))))

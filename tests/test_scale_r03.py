@@ -184,3 +184,31 @@ def test_ids_of_a_block_are_one_row_a_task(spark):
     rows = spark.range(-640, 6400).select(F.lit(3).alias("parent"), F.col("id").alias("value"))
     blocks = Q._id_blocks(rows, "held").groupBy("parent", "block").agg(F.bit_or("held").alias("held"), F.bit_or("named").alias("named")).collect()
     assert len(blocks) == 110 and all(b.held == -1 and b.named == 0 for b in blocks)
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+def test_unique_keys_meet_as_blocks(spark, seed, monkeypatch, sent):
+    monkeypatch.setattr(Q, "SENT_IDS", sent)
+    n = 1 << 33
+    row = "row_letter string, seat_type string, is_available int, price decimal(10,2)"
+    more = [(n + k, 900, k, "A", "VIP", 1, Decimal(1)) for k in range(200)] + [(n + 5, 901, 1, "A", "VIP", 1, Decimal(1)), (n + 300, 900, 7, "A", "VIP", 1, Decimal(1)),
+                                                                              (n + 301, 900, 7, "B", "VIP", 1, Decimal(1)), (None, 902, None, "A", "VIP", 1, Decimal(1)), (None, 902, None, "A", "VIP", 1, Decimal(1)),
+                                                                              (0, 902, 0, "A", "VIP", 1, Decimal(1))]
+    broken = dict(seed)
+    broken["seats"] = seed["seats"].unionByName(spark.createDataFrame(more, "seat_id long, show_id long, seat_number int, " + row))
+    found = sorted((r.rule, r.row_key, r.detail) for r in Q.audit_unique(broken).collect())
+    place = "unique(show_id,row_letter,seat_number)"
+    assert found == sorted([("primary_key(seat_id)", str(n + 5), "rows=2"), ("primary_key(seat_id)", "", "rows=2"), (place, "900,A,7", "rows=2"), (place, "902,A", "rows=2")])
+
+
+def test_neighbouring_keys_are_one_row_a_task(spark):
+    df = spark.range(6400).select(F.col("id").alias("seat_id"), F.lit("X").alias("email"))
+    block, bit = Q._key_block(df, "seats", ["seat_id"])
+    rows = df.groupBy(block.alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits")).collect()
+    assert len(rows) == 100 and all(r.n == 64 and r.bits == -1 for r in rows)
+
+
+def test_sql_functions_sort_no_seats(spark, tables):
+    found = C.queries()["sql_functions"](spark, tables)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [seat_id" in plan and "SortMergeJoin [seat_id#" not in plan.split("fn_get_event_rating")[0]
