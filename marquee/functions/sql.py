@@ -34,8 +34,11 @@ FUNCTIONS = {
 def create_functions(st: dict, views: bool = True) -> None:
     """Register the views of ``st`` (and the three named views) and the functions in the session of its tables."""
     spark = st["bookings"].sparkSession
+    # lines are far fewer than seats: each task hashes its lines and passes the seats by them, so the seats are never
+    # sorted (the hint on the seats yields to the lines' hint and takes the place of a merge hint they may carry)
+    hints = {"booking_seats": "shuffle_hash", "seats": "shuffle_replicate_nl"}
     for name in VIEWS:
-        st[name].createOrReplaceTempView(name)
+        (st[name].hint(hints[name]) if name in hints else st[name]).createOrReplaceTempView(name)
     if views:
         create_views(st)
     for head, body in FUNCTIONS.items():
