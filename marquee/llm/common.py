@@ -18,7 +18,7 @@ import marquee
 from marquee.plans.lineage import materialize
 from marquee.plans.paths import remove
 
-__all__ = ["materialize", "read", "ship", "over", "columns_as", "discard", "written"]
+__all__ = ["materialize", "read", "ship", "over", "over_parts", "columns_as", "discard", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,16 +65,24 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
 
 def over(df: DataFrame, task: Callable[[pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
     """``mapInArrow`` for a function from one batch to column lists in the order of ``schema``."""
+    def each(batches):
+        for batch in batches:
+            yield from task(batch)
+
+    return over_parts(df, each, schema)
+
+
+def over_parts(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str) -> DataFrame:
+    """``over`` for a function from all batches of a partition."""
     ship(df.sparkSession)
     small_batches(df.sparkSession)
     kinds = arrow_schema(df.sparkSession, schema)
 
     def run(batches):
         try:
-            for batch in batches:
-                for cols in task(batch):
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
-                                                      for c, f in zip(cols, kinds, strict=True)], schema=kinds)
+            for cols in task(batches):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                                  for c, f in zip(cols, kinds, strict=True)], schema=kinds)
         finally:
             release()
 

@@ -7,9 +7,9 @@ n-gram among the first n - ceil(t n) + 1 of each, so only those prefixes are joi
 
 1. One scan gives each document's set size, identity (equal sets are one *class*; a
    class meets the join once, however many copies it has) and suffix-filter counts,
-   and the sketch, whose size is fixed.
-2. Prefix n-grams that only one class has are dropped by an aggregate (min and max
-   class, map-side partials), the rest are joined.
+   and the sketch, whose size is fixed (one for each task of the scan).
+2. A second scan gives the prefixes, once; n-grams that only one class has are dropped
+   where the rows of an n-gram meet (its min and max class), the rest are joined.
 3. Candidates come in passes.  In the first, each class meets the hub of each prefix n-gram
    it has: the class with the largest share of n-grams that others have too, for a group of
    near copies their common origin (rows linear in the input).  The verified links give
@@ -35,10 +35,10 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import columns_as, discard, materialize, over, written
+from marquee.llm.common import columns_as, discard, materialize, over, over_parts, written
 from marquee.plans.components import components
 from marquee.llm.textbytes import U, mix, row_bytes, signed, word_hashes
 
@@ -51,7 +51,7 @@ BITS = [f"b{k}" for k in range(WORDS)]
 
 
 def _sets(column: pa.Array, n: int):
-    """The sorted distinct n-gram hashes of each row."""
+    """(hashes, offsets by row) for each slice of rows: the sorted distinct n-gram hashes of every row, end to end."""
     data, offsets = row_bytes(column)
     keys = mix(np.arange(1, n + 1, dtype=U)) | U(1)
     for _, _, words, at in word_hashes(data, offsets, NOT_SPACE):
@@ -60,13 +60,48 @@ def _sets(column: pa.Array, n: int):
         for k in range(n):
             grams += mix(words[k:k + len(grams)] * keys[k])
         grams = mix(grams)
+        rows = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
             if b - a >= n:
-                yield np.unique(grams[a:b - n + 1])
+                rows.append(grams[a:b - n + 1])
+                rows[-1].sort()
             elif b > a:
-                yield mix(np.add.reduce(mix(words[a:b] * keys[:b - a])) + np.array([b - a], U))
+                rows.append(mix(np.add.reduce(mix(words[a:b] * keys[:b - a])) + np.array([b - a], U)))
             else:
-                yield np.zeros(0, U)
+                rows.append(words[:0])
+        flat, starts = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        new = np.ones(len(flat) + 1, bool)
+        new[1:-1] = flat[1:] != flat[:-1]
+        new[starts] = True
+        yield flat[new[:-1]], np.concatenate([np.zeros(1, np.int64), np.cumsum(new[:-1])])[starts]
+
+
+def _each(column: pa.Array, n: int):
+    """The sorted distinct n-gram hashes of each row."""
+    for flat, at in _sets(column, n):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            yield flat[a:b]
+
+
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of each row's values, modulo 2**64."""
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values, out=sums[1:])
+    return sums[at[1:]] - sums[at[:-1]]
+
+
+def _nodes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _sums(mix(flat ^ U(0x5851F42D4C957F2D)), at)
+
+
+def _parities(flat: np.ndarray, at: np.ndarray, rows: int = 256):
+    """For each row, whether the count in each part of the hash range is odd, as WORDS integers; a few rows at a time."""
+    for i in range(0, len(at) - 1, rows):
+        own = at[i:i + rows + 1]
+        k = len(own) - 1
+        cells = np.repeat(np.arange(k), np.diff(own)) * (64 * WORDS) + (flat[own[0]:own[-1]] >> U(64 - PART_BITS)).astype(np.int64)
+        odd = np.bincount(cells, minlength=k * 64 * WORDS) & 1
+        yield np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(k, WORDS)
 
 
 def _least_overlap(a, b, num: int, den: int):
@@ -75,20 +110,20 @@ def _least_overlap(a, b, num: int, den: int):
 
 
 def _signature(n: int):
-    def task(batch):
-        size, node, check, parts = [], [], [], []
+    """Rows of kind 0 for the documents of each batch; of kind 1 for the task's sketch, once at its end."""
+    def task(batches):
         sketch = np.zeros(SKETCH, np.int64)
-        for s in _sets(batch.column(1), n):
-            size.append(len(s))
-            node.append(np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U))
-            check.append(np.add.reduce(mix(s ^ U(0x14057B7EF767814F)), dtype=U))
-            odd = np.bincount((s >> U(64 - PART_BITS)).astype(np.int64), minlength=64 * WORDS) & 1
-            parts.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            sketch += np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        node, check = signed(np.array(node, U)), signed(np.array(check, U))
-        k = len(size)
-        bits = np.array(parts, np.int64).reshape(k, WORDS)
-        yield [pa.array(np.zeros(k, np.int32)), batch.column(0), node, check, size, *np.ascontiguousarray(bits.T)]
+        for batch in batches:
+            size, node, check, parts = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros((0, WORDS), np.int64)]
+            for flat, at in _sets(batch.column(1), n):
+                size.append(np.diff(at))
+                node.append(_nodes(flat, at))
+                check.append(_sums(mix(flat ^ U(0x14057B7EF767814F)), at))
+                parts.extend(_parities(flat, at))
+                sketch += np.bincount((flat & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            bits = np.ascontiguousarray(np.concatenate(parts).T)
+            yield [np.zeros(len(batch), np.int32), batch.column(0), signed(np.concatenate(node)), signed(np.concatenate(check)),
+                   np.concatenate(size), *bits]
         used = np.flatnonzero(sketch)
         none = pa.nulls(len(used), pa.int64())
         yield [np.ones(len(used), np.int32), none, used, sketch[used], none, *[none] * WORDS]
@@ -97,18 +132,23 @@ def _signature(n: int):
 
 
 def _prefixes(n: int, num: int, den: int, sketch: np.ndarray):
+    """The prefix of each set, one row an n-gram; of equal sets in a batch, the first's."""
     def task(batch):
-        gram, node, size, pos = [], [], [], []
-        for s in _sets(batch.column(0), n):
-            if k := len(s):
-                order = np.lexsort((s, sketch[(s & U(SKETCH - 1)).astype(np.int64)]))
-                p = k - -(-num * k // den) + 1
-                gram.append(s[order[:p]])
-                node.append(np.full(p, np.add.reduce(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)))
-                size.append(np.full(p, k, np.int32))
-                pos.append(np.arange(p, dtype=np.int32))
+        gram, node, size, length, seen = [], [], [], [], set()
+        for flat, at in _sets(batch.column(0), n):
+            count = sketch[(flat & U(SKETCH - 1)).astype(np.int64)]
+            for a, b, own in zip(at[:-1].tolist(), at[1:].tolist(), _nodes(flat, at).tolist()):
+                if b > a and own not in seen:
+                    seen.add(own)
+                    p = b - a - -(-num * (b - a) // den) + 1
+                    gram.append(flat[a:b][np.argsort(count[a:b], kind="stable")[:p]])
+                    node.append(own)
+                    size.append(b - a)
+                    length.append(p)
         if gram:
-            yield [signed(np.concatenate(gram)), signed(np.concatenate(node)), np.concatenate(size), np.concatenate(pos)]
+            start = np.repeat(np.cumsum(length) - length, length)
+            yield [signed(np.concatenate(gram)), signed(np.repeat(np.array(node, U), length)), np.repeat(np.array(size, np.int32), length),
+                   (np.arange(len(start)) - start).astype(np.int32)]
 
     return task
 
@@ -116,7 +156,7 @@ def _prefixes(n: int, num: int, den: int, sketch: np.ndarray):
 def _verify(n: int, num: int, den: int):
     def task(batch):
         keep = np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(_sets(batch.column(2), n), _sets(batch.column(3), n))):
+        for k, (x, y) in enumerate(zip(_each(batch.column(2), n), _each(batch.column(3), n))):
             shared = len(np.intersect1d(x, y, assume_unique=True))
             keep[k] = shared > 0 and shared >= _least_overlap(len(x), len(y), num, den)
         rows = batch.filter(pa.array(keep))
@@ -162,30 +202,30 @@ def _links(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> Da
 
 def _hub_pairs(rows: DataFrame, others: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of ``others`` with the hub of each n-gram: of its ``rows``, the class with the largest share of shared n-grams."""
-    hub = rows.groupBy("gram").agg(F.max_by("node", "shared").alias("hub"))
-    hubs = rows.join(hub, "gram").where("node = hub").drop("hub", "shared")
+    hubs = rows.groupBy("gram").agg(*[F.max_by(c, "shared").alias(c) for c in rows.columns if c not in ("gram", "shared")])
     met = hubs.join(others, "gram")
     if "r_comp" in others.columns:
         met = met.where("comp <> r_comp")
     return _pairs(met, classes, num, den, every=False)
 
 
-def _apart_rows(grams: DataFrame, links: DataFrame, classes: DataFrame, other: list) -> tuple[DataFrame, DataFrame]:
-    """Rows of the n-grams whose classes are in several components: those outside the largest one, and all (as r_...)."""
+def _apart_rows(grams: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of the n-grams whose classes are in several components, with their component and the n-gram's largest one."""
     group = classes.join(components(links, "ngram-near"), F.col("rep") == F.col("vertex"), "left").select(
         "node", F.coalesce("component", "rep").alias("comp")).groupBy("node").agg(F.min("comp").alias("comp"))
     in_comp = written(grams.join(group, "node"), "ngram-grouped")
     sizes = in_comp.groupBy("gram", "comp").agg(F.count("*").alias("n"))
     split = sizes.groupBy("gram").agg(F.max_by("comp", "n").alias("largest"), F.count("*").alias("k")).where("k > 1").select("gram", "largest")
-    open_ = in_comp.join(split, "gram")
-    return open_.where("comp <> largest").drop("largest"), open_.select("gram", *other, F.col("comp").alias("r_comp"), "largest")
+    apart = written(in_comp.join(split, "gram"), "ngram-apart")
+    discard(in_comp)
+    return apart
 
 
 def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_id (smallest id with an equal set),
     component_id (smallest id reachable by links of Jaccard similarity >= num / den)."""
     docs = columns_as(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    scan = materialize(over(docs, _signature(n), "kind int, id long, node long, chk long, size long, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sets")
+    scan = materialize(over_parts(docs, _signature(n), "kind int, id long, node long, chk long, size long, " + ", ".join(f"{x} long" for x in BITS)), "ngram-sets")
     members = scan.where("kind = 0").select("id", "node", "chk", F.col("size").cast("int").alias("size"), *BITS)
     counts = scan.where("kind = 1").groupBy("node").agg(F.sum("chk").alias("n")).toPandas()  # SKETCH rows at most
     sketch = np.zeros(SKETCH, np.int64)
@@ -193,12 +233,10 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     classes = members.where("size > 0").groupBy("node", "chk", "size").agg(F.min("id").alias("rep"), *[F.first(x).alias(x) for x in BITS])
 
     prefixes = over(docs.select("text"), _prefixes(n, num, den, sketch), "gram long, node long, size int, pos int")
-    several = prefixes.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
-    grams = written(prefixes.join(several.select("gram"), "gram").groupBy("gram", "node").agg(
-        F.first("size").alias("size"), F.first("pos").alias("pos")), "ngram-prefixes")
-    shared = grams.groupBy("node").agg((F.count("*") / F.first("size")).alias("shared"))
-    prefixes, grams = grams, written(grams.join(shared, "node"), "ngram-shared")
-    discard(prefixes)
+    by_gram = Window.partitionBy("gram")
+    several = prefixes.withColumns({"least": F.min("node").over(by_gram), "most": F.max("node").over(by_gram)}).where("least <> most")
+    once = several.groupBy("gram", "node").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    grams = written(once.withColumn("shared", F.count("*").over(Window.partitionBy("node")) / F.col("size")), "ngram-shared")
     here = classes.join(grams.select("node").distinct(), "node", "left_semi")
     classes_here = materialize(here, "ngram-classes")
     reps = classes_here.select("rep").distinct()
@@ -208,13 +246,19 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     tried = materialize(_hub_pairs(grams, grams.select("gram", *other), classes_here, num, den), "ngram-tried")
     links = written(_links(tried, texts, n, num, den), "ngram-links")
 
-    left, right = _apart_rows(grams, links, classes_here, other)
-    more = _hub_pairs(left, right.drop("largest"), classes_here, num, den).join(tried, ["a", "b"], "left_anti")
+    apart = _apart_rows(grams, links, classes_here)
+    discard(grams)
+    others = apart.select("gram", *other, F.col("comp").alias("r_comp"))
+    more = _hub_pairs(apart.where("comp <> largest").drop("largest"), others, classes_here, num, den).join(tried, ["a", "b"], "left_anti")
     more = materialize(more, "ngram-tried-2")
     near, links = links, written(links.unionByName(_links(more, texts, n, num, den)), "ngram-links-2")
     discard(near)
 
-    left, right = _apart_rows(grams, links, classes_here, other)
+    # classes in one component stay in one: only the n-grams that were in several can still be
+    before, apart = apart, _apart_rows(apart.drop("comp", "largest"), links, classes_here)
+    discard(before)
+    left = apart.where("comp <> largest").drop("largest", "shared")
+    right = apart.select("gram", *other, F.col("comp").alias("r_comp"), "largest")
     bits = classes_here.select("node", *BITS).dropDuplicates(["node"])
     left = left.join(bits, "node")
     right = right.join(bits.withColumnsRenamed({x: f"r_{x}" for x in ["node", *BITS]}), "r_node")
@@ -224,7 +268,7 @@ def ngram_components(docs: DataFrame, n: int, num: int, den: int, id_col: str =
     rest = _pairs(met, classes_here, num, den, every=True).join(tried.unionByName(more), ["a", "b"], "left_anti")
     rest = written(rest, "ngram-rest")
     found = written(links.unionByName(_links(rest, texts, n, num, den)), "ngram-links-3")
-    discard(grams, texts, classes_here, tried, more, links, rest)
+    discard(apart, texts, classes_here, tried, more, links, rest)
 
     final = written(components(found, "ngram-comps"), "ngram-final")
     by_class = classes.select("node", "chk", "size", "rep").join(final, F.col("rep") == F.col("vertex"), "left").select(

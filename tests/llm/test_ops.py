@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,47 @@ def test_ngram_components(spark, texts, n, num, den):
     assert ngram_join.ngram_components(frame(spark, []), n, num, den).collect() == []
 
 
+def test_ngram_scans(spark, texts, monkeypatch):
+    """One sketch a task, whatever its batches; one pass for the prefixes; the hashes of each row as if it were alone."""
+    seen, sketched = spark.sparkContext.accumulator(0), []
+    prefixes, materialize = ngram_join._prefixes, ngram_join.materialize
+
+    def counted(*args):
+        task = prefixes(*args)
+
+        def run(batch):
+            seen.add(batch.num_rows)
+            yield from task(batch)
+
+        return run
+
+    def kept(df, name):
+        out = materialize(df, name)
+        if name == "ngram-sets":
+            sketched.append(out.where("kind = 1").agg(F.count("*"), F.countDistinct("node"), F.sum("chk")).first())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_prefixes", counted)
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        got = ngram_join.ngram_components(frame(spark, texts).coalesce(1), 4, 85, 100).collect()
+    finally:
+        spark.conf.set(key, was)
+    rows, counters, total = sketched[0]
+    assert rows == counters and total == sum(r.n_shingles for r in got)
+    assert seen.value == len(texts)
+    whole = pa.array([t for _, t in texts])
+    alone = [next(ngram_join._each(pa.array([t]), 4)) for _, t in texts]
+    assert [x.tolist() for x in ngram_join._each(whole, 4)] == [np.unique(x).tolist() for x in alone]
+    bits = [b for flat, at in ngram_join._sets(whole, 4) for b in np.concatenate([*ngram_join._parities(flat, at, rows=7)])]
+    shift = np.uint64(64 - ngram_join.PART_BITS)
+    for x, b in zip(alone, bits, strict=True):
+        assert np.unpackbits(b.view(np.uint8)).tolist() == (np.bincount((x >> shift).astype(int), minlength=64 * ngram_join.WORDS) & 1).tolist()
+
+
 def removed(texts, length):
     where = collections.Counter()
     raw = [(t or "").encode() for _, t in texts]
