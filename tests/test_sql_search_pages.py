@@ -63,6 +63,29 @@ def test_show_search_batch(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_show_search_batch_gives_every_pair_of_copies(spark, monkeypatch, tmp_path):
+    from marquee import catalog
+    from marquee.operators import titlesearch as TI
+
+    monkeypatch.setattr(TI, "BLOCK", 2)  # copies go over several blocks
+    shows = [(1, "Ring"), (2, "Ring"), (2, "Ring"), (3, "ring"), (None, "Ring"), (4, "King"), (5, None)]
+    asked = [(1, "in"), (2, "in"), (2, "in"), (None, "in"), (3, "R"), (4, "zz"), (5, None)]
+    found = show_search_batch({"shows": spark.createDataFrame(shows, "show_id long, title string")}, spark.createDataFrame(asked, "pattern_id long, pattern string"))
+    want = [(p, s, title) for p, pattern in asked for s, title in shows if pattern and title and like(pattern, title)]
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key) and len(want) == 4 * 6 + 5
+    part = [(k, "blue ring", "B", "SMALL", 1, 1.0) for k in range(60)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    for name, schema in (("orders", "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+                         ("customer", "c_custkey long, c_name string"), ("nation", "n_nationkey long, n_name string, n_regionkey long"), ("region", "r_regionkey long, r_name string"),
+                         ("lineitem", "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"), ("supplier", "s_suppkey long, s_name string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    pairs = catalog.queries()["show_search_batch"](spark, str(tmp_path))  # the registered query: a row per pattern and show
+    assert pairs.columns == ["pattern_id", "show_id", "title"]
+    per = {r[0]: r[1] for r in pairs.groupBy("pattern_id").count().collect()}
+    assert set(per.values()) == {60} and len(per) > 20 and 4 not in per
+
+
 @pytest.mark.parametrize("order,reverse", [(["k"], False), (["-g", "-k"], True)])
 def test_page_directory(spark, order, reverse):
     rows = [(k, k % 7) for k in range(500)]
