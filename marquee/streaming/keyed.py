@@ -5,25 +5,28 @@
   by signed sums, so cancelled revenue is taken back.
 - T3 ``stream_client_windows``: a limit window starts with a client's first request and
   closes its length later, by a timer.
-- T1 ``stream_seat_ledger``: a show's taken seats and bookings lie in chunks of map state; a
-  batch touches only the chunks that its commands name.
+- T1 ``stream_seat_ledger``: the taken seats and bookings of a span of shows lie in one value; a show that
+  is too large for it lies in chunks of map state, and a batch touches only the chunks that its commands name.
 
-State is read and written key by key in the state store (a key of T6 is a span of ids, of bounded size), so a batch costs what it
+State is read and written key by key in the state store (a key of T1 and T6 is a span of ids, of bounded size), so a batch costs what it
 brings and not what came before.  Results do not hang on how the stream is cut
 into batches, but for rows behind the watermark (T3) or behind their show's last command (T1).
 """
 
 from __future__ import annotations
 
-import json
 import os
 import sys
+from array import array
+from collections import namedtuple
 from collections.abc import Iterator
 from contextlib import contextmanager
-from types import SimpleNamespace
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -230,18 +233,20 @@ def stream_client_windows(events: DataFrame, minutes: int = 15, watermark: str =
 
 
 # --------------------------------------------------------------------------
-# Seats and bookings of a show as chunks of map state
+# Seats and bookings of a span of shows in one value, those of a large show as chunks of map state
 # --------------------------------------------------------------------------
 CHANGES = "show_id long, at long, cmd_id long, kind string, booking_id long, outcome string, booking_status string, unavailable_seats string, seat_ids array<long>, is_available int"
 
 
-CHUNK = 1000  # ids that a chunk of a show's state holds on average, at most
+SHOW_BITS = 6  # 64 neighbouring show ids share one state value
+SMALL = 256  # taken seats and bookings of a show up to which it lies there
+CHUNK = 1000  # ids that a chunk of a larger show's state holds on average, at most
 BOOKINGS = "array<struct<id: long, owner: long, status: string, seats: array<long>, paid: boolean>>"
 
 
 class _Chunks:
     """A show's taken seats and bookings over map state, dealt by a hash of their ids into chunks, each read and written as a
-    whole once a batch.  A small show is one chunk; when the chunks hold more than ``CHUNK`` ids on average their number
+    whole once a batch.  They begin as one chunk; when the chunks hold more than ``CHUNK`` ids on average their number
     doubles, so a batch on a large show still moves only the chunks that its commands name."""
 
     def __init__(self, state, n: int, size: int):
@@ -323,72 +328,180 @@ class _Bookings:
         self.chunks.of(booking, True)
 
 
+class _OfShow:
+    """The chunks of one show in the map state of its span; ``n`` is their number before this batch."""
+
+    def __init__(self, state, show: int, n: int):
+        self.state, self.show, self.n = state, show, n
+
+    def getValue(self, key):
+        return self.state.getValue((self.show, *key))
+
+    def updateValue(self, key, value) -> None:
+        self.state.updateValue((self.show, *key), value)
+
+    def iterator(self) -> Iterator:
+        for k in range(self.n):
+            v = self.getValue((k,))
+            if v is not None:
+                yield (k,), v
+
+    def clear(self) -> None:
+        for k in range(self.n):
+            self.state.removeKey((self.show, k))
+
+
+Command = namedtuple("Command", "show_id at cmd_id booking_id actor_id ends kind seat_ids actor_is_admin seat_ok food_ok payment_status")
+ADMIN, SEAT_OK, FOOD_OK, SUCCESS, FAILED = (1 << k for k in range(5))
+
+
+def _command(text: str) -> Command:
+    """A command from the text that ``stream_seat_ledger`` makes of it."""
+    numbers, known, kind = text.partition("|")
+    show, at, cmd, booking, actor, ends, flags, *seats = map(int, numbers.split(","))
+    status = "SUCCESS" if flags & SUCCESS else "FAILED" if flags & FAILED else None
+    return Command(show, at, cmd, booking, actor, ends, kind if known else None, seats, flags & ADMIN, flags & SEAT_OK, flags & FOOD_OK, status)
+
+
+def _pack(seats: set, bookings: dict) -> list[int]:
+    """A show's taken seats and bookings as longs."""
+    out = [len(seats), *seats]
+    for i, b in bookings.items():
+        out += (i, b["owner"], (b["status"] == "CONFIRMED") + 2 * bool(b["paid"]), len(b["seats"]))
+        out += b["seats"]
+    return out
+
+
+def _unpack(v: list[int]) -> tuple[set, dict]:
+    k = v[0] + 1
+    seats, bookings = set(v[1:k]), {}
+    while k < len(v):
+        i, owner, flags, n = v[k:k + 4]
+        bookings[i] = {"owner": owner, "status": "CONFIRMED" if flags & 1 else "CANCELLED", "seats": v[k + 4:k + 4 + n], "paid": flags > 1}
+        k += 4 + n
+    return seats, bookings
+
+
 class SeatLedger(StatefulProcessor):
-    """A show's commands in order -> their outcomes and the seats that each took (is_available 0) or freed (1)."""
+    """The commands of a span of neighbouring shows, each show's in order -> their outcomes and the seats that each took
+    (is_available 0) or freed (1).
+
+    The shows of a span lie in one value of longs, read and written once a batch: a few calls to the state store per span, not
+    per show.  Only shows that the batch names are taken apart.  A show with more than ``SMALL`` taken seats and bookings
+    lies in chunks of map state instead, of which a batch touches those that its commands name; the value has its head alone."""
+
+    HEAD = 5  # of a show in the value: time and id of its last command, its end, its number of chunks and their ids
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.chunks = handle.getMapState("chunks", "chunk int", f"seats array<long>, bookings {BOOKINGS}")
-        self.now = handle.getValueState("now", "at long, cmd_id long, chunks int, ids long")
+        self.chunks = handle.getMapState("chunks", "show_id long, chunk int", f"seats array<long>, bookings {BOOKINGS}")
+        self.shows = handle.getValueState("shows", "rows binary")
+
+    def _read(self) -> dict[int, list[int]]:
+        known, rows, shows, k = self.shows.get(), array("q"), {}, 0
+        if known is not None:
+            rows.frombytes(bytes(known[0]))
+        rows = rows.tolist()
+        while k < len(rows):
+            shows[rows[k]] = rows[k + 2:k + 2 + rows[k + 1]]
+            k += 2 + rows[k + 1]
+        return shows
+
+    def _write(self, shows: dict[int, list[int]]) -> None:
+        rows = array("q")
+        for show, v in shows.items():
+            rows.extend((show, len(v)))
+            rows.extend(v)
+        self.shows.update((rows.tobytes(),))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        now = self.now.get()
-        last, n, size = (None, 1, 0) if now is None else ((now[0], now[1]), now[2], now[3])
-        chunks, before, ends = _Chunks(self.chunks, n, size), last, set()
-        ledger = ShowLedger()
-        ledger.unavailable, ledger.bookings = _Taken(chunks), _Bookings(chunks)
-        told = (SimpleNamespace(**json.loads(r.command)) for r in rows)
-        for c in sorted(told, key=lambda r: (r.at, r.cmd_id)):  # one show's commands of one batch
-            late = last is not None and (c.at, c.cmd_id) < last
-            if late or c.ends is not None and c.at > c.ends:
-                yield self._row(key, c, "LATE", None, None, [], -1)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        import pandas as pd
+
+        shows, out, ends = self._read(), [], set()
+        told = sorted((_command(text) for pdf in rows for text in pdf["command"]), key=itemgetter(0, 1, 2))
+        served = [self._serve(show, commands, shows, out, ends) for show, commands in groupby(told, itemgetter(0))]
+        for end in ends:
+            self.handle.registerTimer(end // 1000 + 1)
+        if any(served):
+            self._write(shows)
+        columns = [f.strip().split(" ")[0] for f in CHANGES.split(",")]
+        # as objects: a column with an unknown value would else become one of doubles
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(columns, zip(*out))})
+
+    def _serve(self, show: int, commands, shows: dict, out: list, ends: set) -> bool:
+        """One show's commands in order; whether any of them was in time."""
+        v = shows.get(show)
+        at, cmd, end, n, size = v[:self.HEAD] if v else (None, None, UNKNOWN, 0, 0)
+        last, served, ledger, chunks = (at, cmd) if v else None, False, ShowLedger(), None
+        if n:
+            chunks = _Chunks(_OfShow(self.chunks, show, n), n, size)
+            ledger.unavailable, ledger.bookings = _Taken(chunks), _Bookings(chunks)
+        elif v:
+            ledger.unavailable, ledger.bookings = _unpack(v[self.HEAD:])
+        for c in commands:
+            told = (show, c.at if c.at != UNKNOWN else None, c.cmd_id if c.cmd_id != UNKNOWN else None, c.kind, c.booking_id)
+            if last is not None and (c.at, c.cmd_id) < last or c.ends != UNKNOWN and c.at > c.ends:
+                out.append((*told, "LATE", None, None, [], -1))
                 continue
-            last = (c.at, c.cmd_id)
+            last, served = (c.at, c.cmd_id), True
             booked = ledger.bookings.get(c.booking_id)
             held = list(booked["seats"]) if booked else []
             outcome, status, unavailable = ledger.apply(c)
             free = outcome == "CANCELLED" or outcome == "APPLIED" and status == "CANCELLED"
-            if outcome in ("ACCEPTED", "CANCELLED", "APPLIED"):
+            if n and outcome in ("ACCEPTED", "CANCELLED", "APPLIED"):
                 ledger.bookings.mark(c.booking_id)
-            seats, available = (list(c.seat_ids), 0) if outcome == "ACCEPTED" else (held, 1) if free else ([], -1)
-            yield self._row(key, c, outcome, status, unavailable, seats, available)
-            if c.ends is not None:
-                ends.add(c.ends)
-        for end in ends:
-            self.handle.registerTimer(end // 1000 + 1)
-        chunks.save()
-        if chunks.changed or last != before:
-            self.now.update((*last, chunks.n, chunks.size))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """The show is over: its state goes."""
-        self.chunks.clear()
-        self.now.clear()
+            seats, available = (c.seat_ids, 0) if outcome == "ACCEPTED" else (held, 1) if free else ([], -1)
+            out.append((*told, outcome, status, unavailable, seats, available))
+            if c.ends != UNKNOWN:
+                end = c.ends
+                ends.add(end)
+        if not served:
+            return False
+        if not n and len(ledger.unavailable) + len(ledger.bookings) > SMALL:
+            chunks = _Chunks(_OfShow(self.chunks, show, 0), 1, 0)
+            _Taken(chunks).update(ledger.unavailable)
+            for i, b in ledger.bookings.items():
+                chunks.of(i, True)[1][i] = b
+        if chunks is not None:
+            chunks.save()
+            shows[show] = [*last, end, chunks.n, chunks.size]
+        else:
+            shows[show] = [*last, end, 0, 0, *_pack(ledger.unavailable, ledger.bookings)]
+        return True
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        """Shows of the span that are over: their state goes."""
+        shows, now = self._read(), expiredTimerInfo.getExpiryTimeInMs()
+        over = [show for show, v in shows.items() if v[2] != UNKNOWN and v[2] // 1000 + 1 <= now]
+        for show in over:
+            _OfShow(self.chunks, show, shows.pop(show)[3]).clear()
+        if over and shows:
+            self._write(shows)
+        elif over:
+            self.shows.clear()
         return iter([])
 
-    @staticmethod
-    def _row(key, c, outcome, status, unavailable, seats, now) -> Row:
-        return Row(change=json.dumps({
-            "show_id": key[0], "at": c.at, "cmd_id": c.cmd_id, "kind": c.kind, "booking_id": c.booking_id, "outcome": outcome, "booking_status": status,
-            "unavailable_seats": unavailable, "seat_ids": seats, "is_available": now}))
-
 
 def stream_seat_ledger(commands: DataFrame, ends: DataFrame | None = None, watermark: str = "1 day") -> DataFrame:
     """CHANGES rows of every command of a known show.
 
     ends (show_id, ends_at; one row a show): a show's state is dropped when the watermark passes ends_at, and commands
     later than that are LATE.  Without it state stays for good."""
-    # rows reach Python column by column, so a command goes in, and a change comes out, as one text
-    fields = [f.name for f in COMMAND_SCHEMA.fields if f.name not in ("show_id", "ts", "total")]
-    rows = commands.filter("show_id is not null").select("show_id", *fields, micros("ts").alias("at"), F.col("ts").cast("timestamp").alias("_et"))
+    rows = commands.filter("show_id is not null").withColumns({"at": micros("ts"), "_et": F.col("ts").cast("timestamp")})
     if ends is None:
         rows, mode, also = rows.withColumn("ends", F.lit(None).cast("long")), "none", []
     else:
         rows = rows.withWatermark("_et", watermark).join(ends.select("show_id", micros("ends_at").alias("ends")), "show_id", "left")
         mode, also = "eventTime", ["_et"]
-    told = rows.select("show_id", F.to_json(F.struct(*fields, "at", "ends"), {"ignoreNullFields": "false"}).alias("command"), *also)
-    changes = told.groupBy("show_id").transformWithState(SeatLedger(), "change string", "append", mode)
-    return changes.select(F.from_json("change", CHANGES).alias("c")).select("c.*")
+    # rows reach Python column by column, so a command goes in as one text: numbers (an unknown one is the least), the
+    # flags, the seats that it asks for if they are valid, and its kind
+    flags = [("actor_is_admin", ADMIN), ("seat_ok", SEAT_OK), ("food_ok", FOOD_OK), ("payment_status = 'SUCCESS'", SUCCESS), ("payment_status = 'FAILED'", FAILED)]
+    numbers = [F.coalesce(F.col(c).cast("long"), F.lit(UNKNOWN).cast("long")) for c in ("show_id", "at", "cmd_id", "booking_id", "actor_id", "ends")]
+    numbers.append(reduce(Column.__add__, [F.when(F.expr(test), flag).otherwise(0) for test, flag in flags]))
+    seats = F.when(F.expr("kind = 'book' and seat_ok and size(seat_ids) > 0"), F.array_join("seat_ids", ",", "null"))
+    text = F.concat_ws("|", F.concat_ws(",", *[c.cast("string") for c in numbers], seats), "kind")
+    told = rows.select(F.shiftright(F.col("show_id").cast("long"), SHOW_BITS).alias("span"), text.alias("command"), *also)
+    return told.groupBy("span").transformWithStateInPandas(SeatLedger(), CHANGES, "append", mode)
 
 
 def seat_changes(spark: SparkSession, commands: DataFrame, root: str, ends: DataFrame | None = None) -> DataFrame:

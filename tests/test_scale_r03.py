@@ -212,3 +212,11 @@ def test_sql_functions_sort_no_seats(spark, tables):
     found = C.queries()["sql_functions"](spark, tables)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin [seat_id" in plan and "SortMergeJoin [seat_id#" not in plan.split("fn_get_event_rating")[0]
+
+
+def test_the_booking_log_asks_for_the_requests_once(spark, tables, monkeypatch):
+    written, kept = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or kept(df, name))
+    log = C.booking_log(spark, tables)
+    assert written == ["booking-requests"] and "l_quantity" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()} == {"book": 40, "cancel": 40, "payment": 42}
