@@ -57,15 +57,23 @@ def _mark(col: str) -> F.Column:
     return F.pmod(F.xxhash64(col), F.lit(MARKS)).cast("int")
 
 
+def asked_marks(asked: DataFrame) -> DataFrame:
+    """(show_id, _marks) of ``asked`` (show_id, seat_id)."""
+    return asked.groupBy("show_id").agg(F.collect_set(_mark("seat_id")).alias("_marks"))
+
+
+def is_marked() -> F.Column:
+    return F.array_contains("_marks", _mark("seat_id"))
+
+
 def seats_asked(seats: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of ``seats`` that may be among ``asked`` (show_id, seat_id), and few others.
 
     Seats are far more than those asked for: a show's ids asked for, as a set of at most ``MARKS`` hashes, go to where the
     show's seats are, and only seats with such a hash go on to an exact join."""
-    marks = asked.groupBy("show_id").agg(F.collect_set(_mark("seat_id")).alias("_marks"))
     # the hint on the seats yields to that of the marks and takes the place of a merge hint they may carry
-    near = seats.hint("shuffle_replicate_nl").join(marks.hint("shuffle_hash"), "show_id")
-    return near.filter(F.array_contains("_marks", _mark("seat_id"))).drop("_marks")
+    near = seats.hint("shuffle_replicate_nl").join(asked_marks(asked).hint("shuffle_hash"), "show_id")
+    return near.filter(is_marked()).drop("_marks")
 
 
 def _seat_pairs(st: dict, reqs: DataFrame, match_show: bool) -> DataFrame:

@@ -10,13 +10,22 @@ so no collected group grows with the table.
 
 from __future__ import annotations
 
+from copy import copy
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marquee.functions.numeric import money
 from marquee.functions.text import seat_labels_agg
+from marquee.operators.allocate import asked_marks, is_marked, seats_asked
+from marquee.plans.lineage import brief_shuffles, materialize
+from marquee.plans.paths import remove
+from marquee.session import scratch_dir
+
+SENT_BLOCKS = 200_000  # blocks of seat ids (two longs each) that may be sent to every executor
+SLICES, SLICE = 8, 250_000  # slices in which documents are made, at most; bookings of a slice, at least
 
 
 def booking_seat_lines(st: dict) -> DataFrame:
@@ -28,6 +37,31 @@ def booking_seat_lines(st: dict) -> DataFrame:
         .select("booking_id", "seat_id", "show_id", "row_letter", "seat_number", "seat_type", "price")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, bits): the seat ids of ``rows`` as bits of blocks of 64 ids; a task reduces its own before they are sent."""
+    bit = F.expr("shiftleft(1L, cast(seat_id & 63 as int))")
+    return rows.filter("seat_id is not null").groupBy(F.shiftright("seat_id", 6).alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def held_seats(st: dict) -> DataFrame:
+    """The rows of ``seats`` that a seat line names, and few others: what ``booking_seat_lines`` needs of them.
+
+    Seats are far more than lines, so they stay where their shows are: a line's seat is looked for in its booking's show.
+    The other seats' ids meet the lines' ids as bits of blocks of 64; those that lines name all the same are added."""
+    lines = st["booking_seats"].select("booking_id", "seat_id")
+    asked = lines.join(st["bookings"].select("booking_id", "show_id"), "booking_id").select("show_id", "seat_id")
+    near = seats_asked(st["seats"], asked)
+    others = (st["seats"].hint("shuffle_replicate_nl").join(asked_marks(asked).hint("shuffle_hash"), "show_id", "left")
+              .filter(~F.coalesce(is_marked(), F.lit(False))).drop("_marks"))
+    named = _blocks(others).join(_blocks(lines).withColumnRenamed("bits", "_named"), "block")
+    far = materialize(named.select("block", F.col("bits").bitwiseAND(F.col("_named")).alias("bits")).filter("bits <> 0"), "held-elsewhere")
+    if far.isEmpty():
+        return near
+    few = F.broadcast(far) if far.limit(SENT_BLOCKS + 1).count() <= SENT_BLOCKS else far.hint("shuffle_hash")
+    there = others.hint("shuffle_replicate_nl").withColumn("block", F.shiftright("seat_id", 6)).join(few, "block")
+    return near.unionByName(there.filter("shiftright(bits, cast(seat_id & 63 as int)) & 1 = 1").select(*near.columns))
+
+
 def booking_food_lines(st: dict) -> DataFrame:
     """booking_food joined to the menu, with price x quantity."""
     return (st["booking_food"].join(st["food_items"], "food_id")
@@ -35,8 +69,8 @@ def booking_food_lines(st: dict) -> DataFrame:
                     money(F.col("price") * F.col("quantity")).alias("subtotal")))
 
 
-def seats_by_booking(st: dict) -> DataFrame:
-    return (booking_seat_lines(st).groupBy("booking_id")
+def seats_by_booking(st: dict, lines: DataFrame | None = None) -> DataFrame:
+    return ((booking_seat_lines(st) if lines is None else lines).groupBy("booking_id")
             .agg(F.array_sort(F.collect_list(F.struct("row_letter", "seat_number", "seat_id", "seat_type", "price")))
                  .alias("seats"),
                  F.sum("price").alias("_seat_total")))
@@ -67,19 +101,20 @@ def booking_cost(st: dict, ids: DataFrame | None = None) -> DataFrame:
                     money(F.coalesce("_s", zero) + F.coalesce("_f", zero)).alias("total_cost")))
 
 
-def booking_documents(st: dict, bookings: DataFrame | None = None) -> DataFrame:
+def booking_documents(st: dict, bookings: DataFrame | None = None, seat_lines: DataFrame | None = None) -> DataFrame:
     """Bookings with show, venue, (left) payment and nested seats and food.
-    Replaces the reference's per-booking query loop with two grouped sides."""
+    Replaces the reference's per-booking query loop with two grouped sides.  ``seat_lines``: ``booking_seat_lines``, if they are made already."""
     b = st["bookings"] if bookings is None else bookings
     pay = st["payments"].select("booking_id", "payment_status", "payment_method", "paid_at")
-    # booking-keyed sides first: the grouped sides are already hash-partitioned by
-    # booking_id, so the three joins share one partitioning of the bookings
-    return (b.join(pay, "booking_id", "left")
-            .join(seats_by_booking(st).drop("_seat_total"), "booking_id", "left")
-            .join(food_by_booking(st).drop("_food_total"), "booking_id", "left")
-            .join(st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id"), "show_id")
-            .join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
-            .drop("venue_id"))
+    shows = st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id").join(st["venues"].select("venue_id", "venue_name", "city"), "venue_id")
+    # shows first, while the rows are narrow: documents are not dealt out again for them.  The booking-keyed sides
+    # follow: the grouped ones are already hash-partitioned by booking_id, so the three joins share one partitioning
+    rows = (b.join(shows.drop("venue_id"), "show_id")
+            .join(pay, "booking_id", "left")
+            .join(seats_by_booking(st, seat_lines).drop("_seat_total"), "booking_id", "left")
+            .join(food_by_booking(st).drop("_food_total"), "booking_id", "left"))
+    return rows.select("show_id", "booking_id", *[c for c in b.columns if c not in ("show_id", "booking_id")], "payment_status", "payment_method", "paid_at",
+                       "seats", "food", "title", "show_date", "show_time", "venue_name", "city")
 
 
 def my_bookings(st: dict, user_ids: DataFrame) -> DataFrame:
@@ -237,9 +272,46 @@ def seat_detail(st: dict, seat_ids: DataFrame | None = None) -> DataFrame:
 
 
 def doc_sink(df: DataFrame, path: str, key: str | None = None) -> DataFrame:
-    """Write rows as JSON documents (one per line, nested columns intact); returns
+    """Write rows as JSON documents (one per line, nested columns intact, files packed by gzip); returns
     the per-key document count that the API put in its ``count`` field."""
-    df.write.mode("overwrite").json(path)
     spark = df.sparkSession
-    back = spark.read.schema(df.schema).json(path)
+    with brief_shuffles(spark):
+        df.write.mode("overwrite").json(path, compression="gzip")
+    return counted_documents(spark, df.schema, path, key)
+
+
+def counted_documents(spark: SparkSession, schema: StructType, path: str, key: str | None = None) -> DataFrame:
+    back = spark.read.schema(schema).json(path)
     return back.groupBy(key).count() if key else back.agg(F.count(F.lit(1)).alias("count"))
+
+
+def sink_booking_documents(st: dict, path: str) -> DataFrame:
+    """S5 over every booking's document: (user_id, count).
+
+    Only seats that seat lines name are moved.  The booking-keyed tables are written once, dealt by a hash of the booking
+    id into at most ``SLICES`` slices, and the documents are made slice by slice: no more than a slice is shuffled at a time."""
+    spark = st["bookings"].sparkSession
+    st, root = copy(st), scratch_dir(spark, "document-parts")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}", partitionBy="_slice" if "_slice" in df.columns else None)
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    with brief_shuffles(spark):
+        st["shows"] = written(st["shows"].select("show_id", "title", "show_date", "show_time", "venue_id"), "shows")
+        n = max(1, min(SLICES, -(-st["bookings"].count() // SLICE)))
+        st["booking_seats"] = written(st["booking_seats"].select("booking_id", "seat_id"), "lines")
+        st["seats"] = held_seats(st)
+        parts = {"seat_lines": booking_seat_lines(st).drop("show_id"), "bookings": st["bookings"],
+                 "payments": st["payments"].select("booking_id", "payment_status", "payment_method", "paid_at"),
+                 "booking_food": st["booking_food"].select("booking_id", "food_id", "quantity")}
+        for name, df in parts.items():
+            parts[name] = written(df.withColumn("_slice", F.coalesce(F.pmod(F.xxhash64("booking_id"), F.lit(n)), F.lit(0)).cast("int")), name)
+        remove(spark, f"{root}/lines")
+        for k in range(n):
+            own = copy(st)
+            own.update({name: df.filter(F.col("_slice") == k).drop("_slice") for name, df in parts.items()})
+            documents = booking_documents(own, seat_lines=own["seat_lines"])
+            documents.write.mode("append" if k else "overwrite").json(path, compression="gzip")
+    remove(spark, root)
+    return counted_documents(spark, documents.schema, path, "user_id")
